@@ -11,15 +11,32 @@ from shelfcheck.contracts import INACTIVE_REMARKS, JD_LIVE_STORE_STATUS, MT_LIVE
 DIM_BROADCAST_ROWS = 200_000
 
 
+_SIZE_CHECKS: dict[tuple, list[tuple[DataFrame, bool]]] = {}
+
+
+def fits_rows(df: DataFrame, max_rows: int) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows.
+
+    Reads at most ``max_rows + 1`` rows (``limit`` before ``count``), so the check
+    stays cheap even when the answer is no. Answers are remembered per session for
+    semantically equal plans (dimension reads repeat across the report queries).
+    """
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    for seen, answer in _SIZE_CHECKS.get(key, []):
+        if seen.sameSemantics(df):
+            return answer
+    answer = df.limit(max_rows + 1).count() <= max_rows
+    _SIZE_CHECKS.setdefault(key, []).append((df, answer))
+    return answer
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only if it provably has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows (``limit`` before ``count``), so it
-    stays cheap even when the side turns out to be large; in that case the join falls
-    back to a shuffle join (and AQE may still broadcast it from runtime sizes).
+    Otherwise the join stays a shuffle join (AQE may still switch it to a broadcast
+    from the measured shuffle size at runtime).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if fits_rows(df, max_rows) else df
 
 
 def is_active_store(remark: Column | str = "remark") -> Column:

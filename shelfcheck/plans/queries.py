@@ -80,3 +80,58 @@ def flag_counts(spark: SparkSession, d: str) -> DataFrame:
 def inactive_count(spark: SparkSession, d: str) -> DataFrame:
     """Store dimension rows that are not active."""
     return ru.inactive_count(tb.stores(spark, d))
+
+
+# ---------------------------------------------------------------- outlet guard
+
+def guard_inputs(spark: SparkSession, d: str):
+    """(live outlets, outlet stock, dealer products) from the bound tables.
+
+    Outlet stock comes from the same keyed detail (jd / mt sides), keyed by the
+    platform's outlet code: jd code = supplier key, mt id = 'mt' + supplier key.
+    """
+    from shelfcheck.operators import guard as gd
+
+    det = keyed_detail(spark, d)
+    code = F.col("store_key").cast("string")
+    prod = F.col("product_key").cast("string").alias("product_code")
+    jd_stock = det.where(F.col("jd_qty").isNotNull()).select(
+        code.alias("store_code"), prod, F.col("jd_qty").alias("qty"))
+    mt_stock = det.where(F.col("mt_qty").isNotNull()).select(
+        F.concat(F.lit("mt"), code).alias("store_id"), prod, F.col("mt_qty").alias("qty"))
+    outlets = gd.live_outlets(tb.jd_outlets(spark, d), tb.mt_outlets(spark, d))
+    stock = gd.outlet_stock(jd_stock, mt_stock)
+    named = rc.attach_dims(det, tb.stores(spark, d), tb.products(spark, d))
+    return outlets, stock, gd.dealer_products(named)
+
+
+@register("outlet_summary")
+def outlet_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A6 + S4: per live outlet, products of its dealer and how many are covered."""
+    from shelfcheck.operators import guard as gd
+
+    return gd.outlet_summary(*guard_inputs(spark, d))
+
+
+@register("guard_listed_detail")
+def guard_listed_detail(spark: SparkSession, d: str) -> DataFrame:
+    """K2 detail for listed products, with F7 status and S5 order."""
+    from shelfcheck.operators import guard as gd
+
+    return gd.listed_detail(*guard_inputs(spark, d))
+
+
+@register("outlet_detail")
+def outlet_detail(spark: SparkSession, d: str) -> DataFrame:
+    """drill into the worst-covered outlet (first in report order): all dealer products."""
+    from shelfcheck.operators import guard as gd
+
+    outlets, stock, products = guard_inputs(spark, d)
+    worst = gd.outlet_summary(outlets, stock, products).first()
+    if worst is None:
+        return products.limit(0).select("product_code", "product_name", "offline_qty",
+                                        F.lit(None).cast("bigint").alias("outlet_qty"),
+                                        F.lit(None).cast("bigint").alias("gap"),
+                                        F.lit(None).cast("boolean").alias("is_ok"))
+    return gd.outlet_detail(worst["customer_name"], worst["platform"], worst["outlet_code"],
+                            stock, products)
