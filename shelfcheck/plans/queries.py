@@ -135,3 +135,39 @@ def outlet_detail(spark: SparkSession, d: str) -> DataFrame:
                                         F.lit(None).cast("boolean").alias("is_ok"))
     return gd.outlet_detail(worst["customer_name"], worst["platform"], worst["outlet_code"],
                             stock, products)
+
+
+# ---------------------------------------------------------------- matching
+
+@register("unmatched_stores")
+def unmatched_stores(spark: SparkSession, d: str) -> DataFrame:
+    """J4 + J5 + S6: active mapped stores no book warehouse resolves to."""
+    from shelfcheck.operators import match as mt
+
+    st = tb.stores(spark, d)
+    return mt.unmatched_stores(st, tb.book_warehouses(keyed_detail(spark, d), st))
+
+
+@register("unmatched_products")
+def unmatched_products(spark: SparkSession, d: str) -> DataFrame:
+    """J6 + J7 + S6: platform codes with no book product, per platform."""
+    from shelfcheck.operators import match as mt
+
+    det = keyed_detail(spark, d)
+    rows = tb.platform_rows(det).join(tb.products(spark, d), "product_key", "left").drop("product_key")
+    book = det.where(F.col("bojun_qty").isNotNull()).select(
+        F.col("product_key").cast("string").alias("product_code"),
+        F.lit(None).cast("string").alias("barcode"))
+    return mt.unmatched_products(mt.match_products(rows, book, "platform_code", use_barcode=True))
+
+
+@register("store_address_hits")
+def store_address_hits(spark: SparkSession, d: str) -> DataFrame:
+    """J3 + A11: stores that find an address (first non-blank per name in source order)."""
+    from shelfcheck.operators import match as mt
+
+    st = tb.stores(spark, d)
+    src = st.select(F.col("store_name").alias("name"), F.col("store_address").alias("address"),
+                    F.col("store_key").alias("line_no"))
+    hits, _ = mt.address_match_report(st, mt.address_book(src))
+    return hits

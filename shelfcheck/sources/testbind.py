@@ -16,6 +16,8 @@ from shelfcheck.contracts import (
     INACTIVE_REMARKS,
     JD_LIVE_STORE_STATUS,
     MT_LIVE_BUSINESS_STATUS,
+    PLATFORM_JD,
+    PLATFORM_MT,
 )
 
 VIRTUAL_THRESHOLD = 90
@@ -72,6 +74,7 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("r_name").alias("province"),
             F.col("n_name").alias("city"),
             F.when(F.col("s_acctbal") < 0, F.lit(INACTIVE_REMARKS[0])).alias("remark"),
+            F.col("s_suppkey").cast("string").alias("internal_code"),
             F.col("s_suppkey").cast("string").alias("jd_id"),
             F.concat(F.lit("mt"), F.col("s_suppkey").cast("string")).alias("meituan_id"),
             F.concat(F.col("r_name"), F.lit(" "), F.col("n_name"), F.lit(" "),
@@ -113,3 +116,24 @@ def mt_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("balance") >= 0, F.lit(MT_LIVE_BUSINESS_STATUS))
         .otherwise(F.lit(MT_RESTING)).alias("business_status"),
     )
+
+
+def book_warehouses(keyed_detail: DataFrame, stores_df: DataFrame) -> DataFrame:
+    """Warehouse names (and codes) the book side reports: stores with book stock."""
+    wh = keyed_detail.where(F.col("bojun_qty").isNotNull()).select("store_key").distinct()
+    return wh.join(stores_df, "store_key").select(
+        F.col("store_name").alias("warehouse"), F.col("internal_code").alias("store_code"))
+
+
+def platform_rows(keyed_detail: DataFrame) -> DataFrame:
+    """Platform stock rows in the J6 input shape: jd and mt sides of the detail."""
+    code = F.col("product_key").cast("string")
+    jd = keyed_detail.where(F.col("jd_qty").isNotNull()).select(
+        F.lit(PLATFORM_JD).alias("platform"), code.alias("platform_code"),
+        F.col("store_key").cast("string").alias("store"), F.lit(None).cast("string").alias("barcode"),
+        F.col("jd_qty").alias("qty"), F.col("product_key"))
+    mt = keyed_detail.where(F.col("mt_qty").isNotNull()).select(
+        F.lit(PLATFORM_MT).alias("platform"), code.alias("platform_code"),
+        F.concat(F.lit("mt"), F.col("store_key").cast("string")).alias("store"),
+        F.lit(None).cast("string").alias("barcode"), F.col("mt_qty").alias("qty"), F.col("product_key"))
+    return jd.unionByName(mt)
