@@ -30,13 +30,17 @@ def fits_rows(df: DataFrame, max_rows: int) -> bool:
     return answer
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS,
+                      bound_by: DataFrame | None = None) -> DataFrame:
     """Mark ``df`` for broadcast only if it provably has at most ``max_rows`` rows.
 
+    ``bound_by``: a frame ``df`` is derived from without adding rows (a projection,
+    filter or aggregate of it); its check then stands for ``df`` and no extra job runs.
     Otherwise the join stays a shuffle join (AQE may still switch it to a broadcast
     from the measured shuffle size at runtime).
     """
-    return F.broadcast(df) if fits_rows(df, max_rows) else df
+    ok = fits_rows(bound_by if bound_by is not None else df, max_rows)
+    return F.broadcast(df) if ok else df
 
 
 def is_active_store(remark: Column | str = "remark") -> Column:

@@ -30,15 +30,26 @@ from shelfcheck.operators.common import bounded_broadcast, live_jd_outlets, live
 OUTLET_KEYS = ["customer_name", "platform", "outlet_code", "outlet_name"]
 
 
-def dealer_products(named_detail: DataFrame) -> DataFrame:
-    """Per (customer, product) the dealer's total book stock, over rows with book stock."""
+def dealer_products(detail: DataFrame) -> DataFrame:
+    """Per (customer, product) the dealer's total book stock, over rows with book stock.
+
+    ``detail`` needs customer_name, product_code, bojun_qty; names are attached later
+    (``with_product_names``) only where a report shows them.
+    """
     return (
-        named_detail.where(F.col("bojun_qty").isNotNull())
+        detail.where(F.col("bojun_qty").isNotNull())
         .groupBy("customer_name", "product_code")
-        .agg(F.sum("bojun_qty").alias("offline_qty"), F.max("product_name").alias("product_name"))
+        .agg(F.sum("bojun_qty").alias("offline_qty"))
     )
 
 
+def with_product_names(df: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Attach product_name by product_code (names unique per code) or a null column."""
+    if names is None:
+        return df.withColumn("product_name", F.lit(None).cast("string"))
+    return df.join(names.select("product_code", "product_name"), "product_code", "left")
+
+
 def live_outlets(jd_outlets: DataFrame, mt_outlets: DataFrame) -> DataFrame:
     """F2 on both outlet lists, unified to (customer_name, platform, outlet_code, outlet_name)."""
     jd = live_jd_outlets(jd_outlets).select(
@@ -50,15 +61,27 @@ def live_outlets(jd_outlets: DataFrame, mt_outlets: DataFrame) -> DataFrame:
     return jd.unionByName(mt).where(F.col("customer_name").isNotNull()).dropDuplicates(OUTLET_KEYS)
 
 
-def outlet_stock(jd_stock: DataFrame, mt_stock: DataFrame) -> DataFrame:
-    """Platform stock per (platform, outlet_code, product_code); inputs carry
-    (store_code | store_id, product_code, qty)."""
-    jd = jd_stock.select(F.lit(PLATFORM_JD).alias("platform"),
-                         F.col("store_code").alias("outlet_code"), "product_code", "qty")
-    mt = mt_stock.select(F.lit(PLATFORM_MT).alias("platform"),
-                         F.col("store_id").alias("outlet_code"), "product_code", "qty")
-    return (jd.unionByName(mt)
-            .groupBy("platform", "outlet_code", "product_code")
+def outlet_stock(jd_stock: DataFrame | None = None, mt_stock: DataFrame | None = None,
+                 stacked: DataFrame | None = None, assume_unique: bool = False) -> DataFrame:
+    """Platform stock per (platform, outlet_code, product_code), unique per key.
+
+    Inputs carry (store_code | store_id, product_code, qty), or ``stacked`` already has
+    (platform, outlet_code, product_code, qty). ``assume_unique`` skips the summing
+    shuffle when the caller's rows are already one per key (an aggregate's output).
+    """
+    parts = [] if stacked is None else [stacked.select("platform", "outlet_code", "product_code", "qty")]
+    if jd_stock is not None:
+        parts.append(jd_stock.select(F.lit(PLATFORM_JD).alias("platform"),
+                                     F.col("store_code").alias("outlet_code"), "product_code", "qty"))
+    if mt_stock is not None:
+        parts.append(mt_stock.select(F.lit(PLATFORM_MT).alias("platform"),
+                                     F.col("store_id").alias("outlet_code"), "product_code", "qty"))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    if assume_unique:
+        return both.withColumnRenamed("qty", "outlet_qty")
+    return (both.groupBy("platform", "outlet_code", "product_code")
             .agg(F.sum("qty").alias("outlet_qty")))
 
 
@@ -74,7 +97,12 @@ def listed_pairs(outlets: DataFrame, stock: DataFrame, products: DataFrame) -> D
 
 
 def outlet_summary(outlets: DataFrame, stock: DataFrame, products: DataFrame) -> DataFrame:
-    """product_cnt, ok_cnt, bad_cnt, ok_rate per live outlet; report order."""
+    """product_cnt, ok_cnt, bad_cnt, ok_rate per live outlet; report order.
+
+    Outlets are a checked-small dimension: the per-outlet side of every join here has at
+    most one row per outlet, so those joins broadcast and nothing large is shuffled
+    beyond the listed pairs themselves.
+    """
     per_dealer = products.groupBy("customer_name").agg(
         F.count(F.lit(1)).alias("product_cnt"),
         F.count_if(F.col("offline_qty") <= 0).alias("nonpos_cnt"),
@@ -83,8 +111,9 @@ def outlet_summary(outlets: DataFrame, stock: DataFrame, products: DataFrame) ->
         F.count_if(F.col("is_ok")).alias("listed_ok"),
         F.count_if(F.col("offline_qty") <= 0).alias("listed_nonpos"),
     )
+    small = bounded_broadcast(outlets)
     out = (
-        outlets.join(per_dealer, "customer_name")  # outlets without dealer products drop out
+        per_dealer.join(small, "customer_name")  # outlets without dealer products drop out
         .join(listed, OUTLET_KEYS, "left")
         .withColumn("ok_cnt", F.col("nonpos_cnt") + F.coalesce("listed_ok", F.lit(0))
                     - F.coalesce("listed_nonpos", F.lit(0)))
@@ -113,9 +142,11 @@ def guard_status(is_ok: str = "is_ok"):
     return F.when(F.col(is_ok), F.lit(GUARD_MET)).otherwise(F.lit(GUARD_SHORT))
 
 
-def listed_detail(outlets: DataFrame, stock: DataFrame, products: DataFrame) -> DataFrame:
+def listed_detail(outlets: DataFrame, stock: DataFrame, products: DataFrame,
+                  names: DataFrame | None = None) -> DataFrame:
     """K2 detail for listed products; S5 order (short first, largest shortage first)."""
-    return listed_pairs(outlets, stock, products).orderBy(
+    rows = with_product_names(listed_pairs(outlets, stock, products), names)
+    return rows.orderBy(
         F.col("customer_name").asc_nulls_last(), F.col("platform").asc_nulls_last(),
         F.col("outlet_name").asc_nulls_last(), F.col("is_ok").asc_nulls_last(),
         F.col("gap").asc_nulls_last(), F.col("product_code").asc_nulls_last(),
@@ -126,7 +157,7 @@ def listed_detail(outlets: DataFrame, stock: DataFrame, products: DataFrame) ->
 
 
 def outlet_detail(customer: str, platform: str, outlet_code: str, stock: DataFrame,
-                  products: DataFrame) -> DataFrame:
+                  products: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """every product of one outlet's dealer with its guard values; S5 order.
 
     Equality filters on the dealer and the outlet reach both inputs before the join.
@@ -134,7 +165,7 @@ def outlet_detail(customer: str, platform: str, outlet_code: str, stock: DataFra
     prods = products.where(F.col("customer_name") == customer)
     own = stock.where((F.col("platform") == platform) & (F.col("outlet_code") == outlet_code)).select(
         "product_code", "outlet_qty")
-    rows = _with_gap(prods.join(own, "product_code", "left"))
+    rows = with_product_names(_with_gap(prods.join(own, "product_code", "left")), names)
     return rows.select("product_code", "product_name", "offline_qty", "outlet_qty", "gap",
                        "is_ok").orderBy(F.col("is_ok").asc_nulls_last(), F.col("gap").asc_nulls_last(),
                                         F.col("product_code").asc_nulls_last())

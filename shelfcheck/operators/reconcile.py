@@ -122,7 +122,7 @@ def attach_dims(detail: DataFrame, stores: DataFrame, products: DataFrame | None
     from shelfcheck.operators.common import bounded_broadcast
 
     out = detail.join(
-        bounded_broadcast(stores.select("store_key", "customer_name", "store_name")),
+        bounded_broadcast(stores.select("store_key", "customer_name", "store_name"), bound_by=stores),
         "store_key",
         "left",
     )

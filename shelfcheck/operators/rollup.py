@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfcheck.contracts import FLAG_VIRTUAL
 from shelfcheck.functions.rates import group_rate, row_rate
-from shelfcheck.operators.common import bounded_broadcast, is_active_store
+from shelfcheck.operators.common import DIM_BROADCAST_ROWS, bounded_broadcast, fits_rows, is_active_store
 
 PLATFORMS = ("jd", "mt")
 
@@ -63,14 +63,18 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def store_level(detail: DataFrame, stores: DataFrame) -> DataFrame:
-    """Per (customer, store) carried sums, named through the store dimension."""
-    named = store_partials(detail).join(
-        bounded_broadcast(stores.select("store_key", "customer_name", "store_name")),
-        "store_key",
-        "left",
-    )
-    # Group by the names as the report does; one row per store already, so this is
-    # a cheap re-aggregation of small data (AQE coalesces its partitions).
+    """Per (customer, store) carried sums, named through the store dimension.
+
+    With a checked-small store dimension the names are attached map-side (broadcast)
+    and one aggregation by name follows: one exchange, partial sums before it. With a
+    large dimension the detail is first reduced per store key, so the shuffle join
+    only sees one row per store.
+    """
+    names = stores.select("store_key", "customer_name", "store_name")
+    if fits_rows(stores, DIM_BROADCAST_ROWS):
+        named = detail.join(F.broadcast(names), "store_key", "left")
+        return named.groupBy("customer_name", "store_name").agg(*_partial_sums())
+    named = store_partials(detail).join(names, "store_key", "left")
     return named.groupBy("customer_name", "store_name").agg(*_resum())
 
 
@@ -99,7 +103,7 @@ def store_ids(stores: DataFrame) -> DataFrame:
 
 def attach_store_ids(df: DataFrame, stores: DataFrame) -> DataFrame:
     """Left join the per-name ids; the right side is unique per name, so totals hold."""
-    return df.join(bounded_broadcast(store_ids(stores)), "store_name", "left")
+    return df.join(bounded_broadcast(store_ids(stores), bound_by=stores), "store_name", "left")
 
 
 def store_summary(store_rows: DataFrame, stores: DataFrame) -> DataFrame:

@@ -84,25 +84,24 @@ def inactive_count(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- outlet guard
 
-def guard_inputs(spark: SparkSession, d: str):
-    """(live outlets, outlet stock, dealer products) from the bound tables.
+def guard_inputs(spark: SparkSession, d: str, detail: DataFrame | None = None):
+    """(live outlets, outlet stock, dealer products, product names) from the bound tables.
 
-    Outlet stock comes from the same keyed detail (jd / mt sides), keyed by the
-    platform's outlet code: jd code = supplier key, mt id = 'mt' + supplier key.
+    Outlet stock comes from the keyed detail's jd / mt sides in one pass (``inline`` of
+    a two-element array), keyed by the platform's outlet code: jd code = supplier key,
+    mt id = 'mt' + supplier key. Dealer totals come from the same detail.
     """
     from shelfcheck.operators import guard as gd
+    from shelfcheck.operators.common import bounded_broadcast
 
-    det = keyed_detail(spark, d)
-    code = F.col("store_key").cast("string")
-    prod = F.col("product_key").cast("string").alias("product_code")
-    jd_stock = det.where(F.col("jd_qty").isNotNull()).select(
-        code.alias("store_code"), prod, F.col("jd_qty").alias("qty"))
-    mt_stock = det.where(F.col("mt_qty").isNotNull()).select(
-        F.concat(F.lit("mt"), code).alias("store_id"), prod, F.col("mt_qty").alias("qty"))
+    det = detail if detail is not None else keyed_detail(spark, d)
     outlets = gd.live_outlets(tb.jd_outlets(spark, d), tb.mt_outlets(spark, d))
-    stock = gd.outlet_stock(jd_stock, mt_stock)
-    named = rc.attach_dims(det, tb.stores(spark, d), tb.products(spark, d))
-    return outlets, stock, gd.dealer_products(named)
+    stock = gd.outlet_stock(stacked=tb.outlet_stock_rows(det), assume_unique=True)
+    st = tb.stores(spark, d)
+    book = det.join(bounded_broadcast(st.select("store_key", "customer_name"), bound_by=st),
+                    "store_key").select("customer_name", tb.product_code(), "bojun_qty")
+    names = tb.products(spark, d).select(tb.product_code(), "product_name")
+    return outlets, stock, gd.dealer_products(book), names
 
 
 @register("outlet_summary")
@@ -110,7 +109,8 @@ def outlet_summary(spark: SparkSession, d: str) -> DataFrame:
     """A6 + S4: per live outlet, products of its dealer and how many are covered."""
     from shelfcheck.operators import guard as gd
 
-    return gd.outlet_summary(*guard_inputs(spark, d))
+    outlets, stock, products, _ = guard_inputs(spark, d)
+    return gd.outlet_summary(outlets, stock, products)
 
 
 @register("guard_listed_detail")
@@ -126,15 +126,12 @@ def outlet_detail(spark: SparkSession, d: str) -> DataFrame:
     """drill into the worst-covered outlet (first in report order): all dealer products."""
     from shelfcheck.operators import guard as gd
 
-    outlets, stock, products = guard_inputs(spark, d)
+    outlets, stock, products, names = guard_inputs(spark, d)
     worst = gd.outlet_summary(outlets, stock, products).first()
     if worst is None:
-        return products.limit(0).select("product_code", "product_name", "offline_qty",
-                                        F.lit(None).cast("bigint").alias("outlet_qty"),
-                                        F.lit(None).cast("bigint").alias("gap"),
-                                        F.lit(None).cast("boolean").alias("is_ok"))
+        return gd.outlet_detail("", "", "", stock, products.limit(0), names)
     return gd.outlet_detail(worst["customer_name"], worst["platform"], worst["outlet_code"],
-                            stock, products)
+                            stock, products, names)
 
 
 # ---------------------------------------------------------------- matching
@@ -171,3 +168,26 @@ def store_address_hits(spark: SparkSession, d: str) -> DataFrame:
                     F.col("store_key").alias("line_no"))
     hits, _ = mt.address_match_report(st, mt.address_book(src))
     return hits
+
+
+# ---------------------------------------------------------------- report inputs
+
+def recon_inputs(spark: SparkSession, d: str, detail: DataFrame | None = None):
+    """All report inputs over the bound tables; ``detail`` may be a persisted J1."""
+    from shelfcheck.plans.reports import ReconInputs
+
+    det = detail if detail is not None else keyed_detail(spark, d)
+    st = tb.stores(spark, d)
+    outlets, stock, _, _ = guard_inputs(spark, d, det)
+    return ReconInputs(
+        keyed_detail=det,
+        stores=st,
+        products=tb.products(spark, d),
+        book_warehouses=tb.book_warehouses(det, st),
+        platform_rows=tb.platform_rows(det).join(tb.products(spark, d), "product_key", "left")
+        .drop("product_key"),
+        book_products=det.where(F.col("bojun_qty").isNotNull()).select(
+            tb.product_code(), F.lit(None).cast("string").alias("barcode")),
+        outlets=outlets,
+        outlet_stock=stock,
+    )

@@ -27,8 +27,15 @@ JD_DISABLED = "停用"
 MT_RESTING = "休息中"
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Read one test table; the reader (file listing, footer schema) is reused per session."""
+    key = (id(spark), os.path.abspath(sf_dir), name)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return _READS[key]
 
 
 def stock_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,3 +144,21 @@ def platform_rows(keyed_detail: DataFrame) -> DataFrame:
         F.concat(F.lit("mt"), F.col("store_key").cast("string")).alias("store"),
         F.lit(None).cast("string").alias("barcode"), F.col("mt_qty").alias("qty"), F.col("product_key"))
     return jd.unionByName(mt)
+
+
+def product_code():
+    """The product code of the binding: the part key as text."""
+    return F.col("product_key").cast("string").alias("product_code")
+
+
+def outlet_stock_rows(keyed_detail: DataFrame) -> DataFrame:
+    """(platform, outlet_code, product_code, qty) for both platforms in one pass."""
+    code = F.col("store_key").cast("string")
+    sides = F.array(
+        F.struct(F.lit(PLATFORM_JD).alias("platform"), code.alias("outlet_code"),
+                 F.col("jd_qty").alias("qty")),
+        F.struct(F.lit(PLATFORM_MT).alias("platform"),
+                 F.concat(F.lit("mt"), code).alias("outlet_code"), F.col("mt_qty").alias("qty")),
+    )
+    return (keyed_detail.select(product_code(), F.inline(sides))
+            .where(F.col("qty").isNotNull()))
