@@ -191,3 +191,103 @@ def recon_inputs(spark: SparkSession, d: str, detail: DataFrame | None = None):
         outlets=outlets,
         outlet_stock=stock,
     )
+
+
+# ---------------------------------------------------------------- geo and map
+
+@register("address_sources")
+def address_sources(spark: SparkSession, d: str) -> DataFrame:
+    """A8 + U1: distinct addresses of active stores and live outlets with their city."""
+    from shelfcheck.operators import geo
+
+    return geo.address_sources(tb.stores(spark, d), tb.jd_outlets(spark, d), tb.mt_outlets(spark, d))
+
+
+@register("geocode_queue_retry")
+def geocode_queue_retry(spark: SparkSession, d: str) -> DataFrame:
+    """J9 + U2: addresses to geocode when failed ones are retried."""
+    from shelfcheck.operators import geo
+
+    src = geo.address_sources(tb.stores(spark, d), tb.jd_outlets(spark, d), tb.mt_outlets(spark, d))
+    return geo.geocode_queue(src, tb.geo_cache(spark, d), retry_fail=True)
+
+
+@register("geo_levels")
+def geo_levels(spark: SparkSession, d: str) -> DataFrame:
+    """A9 + S11: level histogram of ok cache rows, most frequent first."""
+    from shelfcheck.operators import geo
+
+    return geo.geo_quality(tb.geo_cache(spark, d))[0]
+
+
+@register("geo_coarse")
+def geo_coarse(spark: SparkSession, d: str) -> DataFrame:
+    """Ok cache rows only placed at an administrative centre."""
+    from shelfcheck.operators import geo
+
+    return geo.geo_quality(tb.geo_cache(spark, d))[1]
+
+
+@register("geo_upsert")
+def geo_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """M1: a later geocode batch merged into the cache (fail keeps coordinates)."""
+    from shelfcheck.operators.changes import upsert_geo
+
+    return upsert_geo(tb.geo_cache(spark, d), tb.geo_results(spark, d))
+
+
+def _map_points(spark: SparkSession, d: str) -> DataFrame:
+    from shelfcheck.operators import geo
+
+    det = keyed_detail(spark, d)
+    code = F.col("store_key").cast("string")
+    jd_stock = det.where(F.col("jd_qty").isNotNull()).select(code.alias("store_code"), tb.product_code())
+    mt_stock = det.where(F.col("mt_qty").isNotNull()).select(
+        F.concat(F.lit("mt"), code).alias("store_id"), tb.product_code())
+    return geo.map_points(tb.stores(spark, d), tb.jd_outlets(spark, d), tb.mt_outlets(spark, d),
+                          tb.geo_cache(spark, d), geo.point_sku_counts(jd_stock, mt_stock))
+
+
+@register("map_points")
+def map_points(spark: SparkSession, d: str) -> DataFrame:
+    """J10 + J11 + F6 + S10: map points with coordinates and SKU counts."""
+    from shelfcheck.operators import geo
+
+    return _map_points(spark, d).withColumn("type_idx", geo.point_type_index())
+
+
+@register("map_located")
+def map_located(spark: SparkSession, d: str) -> DataFrame:
+    """A10: map points in total and with coordinates."""
+    from shelfcheck.operators import geo
+
+    return geo.located_count(_map_points(spark, d))
+
+
+# ---------------------------------------------------------------- users
+
+@register("login_profiles")
+def login_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """User profiles from login events."""
+    from shelfcheck.operators import logins as lg
+
+    return lg.profile_from_logins(tb.logins(spark, d)).drop("_last")
+
+
+@register("user_list")
+def user_list(spark: SparkSession, d: str) -> DataFrame:
+    """S9 + X5: the 500 most recent users (a top-k report), times to the minute."""
+    from shelfcheck.operators import logins as lg
+
+    return lg.user_list(lg.profile_from_logins(tb.logins(spark, d)))
+
+
+@register("book_pull_stats")
+def book_pull_stats(spark: SparkSession, d: str) -> DataFrame:
+    """I16: rows, distinct warehouses and distinct products of the book stock."""
+    from shelfcheck.sources.pages import inventory_pull_stats
+
+    det = keyed_detail(spark, d).where(F.col("bojun_qty").isNotNull())
+    rows = det.join(tb.stores(spark, d).select("store_key", F.col("store_name").alias("store_warehouse")),
+                    "store_key").select("store_warehouse", tb.product_code())
+    return inventory_pull_stats(rows)

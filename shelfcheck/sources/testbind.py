@@ -162,3 +162,65 @@ def outlet_stock_rows(keyed_detail: DataFrame) -> DataFrame:
     )
     return (keyed_detail.select(product_code(), F.inline(sides))
             .where(F.col("qty").isNotNull()))
+
+
+# Geocoder level names used by the bound geocode cache (values a geocoder returns).
+LEVEL_HOUSE, LEVEL_POI, LEVEL_DISTRICT = "门牌号", "兴趣点", "区县"
+
+
+def geo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geocode cache (store_geo shape) as derived from the store addresses.
+
+    Status, level and coordinates are functions of the supplier balance, so the cache
+    holds ok and fail rows, precise and coarse levels.
+    """
+    st = stores(spark, sf_dir)
+    bal = F.col("balance")
+    ok = bal >= 500
+    return st.select(
+        F.btrim("store_address").alias("address"),
+        F.when(ok, F.lit(73.0) + (bal + 1000.0) / 12000.0 * 62.0).alias("lng"),
+        F.when(ok, F.lit(18.0) + (bal + 1000.0) / 12000.0 * 35.0).alias("lat"),
+        F.when(ok, (F.col("store_key") + 110000).cast("string")).alias("adcode"),
+        F.when(ok, F.col("store_address")).alias("formatted_address"),
+        F.when(ok, F.when(bal >= 5000, F.lit(LEVEL_HOUSE)).when(bal >= 0, F.lit(LEVEL_POI))
+               .otherwise(F.lit(LEVEL_DISTRICT))).alias("level"),
+        F.when(ok, F.lit("ok")).otherwise(F.lit("fail")).alias("status"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("updated_at"),
+    )
+
+
+def geo_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later geocode batch over the same addresses: ok for a balance in [0, 9000)
+    (so some fail rows turn ok, and ok rows above 9000 now fail and must keep their
+    coordinates)."""
+    st = stores(spark, sf_dir)
+    bal = F.col("balance")
+    ok = (bal >= 0) & (bal < 9000)
+    return st.select(
+        F.btrim("store_address").alias("address"),
+        F.when(ok, F.lit(73.5) + (bal + 1000.0) / 12000.0 * 62.0).alias("lng"),
+        F.when(ok, F.lit(18.5) + (bal + 1000.0) / 12000.0 * 35.0).alias("lat"),
+        F.when(ok, (F.col("store_key") + 120000).cast("string")).alias("adcode"),
+        F.when(ok, F.col("store_address")).alias("formatted_address"),
+        F.when(ok, F.lit(LEVEL_POI)).alias("level"),
+        F.when(ok, F.lit("ok")).otherwise(F.lit("fail")).alias("status"),
+        F.lit("2024-02-01 00:00:00").cast("timestamp").alias("updated_at"),
+    )
+
+
+def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Login events from ``events``: one login per event, profile fields derived from it."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    uid = F.col("user_id").cast("string")
+    et = F.col("event_type")
+    return ev.select(
+        "event_id", "ts",
+        F.concat(F.lit("ou_"), uid).alias("open_id"),
+        F.when(et != "error", F.concat(F.lit("on_"), uid)).alias("union_id"),
+        F.concat(F.upper(et), F.lit(" "), uid).alias("name"),
+        F.concat(F.lit("avatar/"), et, F.lit("/"), uid).alias("avatar_url"),
+        F.when(et == "purchase", F.concat(F.lit("u"), uid, F.lit("@mail.test"))).alias("email"),
+        F.when(et == "signup", F.concat(F.lit("u"), uid, F.lit("@corp.test"))).alias("enterprise_email"),
+        F.when(F.col("value") >= 40, F.floor(F.col("value") * 100).cast("bigint").cast("string")).alias("mobile"),
+    )
