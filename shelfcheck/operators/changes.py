@@ -52,7 +52,7 @@ def clean_changes(changes: DataFrame, editable: list[str], required: str) -> tup
     keep = F.map_filter("fields", lambda k, v: k.isin(*editable))
     cleaned = changes.withColumn("fields", F.transform_values(keep, lambda k, v: blank_to_null(v)))
     has_req = F.array_contains(F.map_keys("fields"), required)
-    req_val = F.element_at("fields", F.lit(required))
+    req_val = F.try_element_at("fields", F.lit(required))
     bad = ((F.col("op") == "insert") & (~has_req | req_val.isNull())) | (
         (F.col("op") == "update") & has_req & req_val.isNull())
     return cleaned.where(~bad), cleaned.where(bad).withColumn("reason", F.lit(f"{required} empty"))
@@ -85,7 +85,7 @@ def apply_changes(table: DataFrame, changes: DataFrame, key: str = "id") -> tupl
     for c in cols:
         supplied = F.coalesce(F.array_contains(F.map_keys("m"), c), F.lit(False))
         base_val = F.when(~F.coalesce(inserted, F.lit(False)), F.col(c))
-        out_cols.append(F.when(supplied, F.element_at("m", F.lit(c)).cast(table.schema[c].dataType))
+        out_cols.append(F.when(supplied, F.try_element_at("m", F.lit(c)).cast(table.schema[c].dataType))
                         .otherwise(base_val).alias(c))
     new_table = merged.where(exists).select(*out_cols)
 

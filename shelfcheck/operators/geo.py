@@ -55,7 +55,7 @@ def classify_responses(responses: DataFrame) -> DataFrame:
     """
     body = F.from_json("body", RESPONSE_SCHEMA)
     r = responses.select("address", "received_at", body.alias("b"))
-    first = F.element_at(F.col("b.geocodes"), 1)
+    first = F.try_element_at(F.col("b.geocodes"), F.lit(1))
     loc = parse_location(first.getField("location"))
     api_ok = F.col("b.status") == "1"
     has_match = F.coalesce(F.size(F.col("b.geocodes")) > 0, F.lit(False))

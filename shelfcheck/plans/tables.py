@@ -31,7 +31,10 @@ def export_table(df: DataFrame, key: str) -> DataFrame:
     rows = non_empty_rows(df, cfg["key_fields"])
     if "id" in rows.columns:
         rows = sort_for_listing(rows, cfg["required"])
-    return rows.select(*[F.col(en).alias(zh) for en, zh, _ in cfg["columns"]])
+    types = {"text": "string", "int": "int", "float": "double"}
+    return rows.select(*[
+        (F.col(en) if en in rows.columns else F.lit(None).cast(types[t])).alias(zh)
+        for en, zh, t in cfg["columns"]])
 
 
 def load_log_row(spark: SparkSession, label: str, filename: str | None, size: int | None,
@@ -61,7 +64,7 @@ def load_log_message(lines: DataFrame) -> DataFrame:
     joined = F.array_join("lines", "\n")
     n = F.regexp_extract(joined, LOAD_LOG_ROWS_PATTERN, 1)
     errs = F.filter("lines", lambda x: (F.trim(x) != "") & ~x.contains(LOAD_LOG_SKIP_WORD))
-    last_err = F.when(F.size(errs) > 0, F.element_at(errs, -1))
+    last_err = F.try_element_at(errs, F.lit(-1))
     return lines.select("run_id", F.when(
         F.col("ok"), F.when(n != "", F.concat(F.lit("loaded "), n, F.lit(" rows"))).otherwise(F.lit("loaded"))
     ).otherwise(F.concat(F.lit("failed: "), F.coalesce(last_err, F.lit("unknown error")))).alias("message"))
