@@ -291,3 +291,11 @@ def book_pull_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = det.join(tb.stores(spark, d).select("store_key", F.col("store_name").alias("store_warehouse")),
                     "store_key").select("store_warehouse", tb.product_code())
     return inventory_pull_stats(rows)
+
+
+@register("login_profiles_stream")
+def login_profiles_stream(spark: SparkSession, d: str) -> DataFrame:
+    """M5: the same profiles, built by Structured Streaming over the landed events."""
+    from shelfcheck.streaming.logins import profiles_via_stream
+
+    return profiles_via_stream(spark, d, tb.logins_from_events, file_glob="events.parquet").drop("_last")

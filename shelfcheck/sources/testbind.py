@@ -211,7 +211,12 @@ def geo_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Login events from ``events``: one login per event, profile fields derived from it."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return logins_from_events(table(spark, sf_dir, "events"))
+
+
+def logins_from_events(events: DataFrame) -> DataFrame:
+    """The login columns of one event (batch or streaming frame)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value")
     uid = F.col("user_id").cast("string")
     et = F.col("event_type")
     return ev.select(
