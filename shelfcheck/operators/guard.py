@@ -87,7 +87,7 @@ def outlet_stock(jd_stock: DataFrame | None = None, mt_stock: DataFrame | None =
 
 def _with_gap(df: DataFrame) -> DataFrame:
     gap = F.coalesce(F.col("outlet_qty"), F.lit(0)) - F.col("offline_qty")
-    return df.withColumn("gap", gap).withColumn("is_ok", F.col("gap") >= 0)
+    return df.select("*", gap.alias("gap"), (gap >= 0).alias("is_ok"))
 
 
 def listed_pairs(outlets: DataFrame, stock: DataFrame, products: DataFrame) -> DataFrame:
@@ -117,8 +117,8 @@ def outlet_summary(outlets: DataFrame, stock: DataFrame, products: DataFrame) ->
         .join(listed, OUTLET_KEYS, "left")
         .withColumn("ok_cnt", F.col("nonpos_cnt") + F.coalesce("listed_ok", F.lit(0))
                     - F.coalesce("listed_nonpos", F.lit(0)))
-        .withColumn("bad_cnt", F.col("product_cnt") - F.col("ok_cnt"))
-        .withColumn("ok_rate", pct_tenths("ok_cnt", "product_cnt"))
+        .withColumns({"bad_cnt": F.col("product_cnt") - F.col("ok_cnt"),
+                      "ok_rate": pct_tenths("ok_cnt", "product_cnt")})
     )
     return out.select(*_report_cols(), "product_cnt", "ok_cnt", "bad_cnt", "ok_rate").orderBy(
         F.col("ok_rate").asc_nulls_last(), F.col("customer_name").asc_nulls_last(),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcheck.functions.scalars import strip_all
-from shelfcheck.operators.common import is_active_store
+from shelfcheck.operators.common import bounded_broadcast, is_active_store
 
 
 # ---------------------------------------------------------------- J3 / A11 addresses
@@ -105,12 +105,17 @@ def barcode_map(book_products: DataFrame) -> DataFrame:
 
 
 def match_products(platform_rows: DataFrame, book_products: DataFrame,
-                   code_col: str, use_barcode: bool) -> DataFrame:
+                   code_col: str, use_barcode: bool,
+                   codes_bound_by: DataFrame | None = None) -> DataFrame:
     """Platform row -> book product_code by platform code, else by barcode.
 
     ``book_products``: (product_code, barcode). Adds ``matched_code`` (null = no match).
+    ``codes_bound_by``: the product catalogue the book codes come from; when it passes
+    the size check the distinct code set is broadcast instead of shuffled.
     """
     codes = book_products.select(F.col("product_code").alias("_by_code")).distinct()
+    if codes_bound_by is not None:
+        codes = bounded_broadcast(codes, bound_by=codes_bound_by)
     out = platform_rows.join(codes, platform_rows[code_col] == codes["_by_code"], "left")
     if use_barcode:
         bc = barcode_map(book_products)
@@ -121,21 +126,28 @@ def match_products(platform_rows: DataFrame, book_products: DataFrame,
         "_by_code", "_by_barcode")
 
 
-def unmatched_products(matched: DataFrame) -> DataFrame:
+def unmatched_products(matched: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Per (platform, platform_code) without a match: name, barcode, stores, qty.
 
-    Input: (platform, platform_code, store, product_name, barcode, qty, matched_code).
+    Input: (platform, platform_code, store, [product_name,] barcode, qty, matched_code).
     Stores are counted after a first reduction to (platform, code, store), so no
-    DISTINCT aggregate and no hot key crosses the shuffle unreduced. S6 order.
+    DISTINCT aggregate and no hot key crosses the shuffle unreduced. ``names``
+    (platform_code, product_name) fills in names after the reduction, so only
+    unmatched codes are looked up. S6 order.
     """
     miss = matched.where(F.col("matched_code").isNull())
+    if "product_name" not in miss.columns:
+        miss = miss.withColumn("product_name", F.lit(None).cast("string"))
     per_store = miss.groupBy("platform", "platform_code", "store").agg(
         F.max("product_name").alias("product_name"), F.max("barcode").alias("barcode"),
         F.sum("qty").alias("qty"))
-    return (
-        per_store.groupBy("platform", "platform_code")
-        .agg(F.max("product_name").alias("product_name"), F.max("barcode").alias("barcode"),
-             F.count(F.lit(1)).alias("store_cnt"), F.sum("qty").alias("total_qty"))
-        .orderBy(F.col("platform").asc_nulls_last(), F.col("store_cnt").desc(),
-                 F.col("platform_code").asc_nulls_last())
-    )
+    out = per_store.groupBy("platform", "platform_code").agg(
+        F.max("product_name").alias("product_name"), F.max("barcode").alias("barcode"),
+        F.count(F.lit(1)).alias("store_cnt"), F.sum("qty").alias("total_qty"))
+    if names is not None:
+        nm = names.groupBy("platform_code").agg(F.max("product_name").alias("_name"))
+        out = out.join(nm, "platform_code", "left").withColumn(
+            "product_name", F.coalesce("product_name", "_name")).drop("_name")
+    return out.select("platform", "platform_code", "product_name", "barcode", "store_cnt",
+                      "total_qty").orderBy(F.col("platform").asc_nulls_last(), F.col("store_cnt").desc(),
+                                           F.col("platform_code").asc_nulls_last())

@@ -88,13 +88,10 @@ def reconcile(
         detail = detail.withColumn("product_name", fallback_product_name()).drop(
             *[NAME[s] for s in SIDES])
     book, jd, mt = F.col("bojun_qty"), F.col("jd_qty"), F.col("mt_qty")
-    return (
-        detail.withColumn("jd_diff", platform_diff(jd, book))
-        .withColumn("mt_diff", platform_diff(mt, book))
-        .withColumn(
-            "flag",
-            flag_expr(book, jd, mt, F.col("jd_diff"), F.col("mt_diff"), virtual_threshold),
-        )
+    jd_diff, mt_diff = platform_diff(jd, book), platform_diff(mt, book)
+    return detail.select(
+        "*", jd_diff.alias("jd_diff"), mt_diff.alias("mt_diff"),
+        flag_expr(book, jd, mt, jd_diff, mt_diff, virtual_threshold).alias("flag"),
     )
 
 
@@ -129,10 +126,10 @@ def attach_dims(detail: DataFrame, stores: DataFrame, products: DataFrame | None
     if products is not None:
         pn = products.select("product_key", F.col("product_name").alias("_catalog_name"))
         out = out.join(pn, "product_key", "left")
-        if "product_name" in out.columns:
+        if "product_name" in detail.columns:
             out = out.withColumn("product_name", F.coalesce("product_name", "_catalog_name"))
         else:
-            out = out.withColumn("product_name", F.col("_catalog_name"))
+            out = out.withColumnRenamed("_catalog_name", "product_name")
         out = out.drop("_catalog_name")
     return out.withColumn("product_code", F.col("product_key").cast("string"))
 

@@ -52,14 +52,12 @@ def store_partials(detail: DataFrame) -> DataFrame:
 
 def _finish(df: DataFrame) -> DataFrame:
     """Turn carried sums into the reported measures."""
-    out = df.withColumn("bojun_sum", F.coalesce("bojun_raw", F.lit(0)))
+    cols = {"bojun_sum": F.coalesce("bojun_raw", F.lit(0))}
     for p in PLATFORMS:
-        out = (
-            out.withColumn(f"{p}_sum", F.coalesce(f"{p}_raw", F.lit(0)))
-            .withColumn(f"{p}_diff", F.coalesce(f"{p}_net", F.lit(0)))
-            .withColumn(f"{p}_rate", group_rate(f"{p}_cmp", f"{p}_base"))
-        )
-    return out
+        cols[f"{p}_sum"] = F.coalesce(f"{p}_raw", F.lit(0))
+        cols[f"{p}_diff"] = F.coalesce(f"{p}_net", F.lit(0))
+        cols[f"{p}_rate"] = group_rate(f"{p}_cmp", f"{p}_base")
+    return df.withColumns(cols)
 
 
 def store_level(detail: DataFrame, stores: DataFrame) -> DataFrame:
@@ -122,8 +120,8 @@ def store_summary(store_rows: DataFrame, stores: DataFrame) -> DataFrame:
 def detail_report(named_detail: DataFrame, stores: DataFrame) -> DataFrame:
     """K1 detail sheet: detail + store ids + A5 row rates; S1 order."""
     out = attach_store_ids(named_detail, stores)
-    out = out.withColumn("jd_rate", row_rate("jd_qty", "bojun_qty")).withColumn(
-        "mt_rate", row_rate("mt_qty", "bojun_qty"))
+    out = out.withColumns({"jd_rate": row_rate("jd_qty", "bojun_qty"),
+                           "mt_rate": row_rate("mt_qty", "bojun_qty")})
     return out.select(
         "customer_name", "store_name", "product_code", "product_name", "bojun_qty", "jd_id",
         "jd_qty", "jd_diff", "jd_rate", "meituan_id", "mt_qty", "mt_diff", "mt_rate", "flag",

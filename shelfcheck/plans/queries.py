@@ -151,11 +151,14 @@ def unmatched_products(spark: SparkSession, d: str) -> DataFrame:
     from shelfcheck.operators import match as mt
 
     det = keyed_detail(spark, d)
-    rows = tb.platform_rows(det).join(tb.products(spark, d), "product_key", "left").drop("product_key")
+    catalog = tb.products(spark, d)
+    rows = tb.platform_rows(det).drop("product_key")
     book = det.where(F.col("bojun_qty").isNotNull()).select(
         F.col("product_key").cast("string").alias("product_code"),
         F.lit(None).cast("string").alias("barcode"))
-    return mt.unmatched_products(mt.match_products(rows, book, "platform_code", use_barcode=True))
+    names = catalog.select(F.col("product_key").cast("string").alias("platform_code"), "product_name")
+    matched = mt.match_products(rows, book, "platform_code", use_barcode=True, codes_bound_by=catalog)
+    return mt.unmatched_products(matched, names)
 
 
 @register("store_address_hits")
@@ -184,8 +187,7 @@ def recon_inputs(spark: SparkSession, d: str, detail: DataFrame | None = None):
         stores=st,
         products=tb.products(spark, d),
         book_warehouses=tb.book_warehouses(det, st),
-        platform_rows=tb.platform_rows(det).join(tb.products(spark, d), "product_key", "left")
-        .drop("product_key"),
+        platform_rows=tb.platform_rows(det).drop("product_key"),
         book_products=det.where(F.col("bojun_qty").isNotNull()).select(
             tb.product_code(), F.lit(None).cast("string").alias("barcode")),
         outlets=outlets,

@@ -44,22 +44,34 @@ def _write(df: DataFrame, path: str, fmt: str) -> None:
     w.format(fmt).save(path)
 
 
-def recon_sheets(inp: ReconInputs, detail: DataFrame) -> dict[str, DataFrame]:
+def _same(df: DataFrame) -> DataFrame:
+    return df
+
+
+def recon_sheets(inp: ReconInputs, detail: DataFrame, keep=_same) -> dict[str, DataFrame]:
+    """The five recon sheets. ``keep`` marks a frame that several sheets read (the
+    report persists it for its duration)."""
     named = rc.attach_dims(detail, inp.stores, inp.products)
-    store_rows = ru.store_level(detail, inp.stores)
-    matched = mt.match_products(inp.platform_rows, inp.book_products, "platform_code", True)
+    store_rows = keep(ru.store_level(detail, inp.stores))
+    matched = mt.match_products(inp.platform_rows, inp.book_products, "platform_code", True,
+                                codes_bound_by=inp.products)
+    names = None
+    if inp.products is not None:
+        names = inp.products.select(F.col("product_key").cast("string").alias("platform_code"),
+                                    "product_name")
     return {
         "customer_summary": ru.customer_summary(store_rows),
         "store_summary": ru.store_summary(store_rows, inp.stores),
         "detail": ru.detail_report(named, inp.stores),
         "unmatched_stores": mt.unmatched_stores(inp.stores, inp.book_warehouses),
-        "unmatched_products": mt.unmatched_products(matched),
+        "unmatched_products": mt.unmatched_products(matched, names),
     }
 
 
-def guard_sheets(inp: ReconInputs, detail: DataFrame) -> dict[str, DataFrame]:
+def guard_sheets(inp: ReconInputs, detail: DataFrame, keep=_same) -> dict[str, DataFrame]:
+    """The two guard sheets; dealer totals feed both (``keep``)."""
     book = rc.attach_dims(detail, inp.stores).select("customer_name", "product_code", "bojun_qty")
-    products = gd.dealer_products(book)
+    products = keep(gd.dealer_products(book))
     names = None
     if inp.products is not None:
         names = inp.products.select(F.col("product_key").cast("string").alias("product_code"),
@@ -70,28 +82,55 @@ def guard_sheets(inp: ReconInputs, detail: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_report(kind: str, inp: ReconInputs, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
-    """K1 (``recon``) or K2 (``guard``): one dataset folder per sheet under ``out_dir``."""
-    builders = {"recon": recon_sheets, "guard": guard_sheets}
-    if kind not in builders:
-        raise ValueError(f"unknown report kind {kind!r}")
-    # The detail feeds every sheet; the two small dimensions feed several joins each.
+BUILDERS = {"recon": recon_sheets, "guard": guard_sheets}
+
+
+def write_reports(kinds: tuple[str, ...], inp: ReconInputs, out_dir: str, fmt: str = "parquet",
+                  timings: dict[str, float] | None = None) -> dict[str, dict[str, str]]:
+    """K1 (``recon``) and / or K2 (``guard``): one dataset folder per sheet.
+
+    The detail is computed once for all requested reports (the two are rebuilt together
+    after every data change). Optional ``timings`` receives seconds per report.
+    """
+    import time
+
+    bad = [k for k in kinds if k not in BUILDERS]
+    if bad:
+        raise ValueError(f"unknown report kind {bad}")
+    # The detail feeds every sheet; the two small dimensions feed several joins each;
+    # builders mark further shared frames through ``keep``. Persisted blocks that are
+    # lost with an executor are recomputed from lineage.
     detail = inp.keyed_detail.persist(StorageLevel.MEMORY_AND_DISK)
-    small = [inp.stores.persist(StorageLevel.MEMORY_AND_DISK),
-             inp.outlets.persist(StorageLevel.MEMORY_AND_DISK)]
+    held = [inp.stores.persist(StorageLevel.MEMORY_AND_DISK),
+            inp.outlets.persist(StorageLevel.MEMORY_AND_DISK)]
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
     try:
-        paths = {}
-        for name, df in builders[kind](inp, detail).items():
-            path = os.path.join(out_dir, kind, name)
-            _write(df, path, fmt)
-            paths[name] = path
-        return paths
+        out: dict[str, dict[str, str]] = {}
+        for kind in kinds:
+            t0 = time.time()
+            out[kind] = {}
+            for name, df in BUILDERS[kind](inp, detail, keep).items():
+                path = os.path.join(out_dir, kind, name)
+                _write(df, path, fmt)
+                out[kind][name] = path
+            if timings is not None:
+                timings[kind] = round(time.time() - t0, 3)
+        return out
     finally:
         detail.unpersist()
-        for df in small:
+        for df in held:
             df.unpersist()
 
 
+def write_report(kind: str, inp: ReconInputs, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
+    """K1 (``recon``) or K2 (``guard``) alone."""
+    return write_reports((kind,), inp, out_dir, fmt)[kind]
+
+
 def payload_meta(generated_at: DataFrame, stores: DataFrame) -> DataFrame:
     """K3 meta section: generated_at (minute text), flag list, inactive store rows.
 

@@ -38,6 +38,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _READS[key]
 
 
+def _memo(fn):
+    """Reuse a bound frame per (session, folder): plans over read-only inputs are
+    immutable, and re-building them costs driver-side analysis on every call."""
+    cache: dict[tuple, DataFrame] = {}
+
+    def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (id(spark), os.path.abspath(sf_dir))
+        if key not in cache:
+            cache[key] = fn(spark, sf_dir)
+        return cache[key]
+
+    wrapped.__doc__ = fn.__doc__
+    wrapped.__name__ = fn.__name__
+    return wrapped
+
+
+@_memo
 def stock_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan of lineitem -> the wide line form of all three stock sides.
 
@@ -62,6 +79,7 @@ def stock_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store mapping (v_dim_store shape): one row per supplier.
 
@@ -91,12 +109,14 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("product_key"), F.col("p_name").alias("product_name")
     )
 
 
+@_memo
 def jd_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """jd outlet list: each supplier is an outlet of its dealer; live unless in debt."""
     st = stores(spark, sf_dir)
@@ -111,6 +131,7 @@ def jd_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def mt_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mt outlet list, same shape rule as jd with mt ids."""
     st = stores(spark, sf_dir)
@@ -168,6 +189,7 @@ def outlet_stock_rows(keyed_detail: DataFrame) -> DataFrame:
 LEVEL_HOUSE, LEVEL_POI, LEVEL_DISTRICT = "门牌号", "兴趣点", "区县"
 
 
+@_memo
 def geo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The geocode cache (store_geo shape) as derived from the store addresses.
 
@@ -190,6 +212,7 @@ def geo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def geo_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later geocode batch over the same addresses: ok for a balance in [0, 9000)
     (so some fail rows turn ok, and ok rows above 9000 now fail and must keep their
@@ -209,6 +232,7 @@ def geo_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Login events from ``events``: one login per event, profile fields derived from it."""
     return logins_from_events(table(spark, sf_dir, "events"))
