@@ -301,3 +301,45 @@ def login_profiles_stream(spark: SparkSession, d: str) -> DataFrame:
     from shelfcheck.streaming.logins import profiles_via_stream
 
     return profiles_via_stream(spark, d, tb.logins_from_events, file_glob="events.parquet").drop("_last")
+
+
+# ---------------------------------------------------------------- report sections, ingest, export
+
+@register("outlet_ranking")
+def outlet_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """S4 dashboard form: outlets worst first by the unrounded ok share."""
+    from shelfcheck.operators import guard as gd
+
+    outlets, stock, products, _ = guard_inputs(spark, d)
+    return gd.outlet_ranking(gd.outlet_summary(outlets, stock, products))
+
+
+@register("payload_detail")
+def payload_detail(spark: SparkSession, d: str) -> DataFrame:
+    """K3 detail section: detail rows with the flag index (F5) instead of its text."""
+    return named_detail(spark, d).select(
+        *rc.DETAIL_COLUMNS[:-1], rc.flag_index("flag").alias("flag_idx"))
+
+
+@register("column_types")
+def column_types(spark: SparkSession, d: str) -> DataFrame:
+    """I8 + I9: types inferred for the supplier and part exports read as text."""
+    from shelfcheck.sources.ingest import infer_types
+
+    rows = []
+    for name in ("supplier", "part"):
+        t = tb.table(spark, d, name)
+        as_text = t.select(*[F.col(c).cast("string").alias(c) for c in t.columns])
+        rows += [(name, c, typ) for c, typ in infer_types(as_text).items()]
+    return spark.createDataFrame(rows, "table_name string, column_name string, inferred_type string")
+
+
+@register("store_export")
+def store_export(spark: SparkSession, d: str) -> DataFrame:
+    """K5 + F3 + S7: the store mapping exported with its source headers."""
+    from shelfcheck.plans.tables import export_table
+
+    st = tb.stores(spark, d).select(
+        F.col("store_key").alias("id"), "province", "city", "customer_name", "store_name",
+        "internal_code", "remark", "jd_id", "meituan_id", "store_address")
+    return export_table(st, "mapping")

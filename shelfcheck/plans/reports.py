@@ -168,3 +168,28 @@ def write_payload(inp: ReconInputs, snapshot: DataFrame, out_dir: str) -> dict[s
         return paths
     finally:
         detail.unpersist()
+
+
+def write_map_payload(points: DataFrame, snapshot: DataFrame, out_dir: str) -> dict[str, str]:
+    """K4: map document as JSON sections: meta (generated_at, types, total, located) and
+    points (type index F6 instead of the type text; unlocated points keep null lng/lat)."""
+    from shelfcheck.contracts import POINT_TYPES
+    from shelfcheck.operators import geo
+
+    pts = points.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        gen = snapshot.agg(F.max("loaded_at").alias("loaded_at")).select(
+            F.date_format(F.coalesce("loaded_at", F.current_timestamp()), "yyyy-MM-dd HH:mm")
+            .alias("generated_at"))
+        meta = gen.crossJoin(geo.located_count(pts)).select(
+            "generated_at", F.array(*[F.lit(t) for t in POINT_TYPES]).alias("types"), "total", "located")
+        body = pts.select(geo.point_type_index().alias("type_idx"), "name", "customer_name", "province",
+                          "city", "address", "lng", "lat", "jd_sku_cnt", "mt_sku_cnt", "adcode")
+        paths = {}
+        for name, df in (("meta", meta), ("points", body)):
+            path = os.path.join(out_dir, "map", name)
+            df.write.mode("overwrite").json(path)
+            paths[name] = path
+        return paths
+    finally:
+        pts.unpersist()

@@ -28,7 +28,7 @@ def export_table(df: DataFrame, key: str) -> DataFrame:
     Headers are the source headers, so the export can be imported again (I18).
     """
     cfg = EDITED_TABLES[key]
-    rows = non_empty_rows(df, cfg["key_fields"])
+    rows = non_empty_rows(df, [k for k in cfg["key_fields"] if k in df.columns])
     if "id" in rows.columns:
         rows = sort_for_listing(rows, cfg["required"])
     types = {"text": "string", "int": "int", "float": "double"}
