@@ -38,12 +38,18 @@ def main() -> None:
     write_reports(kinds, Q.recon_inputs(spark, sf_dir), os.path.join(out, "warm"))
 
     # Both reports are rebuilt together after a data change; the detail is shared.
-    t0 = time.time()
-    per_kind: dict[str, float] = {}
-    write_reports(kinds, Q.recon_inputs(spark, sf_dir), os.path.join(out, "r"), timings=per_kind)
-    total = round(time.time() - t0, 3)
+    # Three timed builds; the median is reported (local timings are noisy).
+    runs = []
+    for i in range(int(os.environ.get("BENCH_REPEAT", "3"))):
+        per_kind: dict[str, float] = {}
+        t0 = time.time()
+        write_reports(kinds, Q.recon_inputs(spark, sf_dir), os.path.join(out, f"r{i}"), timings=per_kind)
+        runs.append((round(time.time() - t0, 3), per_kind))
+    runs.sort(key=lambda r: r[0])
+    total, per_kind = runs[len(runs) // 2]
     for kind in kinds:
         times[f"k_{kind}_report"] = per_kind[kind]
+    times["k_builds_all"] = [r[0] for r in runs]
 
     for name, fn in Q.REGISTRY.items():
         t0 = time.time()

@@ -67,3 +67,14 @@ def live_mt_outlets(outlets: DataFrame) -> DataFrame:
 def non_empty_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """keep rows where any key field is set."""
     return df.where(F.coalesce(*[F.col(k) for k in keys]).isNotNull())
+
+
+def sort_bounded(df: DataFrame, order: list, bound_by: DataFrame | None = None,
+                 max_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
+    """Global sort. When ``df`` has at most as many rows as a checked-small frame it is
+    derived from (``bound_by``), sort it in one partition: no range-sampling job and no
+    range exchange. Otherwise a distributed ``orderBy``.
+    """
+    if bound_by is not None and fits_rows(bound_by, max_rows):
+        return df.coalesce(1).sortWithinPartitions(*order)
+    return df.orderBy(*order)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shelfcheck.contracts import GUARD_MET, GUARD_SHORT, PLATFORM_JD, PLATFORM_MT
 from shelfcheck.functions.rates import pct_tenths
-from shelfcheck.operators.common import bounded_broadcast, live_jd_outlets, live_mt_outlets
+from shelfcheck.operators.common import bounded_broadcast, live_jd_outlets, live_mt_outlets, sort_bounded
 
 OUTLET_KEYS = ["customer_name", "platform", "outlet_code", "outlet_name"]
 
@@ -120,9 +120,11 @@ def outlet_summary(outlets: DataFrame, stock: DataFrame, products: DataFrame) ->
         .withColumns({"bad_cnt": F.col("product_cnt") - F.col("ok_cnt"),
                       "ok_rate": pct_tenths("ok_cnt", "product_cnt")})
     )
-    return out.select(*_report_cols(), "product_cnt", "ok_cnt", "bad_cnt", "ok_rate").orderBy(
-        F.col("ok_rate").asc_nulls_last(), F.col("customer_name").asc_nulls_last(),
-        F.col("platform").asc_nulls_last(), F.col("outlet_name").asc_nulls_last())
+    # one row per outlet: bounded by the checked outlet list
+    return sort_bounded(
+        out.select(*_report_cols(), "product_cnt", "ok_cnt", "bad_cnt", "ok_rate"),
+        [F.col("ok_rate").asc_nulls_last(), F.col("customer_name").asc_nulls_last(),
+         F.col("platform").asc_nulls_last(), F.col("outlet_name").asc_nulls_last()], outlets)
 
 
 def _report_cols():

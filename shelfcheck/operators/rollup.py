@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from shelfcheck.contracts import FLAG_VIRTUAL
 from shelfcheck.functions.rates import group_rate, row_rate
-from shelfcheck.operators.common import DIM_BROADCAST_ROWS, bounded_broadcast, fits_rows, is_active_store
+from shelfcheck.operators.common import (
+    DIM_BROADCAST_ROWS,
+    bounded_broadcast,
+    fits_rows,
+    is_active_store,
+    sort_bounded,
+)
 
 PLATFORMS = ("jd", "mt")
 
@@ -76,17 +82,17 @@ def store_level(detail: DataFrame, stores: DataFrame) -> DataFrame:
     return named.groupBy("customer_name", "store_name").agg(*_resum())
 
 
-def customer_summary(store_rows: DataFrame) -> DataFrame:
-    """A1 (+A3, A4) from store-level rows; S2 order."""
+def customer_summary(store_rows: DataFrame, stores: DataFrame | None = None) -> DataFrame:
+    """A1 (+A3, A4) from store-level rows; S2 order. There are at most as many customers
+    as stores, so a checked-small ``stores`` lets the sort run in one partition."""
     agg = store_rows.groupBy("customer_name").agg(
         F.count(F.lit(1)).alias("store_cnt"), *_resum())
     out = _finish(agg).select(
         "customer_name", "store_cnt", "bojun_sum", "jd_sum", "jd_diff", "jd_rate",
         "mt_sum", "mt_diff", "mt_rate",
     )
-    return out.orderBy(
-        (F.abs("jd_diff") + F.abs("mt_diff")).desc(), F.col("customer_name").asc_nulls_last()
-    )
+    return sort_bounded(out, [(F.abs("jd_diff") + F.abs("mt_diff")).desc(),
+                              F.col("customer_name").asc_nulls_last()], stores)
 
 
 def store_ids(stores: DataFrame) -> DataFrame:
@@ -110,11 +116,9 @@ def store_summary(store_rows: DataFrame, stores: DataFrame) -> DataFrame:
         "customer_name", "store_name", "bojun_sum", "jd_id", "jd_sum", "jd_diff", "jd_rate",
         "meituan_id", "mt_sum", "mt_diff", "mt_rate",
     )
-    return out.orderBy(
-        F.col("customer_name").asc_nulls_last(),
-        (F.abs("jd_diff") + F.abs("mt_diff")).desc(),
-        F.col("store_name").asc_nulls_last(),
-    )
+    return sort_bounded(out, [F.col("customer_name").asc_nulls_last(),
+                              (F.abs("jd_diff") + F.abs("mt_diff")).desc(),
+                              F.col("store_name").asc_nulls_last()], stores)
 
 
 def detail_report(named_detail: DataFrame, stores: DataFrame) -> DataFrame:

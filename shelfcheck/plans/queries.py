@@ -42,7 +42,8 @@ def named_detail(spark: SparkSession, d: str) -> DataFrame:
 @register("customer_summary")
 def customer_summary(spark: SparkSession, d: str) -> DataFrame:
     """A1 + A3 + A4 + S2: the customer sheet of the recon report."""
-    return ru.customer_summary(ru.store_level(keyed_detail(spark, d), tb.stores(spark, d)))
+    st = tb.stores(spark, d)
+    return ru.customer_summary(ru.store_level(keyed_detail(spark, d), st), st)
 
 
 @register("store_summary")

@@ -60,7 +60,7 @@ def recon_sheets(inp: ReconInputs, detail: DataFrame, keep=_same) -> dict[str, D
         names = inp.products.select(F.col("product_key").cast("string").alias("platform_code"),
                                     "product_name")
     return {
-        "customer_summary": ru.customer_summary(store_rows),
+        "customer_summary": ru.customer_summary(store_rows, inp.stores),
         "store_summary": ru.store_summary(store_rows, inp.stores),
         "detail": ru.detail_report(named, inp.stores),
         "unmatched_stores": mt.unmatched_stores(inp.stores, inp.book_warehouses),
