@@ -48,6 +48,7 @@ def main() -> None:
     runs.sort(key=lambda r: r[0])
     total, per_kind = runs[len(runs) // 2]
     for kind in kinds:
+        # seconds from the start of the build until the report's last sheet was written
         times[f"k_{kind}_report"] = per_kind[kind]
     times["k_builds_all"] = [r[0] for r in runs]
 

@@ -17,7 +17,7 @@ def test_recon_and_guard_reports(spark, tmp_dir):
     assert set(paths["recon"]) == {"customer_summary", "store_summary", "detail", "unmatched_stores",
                                    "unmatched_products"}
     assert set(paths["guard"]) == {"outlet_summary", "listed_detail"}
-    assert set(timings) == {"recon", "guard"}
+    assert set(timings) == {"recon", "guard", "total"}
     cust = spark.read.parquet(paths["recon"]["customer_summary"])
     assert cust.columns == ["customer_name", "store_cnt", "bojun_sum", "jd_sum", "jd_diff", "jd_rate",
                             "mt_sum", "mt_diff", "mt_rate"]
