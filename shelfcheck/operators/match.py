@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcheck.functions.scalars import strip_all
-from shelfcheck.operators.common import bounded_broadcast, is_active_store
+from shelfcheck.operators.common import bounded_broadcast, is_active_store, sort_bounded
 
 
 # ---------------------------------------------------------------- J3 / A11 addresses
@@ -60,11 +60,17 @@ def address_match_report(stores: DataFrame, book: DataFrame | None,
 def resolve_names(names: DataFrame, stores: DataFrame, aliases: DataFrame | None,
                   name_col: str = "name") -> DataFrame:
     """A name resolves to itself when it is a known store name, else through the
-    alias table (alias -> store_name); otherwise null. Adds ``resolved_name``."""
-    known = stores.select(F.col("store_name").alias("_direct")).distinct()
+    alias table (alias -> store_name); otherwise null. Adds ``resolved_name``.
+
+    Both lookup sides are unique per key (no row is multiplied) and are broadcast only
+    when their source passes the size check.
+    """
+    known = bounded_broadcast(stores.select(F.col("store_name").alias("_direct")).distinct(),
+                              bound_by=stores)
     out = names.join(known, names[name_col] == known["_direct"], "left")
     if aliases is not None:
-        amap = aliases.groupBy("alias").agg(F.max("store_name").alias("_via_alias"))
+        amap = bounded_broadcast(aliases.groupBy("alias").agg(F.max("store_name").alias("_via_alias")),
+                                 bound_by=aliases)
         out = out.join(amap, out[name_col] == amap["alias"], "left").drop("alias")
     else:
         out = out.withColumn("_via_alias", F.lit(None).cast("string"))
@@ -79,20 +85,27 @@ def unmatched_stores(stores: DataFrame, book_warehouses: DataFrame,
     ``book_warehouses``: (warehouse, store_code) of the book system. ``bojun_warehouse``
     shows the book warehouse that carries the store's internal code, when there is one
     (the name to fix); S6 order.
+
+    Every frame joined to the store list here is at most as large as the store
+    dimension (resolved names are store names; the output is a subset of the stores),
+    so with a checked-small dimension each join broadcasts and the final sort runs in
+    one partition.
     """
     wh = book_warehouses.select(strip_all("warehouse").alias("name"), "store_code").where(
         F.col("name") != "")
-    resolved = resolve_names(wh.select("name").distinct(), stores, aliases).where(
+    resolved = resolve_names(wh.select("name"), stores, aliases).where(
         F.col("resolved_name").isNotNull()).select(F.col("resolved_name").alias("_hit")).distinct()
     active = stores.where(is_active_store("remark")).where(F.col("store_name").isNotNull())
-    missing = active.join(resolved, active["store_name"] == resolved["_hit"], "left_anti")
+    missing = active.join(bounded_broadcast(resolved, bound_by=stores),
+                          active["store_name"] == F.col("_hit"), "left_anti")
     by_code = wh.where(F.col("store_code").isNotNull()).groupBy("store_code").agg(
         F.max("name").alias("bojun_warehouse"))
-    out = missing.join(by_code, missing["internal_code"] == by_code["store_code"], "left")
-    return out.select("store_name", "bojun_warehouse", "province", "city", "jd_id",
-                      "meituan_id").orderBy(F.col("province").asc_nulls_last(),
-                                            F.col("city").asc_nulls_last(),
-                                            F.col("store_name").asc_nulls_last())
+    out = missing.join(bounded_broadcast(by_code, bound_by=book_warehouses),
+                       missing["internal_code"] == by_code["store_code"], "left")
+    return sort_bounded(
+        out.select("store_name", "bojun_warehouse", "province", "city", "jd_id", "meituan_id"),
+        [F.col("province").asc_nulls_last(), F.col("city").asc_nulls_last(),
+         F.col("store_name").asc_nulls_last()], stores)
 
 
 # ---------------------------------------------------------------- J6 / J7 products

@@ -66,16 +66,22 @@ def _finish(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
-def store_level(detail: DataFrame, stores: DataFrame) -> DataFrame:
+def store_level(detail: DataFrame, stores: DataFrame, partials: DataFrame | None = None) -> DataFrame:
     """Per (customer, store) carried sums, named through the store dimension.
 
-    With a checked-small store dimension the names are attached map-side (broadcast)
-    and one aggregation by name follows: one exchange, partial sums before it. With a
-    large dimension the detail is first reduced per store key, so the shuffle join
-    only sees one row per store.
+    ``partials``: ``store_partials(detail)`` when the caller already holds it (a report
+    that also derives other per-store facts from it); then only one row per store is
+    joined and re-summed. Otherwise, with a checked-small store dimension the names are
+    attached map-side (broadcast) and one aggregation by name follows: one exchange,
+    partial sums before it. With a large dimension the detail is first reduced per
+    store key, so the shuffle join only sees one row per store.
     """
     names = stores.select("store_key", "customer_name", "store_name")
-    if fits_rows(stores, DIM_BROADCAST_ROWS):
+    small = fits_rows(stores, DIM_BROADCAST_ROWS)
+    if partials is not None:
+        named = partials.join(F.broadcast(names) if small else names, "store_key", "left")
+        return named.groupBy("customer_name", "store_name").agg(*_resum())
+    if small:
         named = detail.join(F.broadcast(names), "store_key", "left")
         return named.groupBy("customer_name", "store_name").agg(*_partial_sums())
     named = store_partials(detail).join(names, "store_key", "left")

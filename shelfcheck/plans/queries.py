@@ -139,27 +139,25 @@ def outlet_detail(spark: SparkSession, d: str) -> DataFrame:
 
 @register("unmatched_stores")
 def unmatched_stores(spark: SparkSession, d: str) -> DataFrame:
-    """J4 + J5 + S6: active mapped stores no book warehouse resolves to."""
+    """J4 + J5 + S6: active mapped stores no book warehouse resolves to, directly or
+    through the alias table."""
     from shelfcheck.operators import match as mt
 
     st = tb.stores(spark, d)
-    return mt.unmatched_stores(st, tb.book_warehouses(keyed_detail(spark, d), st))
+    parts = ru.store_partials(keyed_detail(spark, d))
+    return mt.unmatched_stores(st, tb.book_warehouses(parts, st), tb.store_aliases(spark, d))
 
 
 @register("unmatched_products")
 def unmatched_products(spark: SparkSession, d: str) -> DataFrame:
-    """J6 + J7 + S6: platform codes with no book product, per platform."""
+    """J6 + J7 + S6: platform codes that match no book product by code or by barcode."""
     from shelfcheck.operators import match as mt
 
     det = keyed_detail(spark, d)
-    catalog = tb.products(spark, d)
-    rows = tb.platform_rows(det).drop("product_key")
-    book = det.where(F.col("bojun_qty").isNotNull()).select(
-        F.col("product_key").cast("string").alias("product_code"),
-        F.lit(None).cast("string").alias("barcode"))
-    names = catalog.select(F.col("product_key").cast("string").alias("platform_code"), "product_name")
-    matched = mt.match_products(rows, book, "platform_code", use_barcode=True, codes_bound_by=catalog)
-    return mt.unmatched_products(matched, names)
+    codes = tb.product_codes(spark, d)
+    matched = mt.match_products(tb.platform_rows(det, codes), tb.book_products(det), "platform_code",
+                                use_barcode=True, codes_bound_by=tb.products(spark, d))
+    return mt.unmatched_products(matched, tb.platform_names(codes))
 
 
 @register("store_address_hits")
@@ -183,16 +181,20 @@ def recon_inputs(spark: SparkSession, d: str, detail: DataFrame | None = None):
     det = detail if detail is not None else keyed_detail(spark, d)
     st = tb.stores(spark, d)
     outlets, stock, _, _ = guard_inputs(spark, d, det)
+    parts = ru.store_partials(det)
+    codes = tb.product_codes(spark, d)
     return ReconInputs(
         keyed_detail=det,
         stores=st,
         products=tb.products(spark, d),
-        book_warehouses=tb.book_warehouses(det, st),
-        platform_rows=tb.platform_rows(det).drop("product_key"),
-        book_products=det.where(F.col("bojun_qty").isNotNull()).select(
-            tb.product_code(), F.lit(None).cast("string").alias("barcode")),
+        book_warehouses=tb.book_warehouses(parts, st),
+        platform_rows=tb.platform_rows(det, codes),
+        book_products=tb.book_products(det),
         outlets=outlets,
         outlet_stock=stock,
+        store_partials=parts,
+        aliases=tb.store_aliases(spark, d),
+        platform_names=tb.platform_names(codes),
     )
 
 

@@ -35,6 +35,9 @@ class ReconInputs:
     book_products: DataFrame         # (product_code, barcode) of the book side
     outlets: DataFrame               # live outlets (customer_name, platform, outlet_code, outlet_name)
     outlet_stock: DataFrame          # (platform, outlet_code, product_code, outlet_qty)
+    store_partials: DataFrame | None = None  # per store_key sums of the detail (rollup.store_partials)
+    aliases: DataFrame | None = None         # store alias table (alias, store_name) for J4
+    platform_names: DataFrame | None = None  # (platform_code, product_name) for J7
 
 
 def _write(df: DataFrame, path: str, fmt: str) -> None:
@@ -52,18 +55,18 @@ def recon_sheets(inp: ReconInputs, detail: DataFrame, keep=_same) -> dict[str, D
     """The five recon sheets. ``keep`` marks a frame that several sheets read (the
     report persists it for its duration)."""
     named = rc.attach_dims(detail, inp.stores, inp.products)
-    store_rows = keep(ru.store_level(detail, inp.stores))
+    store_rows = keep(ru.store_level(detail, inp.stores, inp.store_partials))
     matched = mt.match_products(inp.platform_rows, inp.book_products, "platform_code", True,
                                 codes_bound_by=inp.products)
-    names = None
-    if inp.products is not None:
+    names = inp.platform_names
+    if names is None and inp.products is not None:
         names = inp.products.select(F.col("product_key").cast("string").alias("platform_code"),
                                     "product_name")
     return {
         "customer_summary": ru.customer_summary(store_rows, inp.stores),
         "store_summary": ru.store_summary(store_rows, inp.stores),
         "detail": ru.detail_report(named, inp.stores),
-        "unmatched_stores": mt.unmatched_stores(inp.stores, inp.book_warehouses),
+        "unmatched_stores": mt.unmatched_stores(inp.stores, inp.book_warehouses, inp.aliases),
         "unmatched_products": mt.unmatched_products(matched, names),
     }
 
@@ -108,6 +111,9 @@ def write_reports(kinds: tuple[str, ...], inp: ReconInputs, out_dir: str, fmt: s
     detail = inp.keyed_detail.persist(StorageLevel.MEMORY_AND_DISK)
     held = [inp.stores.persist(StorageLevel.MEMORY_AND_DISK),
             inp.outlets.persist(StorageLevel.MEMORY_AND_DISK)]
+    if inp.store_partials is not None:
+        # one row per store: store summaries and book warehouses both read it
+        held.append(inp.store_partials.persist(StorageLevel.MEMORY_AND_DISK))
 
     def keep(df: DataFrame) -> DataFrame:
         held.append(df.persist(StorageLevel.MEMORY_AND_DISK))

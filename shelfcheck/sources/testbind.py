@@ -146,25 +146,111 @@ def mt_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def book_warehouses(keyed_detail: DataFrame, stores_df: DataFrame) -> DataFrame:
-    """Warehouse names (and codes) the book side reports: stores with book stock."""
-    wh = keyed_detail.where(F.col("bojun_qty").isNotNull()).select("store_key").distinct()
+# Warehouse-name rule of the binding. The book system names most warehouses exactly as
+# the store mapping does; for stores with a balance in [RENAMED_FROM, RENAMED_TO) it
+# appends WAREHOUSE_SUFFIX, and the alias table knows that form only for balances in
+# [RENAMED_FROM, ALIASED_TO). So some active stores resolve through an alias (J4) and
+# the rest of the renamed ones stay unmatched.
+WAREHOUSE_SUFFIX = "仓"
+RENAMED_FROM, ALIASED_TO, RENAMED_TO = 1000, 1500, 2000
+
+
+def _renamed(balance: str = "balance"):
+    b = F.col(balance)
+    return (b >= RENAMED_FROM) & (b < RENAMED_TO)
+
+
+def book_warehouses(store_parts: DataFrame, stores_df: DataFrame) -> DataFrame:
+    """Warehouse names (and codes) the book side reports: stores with book stock.
+
+    ``store_parts``: per-store partial sums (``rollup.store_partials``); a store has book
+    stock when its summed book quantity is not null. One row per store, so the frame is
+    bounded by the store dimension.
+    """
+    wh = store_parts.where(F.col("bojun_raw").isNotNull()).select("store_key")
     return wh.join(stores_df, "store_key").select(
-        F.col("store_name").alias("warehouse"), F.col("internal_code").alias("store_code"))
-
-
-def platform_rows(keyed_detail: DataFrame) -> DataFrame:
-    """Platform stock rows in the J6 input shape: jd and mt sides of the detail."""
-    code = F.col("product_key").cast("string")
-    jd = keyed_detail.where(F.col("jd_qty").isNotNull()).select(
-        F.lit(PLATFORM_JD).alias("platform"), code.alias("platform_code"),
-        F.col("store_key").cast("string").alias("store"), F.lit(None).cast("string").alias("barcode"),
-        F.col("jd_qty").alias("qty"), F.col("product_key"))
-    mt = keyed_detail.where(F.col("mt_qty").isNotNull()).select(
-        F.lit(PLATFORM_MT).alias("platform"), code.alias("platform_code"),
-        F.concat(F.lit("mt"), F.col("store_key").cast("string")).alias("store"),
-        F.lit(None).cast("string").alias("barcode"), F.col("mt_qty").alias("qty"), F.col("product_key"))
-    return jd.unionByName(mt)
+        F.when(_renamed(), F.concat("store_name", F.lit(WAREHOUSE_SUFFIX)))
+        .otherwise(F.col("store_name")).alias("warehouse"),
+        F.col("internal_code").alias("store_code"))
+
+
+@_memo
+def store_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store alias table (alias -> store_name) for part of the renamed warehouses."""
+    st = stores(spark, sf_dir)
+    b = F.col("balance")
+    return st.where((b >= RENAMED_FROM) & (b < ALIASED_TO)).select(
+        F.concat("store_name", F.lit(WAREHOUSE_SUFFIX)).alias("alias"), "store_name")
+
+
+# Product-code rule of the binding. Book products carry code = part key and a barcode
+# BOOK_BARCODE_PREFIX + the key padded to BARCODE_DIGITS. A platform lists a product
+# under the book code, except: PROMO_TYPE parts are listed under the platform's own code
+# (prefix per platform) with the book barcode, so they match through the barcode (J6);
+# parts of the platform's ORPHAN_SIZE are listed under the platform's own code without
+# a usable barcode (mt gives an in-store barcode the book side does not know), so they
+# stay unmatched.
+BOOK_BARCODE_PREFIX, STORE_BARCODE_PREFIX, BARCODE_DIGITS = "69", "20", 11
+PROMO_TYPE = "PROMO"
+OWN_CODE_PREFIX = {PLATFORM_JD: "JD", PLATFORM_MT: "MT"}
+ORPHAN_SIZE = {PLATFORM_JD: 50, PLATFORM_MT: 49}
+
+
+def _barcode(prefix: str, key: str = "product_key"):
+    return F.concat(F.lit(prefix), F.lpad(F.col(key).cast("string"), BARCODE_DIGITS, "0"))
+
+
+@_memo
+def product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per product: the code and barcode each platform lists it under, and its name."""
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("product_key"), F.col("p_name").alias("product_name"),
+        "p_type", "p_size")
+    cols = [F.col("product_key"), F.col("product_name")]
+    key = F.col("product_key").cast("string")
+    promo = F.col("p_type") == PROMO_TYPE
+    for plat, tag in ((PLATFORM_JD, "jd"), (PLATFORM_MT, "mt")):
+        orphan = F.col("p_size") == ORPHAN_SIZE[plat]
+        own = F.concat(F.lit(OWN_CODE_PREFIX[plat]), key)
+        cols.append(F.when(promo | orphan, own).otherwise(key).alias(f"{tag}_code"))
+        bc = F.when(promo, _barcode(BOOK_BARCODE_PREFIX))
+        if plat == PLATFORM_MT:
+            bc = bc.when(orphan, _barcode(STORE_BARCODE_PREFIX))
+        cols.append(bc.alias(f"{tag}_barcode"))
+    return p.select(*cols)
+
+
+def book_products(keyed_detail: DataFrame) -> DataFrame:
+    """(product_code, barcode) of the book side: products with book stock."""
+    return keyed_detail.where(F.col("bojun_qty").isNotNull()).select(
+        product_code(), _barcode(BOOK_BARCODE_PREFIX).alias("barcode"))
+
+
+def platform_rows(keyed_detail: DataFrame, codes: DataFrame) -> DataFrame:
+    """Platform stock rows in the J6 input shape, under the codes each platform uses.
+
+    ``codes``: ``product_codes``; joined on the product key (one row per product, so
+    no row is multiplied). Both platforms come out of one pass (``inline``).
+    """
+    store = F.col("store_key").cast("string")
+    sides = F.array(
+        F.struct(F.lit(PLATFORM_JD).alias("platform"), F.col("jd_code").alias("platform_code"),
+                 store.alias("store"), F.col("jd_barcode").alias("barcode"),
+                 F.col("jd_qty").alias("qty")),
+        F.struct(F.lit(PLATFORM_MT).alias("platform"), F.col("mt_code").alias("platform_code"),
+                 F.concat(F.lit("mt"), store).alias("store"), F.col("mt_barcode").alias("barcode"),
+                 F.col("mt_qty").alias("qty")),
+    )
+    listed = keyed_detail.where(F.col("jd_qty").isNotNull() | F.col("mt_qty").isNotNull()).select(
+        "store_key", "product_key", "jd_qty", "mt_qty")
+    return (listed.join(codes.drop("product_name"), "product_key", "left")
+            .select(F.inline(sides)).where(F.col("qty").isNotNull()))
+
+
+def platform_names(codes: DataFrame) -> DataFrame:
+    """(platform_code, product_name) for every code a platform uses (J7 name lookup)."""
+    return (codes.select(F.col("jd_code").alias("platform_code"), "product_name")
+            .unionByName(codes.select(F.col("mt_code").alias("platform_code"), "product_name")))
 
 
 def product_code():
