@@ -100,18 +100,33 @@ def ensure_ids(df: DataFrame, key: str = "id", order_by: list[str] | None = None
     """M3: give rows without an id the next ids after the current maximum; existing
     ids never change. New rows are numbered in a stable order (``order_by``).
 
-    The numbering is distributed: new rows are range-sorted, then ``zipWithIndex``
-    counts per partition and offsets each partition (no single-task window).
+    The numbering is distributed and stays on the JVM: new rows are range-sorted, each
+    row is tagged with its partition and its position inside it, the per-partition
+    counts (one row per partition) give each partition its offset, and the offsets are
+    broadcast back. The tagged rows are checkpointed to the shared checkpoint folder
+    first, so the count and the numbering read the same rows even if a task is retried.
     """
+    from pyspark.sql import Window
+
+    from shelfcheck.session import checkpoint_root
+
     order_by = order_by or [c for c in df.columns if c != key]
     has = df.where(F.col(key).isNotNull())
     start = has.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).first()["m"]
     new = df.where(F.col(key).isNull()).drop(key).orderBy(*order_by)
-    schema = new.schema
-    numbered = new.rdd.zipWithIndex().map(lambda ri: (*ri[0], int(start) + ri[1] + 1))
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    with_id = df.sparkSession.createDataFrame(numbered, StructType([*schema.fields, StructField(key, LongType())]))
+    checkpoint_root(df.sparkSession)
+    part = F.spark_partition_id()
+    tagged = new.select(
+        "*", part.alias("_part"),
+        (F.monotonically_increasing_id() - F.shiftleft(part.cast("bigint"), 33)).alias("_pos"),
+    ).checkpoint(eager=True)
+    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(
+        "_part",
+        (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+        .alias("_off"))
+    with_id = tagged.join(F.broadcast(offsets), "_part").withColumn(
+        key, F.lit(int(start)).cast("bigint") + F.coalesce("_off", F.lit(0)) + F.col("_pos") + 1)
     return has.withColumn(key, F.col(key).cast("bigint")).unionByName(with_id.select(*has.columns))
 
 

@@ -122,17 +122,20 @@ def match_products(platform_rows: DataFrame, book_products: DataFrame,
                    codes_bound_by: DataFrame | None = None) -> DataFrame:
     """Platform row -> book product_code by platform code, else by barcode.
 
-    ``book_products``: (product_code, barcode). Adds ``matched_code`` (null = no match).
-    ``codes_bound_by``: the product catalogue the book codes come from; when it passes
-    the size check the distinct code set is broadcast instead of shuffled.
+    ``book_products``: (product_code, barcode), one row per book stock line. It is
+    reduced once to distinct (code, barcode) pairs (map-side partial aggregation, one
+    shuffle); the code set and the barcode map are both small derivations of those
+    pairs, so the book side crosses the network once. Adds ``matched_code`` (null = no
+    match). ``codes_bound_by``: the product catalogue the book codes come from; when it
+    passes the size check the code set is broadcast instead of shuffled.
     """
-    codes = book_products.select(F.col("product_code").alias("_by_code")).distinct()
+    pairs = book_products.select("product_code", "barcode").distinct()
+    codes = pairs.select(F.col("product_code").alias("_by_code")).distinct()
     if codes_bound_by is not None:
         codes = bounded_broadcast(codes, bound_by=codes_bound_by)
     out = platform_rows.join(codes, platform_rows[code_col] == codes["_by_code"], "left")
     if use_barcode:
-        bc = barcode_map(book_products)
-        out = out.join(bc, "barcode", "left")
+        out = out.join(barcode_map(pairs), "barcode", "left")
     else:
         out = out.withColumn("_by_barcode", F.lit(None).cast("string"))
     return out.withColumn("matched_code", F.coalesce("_by_code", "_by_barcode")).drop(

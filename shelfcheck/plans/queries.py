@@ -195,6 +195,7 @@ def recon_inputs(spark: SparkSession, d: str, detail: DataFrame | None = None):
         store_partials=parts,
         aliases=tb.store_aliases(spark, d),
         platform_names=tb.platform_names(codes),
+        shared=(codes,),
     )
 
 

@@ -38,6 +38,7 @@ class ReconInputs:
     store_partials: DataFrame | None = None  # per store_key sums of the detail (rollup.store_partials)
     aliases: DataFrame | None = None         # store alias table (alias, store_name) for J4
     platform_names: DataFrame | None = None  # (platform_code, product_name) for J7
+    shared: tuple[DataFrame, ...] = ()       # further small frames several sheets read
 
 
 def _write(df: DataFrame, path: str, fmt: str) -> None:
@@ -114,12 +115,17 @@ def write_reports(kinds: tuple[str, ...], inp: ReconInputs, out_dir: str, fmt: s
     if inp.store_partials is not None:
         # one row per store: store summaries and book warehouses both read it
         held.append(inp.store_partials.persist(StorageLevel.MEMORY_AND_DISK))
+    held += [df.persist(StorageLevel.MEMORY_AND_DISK) for df in inp.shared]
 
     def keep(df: DataFrame) -> DataFrame:
         held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
+    pool = ThreadPoolExecutor(max_workers=16) if concurrent else None
     try:
+        # Materialise the shared detail on the cluster while the driver builds the
+        # sheet plans (plan construction is driver work; the detail is executor work).
+        ready = pool.submit(detail.count) if pool is not None else None
         jobs = []
         for kind in kinds:
             for name, df in BUILDERS[kind](inp, detail, keep).items():
@@ -131,10 +137,9 @@ def write_reports(kinds: tuple[str, ...], inp: ReconInputs, out_dir: str, fmt: s
             _write(df, path, fmt)
             done[kind] = max(done.get(kind, 0.0), time.time() - t0)
 
-        if concurrent and len(jobs) > 1:
-            detail.count()  # materialise the shared detail once, before jobs fan out
-            with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-                list(pool.map(run, jobs))
+        if pool is not None:
+            ready.result()  # every sheet reads the detail: fan out once it is cached
+            list(pool.map(run, jobs))
         else:
             for job in jobs:
                 run(job)
@@ -146,6 +151,8 @@ def write_reports(kinds: tuple[str, ...], inp: ReconInputs, out_dir: str, fmt: s
             out.setdefault(kind, {})[name] = path
         return out
     finally:
+        if pool is not None:
+            pool.shutdown(wait=True)
         detail.unpersist()
         for df in held:
             df.unpersist()

@@ -68,6 +68,15 @@ def test_ensure_ids_keeps_existing(spark):
     assert got == {"b": 5, "c": 2, "a": 6, "z": 7}
 
 
+def test_ensure_ids_numbers_many_partitions_in_order(spark):
+    rows = [(None, f"n{i:04d}") for i in range(997)] + [(10, "x"), (40, "y")]
+    df = spark.createDataFrame(rows, "id bigint, name string").repartition(7)
+    got = ch.ensure_ids(df, order_by=["name"]).collect()
+    ids = {r["name"]: r["id"] for r in got}
+    assert len(got) == 999 and ids["x"] == 10 and ids["y"] == 40
+    assert [ids[f"n{i:04d}"] for i in range(997)] == list(range(41, 41 + 997))
+
+
 def test_set_active(spark):
     users = spark.createDataFrame([("u1", True, T1), ("u2", True, T1)], "open_id string, is_active boolean, updated_at timestamp")
     flags = spark.createDataFrame([(1, "u1", False), (2, "u9", False)], "seq int, open_id string, active boolean")
