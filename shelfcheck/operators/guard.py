@@ -96,18 +96,22 @@ def listed_pairs(outlets: DataFrame, stock: DataFrame, products: DataFrame) -> D
     return _with_gap(with_dealer.join(products, ["customer_name", "product_code"]))
 
 
-def outlet_summary(outlets: DataFrame, stock: DataFrame, products: DataFrame) -> DataFrame:
+def outlet_summary(outlets: DataFrame, stock: DataFrame, products: DataFrame,
+                   listed_rows: DataFrame | None = None) -> DataFrame:
     """product_cnt, ok_cnt, bad_cnt, ok_rate per live outlet; report order.
 
     Outlets are a checked-small dimension: the per-outlet side of every join here has at
     most one row per outlet, so those joins broadcast and nothing large is shuffled
-    beyond the listed pairs themselves.
+    beyond the listed pairs themselves. ``listed_rows``: ``listed_pairs(...)`` when the
+    caller already holds it (the guard report shares it with the detail sheet).
     """
     per_dealer = products.groupBy("customer_name").agg(
         F.count(F.lit(1)).alias("product_cnt"),
         F.count_if(F.col("offline_qty") <= 0).alias("nonpos_cnt"),
     )
-    listed = listed_pairs(outlets, stock, products).groupBy(*OUTLET_KEYS).agg(
+    if listed_rows is None:
+        listed_rows = listed_pairs(outlets, stock, products)
+    listed = listed_rows.groupBy(*OUTLET_KEYS).agg(
         F.count_if(F.col("is_ok")).alias("listed_ok"),
         F.count_if(F.col("offline_qty") <= 0).alias("listed_nonpos"),
     )
@@ -145,9 +149,11 @@ def guard_status(is_ok: str = "is_ok"):
 
 
 def listed_detail(outlets: DataFrame, stock: DataFrame, products: DataFrame,
-                  names: DataFrame | None = None) -> DataFrame:
+                  names: DataFrame | None = None, listed_rows: DataFrame | None = None) -> DataFrame:
     """K2 detail for listed products; S5 order (short first, largest shortage first)."""
-    rows = with_product_names(listed_pairs(outlets, stock, products), names)
+    if listed_rows is None:
+        listed_rows = listed_pairs(outlets, stock, products)
+    rows = with_product_names(listed_rows, names)
     return rows.orderBy(
         F.col("customer_name").asc_nulls_last(), F.col("platform").asc_nulls_last(),
         F.col("outlet_name").asc_nulls_last(), F.col("is_ok").asc_nulls_last(),

@@ -73,16 +73,18 @@ def recon_sheets(inp: ReconInputs, detail: DataFrame, keep=_same) -> dict[str, D
 
 
 def guard_sheets(inp: ReconInputs, detail: DataFrame, keep=_same) -> dict[str, DataFrame]:
-    """The two guard sheets; dealer totals feed both (``keep``)."""
+    """The two guard sheets; dealer totals and listed pairs feed both (``keep``)."""
     book = rc.attach_dims(detail, inp.stores).select("customer_name", "product_code", "bojun_qty")
     products = keep(gd.dealer_products(book))
     names = None
     if inp.products is not None:
         names = inp.products.select(F.col("product_key").cast("string").alias("product_code"),
                                     "product_name")
+    # listed pairs (outlet stock joined to dealer totals) feed both sheets
+    listed = keep(gd.listed_pairs(inp.outlets, inp.outlet_stock, products))
     return {
-        "outlet_summary": gd.outlet_summary(inp.outlets, inp.outlet_stock, products),
-        "listed_detail": gd.listed_detail(inp.outlets, inp.outlet_stock, products, names),
+        "outlet_summary": gd.outlet_summary(inp.outlets, inp.outlet_stock, products, listed),
+        "listed_detail": gd.listed_detail(inp.outlets, inp.outlet_stock, products, names, listed),
     }
 
 
