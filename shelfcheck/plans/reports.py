@@ -132,7 +132,7 @@ def write_reports(kinds: tuple[str, ...], inp: ReconInputs, out_dir: str, fmt: s
         for kind in kinds:
             for name, df in BUILDERS[kind](inp, detail, keep).items():
                 jobs.append((kind, name, df, os.path.join(out_dir, kind, name)))
-        done: dict[str, float] = {}
+        done: dict[str, float] = {"planned": time.time() - t0}
 
         def run(job):
             kind, _, df, path = job
@@ -141,6 +141,7 @@ def write_reports(kinds: tuple[str, ...], inp: ReconInputs, out_dir: str, fmt: s
 
         if pool is not None:
             ready.result()  # every sheet reads the detail: fan out once it is cached
+            done["detail_ready"] = time.time() - t0
             list(pool.map(run, jobs))
         else:
             for job in jobs:
