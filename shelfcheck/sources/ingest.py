@@ -342,12 +342,17 @@ def load(spark: SparkSession, root: str, sources: dict[str, DataFrame], version:
         raise FileNotFoundError(missing)
     chosen = {t: sources[t] for t in tables}
     validate_all(spark, chosen)
+    return publish(spark, root, load_tables(spark, chosen), version)
+
+
+def load_tables(spark: SparkSession, chosen: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Validated exports -> the tables to publish, with the one-row snapshot time."""
     loaded = {t: load_dataset(df, t) for t, df in chosen.items()}
     if "meituan_store_inventory" in loaded:
         loaded["meituan_store_inventory"], _ = promote_if_all_integer(
             loaded["meituan_store_inventory"], "stock_qty")
     loaded["data_meta"] = stamp_snapshot(spark)
-    return publish(spark, root, loaded, version)
+    return loaded
 
 
 # ---------------------------------------------------------------- I18 edited-table import

@@ -39,3 +39,51 @@ def test_stream_equals_batch_with_redelivery(spark, tmp_dir):
     assert got == want
     assert got["ou_8"][PROFILE_COLS.index("login_count")] == 1  # re-delivered event counted once
     assert got["ou_7"][PROFILE_COLS.index("union_id")] is None  # latest login had no union id
+
+
+def _write_csv(path, header, rows):
+    import csv
+
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f)
+        w.writerow(header)
+        w.writerows(rows)
+
+
+def test_arrival_stream_publishes_good_batches_only(spark, tmp_dir):
+    """File arrival stream: each landed file is loaded once; a file that breaks the
+    contract publishes nothing and is logged as failed; replays do not reload."""
+    from shelfcheck.contracts import HEADER_MAPS
+    from shelfcheck.sources import ingest
+    from shelfcheck.streaming.ingest import run_arrival_stream
+
+    table = "meituan_store_inventory"
+    cols = list(HEADER_MAPS[table])
+    land, root, ckpt = (os.path.join(tmp_dir, x) for x in ("land", "root", "ckpt"))
+    os.makedirs(land)
+
+    def row(store, qty, header=cols):
+        return [{"门店ID": store, "库存": qty}.get(c, "v") for c in header]
+
+    def run():
+        run_arrival_stream(spark, land, root, table, ckpt).awaitTermination()
+
+    _write_csv(os.path.join(land, "a.csv"), cols, [row("101", "12"), row("102", "3")])
+    run()
+    first = ingest.current_path(spark, root, table)
+    t = spark.read.parquet(first)
+    assert t.count() == 2 and dict(t.dtypes)["stock_qty"] == "bigint"
+
+    short = [c for c in cols if c != "库存"]
+    _write_csv(os.path.join(land, "b.csv"), short, [row("103", "1", short)])
+    run()
+    assert ingest.current_path(spark, root, table) == first
+
+    _write_csv(os.path.join(land, "c.csv"), cols, [row("104", "7")])
+    run()
+    run()  # nothing new: no batch, no reload
+    cur = ingest.current_path(spark, root, table)
+    assert cur != first
+    assert [(r["store_id"], r["stock_qty"]) for r in spark.read.parquet(cur).collect()] == [("104", 7)]
+    log = {r["filename"]: r["state"] for r in spark.read.parquet(os.path.join(root, "upload_log")).collect()}
+    assert log == {"a.csv": "success", "b.csv": "failed", "c.csv": "success"}
