@@ -111,14 +111,18 @@ def store_ids(stores: DataFrame) -> DataFrame:
     )
 
 
-def attach_store_ids(df: DataFrame, stores: DataFrame) -> DataFrame:
-    """Left join the per-name ids; the right side is unique per name, so totals hold."""
-    return df.join(bounded_broadcast(store_ids(stores), bound_by=stores), "store_name", "left")
+def attach_store_ids(df: DataFrame, stores: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Left join the per-name ids; the right side is unique per name, so totals hold.
+
+    ``ids``: ``store_ids(stores)`` when the caller already holds it (shared by sheets).
+    """
+    ids = ids if ids is not None else store_ids(stores)
+    return df.join(bounded_broadcast(ids, bound_by=stores), "store_name", "left")
 
 
-def store_summary(store_rows: DataFrame, stores: DataFrame) -> DataFrame:
+def store_summary(store_rows: DataFrame, stores: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """A2: per (customer, store) with platform ids; S3 order."""
-    out = _finish(attach_store_ids(store_rows, stores)).select(
+    out = _finish(attach_store_ids(store_rows, stores, ids)).select(
         "customer_name", "store_name", "bojun_sum", "jd_id", "jd_sum", "jd_diff", "jd_rate",
         "meituan_id", "mt_sum", "mt_diff", "mt_rate",
     )
@@ -127,9 +131,9 @@ def store_summary(store_rows: DataFrame, stores: DataFrame) -> DataFrame:
                               F.col("store_name").asc_nulls_last()], stores)
 
 
-def detail_report(named_detail: DataFrame, stores: DataFrame) -> DataFrame:
+def detail_report(named_detail: DataFrame, stores: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """K1 detail sheet: detail + store ids + A5 row rates; S1 order."""
-    out = attach_store_ids(named_detail, stores)
+    out = attach_store_ids(named_detail, stores, ids)
     out = out.withColumns({"jd_rate": row_rate("jd_qty", "bojun_qty"),
                            "mt_rate": row_rate("mt_qty", "bojun_qty")})
     return out.select(

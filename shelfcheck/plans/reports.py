@@ -57,6 +57,7 @@ def recon_sheets(inp: ReconInputs, detail: DataFrame, keep=_same) -> dict[str, D
     report persists it for its duration)."""
     named = rc.attach_dims(detail, inp.stores, inp.products)
     store_rows = keep(ru.store_level(detail, inp.stores, inp.store_partials))
+    ids = keep(ru.store_ids(inp.stores))  # J2 ids per store name: store and detail sheets
     matched = mt.match_products(inp.platform_rows, inp.book_products, "platform_code", True,
                                 codes_bound_by=inp.products)
     names = inp.platform_names
@@ -65,8 +66,8 @@ def recon_sheets(inp: ReconInputs, detail: DataFrame, keep=_same) -> dict[str, D
                                     "product_name")
     return {
         "customer_summary": ru.customer_summary(store_rows, inp.stores),
-        "store_summary": ru.store_summary(store_rows, inp.stores),
-        "detail": ru.detail_report(named, inp.stores),
+        "store_summary": ru.store_summary(store_rows, inp.stores, ids),
+        "detail": ru.detail_report(named, inp.stores, ids),
         "unmatched_stores": mt.unmatched_stores(inp.stores, inp.book_warehouses, inp.aliases),
         "unmatched_products": mt.unmatched_products(matched, names),
     }
