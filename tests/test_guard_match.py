@@ -122,3 +122,45 @@ def test_match_products_barcode_fallback_and_unmatched(spark):
     assert got["A1"] == "A1" and got["zz"] == "A3" and got["q1"] is None
     un = mt.unmatched_products(matched).collect()
     assert [(r["platform_code"], r["store_cnt"], r["total_qty"]) for r in un] == [("q1", 2, 7)]
+
+
+def test_bound_aliases_resolve_renamed_warehouses(spark):
+    """Binding check (sf0.01): the alias table takes part of the renamed warehouses out
+    of the unmatched list, so J4's alias path carries rows in the registered query."""
+    from shelfcheck.operators import rollup as ru
+    from shelfcheck.plans import queries as Q
+    from shelfcheck.sources import testbind as tb
+    from tests.conftest import SF_CHECK
+
+    st = tb.stores(spark, SF_CHECK)
+    wh = tb.book_warehouses(ru.store_partials(Q.keyed_detail(spark, SF_CHECK)), st)
+    aliases = tb.store_aliases(spark, SF_CHECK)
+    with_alias = {r["store_name"] for r in mt.unmatched_stores(st, wh, aliases).collect()}
+    without = {r["store_name"] for r in mt.unmatched_stores(st, wh).collect()}
+    via_alias = {r["store_name"] for r in aliases.collect()}
+    assert with_alias and via_alias and with_alias < without
+    assert without - with_alias == via_alias
+
+
+def test_bound_barcodes_match_promo_codes(spark):
+    """Binding check (sf0.01): PROMO listings match only through the barcode fallback
+    (J6); orphan codes stay unmatched either way (J7)."""
+    from shelfcheck.plans import queries as Q
+    from shelfcheck.sources import testbind as tb
+    from tests.conftest import SF_CHECK
+
+    det = Q.keyed_detail(spark, SF_CHECK)
+    codes = tb.product_codes(spark, SF_CHECK)
+    rows, book = tb.platform_rows(det, codes), tb.book_products(det)
+
+    def unmatched(use_barcode):
+        m = mt.match_products(rows, book, "platform_code", use_barcode)
+        return {r["platform_code"] for r in m.where(F.col("matched_code").isNull())
+                .select("platform_code").distinct().collect()}
+
+    with_bc, without_bc = unmatched(True), unmatched(False)
+    promo = {r["c"] for r in codes.where(F.col("jd_barcode").isNotNull()).select(F.col("jd_code").alias("c"))
+             .unionByName(codes.where(F.col("jd_barcode").isNotNull()).select(F.col("mt_code").alias("c")))
+             .collect()}
+    assert with_bc and with_bc < without_bc
+    assert without_bc - with_bc <= promo and not (with_bc & promo)
