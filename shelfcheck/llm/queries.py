@@ -52,8 +52,8 @@ grams AS (
   FROM dw, (SELECT DISTINCT n FROM win) k,
        LATERAL (SELECT unnest(generate_series(1, len(w) - k.n + 1)) AS i)),
 hits AS (SELECT DISTINCT g.r, g.i, g.n, win.item FROM grams g JOIN win ON win.p = g.p AND win.n = g.n),
-pos AS (SELECT r, count(DISTINCT at) AS n_hit
-        FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS at FROM hits) GROUP BY r),
+pos AS (SELECT r, count(DISTINCT word_at) AS n_hit
+        FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS word_at FROM hits) GROUP BY r),
 its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
         FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
