@@ -87,3 +87,40 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     counts = tc.token_counts(table(spark, d, "documents"),
                              public_tokenizers.path("piece_bpe_32k.model"), cache)
     return counts.withColumn("over_limit", F.col("n_tokens") > tc.LIMIT)
+
+
+@register
+def op4_simhash(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from shelfcheck.llm import simhash as sh
+
+    return sh.near_duplicates(table(spark, d, "documents")).select(
+        "doc_id", sh.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@register
+def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity score of every document."""
+    from pyspark.sql import functions as F
+
+    from shelfcheck.llm import toxicity as tx
+
+    scored = tx.score_documents(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"])
+    return scored.select("doc_id", tx.held_out().alias("held_out"), "score",
+                         (F.col("score") >= tx.THRESHOLD).cast("int").alias("predicted"))
+
+
+@register
+def op8_licenses(spark: SparkSession, d: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    from shelfcheck.llm import licenses as ls
+
+    return ls.digest(ls.scan(table(spark, d, "documents"), ["doc_id"]))
+
+
+@register
+def op7_pii(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data in every document."""
+    from shelfcheck.llm import pii
+
+    return pii.digest(table(spark, d, "documents"))
