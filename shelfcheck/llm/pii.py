@@ -40,7 +40,7 @@ SOURCES = [
     ("phone", True, r"\+[0-9][ ().0-9-]+[0-9]"),
     ("email", False, r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[a-z0-9-]++ ?(?:(?:\.|\[dot\]|\(dot\)) ?[a-z0-9-]++)++"),
     ("ip", False, r"(?i)(?<![0-9a-z:])[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}(?![0-9a-z:])"),
-    ("phone", False, r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
+    ("phone", False, r"(?<![0-9+.-])(?<!\+[0-9]{1,3}[ -])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
 ]
 
 # Labeler word lists.
@@ -115,7 +115,7 @@ def spans(found: DataFrame) -> DataFrame:
     valid = (F.when(F.col("kind") == "ip", ~F.col("strict") | octets)
              .when(F.col("kind") == "card", n.between(13, 19))
              .when(F.col("kind") == "phone", n.between(9, 15)).otherwise(F.lit(True)))
-    luhn = F.luhn_check("digits")
+    luhn = F.expr("luhn_check(digits)")
     base = F.col("strict") & ((F.col("kind") != "card") | luhn)
     c = c.where(valid).withColumn("base", base)
     return c.select("__row", "kind", "base", F.col("start").cast("int"), F.col("end").cast("int"), *_votes(luhn))
@@ -127,7 +127,7 @@ def _votes(luhn: Column) -> list[Column]:
     vote = lambda c: F.when(c, 1).otherwise(-1)
     before, after = F.lower("before"), F.col("after")
     any_of = lambda words: rf"(?:^|[^\p{{L}}])(?:{words})[^\p{{L}}]*$"
-    fmt = vote(F.col("strict"))
+    fmt = vote(F.col("base"))
     check = (F.when(kind == "card", vote(luhn))
              .when(kind == "email", vote(value.rlike(rf"(?:\.|dot[\])]) ?(?:{'|'.join(TLDS)})$")))
              .when(kind == "phone", vote(F.length(digits).between(10, 13)))
@@ -225,8 +225,9 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     name = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     entry = F.struct(order.alias("o"), F.col("start").alias("s"), F.col("end").alias("e"), name.alias("t"))
-    text_of = lambda c: F.array_join(F.transform(F.array_sort(F.array_distinct(c)), lambda x: x["t"]), ",")
-    per_row = found.groupBy("__row").agg(
+    text_of = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["t"]), ",")
+    once = found.groupBy("__row", "kind", "start", "end").agg(F.max("base").alias("base"))
+    per_row = once.groupBy("__row").agg(
         *[F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in KINDS],
         F.collect_list(F.when(F.col("base"), entry)).alias("b"), F.collect_list(entry).alias("a"))
     return rows.join(per_row, "__row", "left").select(
