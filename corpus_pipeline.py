@@ -12,6 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfcheck.llm.util import materialize, table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go."""
+    from shelfcheck.llm import toxicity as tx
+
+    return tx.accept(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays: three-word shingles, two bits."""
+    from shelfcheck.llm import simhash as sh
+
+    return sh.keep_one(docs, shingle=3, max_bits=2)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window stay."""
     from shelfcheck.llm import decontaminate as dc
@@ -19,6 +33,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return dc.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the text gives way to tags; every document stays."""
+    from shelfcheck.llm import pii
+
+    return pii.redact(docs)
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document that is left, with their digests."""
     import public_tokenizers
@@ -29,7 +50,10 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("near-duplicates", near_duplicates),
     ("decontamination", decontaminate),
+    ("personal-data", personal_data),
     ("bpe", tokenize),
 ]
 

@@ -124,3 +124,21 @@ def op7_pii(spark: SparkSession, d: str) -> DataFrame:
     from shelfcheck.llm import pii
 
     return pii.digest(table(spark, d, "documents"))
+
+
+@register
+def op1_warc(spark: SparkSession, d: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    from shelfcheck.llm import warc
+
+    return warc.round_trip(table(spark, d, "pages"))
+
+
+ORACLE["op1_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT page_id, strlen(h) AS n, sha256(h) AS d, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM k
+"""
