@@ -142,3 +142,26 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
 FROM k
 """
+
+
+@register
+def op5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 nearest vectors by inner product for every twentieth vec_id."""
+    from pyspark.sql import functions as F
+
+    from shelfcheck.llm import ann
+
+    return ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register
+def op3_training_order(spark: SparkSession, d: str) -> DataFrame:
+    """Token sequences of every document in shards by training slot, read back: one row per
+    sequence with its place and the digest of its ids."""
+    import public_tokenizers
+
+    from shelfcheck.llm import training_order as to
+
+    placed = to.round_trip(table(spark, d, "documents"),
+                           public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return placed.select("doc_id", "seq_no", "slot", "shard", "byte_offset", "n_ids", "ids_sha256")
