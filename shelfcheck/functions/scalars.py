@@ -39,7 +39,12 @@ def blank_to_null(c: Column | str) -> Column:
 
 def to_int(sql: str) -> Column:
     """Text or number -> bigint, truncating toward zero; '' / NaN / junk -> null."""
-    return F.expr(f"try_cast(try_cast({sql} AS DOUBLE) AS BIGINT)")
+    return F.expr(_exact_int(f"try_cast({sql} AS STRING)"))
+
+
+def _exact_int(text: str) -> str:
+    """Integers keep every digit; only other numbers go through DOUBLE and are truncated."""
+    return f"coalesce(try_cast({text} AS BIGINT), try_cast(try_cast({text} AS DOUBLE) AS BIGINT))"
 
 
 def to_double(sql: str) -> Column:
@@ -57,7 +62,7 @@ def coerce_cell(c: str, declared: str) -> Column:
     if declared == "text":
         return whole_number_text(blank_to_null(F.col(c)))
     if declared == "int":
-        return F.expr(f"try_cast(try_cast(try_cast({c} AS STRING) AS DOUBLE) AS BIGINT)").cast("int")
+        return F.expr(f"try_cast({_exact_int(f'try_cast({c} AS STRING)')} AS INT)")
     if declared == "float":
         return to_double(c)
     raise ValueError(f"unknown declared type {declared!r}")
@@ -67,7 +72,7 @@ def format_value(c: str, target: str) -> Column:
     """Render a source cell into the inferred type; '' -> null; uncastable -> null."""
     v = blank_to_null(F.col(c).cast("string"))
     if target == "bigint":
-        return F.expr(f"try_cast(try_cast(nullif({_strip_sql(c)}, '') AS DOUBLE) AS BIGINT)")
+        return F.expr(_exact_int(f"nullif({_strip_sql(c)}, '')"))
     if target == "double":
         return F.expr(f"try_cast(nullif({_strip_sql(c)}, '') AS DOUBLE)")
     if target == "timestamp":

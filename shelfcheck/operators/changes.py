@@ -8,12 +8,15 @@ over a key, so a key with very many changes is reduced map-side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcheck.functions.scalars import blank_to_null
 
 GEO_OK, GEO_FAIL = "ok", "fail"
+OPS = ("insert", "update", "delete")
+# Changes of one key are scanned in slices of this many sequence numbers.
+SEQ_SPAN = 100_000
 GEO_VALUE_COLS = ["lng", "lat", "adcode", "formatted_address", "level"]
 
 
@@ -23,15 +26,20 @@ def upsert_geo(cache: DataFrame, results: DataFrame) -> DataFrame:
     """M1: merge geocode results into the cache by address.
 
     ok -> every field is taken from the result; fail -> only status and time change,
-    earlier coordinates stay. Several results for one address: the latest wins.
+    earlier coordinates stay. Of several results for one address the latest gives status
+    and time, and the latest *ok* one the fields, as applying them in turn would.
     Re-applying the same batch gives the same table.
     """
+    at = F.struct("updated_at", "status")
+    was_ok = F.col("status") == GEO_OK
     latest = results.groupBy("address").agg(
-        F.max_by(F.struct(*[c for c in results.columns if c != "address"]), "updated_at").alias("r"))
-    latest = latest.select("address", "r.*")
+        F.max_by(F.struct("status", "updated_at"), at).alias("last"),
+        F.max_by(F.struct(*GEO_VALUE_COLS), F.when(was_ok, at)).alias("good"),
+        F.coalesce(F.max(was_ok), F.lit(False)).alias("has_good"))
+    latest = latest.select("address", "last.*", "good.*", "has_good")
     c, r = cache.alias("c"), latest.alias("r")
     joined = c.join(r, F.col("c.address") == F.col("r.address"), "full_outer")
-    ok = F.col("r.status") == GEO_OK
+    ok = F.col("r.has_good")
     cols = [F.coalesce(F.col("r.address"), F.col("c.address")).alias("address")]
     for v in GEO_VALUE_COLS:
         cols.append(F.when(ok, F.col(f"r.{v}")).otherwise(F.col(f"c.{v}")).alias(v))
@@ -53,17 +61,21 @@ def clean_changes(changes: DataFrame, editable: list[str], required: str) -> tup
     cleaned = changes.withColumn("fields", F.transform_values(keep, lambda k, v: blank_to_null(v)))
     has_req = F.array_contains(F.map_keys("fields"), required)
     req_val = F.try_element_at("fields", F.lit(required))
+    known = F.coalesce(F.col("op").isin(*OPS), F.lit(False))
     bad = ((F.col("op") == "insert") & (~has_req | req_val.isNull())) | (
         (F.col("op") == "update") & has_req & req_val.isNull())
-    return cleaned.where(~bad), cleaned.where(bad).withColumn("reason", F.lit(f"{required} empty"))
+    # A null map counts as nothing supplied; every row lands on exactly one side.
+    bad = ~known | F.coalesce(bad, F.col("op") == "insert")
+    reason = F.when(known, F.lit(f"{required} empty")).otherwise(F.lit("unknown op"))
+    return cleaned.where(~bad), cleaned.where(bad).withColumn("reason", reason)
 
 
 def apply_changes(table: DataFrame, changes: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """M2: apply inserts, updates (supplied fields only) and deletes, in ``seq`` order.
 
     Per key, changes before the latest insert/delete are superseded by it; each field
-    takes its last supplied value after that point. Returns (new table, misses) where
-    misses are update / delete keys that match no row.
+    takes its last supplied value after that point. Returns (new table, misses): a miss
+    is an update or delete that finds no row at its place in the sequence.
     """
     cols = [c for c in table.columns if c != key]
     resets = changes.where(F.col("op").isin("insert", "delete")).groupBy(key).agg(
@@ -89,11 +101,29 @@ def apply_changes(table: DataFrame, changes: DataFrame, key: str = "id") -> tupl
                         .otherwise(base_val).alias(c))
     new_table = merged.where(exists).select(*out_cols)
 
-    targets = changes.where(F.col("op").isin("update", "delete")).select(key, "op", "seq")
-    known = table.select(key).unionByName(
-        changes.where(F.col("op") == "insert").select(key)).distinct()
-    misses = targets.join(known, key, "left_anti")
-    return new_table, misses
+    return new_table, change_misses(table, changes, key)
+
+
+def change_misses(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """Updates and deletes (key, op, seq) whose row does not exist when they apply: after a
+    delete, before the insert, or never.
+
+    The last insert / delete before a change decides. It comes from the change's own slice
+    of the sequence or, failing that, from the last earlier slice that has one; slices are
+    reduced to one row first, so a key with very many changes is never one task's window.
+    """
+    reset = F.when(F.col("op").isin("insert", "delete"), F.col("op"))
+    sliced = changes.select(key, "op", "seq", F.floor(F.col("seq") / SEQ_SPAN).alias("_slice"))
+    inside = Window.partitionBy(key, "_slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (sliced.groupBy(key, "_slice").agg(F.max_by(reset, F.when(reset.isNotNull(), F.col("seq"))).alias("_r"))
+               .select(key, "_slice", F.last("_r", ignorenulls=True).over(across).alias("_before")))
+    placed = (sliced.withColumn("_own", F.last(reset, ignorenulls=True).over(inside))
+              .where(F.col("op").isin("update", "delete")).join(carried, [key, "_slice"])
+              .withColumn("_state", F.coalesce("_own", "_before")))
+    gone = placed.where(F.col("_state") == "delete")
+    never = placed.where(F.col("_state").isNull()).join(table.select(key), key, "left_anti")
+    return gone.unionByName(never).select(key, "op", "seq")
 
 
 def ensure_ids(df: DataFrame, key: str = "id", order_by: list[str] | None = None) -> DataFrame:
@@ -106,8 +136,6 @@ def ensure_ids(df: DataFrame, key: str = "id", order_by: list[str] | None = None
     broadcast back. The tagged rows are checkpointed to the shared checkpoint folder
     first, so the count and the numbering read the same rows even if a task is retried.
     """
-    from pyspark.sql import Window
-
     from shelfcheck.session import checkpoint_root
 
     order_by = order_by or [c for c in df.columns if c != key]

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from shelfcheck.functions.scalars import minute_text
 
-PROFILE_COLS = ["open_id", "union_id", "name", "avatar_url", "email", "mobile",
-                "first_login_at", "last_login_at", "login_count"]
+PROFILE_COLS = ["open_id", "union_id", "feishu_user_id", "name", "avatar_url", "email", "mobile",
+                "source", "is_admin", "is_active", "first_login_at", "last_login_at", "login_count",
+                "updated_at"]
+# What a fold needs beside the profile: when each kept value was set.
+FOLD_COLS = ["_last", "_email_at", "_mobile_at"]
+LOGIN_SOURCE = "feishu"
 
 
 def _order():
@@ -21,68 +25,78 @@ def _order():
 
 
 def profile_from_logins(logins: DataFrame) -> DataFrame:
-    """Per open_id: first / last login, count; latest name, avatar and union id
-    (which may turn null); email and mobile keep the last non-null value; email falls
-    back to the enterprise email of the same login.
+    """Per open_id: first / last login, count; latest name, avatar, union id and
+    platform user id (which may turn null); email and mobile keep the last non-null value;
+    email falls back to the enterprise email of the same login. A new profile is active and
+    no administrator.
 
-    ``logins``: (event_id, ts, open_id, union_id, name, avatar_url, email,
+    ``logins``: (event_id, ts, open_id, union_id, feishu_user_id, name, avatar_url, email,
     enterprise_email, mobile).
     """
     lg = logins.where(F.col("open_id").isNotNull()).withColumn(
         "email", F.coalesce(F.when(F.col("email") != "", F.col("email")), F.col("enterprise_email")))
     o = _order()
-    return lg.groupBy("open_id").agg(
+    has_email, has_mobile = F.when(F.col("email").isNotNull(), o), F.when(F.col("mobile").isNotNull(), o)
+    out = lg.groupBy("open_id").agg(
         F.max_by("union_id", o).alias("union_id"),
+        F.max_by(F.when(F.col("feishu_user_id") != "", F.col("feishu_user_id")), o).alias("feishu_user_id"),
         F.max_by("name", o).alias("name"),
         F.max_by("avatar_url", o).alias("avatar_url"),
-        F.max_by("email", F.when(F.col("email").isNotNull(), o)).alias("email"),
-        F.max_by("mobile", F.when(F.col("mobile").isNotNull(), o)).alias("mobile"),
+        F.max_by("email", has_email).alias("email"),
+        F.max_by("mobile", has_mobile).alias("mobile"),
         F.min("ts").alias("first_login_at"),
         F.max("ts").alias("last_login_at"),
         F.count(F.lit(1)).alias("login_count"),
-        F.max(o).alias("_last"),
+        F.max(o).alias("_last"), F.max(has_email).alias("_email_at"), F.max(has_mobile).alias("_mobile_at"),
     )
+    return out.select(
+        "*", F.lit(LOGIN_SOURCE).alias("source"), F.lit(False).alias("is_admin"),
+        F.lit(True).alias("is_active"), F.col("last_login_at").alias("updated_at"),
+    ).select(*PROFILE_COLS, *FOLD_COLS)
 
 
 def merge_profiles(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """M5: fold a batch's profile rows (A12 output with ``_last``) into stored ones.
+    """M5: fold a batch's profile rows (A12 output with ``FOLD_COLS``) into stored ones.
 
-    The newer side wins for latest-value fields, non-null-newer for email / mobile;
-    first / last / count combine. Both inputs are one row per open_id.
+    Each value that can be kept carries the (time, event) that set it, and the later one
+    wins, so batches may be folded in any order. Source and the two flags belong to the
+    stored profile. Both inputs are one row per open_id.
     """
     s, b = stored.alias("s"), batch.alias("b")
     j = s.join(b, F.col("s.open_id") == F.col("b.open_id"), "full_outer")
-    newer = F.col("s._last").isNull() | (F.col("b._last").isNotNull() & (F.col("b._last") > F.col("s._last")))
-
-    def latest(c):
-        return F.when(newer, F.col(f"b.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
-
-    def latest_non_null(c):
-        return F.when(newer, F.coalesce(F.col(f"b.{c}"), F.col(f"s.{c}"))).otherwise(
-            F.coalesce(F.col(f"s.{c}"), F.col(f"b.{c}"))).alias(c)
-
-    return j.select(
-        F.coalesce("s.open_id", "b.open_id").alias("open_id"),
-        latest("union_id"), latest("name"), latest("avatar_url"),
-        latest_non_null("email"), latest_non_null("mobile"),
-        F.least("s.first_login_at", "b.first_login_at").alias("first_login_at"),
-        F.greatest("s.last_login_at", "b.last_login_at").alias("last_login_at"),
-        (F.coalesce("s.login_count", F.lit(0)) + F.coalesce("b.login_count", F.lit(0))).alias("login_count"),
-        F.greatest("s._last", "b._last").alias("_last"),
-    )
+
+    def later(at: str):
+        return F.col(f"s.{at}").isNull() | (F.col(f"b.{at}").isNotNull() & (F.col(f"b.{at}") > F.col(f"s.{at}")))
+
+    def pick(c: str, at: str):
+        return F.when(later(at), F.col(f"b.{c}")).otherwise(F.col(f"s.{c}"))
+
+    cols = {c: pick(c, "_last") for c in ("union_id", "feishu_user_id", "name", "avatar_url")}
+    cols |= {"email": pick("email", "_email_at"), "mobile": pick("mobile", "_mobile_at")}
+    cols |= {c: F.coalesce(f"s.{c}", f"b.{c}") for c in ("open_id", "source", "is_admin", "is_active")}
+    cols |= {
+        "first_login_at": F.least("s.first_login_at", "b.first_login_at"),
+        "last_login_at": F.greatest("s.last_login_at", "b.last_login_at"),
+        "login_count": F.coalesce("s.login_count", F.lit(0)) + F.coalesce("b.login_count", F.lit(0)),
+        "updated_at": F.greatest("s.updated_at", "b.updated_at"),
+    }
+    cols |= {c: F.greatest(f"s.{c}", f"b.{c}") for c in FOLD_COLS}
+    return j.select(*[cols[c].alias(c) for c in [*PROFILE_COLS, *FOLD_COLS]])
 
 
 def profile(profiles: DataFrame, open_id: str) -> DataFrame:
-    """one profile by key (or none), times shown to the minute."""
+    """one profile by key (or none), time shown to the minute."""
     return profiles.where(F.col("open_id") == open_id).select(
-        *[c for c in PROFILE_COLS if c not in ("first_login_at", "last_login_at")],
-        minute_text("last_login_at").alias("last_login_at"),
-        minute_text("first_login_at").alias("first_login_at"))
+        "open_id", "name", "avatar_url", "email", "source", "is_admin", "is_active", "login_count",
+        minute_text("last_login_at").alias("last_login_at"))
 
 
-def user_list(profiles: DataFrame, limit: int = 500, key: str = "open_id") -> DataFrame:
-    """Latest login first (nulls last), then key descending, first ``limit`` rows."""
-    return profiles.orderBy(F.col("last_login_at").desc_nulls_last(), F.col(key).desc()).limit(limit).select(
-        *[c for c in PROFILE_COLS if c not in ("first_login_at", "last_login_at")],
+def user_list(profiles: DataFrame, limit: int = 500) -> DataFrame:
+    """Latest login first (nulls last), then the newest profile (ids are given in the
+    order of first logins; without an ``id`` column that order itself), first ``limit`` rows."""
+    newest = ([F.col("id").desc()] if "id" in profiles.columns
+              else [F.col("first_login_at").desc_nulls_last(), F.col("open_id").desc()])
+    return profiles.orderBy(F.col("last_login_at").desc_nulls_last(), *newest).limit(limit).select(
+        "open_id", "name", "avatar_url", "email", "mobile", "source", "is_admin", "is_active", "login_count",
         minute_text("last_login_at").alias("last_login_at"),
         minute_text("first_login_at").alias("first_login_at"))

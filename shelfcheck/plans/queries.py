@@ -277,7 +277,7 @@ def login_profiles(spark: SparkSession, d: str) -> DataFrame:
     """User profiles from login events."""
     from shelfcheck.operators import logins as lg
 
-    return lg.profile_from_logins(tb.logins(spark, d)).drop("_last")
+    return lg.profile_from_logins(tb.logins(spark, d)).select(*lg.PROFILE_COLS)
 
 
 @register("user_list")
@@ -301,10 +301,22 @@ def book_pull_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @register("login_profiles_stream")
 def login_profiles_stream(spark: SparkSession, d: str) -> DataFrame:
-    """M5: the same profiles, built by Structured Streaming over the landed events."""
+    """M5: the same profiles, built by Structured Streaming over the landed events: they
+    arrive in three deliveries that interleave in time (the later ones are all late), and a
+    fourth delivers a part of them again."""
+    import uuid
+
+    from shelfcheck.operators.logins import PROFILE_COLS
+    from shelfcheck.session import scratch_path
     from shelfcheck.streaming.logins import profiles_via_stream
 
-    return profiles_via_stream(spark, d, tb.logins_from_events, file_glob="events.parquet").drop("_last")
+    landing = scratch_path(spark, "landing", uuid.uuid4().hex)
+    events = tb.table(spark, d, "events")
+    part = F.pmod(F.col("event_id"), F.lit(3))
+    for k, rows in enumerate([events.where(part == 2), events.where(part == 0), events.where(part == 1),
+                              events.where(F.col("event_id") % 10 == 0)]):
+        rows.write.parquet(f"{landing}/delivery{k}")
+    return profiles_via_stream(spark, f"{landing}/*", tb.logins_from_events, files_per_batch=16).select(*PROFILE_COLS)
 
 
 # ---------------------------------------------------------------- report sections, ingest, export

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,12 +53,14 @@ def build_session(
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and published datasets.
 
-    Read from ``spark.checkpoint.dir`` as the cluster names it. Only when it is
-    unset (local tests) a scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` as the cluster names it. Only a local master may
+    leave it unset; then a scratch folder is created and registered.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="shelfcheck-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)

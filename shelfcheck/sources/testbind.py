@@ -333,6 +333,7 @@ def logins_from_events(events: DataFrame) -> DataFrame:
         "event_id", "ts",
         F.concat(F.lit("ou_"), uid).alias("open_id"),
         F.when(et != "error", F.concat(F.lit("on_"), uid)).alias("union_id"),
+        F.when(et != "click", uid).alias("feishu_user_id"),
         F.concat(F.upper(et), F.lit(" "), uid).alias("name"),
         F.concat(F.lit("avatar/"), et, F.lit("/"), uid).alias("avatar_url"),
         F.when(et == "purchase", F.concat(F.lit("u"), uid, F.lit("@mail.test"))).alias("email"),

@@ -1,10 +1,14 @@
 """M5 as Structured Streaming: fold arriving login events into the profile table.
 
-Every aggregate of the profile (min, max, count, latest by event time) is order-free,
-so no event-time window is needed; re-delivered events are dropped by id within a
-watermark (bounded state). Each micro-batch is merged onto the profile version
-published *before* it and written as version ``batch_id``; a replayed batch therefore
-rewrites the same result, which makes the sink exactly-once.
+Every value of a profile is order-free (operators/logins.py), so no event-time window or
+watermark is needed and an event counts however late it arrives. Re-delivered events are
+recognised by a ledger of accepted event ids, partitioned by event date: a batch is compared
+only with the dates it holds.
+
+Profiles lie in hash buckets. A micro-batch rewrites the buckets it touches, from the
+version each had *before* this batch, and logs one row per bucket; a replayed batch
+therefore rewrites the same result, which makes the sink exactly-once. The ledger's
+entries carry their batch, and a batch only sees earlier ones.
 """
 
 from __future__ import annotations
@@ -19,58 +23,85 @@ from pyspark.sql import functions as F
 from shelfcheck.operators.logins import merge_profiles, profile_from_logins
 from shelfcheck.session import checkpoint_root
 
+_AT = "struct<ts: timestamp, event_id: bigint>"
 PROFILE_SCHEMA = (
-    "open_id string, union_id string, name string, avatar_url string, email string, "
-    "mobile string, first_login_at timestamp, last_login_at timestamp, login_count bigint, "
-    "_last struct<ts: timestamp, event_id: bigint>"
+    "open_id string, union_id string, feishu_user_id string, name string, avatar_url string, email string, "
+    "mobile string, source string, is_admin boolean, is_active boolean, first_login_at timestamp, "
+    f"last_login_at timestamp, login_count bigint, updated_at timestamp, _last {_AT}, _email_at {_AT}, _mobile_at {_AT}"
 )
+LOG_SCHEMA = "batch_id bigint, bucket int, path string"
+LEDGER_SCHEMA = "event_id bigint, date date, batch bigint"
+BUCKETS = 32
 
 
-def _log_path(root: str) -> str:
-    return os.path.join(root, "_published")
+def _bucket():
+    return F.pmod(F.xxhash64("open_id"), F.lit(BUCKETS)).cast("int")
 
 
-def published_before(spark: SparkSession, root: str, batch_id: int) -> str | None:
-    """Path of the newest profile version published by an earlier batch."""
+def bucket_paths(spark: SparkSession, root: str, before: int) -> dict[int, str]:
+    """Per bucket the path of its newest version from a batch before ``before`` (at most
+    BUCKETS rows)."""
     try:
-        log = spark.read.parquet(_log_path(root))
+        log = spark.read.schema(LOG_SCHEMA).parquet(os.path.join(root, "_published"))
+        rows = (log.where(F.col("batch_id") < before).groupBy("bucket")
+                .agg(F.max_by("path", "batch_id").alias("path")).collect())
     except AnalysisException:
-        return None
-    row = log.where(F.col("batch_id") < batch_id).agg(F.max_by("path", "batch_id").alias("p")).first()
-    return row["p"] if row else None
+        return {}
+    return {r["bucket"]: r["path"] for r in rows}
+
+
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.schema(PROFILE_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], PROFILE_SCHEMA)
 
 
 def latest_profiles(spark: SparkSession, root: str) -> DataFrame:
-    path = published_before(spark, root, 1 << 62)
-    if path is None:
-        return spark.createDataFrame([], PROFILE_SCHEMA)
-    return spark.read.parquet(path)
+    return _read(spark, list(bucket_paths(spark, root, 1 << 62).values()))
+
+
+def new_events(batch: DataFrame, root: str, batch_id: int) -> DataFrame:
+    """The batch's events that no earlier batch accepted, once each."""
+    spark = batch.sparkSession
+    # Exports often carry zone-less times; the stored profiles have zoned ones.
+    dated = (batch.dropDuplicates(["event_id"]).withColumn("ts", F.col("ts").cast("timestamp"))
+             .withColumn("date", F.to_date("ts")))
+    days = [r["date"] for r in dated.select("date").distinct().collect()]  # days, not events
+    try:
+        ledger = (spark.read.schema(LEDGER_SCHEMA).parquet(os.path.join(root, "_ledger"))
+                  .where(F.col("date").isin(days) & (F.col("batch") < batch_id)))
+    except AnalysisException:
+        return dated
+    return dated.join(ledger.select("event_id", "date"), ["event_id", "date"], "left_anti")
 
 
 def fold_batch(root: str):
-    """foreachBatch function: merge one batch of logins onto the previous version."""
+    """foreachBatch function: merge one batch of logins onto the previous versions."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev_path = published_before(spark, root, batch_id)
-        prev = spark.read.parquet(prev_path) if prev_path else spark.createDataFrame([], PROFILE_SCHEMA)
-        merged = merge_profiles(prev, profile_from_logins(batch))
-        path = os.path.join(root, f"batch={batch_id}")
-        merged.write.mode("overwrite").parquet(path)
-        spark.createDataFrame([(batch_id, path)], "batch_id bigint, path string").write.mode(
-            "append").parquet(_log_path(root))
+        fresh = new_events(batch, root, batch_id).persist()
+        try:
+            touched = [r["b"] for r in fresh.select(_bucket().alias("b")).distinct().collect()]
+            if not touched:
+                return
+            (fresh.select("event_id", "date", F.lit(batch_id).cast("bigint").alias("batch"))
+             .write.partitionBy("date", "batch").mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").parquet(os.path.join(root, "_ledger")))
+            stored = bucket_paths(spark, root, batch_id)
+            prev = _read(spark, [p for b, p in stored.items() if b in touched])
+            merged = merge_profiles(prev, profile_from_logins(fresh.drop("date")))
+            path = os.path.join(root, f"batch={batch_id}")
+            merged.withColumn("bucket", _bucket()).write.partitionBy("bucket").mode("overwrite").parquet(path)
+            spark.createDataFrame([(batch_id, b, os.path.join(path, f"bucket={b}")) for b in touched],
+                                  LOG_SCHEMA).coalesce(1).write.mode("append").parquet(os.path.join(root, "_published"))
+        finally:
+            fresh.unpersist()
 
     return apply
 
 
-def run_profile_stream(logins: DataFrame, root: str, checkpoint: str, dedup_delay: str = "1 day",
-                       available_now: bool = True):
+def run_profile_stream(logins: DataFrame, root: str, checkpoint: str, available_now: bool = True):
     """Start the stream over a streaming ``logins`` frame (A12 input columns + event_id)."""
-    # Watermarks need a zoned timestamp; exports often carry zone-less (NTZ) times.
-    timed = logins.withColumn("_event_time", F.col("ts").cast("timestamp"))
-    deduped = (timed.withWatermark("_event_time", dedup_delay)
-               .dropDuplicatesWithinWatermark(["event_id"]).drop("_event_time"))
-    w = deduped.writeStream.foreachBatch(fold_batch(root)).option("checkpointLocation", checkpoint)
+    w = logins.writeStream.foreachBatch(fold_batch(root)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
@@ -79,9 +110,9 @@ def profiles_via_stream(spark: SparkSession, events_dir: str, to_logins, files_p
                         file_glob: str = "*.parquet") -> DataFrame:
     """Drive the stream over landed event files to completion and return the profiles.
 
-    ``events_dir`` is the landing folder, ``file_glob`` selects the event files in it.
-    ``to_logins`` maps the raw event frame to the login columns. Output and stream
-    checkpoint live in a fresh folder below the shared checkpoint folder.
+    ``events_dir`` is the landing folder (a glob may name several), ``file_glob`` selects
+    the event files in it. ``to_logins`` maps the raw event frame to the login columns.
+    Output and stream checkpoint live in a fresh folder below the shared checkpoint folder.
     """
     base = os.path.join(checkpoint_root(spark), f"profiles-{uuid.uuid4().hex}")
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(events_dir).schema

@@ -132,29 +132,102 @@ def test_map_points_and_counts(spark):
     assert (loc["total"], loc["located"]) == (3, 2)
 
 
-LOGIN = ("event_id bigint, ts timestamp, open_id string, union_id string, name string, avatar_url string, "
+LOGIN = ("event_id bigint, ts timestamp, open_id string, union_id string, feishu_user_id string, name string, avatar_url string, "
          "email string, enterprise_email string, mobile string")
 
 
 def test_profiles_and_merge(spark):
     a = spark.createDataFrame([
-        (1, T1, "u1", "on1", "Ann", "av1", "a@x", None, "111"),
-        (2, T2, "u1", None, "Ann B", "av2", None, "a@corp", None),
+        (1, T1, "u1", "on1", "7", "Ann", "av1", "a@x", None, "111"),
+        (2, T2, "u1", None, "", "Ann B", "av2", None, "a@corp", None),
     ], LOGIN)
     p = {r["open_id"]: r for r in lg.profile_from_logins(a).collect()}["u1"]
     assert (p["union_id"], p["name"], p["email"], p["mobile"], p["login_count"]) == (None, "Ann B", "a@corp", "111", 2)
-    b = spark.createDataFrame([(3, T3, "u1", "on3", "Ann C", "av3", None, None, None),
-                               (4, T1, "u2", None, None, None, None, None, "222")], LOGIN)
+    b = spark.createDataFrame([(3, T3, "u1", "on3", "8", "Ann C", "av3", None, None, None),
+                               (4, T1, "u2", None, None, None, None, None, None, "222")], LOGIN)
     merged = {r["open_id"]: r for r in lg.merge_profiles(lg.profile_from_logins(a), lg.profile_from_logins(b)).collect()}
     allin = {r["open_id"]: r for r in lg.profile_from_logins(a.unionByName(b)).collect()}
     for k in ("u1", "u2"):
         for c in lg.PROFILE_COLS:
             assert merged[k][c] == allin[k][c], (k, c)
+    assert (allin["u1"]["feishu_user_id"], p["feishu_user_id"], p["source"], p["is_admin"], p["is_active"]) == (
+        "8", None, "feishu", False, True)
     top = lg.user_list(lg.profile_from_logins(a.unionByName(b)), limit=1).collect()
     assert [r["open_id"] for r in top] == ["u1"] and top[0]["last_login_at"] == "2024-03-01 00:00"
     assert lg.profile(lg.profile_from_logins(a), "nobody").count() == 0
 
 
+def test_folding_order_does_not_change_kept_values(spark):
+    """Email set on days 1 and 5, a login without one on day 10: day 5's stays, in any order."""
+    import datetime as dt
+    from itertools import permutations
+
+    ev = [(i, dt.datetime(2024, 1, d), "u", None, None, "n", "a", e, None, m)
+          for i, (d, e, m) in enumerate([(1, "e1", "m1"), (10, None, None), (5, "e3", None)])]
+    want = lg.profile_from_logins(spark.createDataFrame(ev, LOGIN)).first()
+    assert (want["email"], want["mobile"]) == ("e3", "m1")
+    for order in permutations(ev):
+        p = lg.profile_from_logins(spark.createDataFrame([order[0]], LOGIN))
+        for e in order[1:]:
+            p = lg.merge_profiles(p, lg.profile_from_logins(spark.createDataFrame([e], LOGIN)))
+        assert p.first() == want
+
+
+def test_geo_batch_with_ok_then_fail_keeps_the_new_coordinates(spark):
+    cache = spark.createDataFrame([("a", 9.0, 9.0, "1", "f", "l", "ok", T1)], GEO)
+    res = spark.createDataFrame([("b", 1.0, 2.0, "2", "g", None, "ok", T2), ("b", None, None, None, None, None, "fail", T3),
+                                 ("a", None, None, None, None, None, "fail", T2)], GEO)
+    got = {r["address"]: tuple(r)[1:] for r in ch.upsert_geo(cache, res).collect()}
+    assert got == {"a": (9.0, 9.0, "1", "f", "l", "fail", T2), "b": (1.0, 2.0, "2", "g", None, "fail", T3)}
+
+
+def test_misses_follow_the_sequence(spark):
+    table = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id bigint, name string")
+    rows = [(1, "delete", 1), (2, "update", 1), (3, "update", 9), (4, "insert", 9), (5, "update", 9), (6, "delete", 9),
+            (7, "update", 2), (8, "delete", 2), (9, "insert", 2), (10, "update", 2), (11, "delete", 77), (300_001, "update", 1)]
+    changes = spark.createDataFrame([(s, o, i, {"name": f"n{s}"}) for s, o, i in rows],
+                                    "seq bigint, op string, id bigint, fields map<string,string>")
+    new, misses = ch.apply_changes(table, changes)
+    assert {tuple(r) for r in new.collect()} == {(2, "n10"), (3, "z")}
+    assert sorted(r["seq"] for r in misses.collect()) == [2, 3, 11, 300_001]
+
+
+def test_every_change_is_clean_or_rejected(spark):
+    rows = [(1, None, {"name": "a"}), (2, "upsert", {"name": "a"}), (3, "insert", {"x": "a"}), (4, "insert", {"name": " "}),
+            (5, "update", {"name": ""}), (6, "update", None), (7, "insert", None), (8, "delete", None), (9, "insert", {"name": " a "})]
+    changes = spark.createDataFrame([(s, o, s, f) for s, o, f in rows], "seq bigint, op string, id bigint, fields map<string,string>")
+    clean, rejects = ch.clean_changes(changes, ["name"], "name")
+    assert sorted(r["seq"] for r in clean.collect()) == [6, 8, 9]
+    assert {r["seq"]: r["reason"] for r in rejects.collect()} == {
+        1: "unknown op", 2: "unknown op", 3: "name empty", 4: "name empty", 5: "name empty", 7: "name empty"}
+
+
+def test_shared_folder_is_required_beyond_one_machine():
+    import pytest
+
+    from shelfcheck.session import checkpoint_root
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    for master in ("yarn", "spark://h:7077", "k8s://h", "local-cluster[2,1,1024]"):
+        class Session:
+            sparkContext = Context(master)
+        with pytest.raises(RuntimeError):
+            checkpoint_root(Session())
+
+
 def test_export_and_load_log(spark, tmp_dir):
     df = spark.createDataFrame([(2, "B", None), (1, None, None), (3, None, "x")], "id bigint, store_name string, dealer string")
     df = df.withColumn("store_code", F.lit(None).cast("string"))

@@ -41,6 +41,16 @@ def test_stream_equals_batch_with_redelivery(spark, tmp_dir):
     assert got["ou_7"][PROFILE_COLS.index("union_id")] is None  # latest login had no union id
 
 
+def test_late_events_count(spark, tmp_dir):
+    """One event a file, far out of order: nothing is dropped for being late."""
+    land = os.path.join(tmp_dir, "late")
+    for i, day in enumerate([20, 25, 2, 3]):
+        spark.createDataFrame([(i, dt.datetime(2024, 1, day), 7, "signup", 1.0)], EV).coalesce(1).write.parquet(
+            os.path.join(land, f"d{i}"))
+    (p,) = profiles_via_stream(spark, f"{land}/*", to_logins, files_per_batch=1).collect()
+    assert (p["login_count"], p["first_login_at"].day, p["last_login_at"].day) == (4, 2, 25)
+
+
 def _write_csv(path, header, rows):
     import csv
 
