@@ -227,6 +227,22 @@ DATASET_TABLES = {
     "meituan_outlet": ["feishu_meituan_outlet"],
 }
 
+# Candidate file names per dataset, preferred first; the export that holds
+# store addresses and its two columns.
+SOURCE_STEMS = {
+    "bojun_offline_inventory": ["伯俊线下库存"],
+    "jd_store_inventory": ["京东门店库存-新", "京东门店库存"],
+    "jd_store": ["京东门店"],
+    "meituan_store": ["美团门店"],
+    "meituan_store_inventory": ["美团门店库存"],
+    "feishu_store_mapping": ["专卖店"],
+    "feishu_jd_outlet": ["京东网点"],
+    "feishu_meituan_outlet": ["美团网点"],
+    "feishu_region_contact": ["各区域对接人明细"],
+}
+ADDRESS_STEM = "专卖店详细信息"
+ADDRESS_HEADERS = ("店仓名称", "地址")
+
 # The API form of the book inventory has a fixed schema (no inference).
 BOOK_API_SCHEMA = (
     "store_code string, store_warehouse string, product_code string, barcode string, "

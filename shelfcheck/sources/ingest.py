@@ -12,18 +12,22 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass, field
+from itertools import accumulate, chain, count
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcheck.contracts import (
+    ADDRESS_HEADERS,
+    ADDRESS_STEM,
     DATASET_TABLES,
     DESCRIPTION_ROW_MARKERS,
     EDITED_TABLES,
     HEADER_MAPS,
     ID_NAME_PATTERN,
     OPTIONAL_HEADERS,
+    SOURCE_STEMS,
     STATUS_HEADER_ANCHORS,
     STATUS_HEADER_PREFIX,
 )
@@ -31,6 +35,7 @@ from shelfcheck.functions.scalars import coerce_cell, format_value
 
 _ID_RE = re.compile(ID_NAME_PATTERN, re.I)
 _INT_TEXT = r"^-?[0-9]+$"
+SOURCE_COLUMNS = ("source_file", "source_pos")  # added by with_source_order
 
 
 class ContractError(ValueError):
@@ -39,14 +44,28 @@ class ContractError(ValueError):
 
 # ---------------------------------------------------------------- I1 reading
 
-def read_export(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
-    """Read an export with every column as text (CSV) or as stored (parquet / json)."""
-    r = spark.read.format(fmt)
-    if fmt == "csv":
-        r = r.option("header", True).option("inferSchema", False).option("multiLine", True)
-    for k, v in options.items():
-        r = r.option(k, v)
-    return r.load(path)
+def read_export(spark: SparkSession, path, fmt: str = "csv", multi_line: bool = False, **options) -> DataFrame:
+    """Read an export with every column as text (CSV) or as stored (parquet / json).
+
+    CSV columns get the file's own first record as names, blanks and repeats included;
+    ``normalize_frame`` makes them usable. ``multi_line`` allows quoted line breaks, at the
+    price of one task per file.
+    """
+    if fmt != "csv":
+        return spark.read.format(fmt).options(**options).load(path)
+    reader = spark.read.options(header=False, inferSchema=False, multiLine=multi_line, **options)
+    rows = reader.csv(path)
+    files = spark.read.format("binaryFile").load(path).select("path").collect()  # names only
+    heads = {tuple(h) for h in (reader.csv(f["path"]).head() for f in files) if h is not None}
+    if len(heads) > 1:
+        raise ContractError(f"files of one export have different headers: {path}")
+    if not heads:
+        return rows
+    (head,) = heads
+    is_head = F.lit(True)
+    for c, name in zip(rows.columns, head):
+        is_head = is_head & F.col(c).eqNullSafe(F.lit(name))
+    return rows.where(~is_head).toDF(*[name or "" for name in head])
 
 
 def prefer_source(spark: SparkSession, candidates: list[str], fmt: str = "csv",
@@ -84,38 +103,26 @@ def normalize_headers(names: list[str]) -> list[str]:
     Generated names never collide with a later or earlier header (``a, a_2, a`` gives
     ``a, a_2, a_3``), so the result is always unique.
     """
-    base = []
-    for c in names:
-        c = str(c).strip() if c is not None else ""
-        if c.startswith("Unnamed:") or c == "" or c == "nan":
-            c = "_blank"
-        base.append(c)
+    out: list[str] = []
     taken: set[str] = set()
-    count: dict[str, int] = {}
-    out = []
-    for c in base:
-        n = count.get(c, 0) + 1
-        name = c if n == 1 else f"{c}_{n}"
-        while name in taken:
-            n += 1
-            name = f"{c}_{n}"
-        count[c] = n
-        taken.add(name)
-        out.append(name)
+    for name in names:
+        stem = "" if name is None else str(name).strip()
+        if stem in ("", "nan") or stem.startswith("Unnamed:"):
+            stem = "_blank"
+        choices = chain([stem], (f"{stem}_{k}" for k in count(2)))
+        taken_now = next(c for c in choices if c not in taken)
+        taken.add(taken_now)
+        out.append(taken_now)
     return out
 
 
 def prefix_context_headers(names: list[str]) -> list[str]:
     """A header starting with the status prefix takes the platform of the last
     anchor column to its left; before any anchor it stays unchanged."""
-    platform = None
-    out = []
-    for c in names:
-        c = str(c).strip()
-        if c in STATUS_HEADER_ANCHORS:
-            platform = STATUS_HEADER_ANCHORS[c]
-        out.append(f"{platform}{STATUS_HEADER_PREFIX}" if platform and c.startswith(STATUS_HEADER_PREFIX) else c)
-    return out
+    stripped = [str(c).strip() for c in names]
+    last_anchor = accumulate((STATUS_HEADER_ANCHORS.get(c) for c in stripped), lambda held, new: new or held)
+    return [f"{platform}{STATUS_HEADER_PREFIX}" if platform and c.startswith(STATUS_HEADER_PREFIX) else c
+            for c, platform in zip(stripped, last_anchor)]
 
 
 def apply_contract_names(df: DataFrame, dataset: str) -> DataFrame:
@@ -140,7 +147,7 @@ def skip_description_row(df: DataFrame) -> DataFrame:
     The first row per file is found with an aggregate (``min``), not a window, so a
     large file is never gathered into one task.
     """
-    first_col = [c for c in df.columns if c not in ("source_file", "source_pos")][0]
+    first_col = [c for c in df.columns if c not in SOURCE_COLUMNS][0]
     firsts = df.groupBy("source_file").agg(F.min("source_pos").alias("_first"))
     cell = F.coalesce(F.col(first_col).cast("string"), F.lit(""))
     is_desc = F.lit(False)
@@ -150,13 +157,13 @@ def skip_description_row(df: DataFrame) -> DataFrame:
     return joined.where(~((F.col("source_pos") == F.col("_first")) & is_desc)).drop("_first")
 
 
-def drop_empty_blank_columns(df: DataFrame) -> DataFrame:
+def drop_empty_blank_columns(df: DataFrame, stats: dict | None = None) -> DataFrame:
     """Drop ``_blank*`` columns that are null in every row (one aggregate pass)."""
     blanks = [c for c in df.columns if c.startswith("_blank")]
     if not blanks:
         return df
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in blanks]).first()
-    return df.drop(*[c for c in blanks if counts[c] == 0])
+    stats = column_stats(df.select(*blanks)) if stats is None else stats
+    return df.drop(*[c for c in blanks if stats[c].present == 0])
 
 
 # ---------------------------------------------------------------- I7 contract check
@@ -169,19 +176,21 @@ class Finding:
     severity: str  # error | warning
 
 
+def header_difference(expected, present) -> tuple[list[str], list[str]]:
+    """(missing, unknown) headers, each in the order of its own list."""
+    want, have = dict.fromkeys(expected), dict.fromkeys(present)
+    return list(want.keys() - have.keys()), list(have.keys() - want.keys())
+
+
 def validate_contract(df: DataFrame, dataset: str) -> list[Finding]:
     """I7 for one dataset (on normalised, *source* headers, before renaming)."""
-    contract = HEADER_MAPS.get(dataset, {})
-    cols = set(df.columns)
-    out = [Finding(dataset, "missing_column", c, "error")
-           for c in contract if c not in cols and c not in OPTIONAL_HEADERS]
+    named = [c for c in df.columns if c not in SOURCE_COLUMNS and not c.startswith("_blank")]
+    missing, unknown = header_difference(
+        [c for c in HEADER_MAPS.get(dataset, {}) if c not in OPTIONAL_HEADERS], named)
+    findings = [Finding(dataset, "missing_column", c, "error") for c in sorted(missing)]
     if df.isEmpty():
-        out.append(Finding(dataset, "no_rows", None, "error"))
-    out += [Finding(dataset, "unknown_column", c, "warning")
-            for c in df.columns
-            if c not in contract and not c.startswith("_blank")
-            and c not in ("source_file", "source_pos")]
-    return out
+        findings.append(Finding(dataset, "no_rows", None, "error"))
+    return findings + [Finding(dataset, "unknown_column", c, "warning") for c in sorted(unknown)]
 
 
 def validate_all(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
@@ -203,55 +212,72 @@ def validate_all(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame
 
 # ---------------------------------------------------------------- I8 / I9 / I10 types
 
-def infer_types(df: DataFrame) -> dict[str, str]:
-    """I8: canonical column name -> bigint / double / timestamp / string.
-
-    id-like names stay text. Otherwise, from one aggregate pass over the text values:
-    all non-null values numeric -> bigint when all are whole and |v| < 9e18 (and at
-    least one is present), else double (an all-null column is double); all
-    timestamps -> timestamp; anything else -> string.
-    """
-    cols = [c for c in df.columns if c not in ("source_file", "source_pos")]
-    probe = [c for c in cols if not _ID_RE.search(c)]
+@dataclass
+class ColumnStats:
+    """Counts over one column's non-blank text values."""
+
+    values: int         # not blank
+    present: int        # not null
+    numeric: int
+    whole: int
+    largest: float | None
+    coded: int          # integer texts with a leading zero
+    integer_text: int   # of the non-null values
+    dated: int          # timestamps that state a date
+
+
+def column_stats(df: DataFrame) -> dict[str, ColumnStats]:
+    """What I6, I8 and I10 need to know of every column, in one aggregate pass."""
+    cols = [c for c in df.columns if c not in SOURCE_COLUMNS]
     aggs = []
-    for i, c in enumerate(probe):
-        txt = F.regexp_replace(F.col(f"`{c}`").cast("string"), r"(?U)^\s+|\s+$", "")
+    for i, c in enumerate(cols):
+        raw = F.col(f"`{c}`").cast("string")
+        txt = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
         txt = F.when(txt != "", txt)
         num = txt.try_cast("double")
-        aggs += [
-            F.count(txt).alias(f"n{i}"),
-            F.count(num).alias(f"num{i}"),
-            F.count_if(num == F.rint(num)).alias(f"whole{i}"),
-            F.max(F.abs(num)).alias(f"mag{i}"),
-            F.count(txt.try_cast("timestamp")).alias(f"ts{i}"),
-        ]
-    stats = df.agg(*aggs).first() if aggs else None
-    out = {c: "string" for c in cols}
-    for i, c in enumerate(probe):
-        n, num, whole, mag, ts = (stats[f"n{i}"], stats[f"num{i}"], stats[f"whole{i}"],
-                                  stats[f"mag{i}"], stats[f"ts{i}"])
-        if n == 0:
+        aggs.append(F.struct(
+            F.count(txt), F.count(raw), F.count(num), F.count_if(num == F.rint(num)), F.max(F.abs(num)),
+            F.count_if(txt.rlike(r"^-?0[0-9]+$")), F.count_if(raw.rlike(_INT_TEXT)),
+            F.count_if(txt.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}") & txt.try_cast("timestamp").isNotNull()),
+        ).alias(f"c{i}"))
+    row = df.agg(*aggs).first() if aggs else ()
+    return {c: ColumnStats(*r) for c, r in zip(cols, row)}
+
+
+def infer_types(df: DataFrame, stats: dict[str, ColumnStats] | None = None) -> dict[str, str]:
+    """I8: canonical column name -> bigint / double / timestamp / string.
+
+    id-like names stay text. Otherwise: all non-blank values numeric -> bigint when all
+    are whole and |v| < 9e18 (and at least one is present), else double (an all-blank
+    column is double); all timestamps with a date -> timestamp; anything else, and any
+    column holding an integer text with a leading zero -> string.
+    """
+    stats = column_stats(df) if stats is None else stats
+    out = {}
+    for c, s in stats.items():
+        if _ID_RE.search(c) or s.coded:
+            out[c] = "string"
+        elif s.values == 0:
             out[c] = "double"
-        elif num == n:
-            out[c] = "bigint" if (whole == n and mag is not None and mag < 9e18) else "double"
-        elif ts == n:
-            out[c] = "timestamp"
+        elif s.numeric == s.values:
+            exact = s.whole == s.values and s.largest is not None and s.largest < 9e18
+            out[c] = "bigint" if exact else "double"
+        else:
+            out[c] = "timestamp" if s.dated == s.values else "string"
     return out
 
 
 def format_values(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Cast every column to its inferred type; '' and uncastable -> null."""
-    keep = [c for c in df.columns if c in types]
-    return df.select(*[format_value(c, types[c]).alias(c) for c in keep],
-                     *[c for c in df.columns if c not in types])
+    return df.select(*[format_value(c, types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns])
 
 
 def promote_if_all_integer(df: DataFrame, col: str) -> tuple[DataFrame, bool]:
     """Text -> bigint only when every non-null value is an integer text."""
     if dict(df.dtypes).get(col) != "string":
         return df, False
-    bad = df.agg(F.count_if(F.col(col).isNotNull() & ~F.col(col).rlike(_INT_TEXT)).alias("bad")).first()["bad"]
-    if bad:
+    own = column_stats(df.select(col))[col]
+    if own.integer_text < own.present:
         return df, False
     return df.withColumn(col, F.expr(f"try_cast(nullif(`{col}`, '') AS BIGINT)")), True
 
@@ -259,27 +285,69 @@ def promote_if_all_integer(df: DataFrame, col: str) -> tuple[DataFrame, bool]:
 # ---------------------------------------------------------------- I11 / I12 / I13 / M6 publish
 
 def load_dataset(df: DataFrame, dataset: str) -> DataFrame:
-    """Normalise one export into its table: headers, contract names, blank columns,
-    inferred types. (I2, I6, I3, I8, I9; I5 / I4 are per-dataset options of the reader.)"""
-    out = drop_empty_blank_columns(df)
-    out = apply_contract_names(out, dataset)
-    if "_blank" in out.columns and dataset == "feishu_jd_outlet":
-        out = out.withColumnRenamed("_blank", HEADER_MAPS[dataset]["_blank"])
-    return format_values(out, infer_types(out))
+    """One validated export -> its table: blank columns, contract names, inferred types
+    (I6, I3, I8, I9, I10), all from one pass over its values."""
+    df = df.drop(*SOURCE_COLUMNS)
+    stats = column_stats(df)
+    out = apply_contract_names(drop_empty_blank_columns(df, stats), dataset)
+    renamed = dict(HEADER_MAPS.get(dataset, {}))
+    types = infer_types(out, {renamed.get(c, c): s for c, s in stats.items() if renamed.get(c, c) in out.columns})
+    if dataset == "meituan_store_inventory" and types.get("stock_qty") == "string":
+        own = next((s for c, s in stats.items() if renamed.get(c, c) == "stock_qty"), None)
+        if own and own.integer_text == own.present:
+            types["stock_qty"] = "bigint"
+    return format_values(out, types)
+
+
+# ---------------------------------------------------------------- per-dataset readers
+
+def read_dataset(spark: SparkSession, folder: str, table: str, fmt: str = "csv") -> DataFrame:
+    """One dataset's export as it is landed in ``folder``, ready for the contract check:
+    first existing candidate file (I1), headers (I2, I5), description row (I4), store
+    addresses looked up by name (J3)."""
+    files = [os.path.join(folder, f"{stem}.{fmt}") for stem in SOURCE_STEMS[table]]
+    _, df = prefer_source(spark, files, fmt)
+    df = normalize_frame(df, context_headers=table == "feishu_store_mapping")
+    if table == "meituan_store_inventory":
+        df = skip_description_row(with_source_order(df)).drop(*SOURCE_COLUMNS)
+    if table == "feishu_store_mapping":
+        df = fill_addresses(spark, df, folder, fmt)
+    return df
+
+
+def fill_addresses(spark: SparkSession, stores: DataFrame, folder: str, fmt: str = "csv") -> DataFrame:
+    """J3 on the mapping export: its address column from the store detail export, by store
+    name; all null without that file or its two columns."""
+    from shelfcheck.operators.match import address_book, lookup_address
+
+    name, address = ADDRESS_HEADERS
+    source = spark.createDataFrame([], f"`{name}` string, `{address}` string")
+    try:
+        _, found = prefer_source(spark, [os.path.join(folder, f"{ADDRESS_STEM}.{fmt}")], fmt)
+        found = normalize_frame(found)
+        if {name, address} <= set(found.columns):
+            source = found
+    except FileNotFoundError:
+        pass
+    ordered = source.select(name, address, F.monotonically_increasing_id().alias("line_no"))
+    book = address_book(ordered, name, address)
+    target = next(h for h, c in HEADER_MAPS["feishu_store_mapping"].items() if c == "store_address")
+    shop = next(h for h, c in HEADER_MAPS["feishu_store_mapping"].items() if c == "store_name")
+    return lookup_address(stores.drop(target), book, shop).withColumnRenamed("store_address", target)
+
+
+def load_folder(spark: SparkSession, root: str, folder: str, version: str, keys: list[str] | None = None,
+                fmt: str = "csv") -> Publication:
+    """I12 from files: every selected dataset read by its own rules, then ``load``."""
+    return load(spark, root, {t: read_dataset(spark, folder, t, fmt) for t in select_datasets(keys)}, version, keys)
 
 
 def select_datasets(keys: list[str] | None) -> list[str]:
     """Dataset keys -> tables; unknown key -> error; none = all; each table once."""
-    keys = list(DATASET_TABLES) if not keys else keys
-    bad = [k for k in keys if k not in DATASET_TABLES]
-    if bad:
-        raise ValueError(f"unknown dataset {bad}, expected some of {list(DATASET_TABLES)}")
-    tables: list[str] = []
-    for k in keys:
-        for t in DATASET_TABLES[k]:
-            if t not in tables:
-                tables.append(t)
-    return tables
+    unknown = sorted(set(keys or []) - DATASET_TABLES.keys())
+    if unknown:
+        raise ValueError(f"unknown dataset {unknown}, expected some of {list(DATASET_TABLES)}")
+    return list(dict.fromkeys(t for k in keys or DATASET_TABLES for t in DATASET_TABLES[k]))
 
 
 def stamp_snapshot(spark: SparkSession) -> DataFrame:
@@ -311,9 +379,10 @@ def publish(spark: SparkSession, root: str, frames: dict[str, DataFrame], versio
     pub = Publication(version)
     for table, df in frames.items():
         path = os.path.join(root, table, f"v={version}")
-        df.write.mode("overwrite").parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
         pub.tables[table] = path
-        pub.rows[table] = spark.read.parquet(path).count()
+        pub.rows[table] = seen.get["n"]
     log = spark.createDataFrame(
         [(t, version, p, pub.rows[t]) for t, p in pub.tables.items()],
         "table string, version string, path string, rows bigint",
@@ -348,9 +417,6 @@ def load(spark: SparkSession, root: str, sources: dict[str, DataFrame], version:
 def load_tables(spark: SparkSession, chosen: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Validated exports -> the tables to publish, with the one-row snapshot time."""
     loaded = {t: load_dataset(df, t) for t, df in chosen.items()}
-    if "meituan_store_inventory" in loaded:
-        loaded["meituan_store_inventory"], _ = promote_if_all_integer(
-            loaded["meituan_store_inventory"], "stock_qty")
     loaded["data_meta"] = stamp_snapshot(spark)
     return loaded
 
@@ -362,7 +428,7 @@ def import_table(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     by declared type (X2), skip rows whose key fields are all empty.
 
     Returns (rows, counts) where counts has ``inserted`` and ``skipped_empty``; raises
-    when the required column is absent. The caller raises when ``inserted`` is 0.
+    when the required column is absent. ``replace_table`` rejects an import of no rows.
     """
     cfg = EDITED_TABLES[key]
     src = {zh: (en, typ) for en, zh, typ in cfg["columns"]}
@@ -379,3 +445,16 @@ def import_table(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     keyed = F.coalesce(*[F.col(k).cast("string") for k in cfg["key_fields"]]).isNotNull()
     counts = typed.agg(F.count_if(keyed).alias("inserted"), F.count_if(~keyed).alias("skipped_empty"))
     return typed.where(keyed), counts
+
+
+def publish_edit(spark: SparkSession, root: str, table: str, df: DataFrame, version: str) -> Publication:
+    """I13 on edits: an edited or imported table and the load time, published together."""
+    return publish(spark, root, {table: df, "data_meta": stamp_snapshot(spark)}, version)
+
+
+def replace_table(spark: SparkSession, root: str, df: DataFrame, key: str, version: str) -> Publication:
+    """I18 end to end: import, reject an import without rows, publish the replacement."""
+    rows, counts = import_table(df, key)
+    if counts.first()["inserted"] == 0:
+        raise ContractError("no rows to import")
+    return publish_edit(spark, root, EDITED_TABLES[key].get("table", key), rows, version)

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from shelfcheck.contracts import PAGE_OK_CODE, PAGE_QTY_FIELDS, PAGE_TEXT_FIELDS
+from shelfcheck.contracts import BOOK_API_SCHEMA, PAGE_OK_CODE, PAGE_QTY_FIELDS, PAGE_TEXT_FIELDS
 from shelfcheck.functions.scalars import to_int
+from shelfcheck.sources.ingest import ContractError, publish_edit
 
 PAGE_SCHEMA = (
     "code bigint, msg string, data struct<current: bigint, pageSize: bigint, total: bigint, "
@@ -63,14 +65,31 @@ def page_completeness(pages: DataFrame) -> DataFrame:
     expected page must be present. ``sequence`` + ``explode`` builds the expected
     numbers per pull, an anti join removes the landed ones.
     """
-    ok = pages.where(F.col("page.code") == PAGE_OK_CODE).select(
-        "pull", F.col("page.data.current").alias("page_no"),
-        F.col("page.data.totalPage").alias("total_page"))
-    expected = ok.groupBy("pull").agg(F.max("total_page").alias("total_page")).where(
-        F.col("total_page") >= 1).select("pull", F.explode(F.sequence(F.lit(1).cast("bigint"),
-                                                                     F.col("total_page"))).alias("page_no"))
-    return expected.join(ok.select("pull", "page_no"), ["pull", "page_no"], "left_anti").orderBy(
-        "pull", "page_no")
+    accepted = F.col("page.code") == PAGE_OK_CODE
+    ok = pages.where(accepted).select("pull", F.col("page.data.current").alias("page_no"))
+    # A pull without any accepted page still expects its first one.
+    total = F.max(F.when(accepted, F.col("page.data.totalPage")))
+    seen = F.coalesce(F.max(accepted), F.lit(False))
+    expected = (pages.groupBy("pull").agg(F.when(seen, total).otherwise(F.lit(1)).cast("bigint").alias("total_page"))
+                .where(F.col("total_page") >= 1)
+                .select("pull", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("total_page"))).alias("page_no")))
+    return expected.join(ok, ["pull", "page_no"], "left_anti").orderBy("pull", "page_no")
+
+
+def book_table(pages: DataFrame) -> DataFrame:
+    """I14 rows of a complete pull as the book inventory table of the API form."""
+    missing = page_completeness(pages).limit(5).collect()
+    if missing:
+        raise ContractError(f"pull is incomplete, missing pages: {[tuple(r) for r in missing]}")
+    schema = StructType.fromDDL(BOOK_API_SCHEMA)
+    return inventory_rows(pages).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+
+def load_pull(spark: SparkSession, root: str, path: str, version: str, **window):
+    """API pull -> published book table: pages, completeness (I15), rows (I14), optional
+    store / product / barcode restriction (I17), publish with the load time (I11, I13)."""
+    rows = filter_pull(book_table(read_pages(spark, path)), **window)
+    return publish_edit(spark, root, "bojun_offline_inventory", rows, version)
 
 
 def inventory_pull_stats(rows: DataFrame) -> DataFrame:
@@ -81,8 +100,9 @@ def inventory_pull_stats(rows: DataFrame) -> DataFrame:
 
 
 def filter_pull(rows: DataFrame, store: str | None = None, product: str | None = None,
-                barcode: str | None = None) -> DataFrame:
-    """Restrict a pull to one store / product / barcode (each optional).
+                barcode: str | None = None, start=None, end=None, time_col: str = "modified_at") -> DataFrame:
+    """Restrict a pull to one store / product / barcode and to rows changed in
+    [start, end) (each optional; the times need a ``time_col``).
 
     On a parquet-backed frame these equality filters reach the reader.
     """
@@ -93,4 +113,8 @@ def filter_pull(rows: DataFrame, store: str | None = None, product: str | None =
         cond = cond & (F.col("product_code") == product)
     if barcode:
         cond = cond & (F.col("barcode") == barcode)
+    if start is not None:
+        cond = cond & (F.col(time_col) >= F.lit(start))
+    if end is not None:
+        cond = cond & (F.col(time_col) < F.lit(end))
     return rows.where(cond)

@@ -29,7 +29,9 @@ from shelfcheck.sources.ingest import (
     normalize_frame,
     publish,
     read_export,
+    skip_description_row,
     validate_all,
+    with_source_order,
 )
 
 
@@ -62,8 +64,10 @@ def load_arrivals(root: str, table: str, fmt: str = "csv", context_headers: bool
         paths = [p for p, _ in arrived]
         names = ",".join(os.path.basename(p) for p in paths)
         size = sum(n for _, n in arrived)
-        df = normalize_frame(read_export(spark, paths, fmt), context_headers)
         try:
+            df = normalize_frame(read_export(spark, paths, fmt), context_headers)
+            if table == "meituan_store_inventory":
+                df = skip_description_row(with_source_order(df))
             validate_all(spark, {table: df})
             pub = publish(spark, root, load_tables(spark, {table: df}), version)
             state, message = "success", f"{pub.rows[table]} rows"
