@@ -53,19 +53,17 @@ def read_export(spark: SparkSession, path, fmt: str = "csv", multi_line: bool =
     """
     if fmt != "csv":
         return spark.read.format(fmt).options(**options).load(path)
-    reader = spark.read.options(header=False, inferSchema=False, multiLine=multi_line, **options)
-    rows = reader.csv(path)
+    reader = spark.read.options(inferSchema=False, multiLine=multi_line, **options)
     files = spark.read.format("binaryFile").load(path).select("path").collect()  # names only
-    heads = {tuple(h) for h in (reader.csv(f["path"]).head() for f in files) if h is not None}
+    heads = {tuple(h) for h in (reader.csv(f["path"], header=False).head() for f in files) if h is not None}
     if len(heads) > 1:
         raise ContractError(f"files of one export have different headers: {path}")
     if not heads:
-        return rows
+        return reader.csv(path, header=False)
     (head,) = heads
-    is_head = F.lit(True)
-    for c, name in zip(rows.columns, head):
-        is_head = is_head & F.col(c).eqNullSafe(F.lit(name))
-    return rows.where(~is_head).toDF(*[name or "" for name in head])
+    # With a schema of its own the reader drops each file's header record unseen.
+    schema = ", ".join(f"_c{i} string" for i in range(len(head)))
+    return reader.schema(schema).csv(path, header=True, enforceSchema=True).toDF(*[name or "" for name in head])
 
 
 def prefer_source(spark: SparkSession, candidates: list[str], fmt: str = "csv",
