@@ -9,9 +9,11 @@ reader can stop and resume anywhere.
 
 N must be known before the first slot, so the texts are read twice: once to count the
 sequences of each partition (one number per partition reaches the driver), once to emit
-them. Both passes run on one RDD, whose partitions are fixed, as ``zipWithIndex`` does; the
-second pass fails if a partition does not give what was counted. ``docs`` must be
-deterministic, as a table scan is. The ids cross the network once, compressed.
+them, numbered from their partition's offset as ``zipWithIndex`` does. Keeping the ids
+between the passes instead would cost another copy of them on disk. ``docs`` must be
+deterministic, as a table scan is; the split of a scan is pinned for both passes, so that a
+lost executor does not change it, and the second pass fails if a partition does not give
+what was counted. The ids cross the network once, compressed.
 
 Shards are written below a shared folder under a name of the task attempt; the index, a
 Parquet table with one row per sequence, names the files of the attempts that succeeded.
@@ -25,8 +27,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +45,7 @@ STRIDE = 256          # ids per sequence
 PER_SHARD = 65_536    # sequences per shard
 KEY = 0x5EED_0F_0DE2
 ROUNDS = 6
-CHUNKS = 150_000      # distinct chunks remembered per worker
+SCAN_SPLIT = "spark.sql.files.minPartitionNum"
 
 INDEX = "slot long, shard int, record int, file string, n_ids int, doc_id {id}, seq_no int"
 
@@ -99,8 +103,7 @@ class Feistel:
 # ---------------------------------------------------------------- ids
 
 class ByteBpe:
-    """Ids of a rank file. Pre-tokens never cross a single space before a non-space, so the
-    ids of a text are those of its space-separated chunks, each encoded once per worker."""
+    """Ids of a rank file as little-endian 16-bit numbers."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -111,30 +114,15 @@ class ByteBpe:
         if self.end >= 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
 
-    def _pack(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
+    def count(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text))
 
     def pack(self, text: str) -> bytes:
-        """Ids as little-endian 16-bit numbers."""
-        parts, known = [], self.known
-        for i, chunk in enumerate(text.split(" ")):
-            if i:
-                if not chunk or chunk[0].isspace():
-                    return self._pack(text)  # runs of white space: no safe borders
-                chunk = " " + chunk
-            made = known.get(chunk)
-            if made is None:
-                if len(known) >= CHUNKS:
-                    known.clear()
-                made = self._pack(chunk)
-                if len(chunk) <= 64:
-                    known[chunk] = made
-            parts.append(made)
-        return b"".join(parts)
+        ids = array("H", self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def tokenizer(path: str, pattern: str) -> ByteBpe:
@@ -165,38 +153,63 @@ def materialise(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str,
     spark = docs.sparkSession
     prepare(spark)
     folder = _uri(folder)
-    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).rdd
+    pinned = spark.conf.get(SCAN_SPLIT, None)
+    spark.conf.set(SCAN_SPLIT, pinned or str(spark.sparkContext.defaultParallelism))
+    try:
+        return _materialise(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")),
+                            tokenizer_path, pattern, folder, stride, per_shard, key)
+    finally:
+        if pinned is None:
+            spark.conf.unset(SCAN_SPLIT)
+
+
+def _materialise(rows: DataFrame, tokenizer_path: str, pattern: str, folder: str, stride: int, per_shard: int,
+                 key: int) -> DataFrame:
+    def count(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-    def count(part, it):
-        tok = tokenizer(tokenizer_path, pattern)
-        yield part, sum(-(-(len(tok.pack(r[1])) // 2 + 1) // stride) for r in it if r[1])
+        tok, n = tokenizer(tokenizer_path, pattern), 0
+        for b in batches:
+            n += sum(-(-(tok.count(t) + 1) // stride) for t in b.column(1).to_pylist() if t)
+        yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "n": n}])
 
-    counts = dict(rows.mapPartitionsWithIndex(count).collect())
+    counts = {r["part"]: r["n"] for r in rows.mapInArrow(count, "part long, n long").collect()}
     first, total = {}, 0
     for part in sorted(counts):
         first[part] = total
         total += counts[part]
     n_shards = max(1, -(-total // per_shard))
+    id_type = rows.schema["doc_id"].dataType
+    schema = StructType([StructField("slot", LongType()), StructField("shard", IntegerType()),
+                         StructField("n_ids", IntegerType()), StructField("doc_id", id_type),
+                         StructField("seq_no", IntegerType()), StructField("ids", BinaryType())])
 
-    def emit(part, it):
+    def emit(batches):
         import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-        tok, network, at = tokenizer(tokenizer_path, pattern), Feistel(total, key), first[part]
-        for r in it:
-            made = sequences(r[1], tok, stride)
-            if made:
-                slots = network.slots(np.arange(at, at + len(made))).tolist()
-                at += len(made)
-                for no, (slot, (n, ids)) in enumerate(zip(slots, made)):
-                    yield slot, slot // per_shard, n, r[0], no, bytearray(zlib.compress(ids, 1))
-        if at != first[part] + counts[part]:
+        part = TaskContext.get().partitionId()
+        tok, network, at = tokenizer(tokenizer_path, pattern), Feistel(total, key), first.get(part, 0)
+        for b in batches:
+            made = [sequences(t, tok, stride) for t in b.column(1).to_pylist()]
+            per_doc = np.array([len(m) for m in made], np.int64)
+            n = int(per_doc.sum())
+            if not n:
+                continue
+            slots = network.slots(np.arange(at, at + n))
+            at += n
+            yield pa.RecordBatch.from_arrays([
+                pa.array(slots), pa.array((slots // per_shard).astype(np.int32)),
+                pa.array([k for m in made for k, _ in m], pa.int32()),
+                b.column(0).take(pa.array(np.repeat(np.arange(len(made)), per_doc))),
+                pa.array([i for m in made for i in range(len(m))], pa.int32()),
+                pa.array([zlib.compress(ids, 1) for m in made for _, ids in m], pa.binary())], names=schema.names)
+        if at != first.get(part, 0) + counts.get(part, 0):
             raise ValueError(f"partition {part} changed between the passes; docs must be deterministic")
 
-    schema = StructType([StructField("slot", LongType()), StructField("shard", IntegerType()),
-                         StructField("n_ids", IntegerType()), StructField("doc_id", docs.schema[doc_id].dataType),
-                         StructField("seq_no", IntegerType()), StructField("ids", BinaryType())])
-    placed = (spark.createDataFrame(rows.mapPartitionsWithIndex(emit), schema, verifySchema=False)
-              .repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot"))
+    placed = (rows.mapInArrow(emit, schema).repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot"))
 
     def write(batches):
         import pyarrow as pa
@@ -227,7 +240,7 @@ def materialise(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str,
         if out is not None:
             out.close()
 
-    index = INDEX.format(id=docs.schema[doc_id].dataType.simpleString())
+    index = INDEX.format(id=id_type.simpleString())
     return materialize(placed.mapInArrow(write, index), "shard-index")
 
 
