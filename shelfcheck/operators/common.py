@@ -1,4 +1,9 @@
-"""Small helpers shared by the operators: checked broadcast, filters on dimensions."""
+"""Small helpers shared by the operators: filters on dimensions.
+
+Joins carry no broadcast hints: Spark broadcasts a side when its measured bytes are below the
+session's threshold (from file sizes at planning, from shuffle sizes at run time) and joins by
+shuffle otherwise, splitting skewed partitions. One plan serves every size.
+"""
 
 from __future__ import annotations
 
@@ -7,42 +12,6 @@ from pyspark.sql import functions as F
 
 from shelfcheck.contracts import INACTIVE_REMARKS, JD_LIVE_STORE_STATUS, MT_LIVE_BUSINESS_STATUS
 
-# Dimensions up to this many rows are broadcast; larger ones are joined by shuffle.
-DIM_BROADCAST_ROWS = 200_000
-
-
-_SIZE_CHECKS: dict[tuple, list[tuple[DataFrame, bool]]] = {}
-
-
-def fits_rows(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows.
-
-    Reads at most ``max_rows + 1`` rows (``limit`` before ``count``), so the check
-    stays cheap even when the answer is no. Answers are remembered per session for
-    semantically equal plans (dimension reads repeat across the report queries).
-    """
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
-    for seen, answer in _SIZE_CHECKS.get(key, []):
-        if seen.sameSemantics(df):
-            return answer
-    answer = df.limit(max_rows + 1).count() <= max_rows
-    _SIZE_CHECKS.setdefault(key, []).append((df, answer))
-    return answer
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS,
-                      bound_by: DataFrame | None = None) -> DataFrame:
-    """Mark ``df`` for broadcast only if it provably has at most ``max_rows`` rows.
-
-    ``bound_by``: a frame ``df`` is derived from without adding rows (a projection,
-    filter or aggregate of it); its check then stands for ``df`` and no extra job runs.
-    Otherwise the join stays a shuffle join (AQE may still switch it to a broadcast
-    from the measured shuffle size at runtime).
-    """
-    ok = fits_rows(bound_by if bound_by is not None else df, max_rows)
-    return F.broadcast(df) if ok else df
-
-
 def is_active_store(remark: Column | str = "remark") -> Column:
     """a store is active unless its remark marks it closed or an airport store."""
     r = F.col(remark) if isinstance(remark, str) else remark
@@ -68,13 +37,3 @@ def non_empty_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """keep rows where any key field is set."""
     return df.where(F.coalesce(*[F.col(k) for k in keys]).isNotNull())
 
-
-def sort_bounded(df: DataFrame, order: list, bound_by: DataFrame | None = None,
-                 max_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
-    """Global sort. When ``df`` has at most as many rows as a checked-small frame it is
-    derived from (``bound_by``), sort it in one partition: no range-sampling job and no
-    range exchange. Otherwise a distributed ``orderBy``.
-    """
-    if bound_by is not None and fits_rows(bound_by, max_rows):
-        return df.coalesce(1).sortWithinPartitions(*order)
-    return df.orderBy(*order)

@@ -88,12 +88,18 @@ def geo_quality(cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hist, coarse
 
 
-def point_sku_counts(jd_stock: DataFrame, mt_stock: DataFrame) -> DataFrame:
+def point_sku_counts(jd_stock: DataFrame | None = None, mt_stock: DataFrame | None = None,
+                     unique: DataFrame | None = None) -> DataFrame:
     """Distinct products per platform store: (platform, store_code, sku_cnt).
 
     Stock rows are first reduced to (platform, store, product), so no DISTINCT
-    aggregate runs over raw rows.
+    aggregate runs over raw rows; ``unique`` (platform, outlet_code, product_code) is
+    already one row per key and is only counted.
     """
+    if unique is not None:
+        return (unique.where(F.col("product_code").isNotNull())
+                .groupBy("platform", F.col("outlet_code").alias("store_code"))
+                .agg(F.count(F.lit(1)).alias("sku_cnt")))
     jd = jd_stock.select(F.lit(PLATFORM_JD).alias("platform"), F.col("store_code"), "product_code")
     mt = mt_stock.select(F.lit(PLATFORM_MT).alias("platform"), F.col("store_id").alias("store_code"),
                          "product_code")
@@ -105,6 +111,25 @@ def map_points(stores: DataFrame, jd_outlets: DataFrame, mt_outlets: DataFrame,
                sku_counts: DataFrame) -> DataFrame:
     """J10 + J11 + F6: own stores + live jd / mt outlets, coordinates by trimmed address
     (unlocated points kept with null lng / lat), SKU counts per platform store; S10 order."""
+    pts = located_points(stores, jd_outlets, mt_outlets, cache)
+    jdc = sku_counts.where(F.col("platform") == PLATFORM_JD).select(
+        F.col("store_code").alias("_jd"), F.col("sku_cnt").alias("jd_sku_cnt"))
+    mtc = sku_counts.where(F.col("platform") == PLATFORM_MT).select(
+        F.col("store_code").alias("_mt"), F.col("sku_cnt").alias("mt_sku_cnt"))
+    pts = pts.join(jdc, "_jd", "left").join(mtc, "_mt", "left").drop("_jd", "_mt")
+    return pts.select(
+        "point_type", "platform", "name", "customer_name", "province", "city", "address",
+        "lng", "lat", "jd_sku_cnt", "mt_sku_cnt", "adcode",
+    ).orderBy(*point_order())
+
+
+def point_order() -> list:
+    """S10."""
+    return [F.col(c).asc_nulls_last() for c in ("point_type", "platform", "customer_name", "name")]
+
+
+def located_points(stores: DataFrame, jd_outlets: DataFrame, mt_outlets: DataFrame, cache: DataFrame) -> DataFrame:
+    """All map points with coordinates, without their SKU counts."""
     own = stores.where(is_active_store("remark")).select(
         F.lit(OWN_STORE).alias("point_type"), F.lit(None).cast("string").alias("platform"),
         F.col("store_name").alias("name"), "customer_name", "province", "city",
@@ -123,17 +148,7 @@ def map_points(stores: DataFrame, jd_outlets: DataFrame, mt_outlets: DataFrame,
     pts = own.unionByName(jd).unionByName(mt)
     geo = cache.where(F.col("status") == "ok").select(
         F.col("address").alias("_addr"), "lng", "lat", "adcode")
-    pts = pts.join(geo, F.btrim(pts["address"]) == geo["_addr"], "left").drop("_addr")
-    jdc = sku_counts.where(F.col("platform") == PLATFORM_JD).select(
-        F.col("store_code").alias("_jd"), F.col("sku_cnt").alias("jd_sku_cnt"))
-    mtc = sku_counts.where(F.col("platform") == PLATFORM_MT).select(
-        F.col("store_code").alias("_mt"), F.col("sku_cnt").alias("mt_sku_cnt"))
-    pts = pts.join(jdc, "_jd", "left").join(mtc, "_mt", "left").drop("_jd", "_mt")
-    return pts.select(
-        "point_type", "platform", "name", "customer_name", "province", "city", "address",
-        "lng", "lat", "jd_sku_cnt", "mt_sku_cnt", "adcode",
-    ).orderBy(F.col("point_type").asc_nulls_last(), F.col("platform").asc_nulls_last(),
-              F.col("customer_name").asc_nulls_last(), F.col("name").asc_nulls_last())
+    return pts.join(geo, F.btrim(pts["address"]) == geo["_addr"], "left").drop("_addr")
 
 
 def point_type_index(point_type: str = "point_type", platform: str = "platform"):

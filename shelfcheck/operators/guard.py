@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shelfcheck.contracts import GUARD_MET, GUARD_SHORT, PLATFORM_JD, PLATFORM_MT
 from shelfcheck.functions.rates import pct_tenths
-from shelfcheck.operators.common import bounded_broadcast, live_jd_outlets, live_mt_outlets, sort_bounded
+from shelfcheck.operators.common import live_jd_outlets, live_mt_outlets
 
 OUTLET_KEYS = ["customer_name", "platform", "outlet_code", "outlet_name"]
 
@@ -92,7 +92,7 @@ def _with_gap(df: DataFrame) -> DataFrame:
 
 def listed_pairs(outlets: DataFrame, stock: DataFrame, products: DataFrame) -> DataFrame:
     """Guard rows for products an outlet lists and its dealer holds (linear join)."""
-    with_dealer = stock.join(bounded_broadcast(outlets), ["platform", "outlet_code"])
+    with_dealer = stock.join(outlets, ["platform", "outlet_code"])
     return _with_gap(with_dealer.join(products, ["customer_name", "product_code"]))
 
 
@@ -100,9 +100,8 @@ def outlet_summary(outlets: DataFrame, stock: DataFrame, products: DataFrame,
                    listed_rows: DataFrame | None = None) -> DataFrame:
     """product_cnt, ok_cnt, bad_cnt, ok_rate per live outlet; report order.
 
-    Outlets are a checked-small dimension: the per-outlet side of every join here has at
-    most one row per outlet, so those joins broadcast and nothing large is shuffled
-    beyond the listed pairs themselves. ``listed_rows``: ``listed_pairs(...)`` when the
+    The per-outlet side of every join here has at most one row per outlet; nothing large
+    is shuffled beyond the listed pairs themselves. ``listed_rows``: ``listed_pairs(...)`` when the
     caller already holds it (the guard report shares it with the detail sheet).
     """
     per_dealer = products.groupBy("customer_name").agg(
@@ -115,20 +114,21 @@ def outlet_summary(outlets: DataFrame, stock: DataFrame, products: DataFrame,
         F.count_if(F.col("is_ok")).alias("listed_ok"),
         F.count_if(F.col("offline_qty") <= 0).alias("listed_nonpos"),
     )
-    small = bounded_broadcast(outlets)
     out = (
-        per_dealer.join(small, "customer_name")  # outlets without dealer products drop out
+        per_dealer.join(outlets, "customer_name")  # outlets without dealer products drop out
         .join(listed, OUTLET_KEYS, "left")
         .withColumn("ok_cnt", F.col("nonpos_cnt") + F.coalesce("listed_ok", F.lit(0))
                     - F.coalesce("listed_nonpos", F.lit(0)))
         .withColumns({"bad_cnt": F.col("product_cnt") - F.col("ok_cnt"),
                       "ok_rate": pct_tenths("ok_cnt", "product_cnt")})
     )
-    # one row per outlet: bounded by the checked outlet list
-    return sort_bounded(
-        out.select(*_report_cols(), "product_cnt", "ok_cnt", "bad_cnt", "ok_rate"),
-        [F.col("ok_rate").asc_nulls_last(), F.col("customer_name").asc_nulls_last(),
-         F.col("platform").asc_nulls_last(), F.col("outlet_name").asc_nulls_last()], outlets)
+    return out.select(*_report_cols(), "product_cnt", "ok_cnt", "bad_cnt", "ok_rate").orderBy(*summary_order())
+
+
+def summary_order() -> list:
+    """S4."""
+    return [F.col("ok_rate").asc_nulls_last(), F.col("customer_name").asc_nulls_last(),
+            F.col("platform").asc_nulls_last(), F.col("outlet_name").asc_nulls_last()]
 
 
 def _report_cols():
@@ -164,14 +164,23 @@ def listed_detail(outlets: DataFrame, stock: DataFrame, products: DataFrame,
     )
 
 
-def outlet_detail(customer: str, platform: str, outlet_code: str, stock: DataFrame,
-                  products: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def worst_outlet(summary: DataFrame) -> DataFrame:
+    """One row (customer_name, platform, outlet_code): the first in report order."""
+    first = F.struct(F.col("ok_rate").isNull(), "ok_rate", "customer_name", "platform", "outlet_name")
+    return summary.agg(F.min_by(F.struct("customer_name", "platform", "outlet_code"), first).alias("w")).where(
+        F.col("w").isNotNull()).select("w.*")
+
+
+def outlet_detail(chosen: DataFrame, stock: DataFrame, products: DataFrame,
+                  names: DataFrame | None = None) -> DataFrame:
     """every product of one outlet's dealer with its guard values; S5 order.
 
-    Equality filters on the dealer and the outlet reach both inputs before the join.
+    ``chosen``: one row (customer_name, platform, outlet_code), given or computed; it is
+    joined, so choosing it needs no separate job.
     """
-    prods = products.where(F.col("customer_name") == customer)
-    own = stock.where((F.col("platform") == platform) & (F.col("outlet_code") == outlet_code)).select(
+    chosen = F.broadcast(chosen)  # one row
+    prods = products.join(chosen.select("customer_name"), "customer_name")
+    own = stock.join(chosen.select("platform", "outlet_code"), ["platform", "outlet_code"]).select(
         "product_code", "outlet_qty")
     rows = with_product_names(_with_gap(prods.join(own, "product_code", "left")), names)
     return rows.select("product_code", "product_name", "offline_qty", "outlet_qty", "gap",

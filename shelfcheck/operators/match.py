@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcheck.functions.scalars import strip_all
-from shelfcheck.operators.common import bounded_broadcast, is_active_store, sort_bounded
+from shelfcheck.operators.common import is_active_store
 
 
 # ---------------------------------------------------------------- J3 / A11 addresses
@@ -62,15 +62,12 @@ def resolve_names(names: DataFrame, stores: DataFrame, aliases: DataFrame | None
     """A name resolves to itself when it is a known store name, else through the
     alias table (alias -> store_name); otherwise null. Adds ``resolved_name``.
 
-    Both lookup sides are unique per key (no row is multiplied) and are broadcast only
-    when their source passes the size check.
+    Both lookup sides are unique per key, so no row is multiplied.
     """
-    known = bounded_broadcast(stores.select(F.col("store_name").alias("_direct")).distinct(),
-                              bound_by=stores)
+    known = stores.select(F.col("store_name").alias("_direct")).distinct()
     out = names.join(known, names[name_col] == known["_direct"], "left")
     if aliases is not None:
-        amap = bounded_broadcast(aliases.groupBy("alias").agg(F.max("store_name").alias("_via_alias")),
-                                 bound_by=aliases)
+        amap = aliases.groupBy("alias").agg(F.max("store_name").alias("_via_alias"))
         out = out.join(amap, out[name_col] == amap["alias"], "left").drop("alias")
     else:
         out = out.withColumn("_via_alias", F.lit(None).cast("string"))
@@ -85,27 +82,28 @@ def unmatched_stores(stores: DataFrame, book_warehouses: DataFrame,
     ``book_warehouses``: (warehouse, store_code) of the book system. ``bojun_warehouse``
     shows the book warehouse that carries the store's internal code, when there is one
     (the name to fix); S6 order.
-
-    Every frame joined to the store list here is at most as large as the store
-    dimension (resolved names are store names; the output is a subset of the stores),
-    so with a checked-small dimension each join broadcasts and the final sort runs in
-    one partition.
     """
     wh = book_warehouses.select(strip_all("warehouse").alias("name"), "store_code").where(
         F.col("name") != "")
     resolved = resolve_names(wh.select("name"), stores, aliases).where(
         F.col("resolved_name").isNotNull()).select(F.col("resolved_name").alias("_hit")).distinct()
     active = stores.where(is_active_store("remark")).where(F.col("store_name").isNotNull())
-    missing = active.join(bounded_broadcast(resolved, bound_by=stores),
-                          active["store_name"] == F.col("_hit"), "left_anti")
+    missing = active.join(resolved, active["store_name"] == F.col("_hit"), "left_anti")
     by_code = wh.where(F.col("store_code").isNotNull()).groupBy("store_code").agg(
         F.max("name").alias("bojun_warehouse"))
-    out = missing.join(bounded_broadcast(by_code, bound_by=book_warehouses),
-                       missing["internal_code"] == by_code["store_code"], "left")
-    return sort_bounded(
-        out.select("store_name", "bojun_warehouse", "province", "city", "jd_id", "meituan_id"),
-        [F.col("province").asc_nulls_last(), F.col("city").asc_nulls_last(),
-         F.col("store_name").asc_nulls_last()], stores)
+    out = missing.join(by_code, missing["internal_code"] == by_code["store_code"], "left")
+    return out.select("store_name", "bojun_warehouse", "province", "city", "jd_id", "meituan_id").orderBy(
+        *unmatched_store_order())
+
+
+def unmatched_store_order() -> list:
+    """S6, stores."""
+    return [F.col("province").asc_nulls_last(), F.col("city").asc_nulls_last(), F.col("store_name").asc_nulls_last()]
+
+
+def unmatched_product_order() -> list:
+    """S6, products."""
+    return [F.col("platform").asc_nulls_last(), F.col("store_cnt").desc(), F.col("platform_code").asc_nulls_last()]
 
 
 # ---------------------------------------------------------------- J6 / J7 products
@@ -117,25 +115,33 @@ def barcode_map(book_products: DataFrame) -> DataFrame:
             .groupBy("barcode").agg(F.max("product_code").alias("_by_barcode")))
 
 
+def _barcode_key(code_col: str):
+    """Join key of the barcode lookup. A row that needs none (matched by code, or without a
+    barcode) gets a key of its own that no barcode equals, so such rows spread evenly instead
+    of meeting in the null partition."""
+    own = F.concat(F.lit("\u0000"), F.coalesce(code_col, F.lit("")), F.lit("\u0000"), F.coalesce("store", F.lit("")))
+    return F.when(F.col("_by_code").isNull() & F.col("barcode").isNotNull(), F.col("barcode")).otherwise(own)
+
+
 def match_products(platform_rows: DataFrame, book_products: DataFrame,
-                   code_col: str, use_barcode: bool,
-                   codes_bound_by: DataFrame | None = None) -> DataFrame:
+                   code_col: str, use_barcode: bool) -> DataFrame:
     """Platform row -> book product_code by platform code, else by barcode.
 
-    ``book_products``: (product_code, barcode), one row per book stock line. It is
-    reduced once to distinct (code, barcode) pairs (map-side partial aggregation, one
-    shuffle); the code set and the barcode map are both small derivations of those
-    pairs, so the book side crosses the network once. Adds ``matched_code`` (null = no
-    match). ``codes_bound_by``: the product catalogue the book codes come from; when it
-    passes the size check the code set is broadcast instead of shuffled.
+    ``book_products``: (product_code, barcode), one row per book stock line, reduced to
+    distinct (code, barcode) pairs first. Only rows whose code misses and that carry a
+    barcode take part in the barcode lookup. Adds ``matched_code`` (null = no match).
     """
     pairs = book_products.select("product_code", "barcode").distinct()
     codes = pairs.select(F.col("product_code").alias("_by_code")).distinct()
-    if codes_bound_by is not None:
-        codes = bounded_broadcast(codes, bound_by=codes_bound_by)
     out = platform_rows.join(codes, platform_rows[code_col] == codes["_by_code"], "left")
     if use_barcode:
-        out = out.join(barcode_map(pairs), "barcode", "left")
+        if "store" not in out.columns:
+            out = out.withColumn("store", F.lit(None).cast("string"))
+        known = barcode_map(pairs).withColumnRenamed("barcode", "_barcode")
+        out = out.withColumn("_key", _barcode_key(code_col))
+        out = out.join(known, out["_key"] == known["_barcode"], "left").drop("_key", "_barcode")
+        if "store" not in platform_rows.columns:
+            out = out.drop("store")
     else:
         out = out.withColumn("_by_barcode", F.lit(None).cast("string"))
     return out.withColumn("matched_code", F.coalesce("_by_code", "_by_barcode")).drop(
@@ -165,5 +171,4 @@ def unmatched_products(matched: DataFrame, names: DataFrame | None = None) -> Da
         out = out.join(nm, "platform_code", "left").withColumn(
             "product_name", F.coalesce("product_name", "_name")).drop("_name")
     return out.select("platform", "platform_code", "product_name", "barcode", "store_cnt",
-                      "total_qty").orderBy(F.col("platform").asc_nulls_last(), F.col("store_cnt").desc(),
-                                           F.col("platform_code").asc_nulls_last())
+                      "total_qty").orderBy(*unmatched_product_order())

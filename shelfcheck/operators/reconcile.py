@@ -113,16 +113,9 @@ def attach_dims(detail: DataFrame, stores: DataFrame, products: DataFrame | None
     """Name the keys: store_key -> customer_name, store_name; product_key -> code and name.
 
     ``stores`` must be unique per store_key and ``products`` unique per product_key,
-    so neither join can multiply rows. ``stores`` is broadcast when its size is
-    checked small; ``products`` joins by shuffle (AQE converts it when small).
+    so neither join can multiply rows.
     """
-    from shelfcheck.operators.common import bounded_broadcast
-
-    out = detail.join(
-        bounded_broadcast(stores.select("store_key", "customer_name", "store_name"), bound_by=stores),
-        "store_key",
-        "left",
-    )
+    out = detail.join(stores.select("store_key", "customer_name", "store_name"), "store_key", "left")
     if products is not None:
         pn = products.select("product_key", F.col("product_name").alias("_catalog_name"))
         out = out.join(pn, "product_key", "left")

@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 
 from shelfcheck.contracts import FLAG_VIRTUAL
 from shelfcheck.functions.rates import group_rate, row_rate
-from shelfcheck.operators.common import (
-    DIM_BROADCAST_ROWS,
-    bounded_broadcast,
-    fits_rows,
-    is_active_store,
-    sort_bounded,
-)
+from shelfcheck.operators.common import is_active_store
 
 PLATFORMS = ("jd", "mt")
 
 
+def customer_order() -> list:
+    """S2."""
+    return [(F.abs("jd_diff") + F.abs("mt_diff")).desc(), F.col("customer_name").asc_nulls_last()]
+
+
+def store_order() -> list:
+    """S3."""
+    return [F.col("customer_name").asc_nulls_last(), (F.abs("jd_diff") + F.abs("mt_diff")).desc(),
+            F.col("store_name").asc_nulls_last()]
+
+
 CARRIED = ["bojun_raw"] + [f"{p}_{m}" for p in PLATFORMS for m in ("raw", "net", "cmp", "base")]
 
 
@@ -70,35 +75,23 @@ def store_level(detail: DataFrame, stores: DataFrame, partials: DataFrame | None
     """Per (customer, store) carried sums, named through the store dimension.
 
     ``partials``: ``store_partials(detail)`` when the caller already holds it (a report
-    that also derives other per-store facts from it); then only one row per store is
-    joined and re-summed. Otherwise, with a checked-small store dimension the names are
-    attached map-side (broadcast) and one aggregation by name follows: one exchange,
-    partial sums before it. With a large dimension the detail is first reduced per
-    store key, so the shuffle join only sees one row per store.
+    that also derives other per-store facts from it). The detail is reduced per store key
+    first, so names are joined to, and summed over, one row per store.
     """
-    names = stores.select("store_key", "customer_name", "store_name")
-    small = fits_rows(stores, DIM_BROADCAST_ROWS)
-    if partials is not None:
-        named = partials.join(F.broadcast(names) if small else names, "store_key", "left")
-        return named.groupBy("customer_name", "store_name").agg(*_resum())
-    if small:
-        named = detail.join(F.broadcast(names), "store_key", "left")
-        return named.groupBy("customer_name", "store_name").agg(*_partial_sums())
-    named = store_partials(detail).join(names, "store_key", "left")
+    partials = store_partials(detail) if partials is None else partials
+    named = partials.join(stores.select("store_key", "customer_name", "store_name"), "store_key", "left")
     return named.groupBy("customer_name", "store_name").agg(*_resum())
 
 
-def customer_summary(store_rows: DataFrame, stores: DataFrame | None = None) -> DataFrame:
-    """A1 (+A3, A4) from store-level rows; S2 order. There are at most as many customers
-    as stores, so a checked-small ``stores`` lets the sort run in one partition."""
+def customer_summary(store_rows: DataFrame) -> DataFrame:
+    """A1 (+A3, A4) from store-level rows; S2 order."""
     agg = store_rows.groupBy("customer_name").agg(
         F.count(F.lit(1)).alias("store_cnt"), *_resum())
     out = _finish(agg).select(
         "customer_name", "store_cnt", "bojun_sum", "jd_sum", "jd_diff", "jd_rate",
         "mt_sum", "mt_diff", "mt_rate",
     )
-    return sort_bounded(out, [(F.abs("jd_diff") + F.abs("mt_diff")).desc(),
-                              F.col("customer_name").asc_nulls_last()], stores)
+    return out.orderBy(*customer_order())
 
 
 def store_ids(stores: DataFrame) -> DataFrame:
@@ -117,7 +110,7 @@ def attach_store_ids(df: DataFrame, stores: DataFrame, ids: DataFrame | None = N
     ``ids``: ``store_ids(stores)`` when the caller already holds it (shared by sheets).
     """
     ids = ids if ids is not None else store_ids(stores)
-    return df.join(bounded_broadcast(ids, bound_by=stores), "store_name", "left")
+    return df.join(ids, "store_name", "left")
 
 
 def store_summary(store_rows: DataFrame, stores: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -126,9 +119,7 @@ def store_summary(store_rows: DataFrame, stores: DataFrame, ids: DataFrame | Non
         "customer_name", "store_name", "bojun_sum", "jd_id", "jd_sum", "jd_diff", "jd_rate",
         "meituan_id", "mt_sum", "mt_diff", "mt_rate",
     )
-    return sort_bounded(out, [F.col("customer_name").asc_nulls_last(),
-                              (F.abs("jd_diff") + F.abs("mt_diff")).desc(),
-                              F.col("store_name").asc_nulls_last()], stores)
+    return out.orderBy(*store_order())
 
 
 def detail_report(named_detail: DataFrame, stores: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -43,7 +43,7 @@ def named_detail(spark: SparkSession, d: str) -> DataFrame:
 def customer_summary(spark: SparkSession, d: str) -> DataFrame:
     """A1 + A3 + A4 + S2: the customer sheet of the recon report."""
     st = tb.stores(spark, d)
-    return ru.customer_summary(ru.store_level(keyed_detail(spark, d), st), st)
+    return ru.customer_summary(ru.store_level(keyed_detail(spark, d), st))
 
 
 @register("store_summary")
@@ -88,19 +88,17 @@ def inactive_count(spark: SparkSession, d: str) -> DataFrame:
 def guard_inputs(spark: SparkSession, d: str, detail: DataFrame | None = None):
     """(live outlets, outlet stock, dealer products, product names) from the bound tables.
 
-    Outlet stock comes from the keyed detail's jd / mt sides in one pass (``inline`` of
-    a two-element array), keyed by the platform's outlet code: jd code = supplier key,
-    mt id = 'mt' + supplier key. Dealer totals come from the same detail.
+    Outlet stock (keyed by the platform's outlet code: jd code = supplier key, mt id =
+    'mt' + supplier key) and dealer totals come from one pass over the detail's sides.
     """
     from shelfcheck.operators import guard as gd
-    from shelfcheck.operators.common import bounded_broadcast
 
     det = detail if detail is not None else keyed_detail(spark, d)
     outlets = gd.live_outlets(tb.jd_outlets(spark, d), tb.mt_outlets(spark, d))
     stock = gd.outlet_stock(stacked=tb.outlet_stock_rows(det), assume_unique=True)
     st = tb.stores(spark, d)
-    book = det.join(bounded_broadcast(st.select("store_key", "customer_name"), bound_by=st),
-                    "store_key").select("customer_name", tb.product_code(), "bojun_qty")
+    book = (tb.side_rows(det).where(F.col("side") == tb.BOOK).join(st.select("store_key", "customer_name"), "store_key")
+            .select("customer_name", tb.product_code(), F.col("qty").alias("bojun_qty")))
     names = tb.products(spark, d).select(tb.product_code(), "product_name")
     return outlets, stock, gd.dealer_products(book), names
 
@@ -128,11 +126,8 @@ def outlet_detail(spark: SparkSession, d: str) -> DataFrame:
     from shelfcheck.operators import guard as gd
 
     outlets, stock, products, names = guard_inputs(spark, d)
-    worst = gd.outlet_summary(outlets, stock, products).first()
-    if worst is None:
-        return gd.outlet_detail("", "", "", stock, products.limit(0), names)
-    return gd.outlet_detail(worst["customer_name"], worst["platform"], worst["outlet_code"],
-                            stock, products, names)
+    worst = gd.worst_outlet(gd.outlet_summary(outlets, stock, products))
+    return gd.outlet_detail(worst, stock, products, names)
 
 
 # ---------------------------------------------------------------- matching
@@ -156,7 +151,7 @@ def unmatched_products(spark: SparkSession, d: str) -> DataFrame:
     det = keyed_detail(spark, d)
     codes = tb.product_codes(spark, d)
     matched = mt.match_products(tb.platform_rows(det, codes), tb.book_products(det), "platform_code",
-                                use_barcode=True, codes_bound_by=tb.products(spark, d))
+                                use_barcode=True)
     return mt.unmatched_products(matched, tb.platform_names(codes))
 
 
@@ -245,13 +240,9 @@ def geo_upsert(spark: SparkSession, d: str) -> DataFrame:
 def _map_points(spark: SparkSession, d: str) -> DataFrame:
     from shelfcheck.operators import geo
 
-    det = keyed_detail(spark, d)
-    code = F.col("store_key").cast("string")
-    jd_stock = det.where(F.col("jd_qty").isNotNull()).select(code.alias("store_code"), tb.product_code())
-    mt_stock = det.where(F.col("mt_qty").isNotNull()).select(
-        F.concat(F.lit("mt"), code).alias("store_id"), tb.product_code())
     return geo.map_points(tb.stores(spark, d), tb.jd_outlets(spark, d), tb.mt_outlets(spark, d),
-                          tb.geo_cache(spark, d), geo.point_sku_counts(jd_stock, mt_stock))
+                          tb.geo_cache(spark, d),
+                          geo.point_sku_counts(unique=tb.outlet_stock_rows(keyed_detail(spark, d))))
 
 
 @register("map_points")
@@ -267,7 +258,8 @@ def map_located(spark: SparkSession, d: str) -> DataFrame:
     """A10: map points in total and with coordinates."""
     from shelfcheck.operators import geo
 
-    return geo.located_count(_map_points(spark, d))
+    return geo.located_count(geo.located_points(tb.stores(spark, d), tb.jd_outlets(spark, d),
+                                                tb.mt_outlets(spark, d), tb.geo_cache(spark, d)))
 
 
 # ---------------------------------------------------------------- users
@@ -290,13 +282,12 @@ def user_list(spark: SparkSession, d: str) -> DataFrame:
 
 @register("book_pull_stats")
 def book_pull_stats(spark: SparkSession, d: str) -> DataFrame:
-    """I16: rows, distinct warehouses and distinct products of the book stock."""
+    """I16: records, distinct warehouses and distinct products of the book stock lines."""
     from shelfcheck.sources.pages import inventory_pull_stats
 
-    det = keyed_detail(spark, d).where(F.col("bojun_qty").isNotNull())
-    rows = det.join(tb.stores(spark, d).select("store_key", F.col("store_name").alias("store_warehouse")),
-                    "store_key").select("store_warehouse", tb.product_code())
-    return inventory_pull_stats(rows)
+    rows = (tb.stock_lines(spark, d).where(F.col("bojun_qty").isNotNull())
+            .join(tb.stores(spark, d).select("store_key", F.col("store_name").alias("store_warehouse")), "store_key"))
+    return inventory_pull_stats(rows.select("store_warehouse", tb.product_code()))
 
 
 @register("login_profiles_stream")

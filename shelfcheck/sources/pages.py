@@ -94,9 +94,12 @@ def load_pull(spark: SparkSession, root: str, path: str, version: str, **window)
 
 def inventory_pull_stats(rows: DataFrame) -> DataFrame:
     """I16: rows, distinct warehouses, distinct products of a pull."""
-    return rows.agg(F.count(F.lit(1)).alias("rows"),
-                    F.count_distinct("store_warehouse").alias("stores"),
-                    F.count_distinct("product_code").alias("products"))
+    # Counts per (warehouse, product) first: one exchange of reduced rows, then a distinct
+    # count over the pairs that are left.
+    pairs = rows.groupBy("store_warehouse", "product_code").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                     F.count_distinct("store_warehouse").alias("stores"),
+                     F.count_distinct("product_code").alias("products"))
 
 
 def filter_pull(rows: DataFrame, store: str | None = None, product: str | None = None,

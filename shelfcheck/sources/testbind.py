@@ -7,8 +7,6 @@ derived by Spark from the given parquet tables, so its size grows with them.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,34 +25,11 @@ JD_DISABLED = "停用"
 MT_RESTING = "休息中"
 
 
-_READS: dict[tuple, DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one test table; the reader (file listing, footer schema) is reused per session."""
-    key = (id(spark), os.path.abspath(sf_dir), name)
-    if key not in _READS:
-        _READS[key] = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return _READS[key]
-
-
-def _memo(fn):
-    """Reuse a bound frame per (session, folder): plans over read-only inputs are
-    immutable, and re-building them costs driver-side analysis on every call."""
-    cache: dict[tuple, DataFrame] = {}
-
-    def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (id(spark), os.path.abspath(sf_dir))
-        if key not in cache:
-            cache[key] = fn(spark, sf_dir)
-        return cache[key]
+    """Read one test table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    wrapped.__doc__ = fn.__doc__
-    wrapped.__name__ = fn.__name__
-    return wrapped
 
-
-@_memo
 def stock_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan of lineitem -> the wide line form of all three stock sides.
 
@@ -79,7 +54,6 @@ def stock_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store mapping (v_dim_store shape): one row per supplier.
 
@@ -109,14 +83,12 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("product_key"), F.col("p_name").alias("product_name")
     )
 
 
-@_memo
 def jd_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """jd outlet list: each supplier is an outlet of its dealer; live unless in debt."""
     st = stores(spark, sf_dir)
@@ -131,7 +103,6 @@ def jd_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def mt_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mt outlet list, same shape rule as jd with mt ids."""
     st = stores(spark, sf_dir)
@@ -174,7 +145,6 @@ def book_warehouses(store_parts: DataFrame, stores_df: DataFrame) -> DataFrame:
         F.col("internal_code").alias("store_code"))
 
 
-@_memo
 def store_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store alias table (alias -> store_name) for part of the renamed warehouses."""
     st = stores(spark, sf_dir)
@@ -200,7 +170,6 @@ def _barcode(prefix: str, key: str = "product_key"):
     return F.concat(F.lit(prefix), F.lpad(F.col(key).cast("string"), BARCODE_DIGITS, "0"))
 
 
-@_memo
 def product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per product: the code and barcode each platform lists it under, and its name."""
     p = table(spark, sf_dir, "part").select(
@@ -220,9 +189,24 @@ def product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(*cols)
 
 
+BOOK, JD, MT = "book", "jd", "mt"
+
+
+def side_rows(keyed_detail: DataFrame) -> DataFrame:
+    """The detail as one row per (store, product, side) that holds a quantity.
+
+    Book and platform consumers of one query both start here. What lies below the
+    ``inline`` needs all three quantities for every consumer, so its plans are equal and
+    Spark runs the scan and the reconciliation shuffle once and reuses them.
+    """
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("qty"))
+                      for s, c in ((BOOK, "bojun_qty"), (JD, "jd_qty"), (MT, "mt_qty"))])
+    return keyed_detail.select("store_key", "product_key", F.inline(sides)).where(F.col("qty").isNotNull())
+
+
 def book_products(keyed_detail: DataFrame) -> DataFrame:
     """(product_code, barcode) of the book side: products with book stock."""
-    return keyed_detail.where(F.col("bojun_qty").isNotNull()).select(
+    return side_rows(keyed_detail).where(F.col("side") == BOOK).select(
         product_code(), _barcode(BOOK_BARCODE_PREFIX).alias("barcode"))
 
 
@@ -232,19 +216,21 @@ def platform_rows(keyed_detail: DataFrame, codes: DataFrame) -> DataFrame:
     ``codes``: ``product_codes``; joined on the product key (one row per product, so
     no row is multiplied). Both platforms come out of one pass (``inline``).
     """
-    store = F.col("store_key").cast("string")
-    sides = F.array(
-        F.struct(F.lit(PLATFORM_JD).alias("platform"), F.col("jd_code").alias("platform_code"),
-                 store.alias("store"), F.col("jd_barcode").alias("barcode"),
-                 F.col("jd_qty").alias("qty")),
-        F.struct(F.lit(PLATFORM_MT).alias("platform"), F.col("mt_code").alias("platform_code"),
-                 F.concat(F.lit("mt"), store).alias("store"), F.col("mt_barcode").alias("barcode"),
-                 F.col("mt_qty").alias("qty")),
-    )
-    listed = keyed_detail.where(F.col("jd_qty").isNotNull() | F.col("mt_qty").isNotNull()).select(
-        "store_key", "product_key", "jd_qty", "mt_qty")
-    return (listed.join(codes.drop("product_name"), "product_key", "left")
-            .select(F.inline(sides)).where(F.col("qty").isNotNull()))
+    jd = F.col("side") == JD
+    rows = side_rows(keyed_detail).where(F.col("side") != BOOK).join(codes.drop("product_name"), "product_key", "left")
+    return rows.select(
+        _platform(), F.when(jd, F.col("jd_code")).otherwise(F.col("mt_code")).alias("platform_code"),
+        _outlet_code().alias("store"), F.when(jd, F.col("jd_barcode")).otherwise(F.col("mt_barcode")).alias("barcode"),
+        "qty")
+
+
+def _platform():
+    return F.when(F.col("side") == JD, F.lit(PLATFORM_JD)).otherwise(F.lit(PLATFORM_MT)).alias("platform")
+
+
+def _outlet_code():
+    code = F.col("store_key").cast("string")
+    return F.when(F.col("side") == JD, code).otherwise(F.concat(F.lit("mt"), code))
 
 
 def platform_names(codes: DataFrame) -> DataFrame:
@@ -260,22 +246,14 @@ def product_code():
 
 def outlet_stock_rows(keyed_detail: DataFrame) -> DataFrame:
     """(platform, outlet_code, product_code, qty) for both platforms in one pass."""
-    code = F.col("store_key").cast("string")
-    sides = F.array(
-        F.struct(F.lit(PLATFORM_JD).alias("platform"), code.alias("outlet_code"),
-                 F.col("jd_qty").alias("qty")),
-        F.struct(F.lit(PLATFORM_MT).alias("platform"),
-                 F.concat(F.lit("mt"), code).alias("outlet_code"), F.col("mt_qty").alias("qty")),
-    )
-    return (keyed_detail.select(product_code(), F.inline(sides))
-            .where(F.col("qty").isNotNull()))
+    return side_rows(keyed_detail).where(F.col("side") != BOOK).select(
+        _platform(), _outlet_code().alias("outlet_code"), product_code(), "qty")
 
 
 # Geocoder level names used by the bound geocode cache (values a geocoder returns).
 LEVEL_HOUSE, LEVEL_POI, LEVEL_DISTRICT = "门牌号", "兴趣点", "区县"
 
 
-@_memo
 def geo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The geocode cache (store_geo shape) as derived from the store addresses.
 
@@ -298,7 +276,6 @@ def geo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def geo_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later geocode batch over the same addresses: ok for a balance in [0, 9000)
     (so some fail rows turn ok, and ok rows above 9000 now fail and must keep their
@@ -318,7 +295,6 @@ def geo_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Login events from ``events``: one login per event, profile fields derived from it."""
     return logins_from_events(table(spark, sf_dir, "events"))

@@ -65,7 +65,8 @@ def test_summary_matches_all_pairs(spark):
 
 def test_outlet_detail_lists_unlisted_products_short_first(spark):
     _, stock, products = guard_fixture(spark)
-    rows = gd.outlet_detail("C1", PLATFORM_MT, "m1", stock, products).collect()
+    chosen = spark.createDataFrame([("C1", PLATFORM_MT, "m1")], "customer_name string, platform string, outlet_code string")
+    rows = gd.outlet_detail(chosen, stock, products).collect()
     by = {r["product_code"]: r for r in rows}
     assert by["p4"]["outlet_qty"] == 6 and by["p4"]["is_ok"] is True
     assert by["p1"]["outlet_qty"] is None and by["p1"]["gap"] == -10 and by["p1"]["is_ok"] is False
