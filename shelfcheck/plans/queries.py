@@ -98,7 +98,7 @@ def guard_inputs(spark: SparkSession, d: str, detail: DataFrame | None = None):
     stock = gd.outlet_stock(stacked=tb.outlet_stock_rows(det), assume_unique=True)
     st = tb.stores(spark, d)
     book = (tb.side_rows(det).where(F.col("side") == tb.BOOK).join(st.select("store_key", "customer_name"), "store_key")
-            .select("customer_name", tb.product_code(), F.col("qty").alias("bojun_qty")))
+            .select("customer_name", "product_code", F.col("qty").alias("bojun_qty")))
     names = tb.products(spark, d).select(tb.product_code(), "product_name")
     return outlets, stock, gd.dealer_products(book), names
 
@@ -350,3 +350,206 @@ def store_export(spark: SparkSession, d: str) -> DataFrame:
         F.col("store_key").alias("id"), "province", "city", "customer_name", "store_name",
         "internal_code", "remark", "jd_id", "meituan_id", "store_address")
     return export_table(st, "mapping")
+
+
+# ---------------------------------------------------------------- resolve, then reconcile
+
+def _resolved_sides(spark: SparkSession, d: str):
+    """(book, platform) rows of one pass with their resolved store and product."""
+    from shelfcheck.operators import resolve as rs
+
+    det, st = keyed_detail(spark, d), tb.stores(spark, d)
+    book = rs.resolve_book(tb.book_rows(det, st), st, tb.store_aliases(spark, d))
+    rows = tb.platform_rows(det, tb.product_codes(spark, d))
+    return book, rs.resolve_platform(rows, st, tb.book_products(det))
+
+
+def _resolved_detail(spark: SparkSession, d: str) -> DataFrame:
+    from shelfcheck.operators import resolve as rs
+
+    return rs.reconcile_resolved(*_resolved_sides(spark, d), tb.VIRTUAL_THRESHOLD)
+
+
+@register("recon_resolved_detail")
+def recon_resolved_detail(spark: SparkSession, d: str) -> DataFrame:
+    """J4 + J6 -> J1: the reconciliation of matched stores and products."""
+    names = tb.stores(spark, d).select("store_key", "customer_name", "store_name")
+    return _resolved_detail(spark, d).join(names, "store_key").select(
+        "customer_name", "store_name", "product_code", "bojun_qty", "jd_qty", "mt_qty", "jd_diff", "mt_diff", "flag")
+
+
+@register("recon_resolved_customer")
+def recon_resolved_customer(spark: SparkSession, d: str) -> DataFrame:
+    """The customer sheet over matched stores and products."""
+    return ru.customer_summary(ru.store_level(_resolved_detail(spark, d), tb.stores(spark, d)))
+
+
+@register("recon_resolved_balance")
+def recon_resolved_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Per platform: quantity in total, reconciled and unmatched."""
+    from shelfcheck.operators import resolve as rs
+
+    return rs.balance(_resolved_sides(spark, d)[1])
+
+
+# ---------------------------------------------------------------- report orders as ranks
+
+def ranked(df: DataFrame, order: list) -> DataFrame:
+    """``df`` with its 1-based place in ``order``, numbered without gathering the rows."""
+    from shelfcheck.operators.changes import ensure_ids
+
+    return ensure_ids(df.withColumn("rank", F.lit(None).cast("bigint")), "rank", order)
+
+
+@register("customer_rank")
+def customer_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every customer in the report."""
+    return ranked(customer_summary(spark, d), ru.customer_order()).select("customer_name", "rank")
+
+
+@register("store_rank")
+def store_rank(spark: SparkSession, d: str) -> DataFrame:
+    """S3: place of every store in the report."""
+    return ranked(store_summary(spark, d), ru.store_order()).select("customer_name", "store_name", "rank")
+
+
+@register("outlet_rank")
+def outlet_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every live outlet in the guard report."""
+    from shelfcheck.operators import guard as gd
+
+    return ranked(outlet_summary(spark, d), gd.summary_order()).select("platform", "outlet_code", "rank")
+
+
+@register("unmatched_store_rank")
+def unmatched_store_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every unmatched store."""
+    from shelfcheck.operators import match as mt
+
+    return ranked(unmatched_stores(spark, d), mt.unmatched_store_order()).select("store_name", "rank")
+
+
+@register("unmatched_product_rank")
+def unmatched_product_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every unmatched product."""
+    from shelfcheck.operators import match as mt
+
+    return ranked(unmatched_products(spark, d), mt.unmatched_product_order()).select("platform", "platform_code", "rank")
+
+
+@register("map_point_rank")
+def map_point_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every map point."""
+    from shelfcheck.operators import geo
+
+    return ranked(map_points(spark, d), geo.point_order()).select("point_type", "name", "rank")
+
+
+# ---------------------------------------------------------------- row expressions and keyed changes
+
+@register("scalar_texts")
+def scalar_texts(spark: SparkSession, d: str) -> DataFrame:
+    """X1, X2, X3, X5, X6, X8, X10 over orders and customers rendered as export text."""
+    from shelfcheck.functions import scalars as sc
+
+    o = tb.table(spark, d, "orders").select(
+        "o_orderkey", F.concat(F.lit("　 "), F.col("o_orderkey").cast("string"), F.lit(".0 ")).alias("cell"),
+        F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit(" ")).alias("word"),
+        F.col("o_totalprice").cast("string").alias("price"),
+        F.concat_ws(",", (F.col("o_orderkey") % 180).cast("string"),
+                    F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 90).cast("string"))).alias("place"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise(F.lit("")).alias("nick"),
+        F.concat(F.lit("id-"), F.col("o_custkey").cast("string"), F.lit("-long")).alias("ident"),
+        (F.col("o_custkey") + 100000).cast("string").alias("adcode"),
+        F.col("o_orderdate").cast("timestamp").alias("at"))
+    loc = sc.parse_location("place")
+    return o.select(
+        "o_orderkey", sc.coerce_cell("cell", "text").alias("cell_text"), sc.coerce_cell("price", "int").alias("price_int"),
+        sc.to_int("price").alias("price_trunc"), sc.strip_all("cell").alias("stripped"), sc.trim_spaces("word").alias("trimmed"),
+        sc.minute_text("at").alias("minute"), sc.adcode_prefix("adcode", "province").alias("province"),
+        sc.adcode_prefix("adcode", "city").alias("city"), loc["lng"].alias("lng"), loc["lat"].alias("lat"), loc["ok"].alias("located"),
+        sc.display_name("nick", "ident").alias("shown"))
+
+
+def _edits(spark: SparkSession, d: str):
+    """(table, changes): customers as an edited table, events as its change log."""
+    from shelfcheck.operators.changes import clean_changes
+
+    c = tb.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("remark"))
+    ev = tb.table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    kind = F.pmod(F.col("event_id"), F.lit(7))
+    op = (F.when(kind == 0, F.lit("insert")).when(kind == 1, F.lit("delete")).when(kind == 2, F.lit("upsert"))
+          .when(kind == 3, F.lit(None)).otherwise(F.lit("update")))
+    name = F.when(kind == 4, F.lit("  ")).otherwise(F.concat(F.lit(" n"), F.col("event_id").cast("string")))
+    fields = F.when(kind == 5, F.create_map(F.lit("remark"), F.col("event_type"))).otherwise(
+        F.create_map(F.lit("name"), name, F.lit("junk"), F.col("event_type")))
+    changes = ev.select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").cast("bigint").alias("id"),
+                        fields.alias("fields"))
+    clean, rejects = clean_changes(changes, ["name", "remark"], "name")
+    return c, clean, rejects
+
+
+@register("edit_rejects")
+def edit_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """F8: changes that are refused, with the reason."""
+    return _edits(spark, d)[2].select("seq", "reason")
+
+
+@register("edited_table")
+def edited_table(spark: SparkSession, d: str) -> DataFrame:
+    """M2: the table after all clean changes in sequence."""
+    from shelfcheck.operators.changes import apply_changes
+
+    table, clean, _ = _edits(spark, d)
+    return apply_changes(table, clean)[0]
+
+
+@register("edit_misses")
+def edit_misses(spark: SparkSession, d: str) -> DataFrame:
+    """M2: updates and deletes that found no row at their place in the sequence."""
+    from shelfcheck.operators.changes import change_misses
+
+    table, clean, _ = _edits(spark, d)
+    return change_misses(table, clean).select("seq", "id", "op")
+
+
+@register("user_flags")
+def user_flags(spark: SparkSession, d: str) -> DataFrame:
+    """M4: active flags set from error (off) and signup (on) events on the login profiles."""
+    from shelfcheck.operators import changes as ch
+    from shelfcheck.operators import logins as lg
+
+    users = lg.profile_from_logins(tb.logins(spark, d))
+    flags = tb.table(spark, d, "events").where(F.col("event_type").isin("error", "signup")).select(
+        F.concat(F.lit("ou_"), F.col("user_id").cast("string")).alias("open_id"),
+        (F.col("event_type") == "signup").alias("active"), F.col("event_id").alias("seq"))
+    stamp = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    return ch.set_active(users, flags, stamp)[0].select("open_id", "is_active", (F.col("updated_at") == stamp).alias("stamped"))
+
+
+@register("missing_addresses")
+def missing_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct store names without an address, when the address table knows every
+    third store and some names only blank or padded."""
+    from shelfcheck.operators import match as mt
+
+    st = tb.stores(spark, d)
+    src = st.where(F.col("store_key") % 3 == 0).select(
+        F.concat(F.lit("　"), "store_name", F.lit(" ")).alias("name"),
+        F.when(F.col("store_key") % 2 == 0, F.col("store_address")).otherwise(F.lit(" ")).alias("address"),
+        F.col("store_key").alias("line_no"))
+    return mt.address_match_report(st, mt.address_book(src))[1]
+
+
+@register("named_products")
+def named_products(spark: SparkSession, d: str) -> DataFrame:
+    """Names of a product per side fall back from book to jd to mt (max per side)."""
+    lines = tb.stock_lines(spark, d).join(tb.products(spark, d), "product_key")
+    even, third = F.col("product_key") % 2 == 0, F.col("product_key") % 3 == 0
+    named = lines.select(
+        "store_key", "product_key", "bojun_qty", "jd_qty", "mt_qty",
+        F.when(even & F.col("bojun_qty").isNotNull(), F.concat(F.lit("b "), "product_name")).alias("book_name"),
+        F.when(third & F.col("jd_qty").isNotNull(), F.concat(F.lit("j "), "product_name")).alias("jd_name"),
+        F.when(F.col("mt_qty").isNotNull(), F.concat(F.lit("m "), "product_name")).alias("mt_name"))
+    return rc.reconcile(named, tb.VIRTUAL_THRESHOLD).select("store_key", "product_key", "product_name")

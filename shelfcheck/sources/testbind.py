@@ -45,7 +45,10 @@ def stock_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     in_jd = rflag == "A"
     in_mt = (rflag == "N") & (F.col("l_linenumber") != 1)
     q = F.col("l_quantity").cast("bigint")
-    return li.where(in_book | in_jd | in_mt).select(
+    # A line belongs to a store and a product. Saying so here also keeps the plans of all
+    # consumers equal below the reconciliation, whichever key their joins ask for.
+    placed = F.col("l_suppkey").isNotNull() & F.col("l_partkey").isNotNull()
+    return li.where((in_book | in_jd | in_mt) & placed).select(
         F.col("l_suppkey").alias("store_key"),
         F.col("l_partkey").alias("product_key"),
         F.when(in_book, F.when(rflag == "R", -q).otherwise(q)).alias("bojun_qty"),
@@ -131,6 +134,10 @@ def _renamed(balance: str = "balance"):
     return (b >= RENAMED_FROM) & (b < RENAMED_TO)
 
 
+def _warehouse_name():
+    return F.when(_renamed(), F.concat("store_name", F.lit(WAREHOUSE_SUFFIX))).otherwise(F.col("store_name"))
+
+
 def book_warehouses(store_parts: DataFrame, stores_df: DataFrame) -> DataFrame:
     """Warehouse names (and codes) the book side reports: stores with book stock.
 
@@ -140,8 +147,7 @@ def book_warehouses(store_parts: DataFrame, stores_df: DataFrame) -> DataFrame:
     """
     wh = store_parts.where(F.col("bojun_raw").isNotNull()).select("store_key")
     return wh.join(stores_df, "store_key").select(
-        F.when(_renamed(), F.concat("store_name", F.lit(WAREHOUSE_SUFFIX)))
-        .otherwise(F.col("store_name")).alias("warehouse"),
+        _warehouse_name().alias("warehouse"),
         F.col("internal_code").alias("store_code"))
 
 
@@ -197,9 +203,12 @@ def side_rows(keyed_detail: DataFrame) -> DataFrame:
 
     Book and platform consumers of one query both start here. What lies below the
     ``inline`` needs all three quantities for every consumer, so its plans are equal and
-    Spark runs the scan and the reconciliation shuffle once and reuses them.
+    Spark runs the scan and the reconciliation shuffle once and reuses them. Codes are made
+    inside the generated rows for the same reason: a consumer's filter on them stays above.
     """
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("qty"))
+    codes = [F.col("store_key").cast("string").alias("store_code"), product_code(),
+             _barcode(BOOK_BARCODE_PREFIX).alias("book_barcode")]
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("qty"), *codes)
                       for s, c in ((BOOK, "bojun_qty"), (JD, "jd_qty"), (MT, "mt_qty"))])
     return keyed_detail.select("store_key", "product_key", F.inline(sides)).where(F.col("qty").isNotNull())
 
@@ -207,7 +216,13 @@ def side_rows(keyed_detail: DataFrame) -> DataFrame:
 def book_products(keyed_detail: DataFrame) -> DataFrame:
     """(product_code, barcode) of the book side: products with book stock."""
     return side_rows(keyed_detail).where(F.col("side") == BOOK).select(
-        product_code(), _barcode(BOOK_BARCODE_PREFIX).alias("barcode"))
+        "product_code", F.col("book_barcode").alias("barcode"))
+
+
+def book_rows(keyed_detail: DataFrame, stores_df: DataFrame) -> DataFrame:
+    """(warehouse, product_code, qty) of the book side, under the book's warehouse names."""
+    return (side_rows(keyed_detail).where(F.col("side") == BOOK).join(stores_df, "store_key")
+            .select(_warehouse_name().alias("warehouse"), "product_code", "qty"))
 
 
 def platform_rows(keyed_detail: DataFrame, codes: DataFrame) -> DataFrame:
@@ -229,7 +244,7 @@ def _platform():
 
 
 def _outlet_code():
-    code = F.col("store_key").cast("string")
+    code = F.col("store_code")
     return F.when(F.col("side") == JD, code).otherwise(F.concat(F.lit("mt"), code))
 
 
@@ -247,7 +262,7 @@ def product_code():
 def outlet_stock_rows(keyed_detail: DataFrame) -> DataFrame:
     """(platform, outlet_code, product_code, qty) for both platforms in one pass."""
     return side_rows(keyed_detail).where(F.col("side") != BOOK).select(
-        _platform(), _outlet_code().alias("outlet_code"), product_code(), "qty")
+        _platform(), _outlet_code().alias("outlet_code"), "product_code", "qty")
 
 
 # Geocoder level names used by the bound geocode cache (values a geocoder returns).
