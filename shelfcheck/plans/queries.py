@@ -553,3 +553,110 @@ def named_products(spark: SparkSession, d: str) -> DataFrame:
         F.when(third & F.col("jd_qty").isNotNull(), F.concat(F.lit("j "), "product_name")).alias("jd_name"),
         F.when(F.col("mt_qty").isNotNull(), F.concat(F.lit("m "), "product_name")).alias("mt_name"))
     return rc.reconcile(named, tb.VIRTUAL_THRESHOLD).select("store_key", "product_key", "product_name")
+
+
+@register("detail_rank")
+def detail_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every detail row in the report."""
+    order = [F.col(c).asc_nulls_last() for c in ("customer_name", "store_name", "product_code")]
+    return ranked(recon_detail(spark, d), order).select("store_name", "product_code", "rank")
+
+
+@register("listed_rank")
+def listed_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every listed guard row (short first, which is the order of the gap)."""
+    order = [F.col(c).asc_nulls_last() for c in ("customer_name", "platform", "outlet_name", "gap", "product_code")]
+    return ranked(guard_listed_detail(spark, d), order).select("platform", "outlet_code", "product_code", "rank")
+
+
+# ---------------------------------------------------------------- ingest over the tables as export text
+
+@register("typed_values")
+def typed_values(spark: SparkSession, d: str) -> DataFrame:
+    """I8 + I9 + I10: orders exported as padded text, typed again."""
+    from shelfcheck.sources.ingest import column_stats, format_values, infer_types
+
+    o = tb.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate")
+    text = o.select(*[F.concat(F.lit(" "), F.col(c).cast("string"), F.lit("　")).alias(n) for c, n in (
+        ("o_orderkey", "order_no"), ("o_custkey", "cust"), ("o_totalprice", "price"), ("o_orderpriority", "word"),
+        ("o_orderdate", "placed"))], F.lit("").alias("empty"))
+    return format_values(text, infer_types(text, column_stats(text)))
+
+
+@register("imported_mapping")
+def imported_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """The store export imported again, with rows that have no key and an unknown column."""
+    from shelfcheck.contracts import EDITED_TABLES
+    from shelfcheck.sources.ingest import import_table
+
+    out = store_export(spark, d).withColumn("序号", F.concat(F.col("内部编码"), F.lit(".9"))).withColumn("unknown", F.lit("x"))
+    heads = {en: zh for en, zh, _ in EDITED_TABLES["mapping"]["columns"]}
+    blank = out.select(*[F.when(F.lit(c in [heads[k] for k in EDITED_TABLES["mapping"]["key_fields"]]), F.lit(" "))
+                         .otherwise(F.col(c)).alias(c) for c in out.columns])
+    rows, _ = import_table(out.unionByName(blank), "mapping")
+    return rows.select("seq_no", "store_name", "customer_name", "jd_id", "jd_enable_status")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """API pages of one pull per brand, made of parts, 50 records a page; every seventh page of
+    a pull is missing and every fifth was rejected."""
+    from shelfcheck.contracts import PAGE_OK_CODE, PAGE_QTY_FIELDS, PAGE_TEXT_FIELDS
+
+    p = tb.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    key = F.col("p_partkey").cast("string")
+    other = F.col("p_partkey") % 2  # the API's two casings
+    values = {"store_code": key, "store_warehouse": F.col("p_brand"), "product_code": key,
+              "barcode": F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("69"), key)).otherwise(F.lit(""))}
+    entries = []
+    for c, names in PAGE_TEXT_FIELDS.items():
+        entries += [F.when(other == 1, names[0]).otherwise(names[1]), values[c]]
+    for f in PAGE_QTY_FIELDS.values():
+        entries += [F.lit(f), F.concat(F.col("p_size").cast("string"), F.lit(".7"))]
+    paged = p.select(F.col("p_brand").alias("pull"), (F.floor(F.col("p_partkey") / 50) + 1).alias("current"),
+                     F.create_map(*entries).alias("rec"))
+    pages = paged.groupBy("pull", "current").agg(F.collect_list("rec").alias("records"))  # at most 50 a page
+    last = p.agg((F.floor(F.max("p_partkey") / 50) + 1).alias("last"))
+    code = F.when(F.col("current") % 5 == 0, 500).otherwise(PAGE_OK_CODE).cast("bigint")
+    data = F.struct("current", F.lit(50).cast("bigint").alias("pageSize"), F.lit(0).cast("bigint").alias("total"),
+                    F.col("last").alias("totalPage"), "records")
+    return (pages.where(F.col("current") % 7 > 0).join(F.broadcast(last))  # one row
+            .select("pull", F.concat("pull", F.lit("/"), F.col("current").cast("string")).alias("source_file"),
+                    F.struct(code.alias("code"), F.lit("").alias("msg"), data.alias("data")).alias("page")))
+
+
+@register("pulled_rows")
+def pulled_rows(spark: SparkSession, d: str) -> DataFrame:
+    """I14 + I17 + X1: records of accepted pages as book rows, one warehouse."""
+    from shelfcheck.sources.pages import filter_pull, inventory_rows
+
+    return filter_pull(inventory_rows(_pages(spark, d)), store="Brand#11").select(
+        "store_code", "store_warehouse", "product_code", "barcode", "stock_qty", "allocatable")
+
+
+@register("missing_pages")
+def missing_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that did not land or were rejected."""
+    from shelfcheck.sources.pages import page_completeness
+
+    return page_completeness(_pages(spark, d))
+
+
+@register("load_messages")
+def load_messages(spark: SparkSession, d: str) -> DataFrame:
+    """K7: the message of load runs, their output lines made of orders."""
+    from shelfcheck.plans.tables import load_log_message
+
+    o = tb.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    n = F.col("o_custkey").cast("string")
+    runs = o.select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderkey") % 2 == 0).alias("ok"), F.array(
+        F.lit("start"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(n, F.lit(" rows, 8 cols"))).otherwise(F.lit("x")),
+        F.col("o_orderpriority"), F.lit("  "), F.lit("Warning: last")).alias("lines"))
+    return load_log_message(runs)
+
+
+@register("one_profile")
+def one_profile(spark: SparkSession, d: str) -> DataFrame:
+    """the profile of one user."""
+    from shelfcheck.operators import logins as lg
+
+    return lg.profile(lg.profile_from_logins(tb.logins(spark, d)), "ou_7")

@@ -38,14 +38,16 @@ def export_table(df: DataFrame, key: str) -> DataFrame:
 
 
 def load_log_row(spark: SparkSession, label: str, filename: str | None, size: int | None,
-                 state: str, message: str | None, operator: str | None) -> DataFrame:
-    """K6: one history row; the message is cut to its limit and '' becomes null."""
+                 state: str, message: str | None, operator: str | None,
+                 limit: int = LOAD_LOG_MESSAGE_LIMIT) -> DataFrame:
+    """K6: one history row; ``message`` is cut to ``limit`` for listings, ``full_message``
+    keeps it whole; '' becomes null."""
     row = spark.createDataFrame([(label, filename, size, state, message or "", operator or "")],
                                 "label string, filename string, size_bytes bigint, state string, "
                                 "message string, operator string")
     return row.select(
         F.current_timestamp().alias("created_at"), "label", "filename", "size_bytes", "state",
-        F.substring("message", 1, LOAD_LOG_MESSAGE_LIMIT).alias("message"),
+        F.substring("message", 1, limit).alias("message"), F.col("message").alias("full_message"),
         F.when(F.col("operator") != "", F.col("operator")).alias("operator"),
     )
 

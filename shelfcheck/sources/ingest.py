@@ -151,7 +151,7 @@ def skip_description_row(df: DataFrame) -> DataFrame:
     is_desc = F.lit(False)
     for m in DESCRIPTION_ROW_MARKERS:
         is_desc = is_desc | cell.contains(m)
-    joined = df.join(F.broadcast(firsts), "source_file", "left")
+    joined = df.join(firsts, "source_file", "left")
     return joined.where(~((F.col("source_pos") == F.col("_first")) & is_desc)).drop("_first")
 
 
