@@ -28,19 +28,16 @@ from array import array
 
 from pyspark.sql import DataFrame
 
-from shelfcheck.llm.util import map_text
+from shelfcheck.llm.util import map_text, worker_state
 
 # Distinct chunks, words and token pairs remembered per worker (bounded memory).
-CHUNKS, WORDS, PAIRS = 150_000, 150_000, 500_000
+CHUNKS, WORDS, PAIRS = 80_000, 80_000, 250_000
 
 # Characters whose normal form, lower case and class no Unicode version changes: printable
 # ASCII and the letters of Latin-1. Chunks of these skip the library's normaliser.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PLAIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
-_BUILT: dict = {}
-
-
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     table = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b != 173}
@@ -240,9 +237,7 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    if path not in _BUILT:
-        _BUILT[path] = Codec(path)
-    return _BUILT[path]
+    return worker_state(("bpe", path), lambda: Codec(path))
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, keep: list[str], text: str = "text",

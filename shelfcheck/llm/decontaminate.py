@@ -21,7 +21,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcheck.llm.util import map_text, materialize, prepare, words_bytes
+from shelfcheck.llm.util import map_text, materialize, prepare, words_bytes, worker_state
 
 WINDOW = 10
 # An automaton costs about 100 times the pattern bytes; larger benchmarks are scanned in
@@ -31,9 +31,6 @@ BLOCK_BYTES = 4_000_000
 SPANS = ("n_words long, n_hit long, items array<string>, "
          "spans array<struct<word_start:int,word_end:int,char_start:int,char_end:int>>")
 
-_BUILT: dict = {}
-
-
 def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
             window: int = WINDOW) -> DataFrame:
     """Distinct patterns with the ids (as strings) of the items that hold them."""
@@ -48,24 +45,21 @@ def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
             return out
         return fn
 
-    per_item = map_text(benchmark, text, [item_id], "patterns array<string>", make)
+    per_item = map_text(benchmark, text, [item_id], "patterns array<string>", make, stateful=False)
     return (per_item.where(F.col(item_id).isNotNull())
             .select(F.col(item_id).cast("string").alias("item"), F.explode("patterns").alias("pattern"))
             .groupBy("pattern").agg(F.array_sort(F.collect_set("item")).alias("items")))
 
 
-def _automaton(key, patterns):
-    if key not in _BUILT:
-        import ahocorasick
+def _automaton(patterns):
+    import ahocorasick
 
-        _BUILT.clear()
-        a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, (p, _) in enumerate(patterns):
-            a.add_word(f" {p} ", i)
-        if patterns:
-            a.make_automaton()
-        _BUILT[key] = (a, [items for _, items in patterns], [p.count(" ") + 1 for p, _ in patterns])
-    return _BUILT[key]
+    a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, (p, _) in enumerate(patterns):
+        a.add_word(f" {p} ", i)
+    if patterns:
+        a.make_automaton()
+    return a, [items for _, items in patterns], [p.count(" ") + 1 for p, _ in patterns]
 
 
 def scan(text: str | None, automaton, items_of, n_words_of, with_spans: bool = True):
@@ -131,7 +125,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
         key = uuid.uuid4().hex
 
         def make():
-            built = _automaton(key, pats.value)
+            built = worker_state(key, lambda: _automaton(pats.value))
             return lambda texts: [scan(t, *built) for t in texts]
 
         return map_text(frame, text, cols, SPANS, make)

@@ -21,7 +21,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcheck.llm.util import map_text, words_bytes
+from shelfcheck.llm.util import map_text, words_bytes, worker_state
 
 # The contract's base phrases with their labels.
 BASE = {
@@ -58,8 +58,6 @@ FIELDS = ("n_words long, n_base long, first_word long, last_word long, base_labe
           "labels array<string>, score double, "
           "spans array<struct<label:string,first_word:int,last_word:int,edits:int,similarity:double>>")
 
-_BUILT: dict = {}
-
 
 def edits_allowed(notice: str) -> int:
     return max(1, min(MAX_EDITS, len(notice) // CHARS_PER_EDIT))
@@ -149,9 +147,7 @@ def _best(spans: list[tuple]) -> list[tuple]:
 
 
 def scanner() -> Scanner:
-    if "own" not in _BUILT:
-        _BUILT["own"] = Scanner()
-    return _BUILT["own"]
+    return worker_state("licenses", Scanner)
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

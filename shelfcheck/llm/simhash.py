@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcheck.llm.graph import components
-from shelfcheck.llm.util import map_text, materialize, prepare
+from shelfcheck.llm.util import free_worker_state, map_text, materialize, prepare
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -60,7 +60,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``keep`` columns plus ``fp``, one row per document."""
     return map_text(docs, text, keep, "fp long",
-                    lambda: lambda texts: [(fingerprint(t, shingle),) for t in texts])
+                    lambda: lambda texts: [(fingerprint(t, shingle),) for t in texts], stateful=False)
 
 
 def _syndromes(words):
@@ -119,6 +119,7 @@ def replicate(nodes: DataFrame, threshold: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        free_worker_state()
         for b in batches:
             fps = b.column(0).to_pylist()
             made = [anchors(f, threshold) for f in fps]

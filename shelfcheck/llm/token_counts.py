@@ -21,13 +21,11 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcheck.llm.util import map_text, materialize, prepare
+from shelfcheck.llm.util import map_text, materialize, prepare, worker_state
 
 LIMIT = 4096
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
-_BUILT: dict = {}
-
 
 def tokenizer_digest(path: str) -> str:
     """Version of a tokenizer: digest of its file and of how it is called."""
@@ -37,20 +35,20 @@ def tokenizer_digest(path: str) -> str:
 
 def _counter(path: str):
     """A function from a list of texts to their token counts."""
-    if path not in _BUILT:
+    def build():
         if path.endswith(".model"):
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
-            _BUILT[path] = lambda texts: [len(sp.encode(t)) for t in texts]
-        else:
-            import tokenizers
-
-            tok = tokenizers.Tokenizer.from_file(path)
-            tok.no_truncation()
-            tok.no_padding()
-            _BUILT[path] = lambda texts: [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
-    return _BUILT[path]
+            return lambda texts: [len(sp.encode(t)) for t in texts]
+        import tokenizers
+
+        tok = tokenizers.Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        return lambda texts: [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+    return worker_state(("counts", path), build)
 
 
 def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame:

@@ -23,7 +23,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcheck.llm.util import map_text, materialize, prepare, words_bytes
+from shelfcheck.llm.util import map_text, materialize, prepare, words_bytes, worker_state
 
 BITS = 20
 TRAIN_ROWS = 12_000
@@ -32,8 +32,6 @@ EPOCHS = 2
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 THRESHOLD = 0.3
 
-_MODELS: dict = {}
-
 
 def features(text: str | None):
     """Hash slots of a text's features, repeats included; slot 0 is the constant."""
@@ -142,13 +140,13 @@ def score(docs: DataFrame, model: list[tuple[int, float]], keep: list[str], text
     key = uuid.uuid4().hex
 
     def make():
-        if key not in _MODELS:
-            _MODELS.clear()
+        def build():
             dense = np.zeros(1 << BITS)
             at, w = weights.value
             dense[at] = w
-            _MODELS[key] = dense, len(at) > 0
-        dense, learned = _MODELS[key]
+            return dense, len(at) > 0
+
+        dense, learned = worker_state(key, build)
 
         def one(t):
             if not learned:

@@ -21,6 +21,23 @@ _WORDS = bytes(i + 32 if 65 <= i <= 90 else
                i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
+# What the operator now running in this Python worker has built (automaton, codec, weights).
+_STATE: dict = {}
+
+
+def worker_state(key, build: Callable):
+    """``build()``, kept in this worker until another operator needs its memory."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = build()
+    return _STATE[key]
+
+
+def free_worker_state() -> None:
+    """For maps without a state of their own: let go of the last operator's."""
+    _STATE.clear()
+
+
 def prepare(spark: SparkSession) -> None:
     """Ship the package to the executors and bound the Arrow batches of this session."""
     sc = spark.sparkContext
@@ -65,12 +82,12 @@ def words_bytes(text: str | None) -> list[bytes]:
 
 
 def map_text(df: DataFrame, text_col: str, keep: list[str], out: str,
-             make: Callable[[], Callable[[list], list[tuple | None]]]) -> DataFrame:
+             make: Callable[[], Callable[[list], list[tuple | None]]], stateful: bool = True) -> DataFrame:
     """Per row of ``df``: ``keep`` columns plus the ``out`` fields computed from the text.
 
     ``make()`` runs once per task and returns a function from a list of texts (None for
     null) to one tuple per text, or None to leave the row out. No shuffle; one Arrow
-    batch is held at a time.
+    batch is held at a time. ``stateful=False``: ``make`` keeps no ``worker_state``.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -87,6 +104,8 @@ def map_text(df: DataFrame, text_col: str, keep: list[str], out: str,
         from pyspark.sql.pandas.types import to_arrow_schema
 
         want = to_arrow_schema(schema)
+        if not stateful:
+            free_worker_state()
         fn = make()
         for b in batches:
             rows = fn(b.column(n_keep).to_pylist())
