@@ -13,7 +13,7 @@ them, numbered from their partition's offset as ``zipWithIndex`` does. Keeping t
 between the passes instead would cost another copy of them on disk. ``docs`` must be
 deterministic, as a table scan is; the split of a scan is pinned for both passes, so that a
 lost executor does not change it, and the second pass fails if a partition does not give
-what was counted. The ids cross the network once, compressed.
+what was counted. The ids cross the network once.
 
 Shards are written below a shared folder under a name of the task attempt; the index, a
 Parquet table with one row per sequence, names the files of the attempts that succeeded.
@@ -29,7 +29,6 @@ import base64
 import hashlib
 import sys
 import uuid
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from shelfcheck.llm.util import materialize, prepare
+from shelfcheck.llm.util import materialize, prepare, worker_state
 from shelfcheck.llm.warc import _fs, _uri
 from shelfcheck.session import scratch_path
 
@@ -49,8 +48,6 @@ SCAN_SPLIT = "spark.sql.files.minPartitionNum"
 
 INDEX = "slot long, shard int, record int, file string, n_ids int, doc_id {id}, seq_no int"
 
-_BUILT: dict = {}
-
 
 # ---------------------------------------------------------------- permutation
 
@@ -126,9 +123,7 @@ class ByteBpe:
 
 
 def tokenizer(path: str, pattern: str) -> ByteBpe:
-    if path not in _BUILT:
-        _BUILT[path] = ByteBpe(path, pattern)
-    return _BUILT[path]
+    return worker_state(("ranks", path), lambda: ByteBpe(path, pattern))
 
 
 def sequences(text: str | None, tok: ByteBpe, stride: int = STRIDE) -> list[tuple[int, bytes]]:
@@ -205,7 +200,7 @@ def _materialise(rows: DataFrame, tokenizer_path: str, pattern: str, folder: str
                 pa.array([k for m in made for k, _ in m], pa.int32()),
                 b.column(0).take(pa.array(np.repeat(np.arange(len(made)), per_doc))),
                 pa.array([i for m in made for i in range(len(m))], pa.int32()),
-                pa.array([zlib.compress(ids, 1) for m in made for _, ids in m], pa.binary())], names=schema.names)
+                pa.array([ids for m in made for _, ids in m], pa.binary())], names=schema.names)
         if at != first.get(part, 0) + counts.get(part, 0):
             raise ValueError(f"partition {part} changed between the passes; docs must be deterministic")
 
@@ -229,7 +224,7 @@ def _materialise(rows: DataFrame, tokenizer_path: str, pattern: str, folder: str
                     open_shard, done = shard, 0
                 if slot != shard * per_shard + done:
                     raise ValueError(f"slot {slot} is out of place in shard {shard}")
-                out.write(zlib.decompress(ids))
+                out.write(ids)
                 records.append(done)
                 files.append(file)
                 done += 1
