@@ -10,8 +10,8 @@ Base phrases are found exactly, by the same automaton, at every place where thei
 stand consecutively.
 
 Defined cases: a null or empty text has no words, labels or spans and score 0; repeated
-rows give repeated results; a match that overlaps another notice's match with fewer edits is
-dropped; only the id and text columns are read.
+rows give repeated results; a match is dropped where another notice's match with fewer edits
+covers all its words; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -138,10 +138,13 @@ class Scanner:
 
 
 def _best(spans: list[tuple]) -> list[tuple]:
-    """Without the spans that overlap one with fewer edits (another version's notice)."""
+    """Without the spans that one with fewer edits covers (another version's notice).
+
+    A shorter notice inside a longer one does not displace it, however few its edits.
+    """
     kept: list[tuple] = []
     for s in sorted(spans, key=lambda s: (s[3], s[1])):
-        if not any(k[3] < s[3] and k[1] < s[2] and s[1] < k[2] for k in kept):
+        if not any(k[3] < s[3] and k[1] <= s[1] and s[2] <= k[2] for k in kept):
             kept.append(s)
     return sorted(kept)
 

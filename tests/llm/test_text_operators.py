@@ -199,6 +199,20 @@ def test_fuzzy_notices_match_an_edit_distance_search():
     assert s.scan("")[6] == 0.0 and s.scan(notice)[6] == 1.0
 
 
+def test_a_shorter_notice_inside_does_not_displace_an_edited_longer_one():
+    from shelfcheck.llm.licenses import Scanner
+
+    s = Scanner()
+    for text, edits in (("licenced under the gnu general public license version 3", 1),
+                        ("licensed under gnu general public license version 3", 4)):
+        _, _, _, _, _, labels, score, spans = s.scan(f"this is {text} or later")
+        assert labels == ["gpl", "gpl-3"] and score == 1.0
+        assert [(x[0], x[3]) for x in spans] == [("gpl", 0), ("gpl-3", edits)]
+    # Another version's notice over the same words still gives way to the better one.
+    assert s.scan("licenced under the gnu general public license version 2")[5] == ["gpl", "gpl-2"]
+    assert s.scan("licensed under cc by sa 4 0")[5] == ["cc-by", "cc-by-sa"]
+
+
 def test_toxicity_separates_held_out_rows_and_skips_their_labels(spark):
     import random
     from zlib import crc32
