@@ -93,8 +93,17 @@ class Scanner:
         self.verify = lru_cache(20_000)(self._verify)
 
     def _verify(self, notice: int, region: str) -> tuple:
-        return tuple((m.start(), m.end(), sum(m.fuzzy_counts))
-                     for m in self.patterns[notice].finditer(region))
+        # A search gives the best match wherever it stands, so the parts before and after it
+        # are searched in turn; the one before ends ahead of the space between the two.
+        least = len(self.notices[notice][0]) - edits_allowed(self.notices[notice][0])
+        found, parts = [], [(0, len(region))]
+        while parts:
+            lo, hi = parts.pop()
+            m = self.patterns[notice].search(region, lo, hi) if hi - lo >= least else None
+            if m and m.end() > m.start():
+                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                parts += [(lo, max(lo, m.start() - 1)), (m.end(), hi)]
+        return tuple(sorted(found))
 
     def scan(self, text: str | None) -> tuple:
         words = words_bytes(text)

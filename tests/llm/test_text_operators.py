@@ -213,6 +213,18 @@ def test_a_shorter_notice_inside_does_not_displace_an_edited_longer_one():
     assert s.scan("licensed under cc by sa 4 0")[5] == ["cc-by", "cc-by-sa"]
 
 
+def test_adjacent_copies_of_a_notice_all_get_spans():
+    import itertools
+
+    from shelfcheck.llm.licenses import Scanner
+
+    s = Scanner([("released under the mit license", "mit")], {})
+    copies = {"released under the mit license": 0, "released under the mit licence": 1, "released undr the mit licens": 2}
+    for order in itertools.product(copies, repeat=4):
+        spans = s.scan(" x ".join(order))[7]
+        assert [(x[1], x[3]) for x in spans] == [(6 * i, copies[c]) for i, c in enumerate(order)], order
+
+
 def test_toxicity_separates_held_out_rows_and_skips_their_labels(spark):
     import random
     from zlib import crc32
