@@ -165,7 +165,7 @@ def unmatched_products(matched: DataFrame, names: DataFrame | None = None) -> Da
         F.sum("qty").alias("qty"))
     out = per_store.groupBy("platform", "platform_code").agg(
         F.max("product_name").alias("product_name"), F.max("barcode").alias("barcode"),
-        F.count(F.lit(1)).alias("store_cnt"), F.sum("qty").alias("total_qty"))
+        F.count("store").alias("store_cnt"), F.sum("qty").alias("total_qty"))
     if names is not None:
         nm = names.groupBy("platform_code").agg(F.max("product_name").alias("_name"))
         out = out.join(nm, "platform_code", "left").withColumn(

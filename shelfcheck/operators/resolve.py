@@ -42,9 +42,10 @@ def resolved() -> "F.Column":
 
 def reconcile_resolved(book: DataFrame, platform: DataFrame, virtual_threshold: int) -> DataFrame:
     """J1 over what resolved: one row per (store_key, product_code) with quantities, diffs
-    and flag. Inputs are ``resolve_book`` / ``resolve_platform`` results."""
+    and flag. Inputs are ``resolve_book`` / ``resolve_platform`` results. Book rows carry the
+    book's own code, so only their store has to resolve; rows without a code share a key."""
     keys = ("store_key", "product_code")
-    sides = {"book": book.where(resolved())}
+    sides = {"book": book.where(F.col("store_key").isNotNull())}
     for name, side in SIDE_OF.items():
         sides[side] = platform.where(resolved() & (F.col("platform") == name))
     lines = stack_sides(sides, keys=keys).drop("book_name", "jd_name", "mt_name")

@@ -86,7 +86,7 @@ def store_level(detail: DataFrame, stores: DataFrame, partials: DataFrame | None
 def customer_summary(store_rows: DataFrame) -> DataFrame:
     """A1 (+A3, A4) from store-level rows; S2 order."""
     agg = store_rows.groupBy("customer_name").agg(
-        F.count(F.lit(1)).alias("store_cnt"), *_resum())
+        F.count("store_name").alias("store_cnt"), *_resum())
     out = _finish(agg).select(
         "customer_name", "store_cnt", "bojun_sum", "jd_sum", "jd_diff", "jd_rate",
         "mt_sum", "mt_diff", "mt_rate",

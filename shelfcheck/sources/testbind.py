@@ -35,7 +35,8 @@ def stock_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     book: linestatus F, negative for returns (R); jd: returnflag A;
     mt: returnflag N and linenumber <> 1. Lines in none of the three are filtered by a
-    predicate on raw columns, which reaches the parquet reader.
+    predicate on raw columns, which reaches the parquet reader. Lines without a store or a
+    product stay: they count in the sums.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"
@@ -45,10 +46,7 @@ def stock_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     in_jd = rflag == "A"
     in_mt = (rflag == "N") & (F.col("l_linenumber") != 1)
     q = F.col("l_quantity").cast("bigint")
-    # A line belongs to a store and a product. Saying so here also keeps the plans of all
-    # consumers equal below the reconciliation, whichever key their joins ask for.
-    placed = F.col("l_suppkey").isNotNull() & F.col("l_partkey").isNotNull()
-    return li.where((in_book | in_jd | in_mt) & placed).select(
+    return li.where(in_book | in_jd | in_mt).select(
         F.col("l_suppkey").alias("store_key"),
         F.col("l_partkey").alias("product_key"),
         F.when(in_book, F.when(rflag == "R", -q).otherwise(q)).alias("bojun_qty"),
@@ -203,14 +201,16 @@ def side_rows(keyed_detail: DataFrame) -> DataFrame:
 
     Book and platform consumers of one query both start here. What lies below the
     ``inline`` needs all three quantities for every consumer, so its plans are equal and
-    Spark runs the scan and the reconciliation shuffle once and reuses them. Codes are made
-    inside the generated rows for the same reason: a consumer's filter on them stays above.
+    Spark runs the scan and the reconciliation shuffle once and reuses them. Keys and codes
+    come out of the generated rows for the same reason: a consumer's filter on them (a join
+    asks for keys that are not null) stays above.
     """
+    keys = [F.col("store_key"), F.col("product_key")]
     codes = [F.col("store_key").cast("string").alias("store_code"), product_code(),
              _barcode(BOOK_BARCODE_PREFIX).alias("book_barcode")]
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("qty"), *codes)
+    sides = F.array(*[F.struct(*keys, F.lit(s).alias("side"), F.col(c).alias("qty"), *codes)
                       for s, c in ((BOOK, "bojun_qty"), (JD, "jd_qty"), (MT, "mt_qty"))])
-    return keyed_detail.select("store_key", "product_key", F.inline(sides)).where(F.col("qty").isNotNull())
+    return keyed_detail.select(F.inline(sides)).where(F.col("qty").isNotNull())
 
 
 def book_products(keyed_detail: DataFrame) -> DataFrame:
