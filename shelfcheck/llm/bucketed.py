@@ -1,0 +1,69 @@
+"""Bucketed tables below a shared folder: joins on the bucket key read them without a shuffle.
+
+Files lie in the first folder named by the newest row of a small log; a session declares the
+table over that folder, so it outlives sessions without a metastore. Appending adds a file
+per bucket at most. ``compact`` writes all buckets anew, one sorted file each, into a new
+folder and then logs it, so a reader or a failed run only ever sees whole versions.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LOG = "version int, folder string, buckets int, key string, columns string"
+
+
+class Bucketed:
+    """One table: ``columns`` (DDL), bucketed and sorted by ``key``."""
+
+    def __init__(self, spark: SparkSession, path: str, entry):
+        self.spark, self.path, self.entry = spark, path, entry
+        self.key, self.buckets, self.columns = entry["key"], entry["buckets"], entry["columns"]
+        self.name = f"bucketed_{entry['folder'].replace('-', '_')}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({self.columns}) USING parquet "
+                  f"CLUSTERED BY ({self.key}) SORTED BY ({self.key}) INTO {self.buckets} BUCKETS "
+                  f"LOCATION '{path}/{entry['folder']}'")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, columns: str, key: str, buckets: int | None = None) -> Bucketed:
+        """The table at ``path``; created with ``buckets`` (the session's shuffle partitions if
+        not given) where there is none."""
+        try:
+            last = spark.read.schema(LOG).parquet(f"{path}/_log").orderBy(F.col("version").desc()).first()
+        except AnalysisException:
+            last = None
+        if last is None:
+            last = cls._log(spark, path, 0, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), key, columns)
+        return cls(spark, path, last)
+
+    @staticmethod
+    def _log(spark, path, version, buckets, key, columns):
+        row = (version, f"v{version}-{uuid.uuid4().hex[:12]}", buckets, key, columns)
+        frame = spark.createDataFrame([row], LOG)
+        frame.coalesce(1).write.mode("append").parquet(f"{path}/_log")
+        return frame.first()
+
+    def frame(self) -> DataFrame:
+        self.spark.catalog.refreshTable(self.name)
+        return self.spark.table(self.name)
+
+    def append(self, rows: DataFrame, placed: bool = False) -> None:
+        """``placed``: the rows already lie in ``buckets`` partitions by the key."""
+        rows = rows.select(*self.frame().columns)
+        if not placed:
+            rows = rows.repartition(self.buckets, self.key)
+        rows.write.insertInto(self.name)
+
+    def compact(self, buckets: int | None = None) -> Bucketed:
+        """All rows in one sorted file per bucket; the way to more buckets as a table grows."""
+        entry = {"version": self.entry["version"] + 1, "buckets": buckets or self.buckets}
+        entry |= {"folder": f"v{entry['version']}-{uuid.uuid4().hex[:12]}", "key": self.key, "columns": self.columns}
+        new = Bucketed(self.spark, self.path, entry)
+        new.append(self.frame())
+        self.spark.createDataFrame([tuple(entry[c] for c in ("version", "folder", "buckets", "key", "columns"))], LOG) \
+            .coalesce(1).write.mode("append").parquet(f"{self.path}/_log")
+        return new

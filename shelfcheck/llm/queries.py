@@ -165,3 +165,22 @@ def op3_training_order(spark: SparkSession, d: str) -> DataFrame:
     placed = to.round_trip(table(spark, d, "documents"),
                            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return placed.select("doc_id", "seq_no", "slot", "shard", "byte_offset", "n_ids", "ids_sha256")
+
+
+@register
+def op12_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the one that stays of its equal texts. Each run starts its own index
+    and fills it in two deliveries, so the second one meets what the first one left."""
+    from shelfcheck.llm import digest_index as di
+
+    index = di.DigestIndex(spark, scratch_path(spark, "llm", f"digest-index-{uuid.uuid4().hex}"))
+    return di.dedupe(table(spark, d, "documents"), index)
+
+
+ORACLE["op12_exact_dedup"] = """
+WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                           'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
+FROM t
+"""
