@@ -184,3 +184,37 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
        doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
 FROM t
 """
+
+
+@register
+def op11_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector's cluster after three exact rounds of 16 centroids."""
+    from shelfcheck.llm import heap_kmeans as hk
+
+    assigned, centroids, _ = hk.cluster(table(spark, d, "embeddings"))
+    return hk.with_inertia(assigned, centroids)
+
+
+# Vectors as one row per component; a round assigns, then moves the centroids that have vectors.
+_ASSIGN = """
+d{r} AS MATERIALIZED (SELECT v.vec_id, c.c, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d
+  FROM v JOIN c{r} c ON c.pos = v.pos GROUP BY v.vec_id, c.c),
+a{r} AS MATERIALIZED (SELECT vec_id, arg_min(c, d * 100 + c)::INTEGER AS c, min(d) AS d FROM d{r} GROUP BY vec_id)"""
+_MOVE = """,
+c{n} AS MATERIALIZED (SELECT c.c, c.pos, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+  SELECT a.c, v.pos, floor(sum(v.x) / count(*))::BIGINT AS x FROM a{r} a JOIN v USING (vec_id) GROUP BY a.c, v.pos) m
+  ON m.c = c.c AND m.pos = c.pos),"""
+ORACLE["op11_clusters"] = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+v AS MATERIALIZED (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM kept),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM kept
+          ORDER BY sha256('1:' || vec_id) LIMIT 16),
+c0 AS MATERIALIZED (SELECT first.c, v.pos, v.x FROM first JOIN v USING (vec_id)),""" + "".join(
+    _ASSIGN.format(r=r) + (_MOVE.format(r=r, n=r + 1) if r < 3 else "") for r in range(4)) + """,
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY pos)) AS s FROM c3 GROUP BY c)
+SELECT a.vec_id, a.c AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia, h.s AS centroid_sha256
+FROM a3 a JOIN h USING (c)
+"""
