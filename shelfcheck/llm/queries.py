@@ -218,3 +218,37 @@ SELECT a.vec_id, a.c AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a
        (sum(a.d) OVER ())::BIGINT AS inertia, h.s AS centroid_sha256
 FROM a3 a JOIN h USING (c)
 """
+
+
+@register
+def op13_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector as 16 codebook numbers, with the error they leave."""
+    from shelfcheck.llm import cover_codes as cc
+
+    return cc.with_label_error(*cc.compress(table(spark, d, "embeddings")))
+
+
+# Parts as one row per component: p part, pos position within it, e entry.
+_PART_ASSIGN = """
+a{r} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, d * 100 + e)::INTEGER AS e, min(d) AS d FROM (
+  SELECT v.vec_id, v.p, c.e, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d
+  FROM v JOIN c{r} c ON c.p = v.p AND c.pos = v.pos GROUP BY v.vec_id, v.p, c.e) GROUP BY vec_id, p)"""
+_PART_MOVE = """,
+c{n} AS MATERIALIZED (SELECT c.p, c.e, c.pos, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+  SELECT a.p, a.e, v.pos, floor(sum(v.x) / count(*))::BIGINT AS x
+  FROM a{r} a JOIN v ON v.vec_id = a.vec_id AND v.p = a.p GROUP BY a.p, a.e, v.pos) m
+  ON m.p = c.p AND m.e = c.e AND m.pos = c.pos),"""
+ORACLE["op13_codes"] = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS f, len(embedding) // 16 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+flat AS (SELECT vec_id, w, unnest(f) AS x, generate_subscripts(f, 1) - 1 AS i FROM kept),
+v AS MATERIALIZED (SELECT vec_id, i // w AS p, i % w AS pos, x FROM flat),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64),
+c0 AS MATERIALIZED (SELECT v.p, first.e, v.pos, v.x FROM first JOIN v USING (vec_id)),""" + "".join(
+    _PART_ASSIGN.format(r=r) + (_PART_MOVE.format(r=r, n=r + 1) if r < 2 else "") for r in range(3)) + """,
+coded AS (SELECT vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT coded.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, pos)) FROM c2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""

@@ -31,7 +31,7 @@ def integers(vector: Column, scale: int) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int"))
 
 
-def to_blocks(rows: DataFrame, dim: int, carry: str = "", fields: str = "", build=None) -> DataFrame:
+def to_blocks(rows: DataFrame, dim: int, carry: str = "", fields: str = "", build=None, size: int = ROWS) -> DataFrame:
     """Blocks of ``rows`` (vec_id long, vector array<int>, and the ``carry`` column, an int),
     in scan order, with what ``build(vectors)`` makes of a block's vectors (``fields``, DDL).
 
@@ -60,10 +60,10 @@ def to_blocks(rows: DataFrame, dim: int, carry: str = "", fields: str = "", buil
 
         for b in batches:
             while b.num_rows:
-                kept.append(b.slice(0, ROWS - held))
+                kept.append(b.slice(0, size - held))
                 held += kept[-1].num_rows
                 b = b.slice(kept[-1].num_rows)
-                if held == ROWS:
+                if held == size:
                     yield block(pa.Table.from_batches(kept).combine_chunks().to_batches()[0])
                     done, kept, held = done + 1, [], 0
         if held:
