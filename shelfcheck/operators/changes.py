@@ -1,17 +1,19 @@
-"""M1-M4, F8: keyed changes to stored tables, applied as whole-table rewrites.
+"""M1-M4, F8: keyed changes to stored tables.
 
-Spark has no in-place row update on plain parquet, so each operator returns the new
-version of the table; the caller publishes it (sources.ingest.publish). All "last
-change wins" logic is an aggregate (``max_by`` on a sequence number), never a window
-over a key, so a key with very many changes is reduced map-side.
+Each operator is a rule: rows and changes in, the new rows out. Over whole frames that is a
+rewrite; ``geo_table`` and ``edit_table`` bind the rules to a merge-on-read table
+(sources/keyed.py), where a change costs what it touches. All "last change wins" logic is an
+aggregate (``max_by`` on a sequence number), never a window over a key, so a key with very
+many changes is reduced map-side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfcheck.functions.scalars import blank_to_null
+from shelfcheck.sources.keyed import KeyedTable
 
 GEO_OK, GEO_FAIL = "ok", "fail"
 OPS = ("insert", "update", "delete")
@@ -28,9 +30,11 @@ def upsert_geo(cache: DataFrame, results: DataFrame) -> DataFrame:
     ok -> every field is taken from the result; fail -> only status and time change,
     earlier coordinates stay. Of several results for one address the latest gives status
     and time, and the latest *ok* one the fields, as applying them in turn would.
-    Re-applying the same batch gives the same table.
+    Re-applying the same batch gives the same table. Results of several batches in one frame
+    carry ``_version``, the batch's place in the order of application.
     """
-    at = F.struct("updated_at", "status")
+    turn = ["_version"] if "_version" in results.columns else []
+    at = F.struct(*turn, "updated_at", "status")
     was_ok = F.col("status") == GEO_OK
     latest = results.groupBy("address").agg(
         F.max_by(F.struct("status", "updated_at"), at).alias("last"),
@@ -71,11 +75,16 @@ def clean_changes(changes: DataFrame, editable: list[str], required: str) -> tup
 
 
 def apply_changes(table: DataFrame, changes: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """M2: apply inserts, updates (supplied fields only) and deletes, in ``seq`` order.
+    """M2: (new table, misses) after inserts, updates and deletes in ``seq`` order: a miss is an
+    update or delete that finds no row at its place in the sequence."""
+    return changed_table(table, changes, key), change_misses(table, changes, key)
+
+
+def changed_table(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """M2: the table after all changes (updates change supplied fields only).
 
     Per key, changes before the latest insert/delete are superseded by it; each field
-    takes its last supplied value after that point. Returns (new table, misses): a miss
-    is an update or delete that finds no row at its place in the sequence.
+    takes its last supplied value after that point. ``seq`` may be of any ordered type.
     """
     cols = [c for c in table.columns if c != key]
     resets = changes.where(F.col("op").isin("insert", "delete")).groupBy(key).agg(
@@ -99,9 +108,7 @@ def apply_changes(table: DataFrame, changes: DataFrame, key: str = "id") -> tupl
         base_val = F.when(~F.coalesce(inserted, F.lit(False)), F.col(c))
         out_cols.append(F.when(supplied, F.try_element_at("m", F.lit(c)).cast(table.schema[c].dataType))
                         .otherwise(base_val).alias(c))
-    new_table = merged.where(exists).select(*out_cols)
-
-    return new_table, change_misses(table, changes, key)
+    return merged.where(exists).select(*out_cols)
 
 
 def change_misses(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -169,6 +176,27 @@ def set_active(users: DataFrame, flags: DataFrame, now_col=None) -> tuple[DataFr
     return out.select(*users.columns), misses
 
 
+# ---------------------------------------------------------------- M1 / M2 over merge-on-read tables
+
+GEO_COLUMNS = ("address string, lng double, lat double, adcode string, formatted_address string, level string, "
+               "status string, updated_at timestamp")
+CHANGE_COLUMNS = "seq bigint, op string, {key} bigint, fields map<string, string>"
+
+
+def geo_table(spark: SparkSession, root: str, buckets: int | None = None) -> KeyedTable:
+    """M1: the geocode cache; its changes are batches of geocode results."""
+    return KeyedTable(spark, root, upsert_geo, GEO_COLUMNS, GEO_COLUMNS, "address", buckets)
+
+
+def edit_table(spark: SparkSession, root: str, columns: str, key: str = "id", buckets: int | None = None) -> KeyedTable:
+    """M2: an edited table (``columns`` DDL with a bigint ``key``); its changes are clean ones
+    (``clean_changes``), applied batch after batch and by ``seq`` within a batch."""
+    def merge(rows: DataFrame, changes: DataFrame) -> DataFrame:
+        return changed_table(rows, changes.withColumn("seq", F.struct("_version", "seq")).drop("_version"), key)
+
+    return KeyedTable(spark, root, merge, columns, CHANGE_COLUMNS.format(key=key), key, buckets)
+
+
 def sort_for_listing(df: DataFrame, required: str, key: str = "id") -> DataFrame:
     """Required field nulls last, then id."""
     return df.orderBy(F.col(required).asc_nulls_last(), F.col(key).asc_nulls_last())

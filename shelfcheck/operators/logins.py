@@ -24,6 +24,14 @@ def _order():
     return F.struct("ts", "event_id")
 
 
+def accepted(logins: DataFrame) -> DataFrame:
+    """Each event once: of events that share an id one counts, the first to arrive. An event
+    without an id cannot be told from another, so each such row counts. Batch or streaming
+    (there the ids are state, spread by id)."""
+    has_id = F.col("event_id").isNotNull()
+    return logins.where(has_id).dropDuplicates(["event_id"]).unionByName(logins.where(~has_id))
+
+
 def profile_from_logins(logins: DataFrame) -> DataFrame:
     """Per open_id: first / last login, count; latest name, avatar, union id and
     platform user id (which may turn null); email and mobile keep the last non-null value;
@@ -84,6 +92,23 @@ def merge_profiles(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return j.select(*[cols[c].alias(c) for c in [*PROFILE_COLS, *FOLD_COLS]])
 
 
+def fold_profiles(stored: DataFrame, batches: DataFrame) -> DataFrame:
+    """M5 as a rule of a merge-on-read table: profile rows of many batches (``_version``) folded
+    into the stored ones by one aggregate, the same result as ``merge_profiles`` in turn."""
+    rows = stored.withColumn("_version", F.lit(-1).cast("bigint")).unionByName(batches)
+
+    def own(c: str):
+        return F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_version"))).alias(c)
+
+    aggs = [F.max_by(c, "_last").alias(c) for c in ("union_id", "feishu_user_id", "name", "avatar_url")]
+    aggs += [F.max_by("email", "_email_at").alias("email"), F.max_by("mobile", "_mobile_at").alias("mobile")]
+    aggs += [own(c) for c in ("source", "is_admin", "is_active")]
+    aggs += [F.min("first_login_at").alias("first_login_at"), F.max("last_login_at").alias("last_login_at"),
+             F.sum("login_count").alias("login_count"), F.max("updated_at").alias("updated_at")]
+    aggs += [F.max(c).alias(c) for c in FOLD_COLS]
+    return rows.groupBy("open_id").agg(*aggs).select(*PROFILE_COLS, *FOLD_COLS)
+
+
 def profile(profiles: DataFrame, open_id: str) -> DataFrame:
     """one profile by key (or none), time shown to the minute."""
     return profiles.where(F.col("open_id") == open_id).select(

@@ -5,6 +5,7 @@ They run the library operators over the bound test tables (sources/testbind.py).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,18 @@ from pyspark.sql import functions as F
 
 from shelfcheck.operators import reconcile as rc
 from shelfcheck.operators import rollup as ru
+from shelfcheck.session import scratch_path
 from shelfcheck.sources import testbind as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a query's own tables, below the shared checkpoint folder."""
+    return scratch_path(spark, "queries", f"{name}-{uuid.uuid4().hex}")
+
+
 def register(name: str):
     def deco(fn: Query) -> Query:
         REGISTRY[name] = fn
@@ -231,10 +238,16 @@ def geo_coarse(spark: SparkSession, d: str) -> DataFrame:
 
 @register("geo_upsert")
 def geo_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """M1: a later geocode batch merged into the cache (fail keeps coordinates)."""
-    from shelfcheck.operators.changes import upsert_geo
+    """M1: geocode batches merged into the stored cache on read (fail keeps coordinates): one in
+    which every address fails, compacted, and a later one of which the result is shown."""
+    from shelfcheck.operators.changes import geo_table
 
-    return upsert_geo(tb.geo_cache(spark, d), tb.geo_results(spark, d))
+    cache, results = geo_table(spark, scratch(spark, "geo")), tb.geo_results(spark, d)
+    cache.replace(tb.geo_cache(spark, d))
+    cache.append(results.withColumn("status", F.lit("fail")).withColumn("updated_at", F.col("updated_at") - F.expr("INTERVAL 1 DAY")))
+    cache.compact()
+    cache.append(results)
+    return cache.read()
 
 
 def _map_points(spark: SparkSession, d: str) -> DataFrame:
@@ -294,18 +307,17 @@ def book_pull_stats(spark: SparkSession, d: str) -> DataFrame:
 def login_profiles_stream(spark: SparkSession, d: str) -> DataFrame:
     """M5: the same profiles, built by Structured Streaming over the landed events: they
     arrive in three deliveries that interleave in time (the later ones are all late), and a
-    fourth delivers a part of them again."""
-    import uuid
-
+    fourth delivers a part of them again with another time. Some events lack their time, some
+    their id; those without an id are delivered once."""
     from shelfcheck.operators.logins import PROFILE_COLS
-    from shelfcheck.session import scratch_path
     from shelfcheck.streaming.logins import profiles_via_stream
 
-    landing = scratch_path(spark, "landing", uuid.uuid4().hex)
-    events = tb.table(spark, d, "events")
-    part = F.pmod(F.col("event_id"), F.lit(3))
-    for k, rows in enumerate([events.where(part == 2), events.where(part == 0), events.where(part == 1),
-                              events.where(F.col("event_id") % 10 == 0)]):
+    landing = scratch(spark, "landing")
+    events, number = tb.table(spark, d, "events"), F.col("event_id")
+    events = events.withColumn("ts", F.when(number % 89 != 7, F.col("ts")))
+    part, named = F.pmod(number, F.lit(3)), F.when(number % 97 != 5, number)
+    again = events.where((number % 10 == 0) & named.isNotNull()).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
+    for k, rows in enumerate([*[events.where(part == x).withColumn("event_id", named) for x in (2, 0, 1)], again]):
         rows.write.parquet(f"{landing}/delivery{k}")
     return profiles_via_stream(spark, f"{landing}/*", tb.logins_from_events, files_per_batch=16).select(*PROFILE_COLS)
 
@@ -498,11 +510,19 @@ def edit_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 @register("edited_table")
 def edited_table(spark: SparkSession, d: str) -> DataFrame:
-    """M2: the table after all clean changes in sequence."""
-    from shelfcheck.operators.changes import apply_changes
-
-    table, clean, _ = _edits(spark, d)
-    return apply_changes(table, clean)[0]
+    """M2: the table after all clean changes in sequence, which arrive in three batches: change
+    files beside the stored rows, compacted after the second, merged on read."""
+    from shelfcheck.operators.changes import edit_table
+
+    rows, clean, _ = _edits(spark, d)
+    third = (clean.agg(F.max("seq").alias("m")).first()["m"] or 0) // 3
+    table = edit_table(spark, scratch(spark, "edits"), "id bigint, name string, remark string")
+    table.replace(rows)
+    seq = F.coalesce("seq", F.lit(0))
+    table.append(clean.where(seq <= third))
+    table.append(clean.where((seq > third) & (seq <= 2 * third)), compact_after=1)
+    table.append(clean.where(seq > 2 * third))
+    return table.read()
 
 
 @register("edit_misses")

@@ -2,26 +2,27 @@
 
 Every value of a profile is order-free (operators/logins.py), so no event-time window or
 watermark is needed and an event counts however late it arrives. Re-delivered events are
-recognised by a ledger of accepted event ids, partitioned by event date: a batch is compared
-only with the dates it holds.
-
-Profiles lie in hash buckets. A micro-batch rewrites the buckets it touches, from the
-version each had *before* this batch, and logs one row per bucket; a replayed batch
-therefore rewrites the same result, which makes the sink exactly-once. The ledger's
-entries carry their batch, and a batch only sees earlier ones.
+recognised by their id alone, whatever else of them changed: the ids seen are streaming
+state, spread by id over the state store's partitions, and a micro-batch looks up its own ids
+only. Events without an id cannot be recognised and all count, as in the batch form.
+
+A micro-batch is reduced to one row per user, which is appended to a merge-on-read table
+(sources/keyed.py) under the batch's number; buckets are compacted after some batches and
+versions no longer needed are deleted, so the number of files stays bounded. State and table
+are both versioned by batch: a batch that runs again, after a lost executor or driver, reads
+the state before it and publishes nothing twice, so the sink is exactly-once.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
+from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from shelfcheck.operators.logins import merge_profiles, profile_from_logins
-from shelfcheck.session import checkpoint_root
+from shelfcheck.operators.logins import accepted, fold_profiles, profile_from_logins
+from shelfcheck.session import scratch_path
+from shelfcheck.sources.keyed import KeyedTable
 
 _AT = "struct<ts: timestamp, event_id: bigint>"
 PROFILE_SCHEMA = (
@@ -29,81 +30,60 @@ PROFILE_SCHEMA = (
     "mobile string, source string, is_admin boolean, is_active boolean, first_login_at timestamp, "
     f"last_login_at timestamp, login_count bigint, updated_at timestamp, _last {_AT}, _email_at {_AT}, _mobile_at {_AT}"
 )
-LOG_SCHEMA = "batch_id bigint, bucket int, path string"
-LEDGER_SCHEMA = "event_id bigint, date date, batch bigint"
-BUCKETS = 32
-
-
-def _bucket():
-    return F.pmod(F.xxhash64("open_id"), F.lit(BUCKETS)).cast("int")
-
-
-def bucket_paths(spark: SparkSession, root: str, before: int) -> dict[int, str]:
-    """Per bucket the path of its newest version from a batch before ``before`` (at most
-    BUCKETS rows)."""
-    try:
-        log = spark.read.schema(LOG_SCHEMA).parquet(os.path.join(root, "_published"))
-        rows = (log.where(F.col("batch_id") < before).groupBy("bucket")
-                .agg(F.max_by("path", "batch_id").alias("path")).collect())
-    except AnalysisException:
-        return {}
-    return {r["bucket"]: r["path"] for r in rows}
+COMPACT_AFTER, KEEP_VERSIONS = 8, 2
+# Ids seen are kept for good: in RocksDB they need not fit the executors' memory.
+_STATE_STORE = {"spark.sql.streaming.stateStore.providerClass":
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.schema(PROFILE_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], PROFILE_SCHEMA)
+def profile_table(spark: SparkSession, root: str, buckets: int | None = None) -> KeyedTable:
+    """The stored profiles; ``buckets`` counts when the table is created (the session's shuffle
+    partitions if not given)."""
+    return KeyedTable(spark, root, fold_profiles, PROFILE_SCHEMA, PROFILE_SCHEMA, "open_id", buckets)
 
 
 def latest_profiles(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, list(bucket_paths(spark, root, 1 << 62).values()))
+    return profile_table(spark, root).read()
 
 
-def new_events(batch: DataFrame, root: str, batch_id: int) -> DataFrame:
-    """The batch's events that no earlier batch accepted, once each."""
-    spark = batch.sparkSession
-    # Exports often carry zone-less times; the stored profiles have zoned ones.
-    dated = (batch.dropDuplicates(["event_id"]).withColumn("ts", F.col("ts").cast("timestamp"))
-             .withColumn("date", F.to_date("ts")))
-    days = [r["date"] for r in dated.select("date").distinct().collect()]  # days, not events
-    try:
-        ledger = (spark.read.schema(LEDGER_SCHEMA).parquet(os.path.join(root, "_ledger"))
-                  .where(F.col("date").isin(days) & (F.col("batch") < batch_id)))
-    except AnalysisException:
-        return dated
-    return dated.join(ledger.select("event_id", "date"), ["event_id", "date"], "left_anti")
-
-
-def fold_batch(root: str):
-    """foreachBatch function: merge one batch of logins onto the previous versions."""
+def fold_batch(root: str, buckets: int | None = None, compact_after: int = COMPACT_AFTER):
+    """foreachBatch function: one batch of accepted logins into the profile table."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = new_events(batch, root, batch_id).persist()
-        try:
-            touched = [r["b"] for r in fresh.select(_bucket().alias("b")).distinct().collect()]
-            if not touched:
-                return
-            (fresh.select("event_id", "date", F.lit(batch_id).cast("bigint").alias("batch"))
-             .write.partitionBy("date", "batch").mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").parquet(os.path.join(root, "_ledger")))
-            stored = bucket_paths(spark, root, batch_id)
-            prev = _read(spark, [p for b, p in stored.items() if b in touched])
-            merged = merge_profiles(prev, profile_from_logins(fresh.drop("date")))
-            path = os.path.join(root, f"batch={batch_id}")
-            merged.withColumn("bucket", _bucket()).write.partitionBy("bucket").mode("overwrite").parquet(path)
-            spark.createDataFrame([(batch_id, b, os.path.join(path, f"bucket={b}")) for b in touched],
-                                  LOG_SCHEMA).coalesce(1).write.mode("append").parquet(os.path.join(root, "_published"))
-        finally:
-            fresh.unpersist()
+        table = profile_table(batch.sparkSession, root, buckets)
+        last = table.version()
+        if last is not None and last >= batch_id:
+            batch.write.format("noop").mode("overwrite").save()  # a replay only renews its state
+            return
+        # Exports often carry zone-less times; the stored profiles have zoned ones.
+        logins = batch.withColumn("ts", batch["ts"].cast("timestamp"))
+        table.append(profile_from_logins(logins), batch_id, compact_after)
+        table.vacuum(KEEP_VERSIONS)
 
     return apply
 
 
-def run_profile_stream(logins: DataFrame, root: str, checkpoint: str, available_now: bool = True):
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Settings that a query copies when it starts."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_profile_stream(logins: DataFrame, root: str, checkpoint: str, available_now: bool = True,
+                       buckets: int | None = None, compact_after: int = COMPACT_AFTER):
     """Start the stream over a streaming ``logins`` frame (A12 input columns + event_id)."""
-    w = logins.writeStream.foreachBatch(fold_batch(root)).option("checkpointLocation", checkpoint)
+    w = (accepted(logins).writeStream.outputMode("append").foreachBatch(fold_batch(root, buckets, compact_after))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    with _settings(logins.sparkSession, _STATE_STORE):
+        return w.start()
 
 
 def profiles_via_stream(spark: SparkSession, events_dir: str, to_logins, files_per_batch: int = 1,
@@ -114,10 +94,10 @@ def profiles_via_stream(spark: SparkSession, events_dir: str, to_logins, files_p
     the event files in it. ``to_logins`` maps the raw event frame to the login columns.
     Output and stream checkpoint live in a fresh folder below the shared checkpoint folder.
     """
-    base = os.path.join(checkpoint_root(spark), f"profiles-{uuid.uuid4().hex}")
+    base = scratch_path(spark, f"profiles-{uuid.uuid4().hex}")
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(events_dir).schema
     raw = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
            .option("pathGlobFilter", file_glob).parquet(events_dir))
-    q = run_profile_stream(to_logins(raw), os.path.join(base, "table"), os.path.join(base, "ckpt"))
+    q = run_profile_stream(to_logins(raw), f"{base}/table", f"{base}/ckpt")
     q.awaitTermination()
-    return latest_profiles(spark, os.path.join(base, "table"))
+    return latest_profiles(spark, f"{base}/table")
