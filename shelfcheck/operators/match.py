@@ -148,6 +148,31 @@ def match_products(platform_rows: DataFrame, book_products: DataFrame,
         "_by_code", "_by_barcode")
 
 
+def code_key(code: str = "platform_code", barcode: str = "barcode", spread: str = "store"):
+    """One text for the (code, barcode) a platform row is matched by. Rows with neither can match
+    nothing: they get texts of their own, by ``spread``, so that they do not meet in one task."""
+    none = F.lit("\u0001")
+    both = F.concat(F.coalesce(code, none), F.lit("\u0000"), F.coalesce(barcode, none))
+    own = F.concat(F.lit("\u0002"), F.coalesce(spread, F.lit(""))) if spread else F.lit(None).cast("string")
+    return F.when(F.coalesce(code, barcode).isNotNull(), both).otherwise(own)
+
+
+def product_mapping(platform_rows: DataFrame, book_products: DataFrame) -> DataFrame:
+    """J6 as a mapping: one row per distinct (platform, code, barcode) with the book code it
+    matches (null = none) and its ``code_key``. The matching joins run over these, not over rows."""
+    codes = (platform_rows.where(F.coalesce("platform_code", "barcode").isNotNull())
+             .groupBy("platform", "platform_code", "barcode").agg(F.count(F.lit(1)).alias("_n")).drop("_n"))
+    matched = match_products(codes, book_products, "platform_code", use_barcode=True)
+    return matched.select("platform", code_key(spread=None).alias("code_key"), F.col("matched_code").alias("product_code"))
+
+
+def unmatched_rows(platform_rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The rows whose code and barcode match nothing: one anti join with the mapping."""
+    known = mapping.where(F.col("product_code").isNotNull()).select("platform", "code_key")
+    keyed = platform_rows.withColumn("code_key", code_key())
+    return keyed.join(known, ["platform", "code_key"], "left_anti").withColumn("matched_code", F.lit(None).cast("string"))
+
+
 def unmatched_products(matched: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Per (platform, platform_code) without a match: name, barcode, stores, qty.
 

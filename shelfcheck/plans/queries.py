@@ -157,9 +157,9 @@ def unmatched_products(spark: SparkSession, d: str) -> DataFrame:
 
     det = keyed_detail(spark, d)
     codes = tb.product_codes(spark, d)
-    matched = mt.match_products(tb.platform_rows(det, codes), tb.book_products(det), "platform_code",
-                                use_barcode=True)
-    return mt.unmatched_products(matched, tb.platform_names(codes))
+    rows = tb.platform_rows(det, codes)
+    mapping = mt.product_mapping(rows, tb.book_products(det))
+    return mt.unmatched_products(mt.unmatched_rows(rows, mapping), tb.platform_names(codes))
 
 
 @register("store_address_hits")
@@ -295,11 +295,12 @@ def user_list(spark: SparkSession, d: str) -> DataFrame:
 
 @register("book_pull_stats")
 def book_pull_stats(spark: SparkSession, d: str) -> DataFrame:
-    """I16: records, distinct warehouses and distinct products of the book stock lines."""
+    """I16: records, distinct warehouses and distinct products of the book stock lines; a line of an
+    unknown store is a record."""
     from shelfcheck.sources.pages import inventory_pull_stats
 
     rows = (tb.stock_lines(spark, d).where(F.col("bojun_qty").isNotNull())
-            .join(tb.stores(spark, d).select("store_key", F.col("store_name").alias("store_warehouse")), "store_key"))
+            .join(tb.stores(spark, d).select("store_key", F.col("store_name").alias("store_warehouse")), "store_key", "left"))
     return inventory_pull_stats(rows.select("store_warehouse", tb.product_code()))
 
 
@@ -371,9 +372,11 @@ def _resolved_sides(spark: SparkSession, d: str):
     from shelfcheck.operators import resolve as rs
 
     det, st = keyed_detail(spark, d), tb.stores(spark, d)
-    book = rs.resolve_book(tb.book_rows(det, st), st, tb.store_aliases(spark, d))
-    rows = tb.platform_rows(det, tb.product_codes(spark, d))
-    return book, rs.resolve_platform(rows, st, tb.book_products(det))
+    book, rows = tb.book_rows(det, st), tb.platform_rows(det, tb.product_codes(spark, d))
+    made = rs.mapping_tables(book, rows, st, tb.store_aliases(spark, d), tb.book_products(det))
+    maps = rs.write_mappings(spark, scratch(spark, "mappings"), made, "1")
+    return (rs.resolve_book(book, maps["warehouse_mapping"]),
+            rs.resolve_platform(rows, maps["platform_store_mapping"], maps["product_mapping"]))
 
 
 def _resolved_detail(spark: SparkSession, d: str) -> DataFrame:

@@ -58,7 +58,7 @@ def recon_sheets(inp: ReconInputs, detail: DataFrame, keep=_same) -> dict[str, D
     named = rc.attach_dims(detail, inp.stores, inp.products)
     store_rows = keep(ru.store_level(detail, inp.stores, inp.store_partials))
     ids = keep(ru.store_ids(inp.stores))  # J2 ids per store name: store and detail sheets
-    matched = mt.match_products(inp.platform_rows, inp.book_products, "platform_code", True)
+    unmatched = mt.unmatched_rows(inp.platform_rows, mt.product_mapping(inp.platform_rows, inp.book_products))
     names = inp.platform_names
     if names is None and inp.products is not None:
         names = inp.products.select(F.col("product_key").cast("string").alias("platform_code"),
@@ -68,7 +68,7 @@ def recon_sheets(inp: ReconInputs, detail: DataFrame, keep=_same) -> dict[str, D
         "store_summary": ru.store_summary(store_rows, inp.stores, ids),
         "detail": ru.detail_report(named, inp.stores, ids),
         "unmatched_stores": mt.unmatched_stores(inp.stores, inp.book_warehouses, inp.aliases),
-        "unmatched_products": mt.unmatched_products(matched, names),
+        "unmatched_products": mt.unmatched_products(unmatched, names),
     }
 
 

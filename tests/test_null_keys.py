@@ -14,10 +14,10 @@ import __spark_entry__ as entry  # noqa: E402
 from check_oracle import rows_of  # noqa: E402
 
 TABLES = ("region", "nation", "supplier", "part")
-# The SQL of customer_summary joins on the name and so has no row for lines without a store;
-# that of recon_resolved_balance takes their quantity as reconciled. Both are tested below.
-AS_SQL = ("recon_detail", "store_summary", "book_pull_stats", "unmatched_products", "recon_resolved_detail",
-          "recon_resolved_customer")
+AS_SQL = ("recon_detail", "customer_summary", "customer_rank", "store_summary", "store_rank", "detail_report",
+          "detail_rank", "flag_counts", "payload_detail", "named_products", "book_pull_stats", "outlet_summary",
+          "guard_listed_detail", "unmatched_stores", "unmatched_products", "unmatched_product_rank", "map_points",
+          "recon_resolved_detail", "recon_resolved_customer", "recon_resolved_balance")
 
 
 @pytest.fixture(scope="module")
