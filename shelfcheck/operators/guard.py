@@ -182,7 +182,12 @@ def outlet_detail(chosen: DataFrame, stock: DataFrame, products: DataFrame,
     prods = products.join(chosen.select("customer_name"), "customer_name")
     own = stock.join(chosen.select("platform", "outlet_code"), ["platform", "outlet_code"]).select(
         "product_code", "outlet_qty")
-    rows = with_product_names(_with_gap(prods.join(own, "product_code", "left")), names)
+    return detail_rows(prods, own, names)
+
+
+def detail_rows(products: DataFrame, own: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """F4 rows from one dealer's products and one outlet's stock (product_code, outlet_qty)."""
+    rows = with_product_names(_with_gap(products.join(own, "product_code", "left")), names)
     return rows.select("product_code", "product_name", "offline_qty", "outlet_qty", "gap",
                        "is_ok").orderBy(F.col("is_ok").asc_nulls_last(), F.col("gap").asc_nulls_last(),
                                         F.col("product_code").asc_nulls_last())

@@ -407,6 +407,50 @@ def recon_resolved_balance(spark: SparkSession, d: str) -> DataFrame:
     return rs.balance(_resolved_sides(spark, d)[1])
 
 
+# ---------------------------------------------------------------- stored sides
+
+@register("recon_refreshed")
+def recon_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    """J1 + M6: the detail from stored side sums, after the jd side, first loaded from an export
+    that lacked lines, has been refreshed alone."""
+    from shelfcheck.plans.sides import SideSums
+
+    li = tb.stock_lines(spark, d)
+    lines = {s: li.where(F.col(c).isNotNull()).select("store_key", "product_key", F.col(c).alias("qty")) for s, c in rc.QTY.items()}
+    sums = SideSums(spark, scratch(spark, "sides"))
+    for side in ("book", "mt"):
+        sums.refresh(side, lines[side])
+    sums.refresh("jd", lines["jd"].where(F.col("product_key") % 2 == 0))
+    sums.refresh("jd", lines["jd"])
+    return sums.detail(tb.VIRTUAL_THRESHOLD)
+
+
+@register("outlet_lookup")
+def outlet_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """F4 of a given outlet (the live jd outlet with the smallest code) from stored guard inputs."""
+    from shelfcheck.contracts import PLATFORM_JD
+    from shelfcheck.plans.sides import GuardStore
+
+    outlets, stock, products, names = guard_inputs(spark, d)
+    store = GuardStore(spark, scratch(spark, "guard"))
+    store.fill(products, stock)
+    own = (outlets.where(F.col("platform") == PLATFORM_JD)
+           .agg(F.min_by(F.struct("customer_name", "outlet_code"), F.struct("outlet_code", "customer_name")).alias("o")).first()["o"])
+    if own is None:
+        return store.outlet_detail("", PLATFORM_JD, "", names)
+    return store.outlet_detail(own["customer_name"], PLATFORM_JD, own["outlet_code"], names)
+
+
+@register("stored_pull")
+def stored_pull(spark: SparkSession, d: str) -> DataFrame:
+    """One warehouse of pulled rows that are stored clustered by warehouse."""
+    from shelfcheck.sources.pages import PullStore, inventory_rows
+
+    store = PullStore(spark, scratch(spark, "pulls"))
+    store.add(inventory_rows(_pages(spark, d)))
+    return store.read("Brand#11").select("store_code", "store_warehouse", "product_code", "barcode", "stock_qty", "allocatable")
+
+
 # ---------------------------------------------------------------- report orders as ranks
 
 def ranked(df: DataFrame, order: list) -> DataFrame:

@@ -1,7 +1,7 @@
 """Bucketed tables below a shared folder: joins and sums on the bucket keys read them without
 a shuffle, and an equality on a single bucket key reads one bucket.
 
-Files lie in the first folder named by the newest row of a small log; a session declares the
+Files lie in the folder named by the newest entry of a small log; a session declares the
 table over that folder, so it outlives sessions without a metastore. Appending adds a file
 per bucket and partition at most. ``compact`` writes all buckets anew, one sorted file each,
 into a new folder and then logs it, so a reader or a failed run only ever sees whole versions.
@@ -13,15 +13,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-LOG = "version int, folder string, buckets int, keys string, columns string, partitions string"
-
-
-def _log(spark: SparkSession, path: str, row: dict) -> None:
-    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{path}/_log")
+from shelfcheck.sources.files import Files
 
 
 class Bucketed:
@@ -43,17 +37,19 @@ class Bucketed:
              partitions: Sequence[str] = ()) -> Bucketed:
         """The table at ``path``; created with ``buckets`` (the session's shuffle partitions if
         not given) where there is none."""
-        try:
-            last = spark.read.schema(LOG).parquet(f"{path}/_log").orderBy(F.col("version").desc()).first()
-        except AnalysisException:
-            last = None
-        if last is not None:
-            return cls(spark, path, last.asDict())
+        log = Files(spark).numbered(f"{path}/_log")
+        if log:
+            return cls(spark, path, Files(spark).get(f"{path}/_log/{log[-1]}"))
         entry = {"version": 0, "folder": f"v0-{uuid.uuid4().hex[:12]}", "columns": columns,
                  "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")),
                  "keys": keys if isinstance(keys, str) else ",".join(keys), "partitions": ",".join(partitions)}
-        _log(spark, path, entry)
-        return cls(spark, path, entry)
+        Files(spark).make(f"{path}/{entry['folder']}")
+        table = cls(spark, path, entry)
+        table._log()
+        return table
+
+    def _log(self) -> None:
+        Files(self.spark).put(f"{self.path}/_log/{self.entry['version']}", self.entry)
 
     def frame(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
@@ -76,5 +72,5 @@ class Bucketed:
                  "buckets": buckets or self.buckets}
         new = Bucketed(self.spark, self.path, entry)
         new.append(self.frame())
-        _log(self.spark, self.path, entry)
+        new._log()
         return new

@@ -17,7 +17,6 @@ batch that runs again) harmless. One writer at a time.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections import Counter
 from collections.abc import Callable
@@ -27,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shelfcheck.sources.files import Files
+
 
 class Pointer(NamedTuple):
     """One folder of a bucket: its base (part 0) or its n-th changes, added by a version."""
@@ -45,51 +46,15 @@ class KeyedTable:
 
     def __init__(self, spark: SparkSession, root: str, merge: Merge, columns: str, changes: str, key: str,
                  buckets: int | None = None):
-        self.spark, self.root, self.merge = spark, root.rstrip("/"), merge
-        layout = self._get(f"{self.root}/_layout")
+        self.spark, self.root, self.merge, self.files = spark, root.rstrip("/"), merge, Files(spark)
+        layout = self.files.get(f"{self.root}/_layout")
         if layout is None:
             layout = {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "key": key,
                       "columns": columns, "changes": changes}
-            self._put(f"{self.root}/_layout", layout)
+            self.files.put(f"{self.root}/_layout", layout)
         self.buckets, self.key = layout["buckets"], layout["key"]
         self.columns, self.changes = StructType.fromDDL(layout["columns"]), StructType.fromDDL(layout["changes"])
 
-    # ------------------------------------------------------------ small files, by Hadoop's API
-
-    def _files(self, path: str):
-        """(file system, path)."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def _names(self, path: str, folders: bool) -> list[str]:
-        fs, at = self._files(path)
-        return [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory() == folders] if fs.exists(at) else []
-
-    def _delete(self, path: str) -> None:
-        fs, at = self._files(path)
-        fs.delete(at, True)
-
-    def _put(self, path: str, value) -> None:
-        """Whole or not at all: written under another name first."""
-        fs, at = self._files(path)
-        _, draft = self._files(f"{path}.{uuid.uuid4().hex[:12]}.draft")
-        out = fs.create(draft)
-        out.write(json.dumps(value).encode())
-        out.close()
-        if not fs.rename(draft, at):
-            fs.delete(draft, False)
-            raise FileExistsError(path)
-
-    def _get(self, path: str):
-        fs, at = self._files(path)
-        if not fs.exists(at):
-            return None
-        stream = fs.open(at)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
     # ------------------------------------------------------------ versions
 
     def bucket(self):
@@ -97,13 +62,13 @@ class KeyedTable:
 
     def versions(self) -> list[int]:
         """The versions there are, oldest first."""
-        return sorted(int(n) for n in self._names(f"{self.root}/_versions", folders=False) if n.isdigit())
+        return self.files.numbered(f"{self.root}/_versions")
 
     def version(self) -> int | None:
         return max(self.versions(), default=None)
 
     def _named(self, version: int) -> list[Pointer]:
-        return [Pointer(*x) for x in self._get(f"{self.root}/_versions/{version}")]
+        return [Pointer(*x) for x in self.files.get(f"{self.root}/_versions/{version}")]
 
     def pointers(self, before: int | None = None) -> list[Pointer]:
         """The folders of the newest version (below ``before``, if given)."""
@@ -111,13 +76,13 @@ class KeyedTable:
         return self._named(known[-1]) if known else []
 
     def _publish(self, version: int, pointers: list[Pointer]) -> None:
-        self._put(f"{self.root}/_versions/{version}", sorted(pointers))
+        self.files.put(f"{self.root}/_versions/{version}", sorted(pointers))
 
     def _write(self, version: int, rows: DataFrame) -> dict[int, str]:
         """Rows in one folder per bucket; the folders that came to be."""
         path = f"{self.root}/data/{version}-{uuid.uuid4().hex[:12]}"
         rows.withColumn("_bucket", self.bucket()).repartition(self.buckets, "_bucket").write.partitionBy("_bucket").parquet(path)
-        return {int(n.split("=")[1]): f"{path}/{n}" for n in self._names(path, folders=True) if n.startswith("_bucket=")}
+        return {int(n.split("=")[1]): f"{path}/{n}" for n in self.files.names(path, folders=True) if n.startswith("_bucket=")}
 
     # ------------------------------------------------------------ reading
 
@@ -194,13 +159,13 @@ class KeyedTable:
         kept = versions[-keep:]
         named = {p.path for v in kept for p in self._named(v)}
         for v in versions[:-keep]:
-            self._delete(f"{self.root}/_versions/{v}")
-        for write in self._names(f"{self.root}/data", folders=True):
+            self.files.delete(f"{self.root}/_versions/{v}")
+        for write in self.files.names(f"{self.root}/data", folders=True):
             if not kept or int(write.split("-")[0]) > kept[-1]:
                 continue  # a write under way
-            parts = [f"{self.root}/data/{write}/{name}" for name in self._names(f"{self.root}/data/{write}", folders=True)]
+            parts = [f"{self.root}/data/{write}/{name}" for name in self.files.names(f"{self.root}/data/{write}", folders=True)]
             if not named & set(parts):
-                self._delete(f"{self.root}/data/{write}")
+                self.files.delete(f"{self.root}/data/{write}")
             else:
                 for part in set(parts) - named:
-                    self._delete(part)
+                    self.files.delete(part)

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from shelfcheck.contracts import BOOK_API_SCHEMA, PAGE_OK_CODE, PAGE_QTY_FIELDS, PAGE_TEXT_FIELDS
 from shelfcheck.functions.scalars import to_int
+from shelfcheck.sources.bucketed import Bucketed
 from shelfcheck.sources.ingest import ContractError, publish_edit
 
 PAGE_SCHEMA = (
@@ -121,3 +122,19 @@ def filter_pull(rows: DataFrame, store: str | None = None, product: str | None =
     if end is not None:
         cond = cond & (F.col(time_col) < F.lit(end))
     return rows.where(cond)
+
+
+class PullStore:
+    """Rows of pulls stored clustered by warehouse: ``read`` of one reads one bucket."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        names = [f for f in StructType.fromDDL(BOOK_API_SCHEMA).fields if f.name != "store_warehouse"]
+        columns = "store_warehouse string, pull string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names)
+        self.table = Bucketed.open(spark, f"{root}/pulled", columns, "store_warehouse", buckets)
+
+    def add(self, rows: DataFrame) -> None:
+        """``inventory_rows`` of one or more pulls."""
+        self.table.append(rows)
+
+    def read(self, store: str, **window) -> DataFrame:
+        return filter_pull(self.table.frame(), store=store, **window)
