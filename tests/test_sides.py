@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfcheck.operators import guard as gd
 from shelfcheck.operators.reconcile import reconcile, stack_sides
@@ -24,6 +25,17 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
+def spoil(table, key):
+    """Make every bucket but the key's unreadable."""
+    (own,) = {r[0] for r in table.frame().where(F.col(table.keys[0]) == key).selectExpr("input_file_name()").collect()}
+    files = [r[0] for r in table.frame().selectExpr("input_file_name()").distinct().collect()]
+    assert len(files) > 3
+    for f in files:
+        if f != own:
+            with open(f.removeprefix("file://"), "wb") as out:
+                out.write(b"spoilt")
+
+
 def test_refreshing_one_side_equals_a_full_build(spark, tmp_dir):
     sums = SideSums(spark, tmp_dir, buckets=6)
     assert sums.detail(90).count() == 0
@@ -63,13 +75,15 @@ def test_lookup_of_an_outlet_reads_one_bucket(spark, tmp_dir):
                                         "cast(id * 7 % 900 AS string) AS product_code", "id % 4 AS outlet_qty")
     store = GuardStore(spark, tmp_dir, buckets=8)
     store.fill(products, stock)
+    assert store.outlet_detail("nobody", "jd", "o10").count() == 0
     got = store.outlet_detail("c4", "jd", "o10")
     chosen = spark.createDataFrame([("c4", "jd", "o10")], "customer_name string, platform string, outlet_code string")
     want = gd.outlet_detail(chosen, stock, products)
     pick = lambda df: sorted(map(tuple, df.collect()), key=repr)
     assert pick(got) == pick(want) and got.count() == 50
-    assert executed(got).count("SelectedBucketsCount: 1 out of 8") == 2
-    assert store.outlet_detail("nobody", "jd", "o10").count() == 0
+    spoil(store.products, "c4")
+    spoil(store.stock, f"jd{store.SEPARATOR}o10")
+    assert pick(store.outlet_detail("c4", "jd", "o10")) == pick(want)
 
 
 def test_one_warehouse_of_stored_pulls_reads_one_bucket(spark, tmp_dir):
@@ -83,4 +97,5 @@ def test_one_warehouse_of_stored_pulls_reads_one_bucket(spark, tmp_dir):
     store.add(pulled)
     got = store.read("w3", product="23")
     assert [r["product_code"] for r in got.collect()] == ["23"] and store.read("w3").count() == 10
-    assert "SelectedBucketsCount: 1 out of 8" in executed(got)
+    spoil(store.table, "w3")
+    assert store.read("w3").count() == 10
