@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +51,22 @@ def build_session(
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable on the executors, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shelfcheck_shipped", None) is None:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="shelfcheck-ship-"), "shelfcheck_pkg.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(package):
+                for n in names:
+                    if n.endswith(".py"):
+                        path = os.path.join(folder, n)
+                        z.write(path, os.path.relpath(path, os.path.dirname(package)))
+        sc.addPyFile(archive)
+        sc._shelfcheck_shipped = archive
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and published datasets.
 

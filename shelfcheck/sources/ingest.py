@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import accumulate, chain, count
 
 from pyspark.errors import AnalysisException
@@ -32,6 +34,7 @@ from shelfcheck.contracts import (
     STATUS_HEADER_PREFIX,
 )
 from shelfcheck.functions.scalars import coerce_cell, format_value
+from shelfcheck.sources.headers import HeaderGroup, header_groups
 
 _ID_RE = re.compile(ID_NAME_PATTERN, re.I)
 _INT_TEXT = r"^-?[0-9]+$"
@@ -44,34 +47,93 @@ class ContractError(ValueError):
 
 # ---------------------------------------------------------------- I1 reading
 
-def read_export(spark: SparkSession, path, fmt: str = "csv", multi_line: bool = False, **options) -> DataFrame:
-    """Read an export with every column as text (CSV) or as stored (parquet / json).
+@dataclass
+class Export:
+    """An export as read, and the groups its files' headers form (one where all agree)."""
+
+    frame: DataFrame
+    groups: list[HeaderGroup]
 
-    CSV columns get the file's own first record as names, blanks and repeats included;
-    ``normalize_frame`` makes them usable. ``multi_line`` allows quoted line breaks, at the
-    price of one task per file.
+
+def open_export(spark: SparkSession, path, fmt: str = "csv", multi_line: bool = False, context_headers: bool = False,
+                ordered: bool = False, **options) -> Export:
+    """Read an export with every column as text (CSV, xlsx) or as stored (parquet / json).
+
+    Columns get the names the files' own first records state, blanks and repeats included
+    (``normalize_frame`` makes them usable). Files whose headers differ, in order or in names,
+    are united by normalised name. ``ordered`` adds ``SOURCE_COLUMNS``. ``multi_line`` allows
+    quoted line breaks, at the price of one task per file.
     """
+    if fmt == "xlsx":
+        from shelfcheck.sources.xlsx import read_workbook
+
+        read = read_workbook(spark, path, **options)
+        groups = [HeaderGroup(names, files, len(files)) for names, files, _ in read]
+        frames = [df if ordered else df.drop(*SOURCE_COLUMNS) for _, _, df in read]
+        return _united(spark, groups, frames, context_headers)
     if fmt != "csv":
-        return spark.read.format(fmt).options(**options).load(path)
+        frame = spark.read.format(fmt).options(**options).load(path)
+        return Export(with_source_order(frame) if ordered else frame, [])
     reader = spark.read.options(inferSchema=False, multiLine=multi_line, **options)
-    files = spark.read.format("binaryFile").load(path).select("path").collect()  # names only
-    heads = {tuple(h) for h in (reader.csv(f["path"], header=False).head() for f in files) if h is not None}
-    if len(heads) > 1:
-        raise ContractError(f"files of one export have different headers: {path}")
-    if not heads:
-        return reader.csv(path, header=False)
-    (head,) = heads
-    # With a schema of its own the reader drops each file's header record unseen.
-    schema = ", ".join(f"_c{i} string" for i in range(len(head)))
-    return reader.schema(schema).csv(path, header=True, enforceSchema=True).toDF(*[name or "" for name in head])
+    groups = header_groups(spark, path, multi_line, **options)
+    if not groups:
+        return Export(reader.csv(path, header=False), [])
+    frames = []
+    for g in groups:
+        # With a schema of its own the reader drops each file's header record unseen.
+        schema = ", ".join(f"_c{i} string" for i in range(len(g.names)))
+        frame = reader.schema(schema).csv(g.files or path, header=True, enforceSchema=True)
+        if multi_line:  # in this mode the reader leaves the first half of a CRLF in the last column
+            last = f"_c{len(g.names) - 1}"
+            cut = F.regexp_replace(last, "\r$", "")
+            frame = frame.withColumn(last, F.when(cut != "", cut))
+        frame = frame.toDF(*g.names)
+        frames.append(with_source_order(frame) if ordered else frame)
+    return _united(spark, groups, frames, context_headers)
+
+
+def _united(spark: SparkSession, groups: list[HeaderGroup], frames: list[DataFrame], context_headers: bool) -> Export:
+    if not frames:
+        return Export(spark.createDataFrame([], "_blank string"), groups)
+    if len(frames) > 1:
+        frames = [normalize_frame(f, context_headers) for f in frames]
+    return Export(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames), groups)
+
+
+def read_export(spark: SparkSession, path, fmt: str = "csv", multi_line: bool = False, **options) -> DataFrame:
+    """The frame of ``open_export``."""
+    return open_export(spark, path, fmt, multi_line, **options).frame
+
+
+def header_findings(groups: list[HeaderGroup], dataset: str, context_headers: bool = False) -> list[Finding]:
+    """I7 for exports whose files differ: columns that some files lack (an error if required) or
+    alone have."""
+    if len(groups) < 2:
+        return []
+    named = [normalize_headers(prefix_context_headers(g.names) if context_headers else g.names) for g in groups]
+    required = [c for c in HEADER_MAPS.get(dataset, {}) if c not in OPTIONAL_HEADERS]
+    every = list(dict.fromkeys(c for names in named for c in names if not c.startswith("_blank")))
+    out = []
+    for c in every:
+        lacking = sum(g.count for g, names in zip(groups, named) if c not in names)
+        if lacking:
+            out.append(Finding(dataset, f"missing_in_{lacking}_files", c, "error" if c in required else "warning"))
+    return out
 
 
 def prefer_source(spark: SparkSession, candidates: list[str], fmt: str = "csv",
                   **options) -> tuple[str, DataFrame]:
     """The first candidate path that *exists* wins (an empty file still wins)."""
+    path, export = prefer_export(spark, candidates, fmt, **options)
+    return path, export.frame
+
+
+def prefer_export(spark: SparkSession, candidates: list[str], fmt: str = "csv", **options) -> tuple[str, Export]:
     for path in candidates:
         try:
-            return path, read_export(spark, path, fmt, **options)
+            return path, open_export(spark, path, fmt, **options)
+        except FileNotFoundError:
+            continue
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
                 continue
@@ -177,7 +239,7 @@ class Finding:
 def header_difference(expected, present) -> tuple[list[str], list[str]]:
     """(missing, unknown) headers, each in the order of its own list."""
     want, have = dict.fromkeys(expected), dict.fromkeys(present)
-    return list(want.keys() - have.keys()), list(have.keys() - want.keys())
+    return [c for c in want if c not in have], [c for c in have if c not in want]
 
 
 def validate_contract(df: DataFrame, dataset: str) -> list[Finding]:
@@ -185,18 +247,19 @@ def validate_contract(df: DataFrame, dataset: str) -> list[Finding]:
     named = [c for c in df.columns if c not in SOURCE_COLUMNS and not c.startswith("_blank")]
     missing, unknown = header_difference(
         [c for c in HEADER_MAPS.get(dataset, {}) if c not in OPTIONAL_HEADERS], named)
-    findings = [Finding(dataset, "missing_column", c, "error") for c in sorted(missing)]
+    findings = [Finding(dataset, "missing_column", c, "error") for c in missing]
     if df.isEmpty():
         findings.append(Finding(dataset, "no_rows", None, "error"))
-    return findings + [Finding(dataset, "unknown_column", c, "warning") for c in sorted(unknown)]
+    return findings + [Finding(dataset, "unknown_column", c, "warning") for c in unknown]
 
 
-def validate_all(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
+def validate_all(spark: SparkSession, frames: dict[str, DataFrame], found: Sequence[Finding] = ()) -> DataFrame:
     """I7 for all selected datasets; raises ContractError if any has an error.
 
-    Returns the findings as a DataFrame (dataset, check, column, severity).
+    ``found``: what reading them found already. Returns the findings as a DataFrame (dataset,
+    check, column, severity).
     """
-    findings: list[Finding] = []
+    findings: list[Finding] = list(found)
     for name, df in frames.items():
         findings += validate_contract(df, name)
     report = spark.createDataFrame(
@@ -299,16 +362,20 @@ def load_dataset(df: DataFrame, dataset: str) -> DataFrame:
 
 # ---------------------------------------------------------------- per-dataset readers
 
-def read_dataset(spark: SparkSession, folder: str, table: str, fmt: str = "csv") -> DataFrame:
+def read_dataset(spark: SparkSession, folder: str, table: str, fmt: str = "csv",
+                 found: list[Finding] | None = None) -> DataFrame:
     """One dataset's export as it is landed in ``folder``, ready for the contract check:
     first existing candidate file (I1), headers (I2, I5), description row (I4), store
-    addresses looked up by name (J3)."""
+    addresses looked up by name (J3). ``found`` receives what the files' headers show."""
     files = [os.path.join(folder, f"{stem}.{fmt}") for stem in SOURCE_STEMS[table]]
-    _, df = prefer_source(spark, files, fmt)
-    df = normalize_frame(df, context_headers=table == "feishu_store_mapping")
-    if table == "meituan_store_inventory":
-        df = skip_description_row(with_source_order(df)).drop(*SOURCE_COLUMNS)
-    if table == "feishu_store_mapping":
+    context, described = table == "feishu_store_mapping", table == "meituan_store_inventory"
+    _, export = prefer_export(spark, files, fmt, context_headers=context, ordered=described)
+    if found is not None:
+        found += header_findings(export.groups, table, context)
+    df = normalize_frame(export.frame, context_headers=context)
+    if described:
+        df = skip_description_row(df).drop(*SOURCE_COLUMNS)
+    if context:
         df = fill_addresses(spark, df, folder, fmt)
     return df
 
@@ -319,15 +386,14 @@ def fill_addresses(spark: SparkSession, stores: DataFrame, folder: str, fmt: str
     from shelfcheck.operators.match import address_book, lookup_address
 
     name, address = ADDRESS_HEADERS
-    source = spark.createDataFrame([], f"`{name}` string, `{address}` string")
+    ordered = spark.createDataFrame([], f"`{name}` string, `{address}` string, line_no long")
     try:
-        _, found = prefer_source(spark, [os.path.join(folder, f"{ADDRESS_STEM}.{fmt}")], fmt)
-        found = normalize_frame(found)
+        _, export = prefer_export(spark, [os.path.join(folder, f"{ADDRESS_STEM}.{fmt}")], fmt, ordered=True)
+        found = normalize_frame(export.frame)
         if {name, address} <= set(found.columns):
-            source = found
+            ordered = found.select(name, address, F.struct(*SOURCE_COLUMNS).alias("line_no"))  # file order
     except FileNotFoundError:
         pass
-    ordered = source.select(name, address, F.monotonically_increasing_id().alias("line_no"))
     book = address_book(ordered, name, address)
     target = next(h for h, c in HEADER_MAPS["feishu_store_mapping"].items() if c == "store_address")
     shop = next(h for h, c in HEADER_MAPS["feishu_store_mapping"].items() if c == "store_name")
@@ -337,7 +403,9 @@ def fill_addresses(spark: SparkSession, stores: DataFrame, folder: str, fmt: str
 def load_folder(spark: SparkSession, root: str, folder: str, version: str, keys: list[str] | None = None,
                 fmt: str = "csv") -> Publication:
     """I12 from files: every selected dataset read by its own rules, then ``load``."""
-    return load(spark, root, {t: read_dataset(spark, folder, t, fmt) for t in select_datasets(keys)}, version, keys)
+    found: list[Finding] = []
+    sources = {t: read_dataset(spark, folder, t, fmt, found) for t in select_datasets(keys)}
+    return load(spark, root, sources, version, keys, found)
 
 
 def select_datasets(keys: list[str] | None) -> list[str]:
@@ -401,14 +469,14 @@ def current_path(spark: SparkSession, root: str, table: str) -> str | None:
 
 
 def load(spark: SparkSession, root: str, sources: dict[str, DataFrame], version: str,
-         keys: list[str] | None = None) -> Publication:
+         keys: list[str] | None = None, found: Sequence[Finding] = ()) -> Publication:
     """I12 end to end: select, validate all (I7), then load and publish together."""
     tables = select_datasets(keys)
     missing = [t for t in tables if t not in sources]
     if missing:
         raise FileNotFoundError(missing)
     chosen = {t: sources[t] for t in tables}
-    validate_all(spark, chosen)
+    validate_all(spark, chosen, found)
     return publish(spark, root, load_tables(spark, chosen), version)
 
 

@@ -26,12 +26,12 @@ from shelfcheck.session import checkpoint_root
 from shelfcheck.sources.ingest import (
     ContractError,
     load_tables,
+    header_findings,
     normalize_frame,
+    open_export,
     publish,
-    read_export,
     skip_description_row,
     validate_all,
-    with_source_order,
 )
 
 
@@ -81,10 +81,12 @@ def load_arrivals(root: str, table: str, fmt: str = "csv", context_headers: bool
                 append_load_log(load_log_row(spark, table, names, size, "success", f"{published} rows", operator), root)
             return
         try:
-            df = normalize_frame(read_export(spark, paths, fmt), context_headers)
-            if table == "meituan_store_inventory":
-                df = skip_description_row(with_source_order(df))
-            validate_all(spark, {table: df})
+            described = table == "meituan_store_inventory"
+            export = open_export(spark, paths, fmt, context_headers=context_headers, ordered=described)
+            df = normalize_frame(export.frame, context_headers)
+            if described:
+                df = skip_description_row(df)
+            validate_all(spark, {table: df}, header_findings(export.groups, table, context_headers))
             pub = publish(spark, root, load_tables(spark, {table: df}), version)
             state, message = "success", f"{pub.rows[table]} rows"
         except ContractError as e:
