@@ -664,9 +664,9 @@ def imported_mapping(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seq_no", "store_name", "customer_name", "jd_id", "jd_enable_status")
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """API pages of one pull per brand, made of parts, 50 records a page; every seventh page of
-    a pull is missing and every fifth was rejected."""
+def _pages(spark: SparkSession, d: str, size: int = 50, faults: bool = True) -> DataFrame:
+    """API pages of one pull per brand, made of parts, a page for every ``size`` of them. With
+    ``faults`` every seventh page of a pull is missing and every fifth was rejected."""
     from shelfcheck.contracts import PAGE_OK_CODE, PAGE_QTY_FIELDS, PAGE_TEXT_FIELDS
 
     p = tb.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
@@ -679,14 +679,15 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
         entries += [F.when(other == 1, names[0]).otherwise(names[1]), values[c]]
     for f in PAGE_QTY_FIELDS.values():
         entries += [F.lit(f), F.concat(F.col("p_size").cast("string"), F.lit(".7"))]
-    paged = p.select(F.col("p_brand").alias("pull"), (F.floor(F.col("p_partkey") / 50) + 1).alias("current"),
+    paged = p.select(F.col("p_brand").alias("pull"), (F.floor(F.col("p_partkey") / size) + 1).alias("current"),
                      F.create_map(*entries).alias("rec"))
-    pages = paged.groupBy("pull", "current").agg(F.collect_list("rec").alias("records"))  # at most 50 a page
-    last = p.agg((F.floor(F.max("p_partkey") / 50) + 1).alias("last"))
-    code = F.when(F.col("current") % 5 == 0, 500).otherwise(PAGE_OK_CODE).cast("bigint")
-    data = F.struct("current", F.lit(50).cast("bigint").alias("pageSize"), F.lit(0).cast("bigint").alias("total"),
+    pages = paged.groupBy("pull", "current").agg(F.collect_list("rec").alias("records"))  # at most ``size`` a page
+    last = p.agg((F.floor(F.max("p_partkey") / size) + 1).alias("last"))
+    rejected, gone = (F.col("current") % n == 0 if faults else F.lit(False) for n in (5, 7))
+    code = F.when(rejected, 500).otherwise(PAGE_OK_CODE).cast("bigint")
+    data = F.struct("current", F.lit(size).cast("bigint").alias("pageSize"), F.lit(0).cast("bigint").alias("total"),
                     F.col("last").alias("totalPage"), "records")
-    return (pages.where(F.col("current") % 7 > 0).join(F.broadcast(last))  # one row
+    return (pages.where(~gone).join(F.broadcast(last))  # one row
             .select("pull", F.concat("pull", F.lit("/"), F.col("current").cast("string")).alias("source_file"),
                     F.struct(code.alias("code"), F.lit("").alias("msg"), data.alias("data")).alias("page")))
 
@@ -700,6 +701,40 @@ def pulled_rows(spark: SparkSession, d: str) -> DataFrame:
         "store_code", "store_warehouse", "product_code", "barcode", "stock_qty", "allocatable")
 
 
+def _land_pages(spark: SparkSession, d: str, pages: DataFrame) -> str:
+    """Pages as the files a pull leaves: a folder per pull, a file per page."""
+    landing = scratch(spark, "pulls")
+    named = pages.select(F.translate("pull", "#", "-").alias("pull"), F.to_json("page").alias("value"))
+    named.write.option("maxRecordsPerFile", 1).partitionBy("pull").text(landing)
+    return landing
+
+
+@register("landed_rows")
+def landed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows, from landed page files through the data source."""
+    from shelfcheck.sources.page_source import read_landing
+    from shelfcheck.sources.pages import filter_pull, inventory_rows
+
+    landing = _land_pages(spark, d, _pages(spark, d).where(F.col("pull") == "Brand#11"))
+    return filter_pull(inventory_rows(read_landing(spark, landing)), store="Brand#11").select(
+        "store_code", "store_warehouse", "product_code", "barcode", "stock_qty", "allocatable")
+
+
+@register("published_pull")
+def published_pull(spark: SparkSession, d: str) -> DataFrame:
+    """I14 + I15 + I11 as a stream: of three pulls with a page for every 500 parts, the newest lacks
+    its last page, so the one before it is published last."""
+    from shelfcheck.sources.ingest import current_path
+    from shelfcheck.streaming.pages import TABLE, run_pull_stream
+
+    pages = _pages(spark, d, size=500, faults=False).where(F.col("pull").isin("Brand#11", "Brand#12", "Brand#13"))
+    gap = (F.col("pull") == "Brand#13") & (F.col("page.data.current") == F.col("page.data.totalPage"))
+    root = scratch(spark, "published")
+    run_pull_stream(spark, _land_pages(spark, d, pages.where(~gap)), root, f"{root}/_ckpt").awaitTermination()
+    rows = spark.read.parquet(current_path(spark, root, TABLE))
+    return rows.select("store_code", "store_warehouse", "product_code", "barcode", "stock_qty", "allocatable")
+
+
 @register("missing_pages")
 def missing_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages that did not land or were rejected."""

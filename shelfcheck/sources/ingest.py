@@ -457,6 +457,16 @@ def publish(spark: SparkSession, root: str, frames: dict[str, DataFrame], versio
     return pub
 
 
+def published_rows(spark: SparkSession, root: str, table: str, version: str) -> int | None:
+    """Rows of a version that is already published, or None."""
+    try:
+        log = spark.read.parquet(os.path.join(root, "_published"))
+    except AnalysisException:
+        return None
+    row = log.where((F.col("table") == table) & (F.col("version") == version)).head()
+    return row["rows"] if row else None
+
+
 def current_path(spark: SparkSession, root: str, table: str) -> str | None:
     """Latest published version of ``table`` (M6 reader side)."""
     try:

@@ -30,6 +30,7 @@ from shelfcheck.sources.ingest import (
     normalize_frame,
     open_export,
     publish,
+    published_rows,
     skip_description_row,
     validate_all,
 )
@@ -39,16 +40,6 @@ from shelfcheck.sources.ingest import (
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def _published_rows(spark: SparkSession, root: str, table: str, version: str) -> int | None:
-    """Rows of a version that is already published, or None."""
-    try:
-        log = spark.read.parquet(os.path.join(root, "_published"))
-    except AnalysisException:
-        return None
-    row = log.where((F.col("table") == table) & (F.col("version") == version)).head()
-    return row["rows"] if row else None
-
-
 def _logged(spark: SparkSession, root: str, table: str, names: str) -> bool:
     try:
         history = spark.read.parquet(os.path.join(root, "upload_log"))
@@ -74,7 +65,7 @@ def load_arrivals(root: str, table: str, fmt: str = "csv", context_headers: bool
         paths = [p for p, _ in arrived]
         names = ",".join(os.path.basename(p) for p in paths)
         size = sum(n for _, n in arrived)
-        published = _published_rows(spark, root, table, version)
+        published = published_rows(spark, root, table, version)
         if published is not None:
             # A replay. The first run may have ended between publishing and its history row.
             if not _logged(spark, root, table, names):
