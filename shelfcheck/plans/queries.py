@@ -640,7 +640,7 @@ def listed_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @register("typed_values")
 def typed_values(spark: SparkSession, d: str) -> DataFrame:
-    """I8 + I9 + I10: orders exported as padded text, typed again."""
+    """I8 + I9: orders exported as padded text, typed again."""
     from shelfcheck.sources.ingest import column_stats, format_values, infer_types
 
     o = tb.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate")
@@ -650,6 +650,37 @@ def typed_values(spark: SparkSession, d: str) -> DataFrame:
     return format_values(text, infer_types(text, column_stats(text)))
 
 
+@register("promoted_columns")
+def promoted_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Of two text columns the one that holds integers alone becomes bigint."""
+    from shelfcheck.sources.ingest import promote_if_all_integer
+
+    text = tb.table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, (-F.col("o_custkey")).cast("string")).alias("whole"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit("12a")).otherwise(F.col("o_custkey").cast("string")).alias("mixed"))
+    return promote_if_all_integer(promote_if_all_integer(text, "whole")[0], "mixed")[0]
+
+
+@register("merged_types")
+def merged_types(spark: SparkSession, d: str) -> DataFrame:
+    """I8 from merged profiles: an export of orders in three deliveries, of which the last turns one
+    column from whole numbers to fractions and another from dates to text."""
+    from shelfcheck.sources.profiles import ProfileStore, typed_export
+
+    folder, store = scratch(spark, "export"), ProfileStore(spark, scratch(spark, "profiles"))
+    o, last = tb.table(spark, d, "orders"), F.col("o_orderkey") % 3 == 2
+    text = o.select(
+        (F.col("o_orderkey") % 3).alias("part"), F.col("o_orderkey").cast("string").alias("order_no"),
+        F.concat(F.col("o_custkey").cast("string"), F.when(last, F.lit(".5")).otherwise(F.lit(""))).alias("cust"),
+        F.col("o_totalprice").cast("string").alias("price"), F.col("o_custkey").cast("string").alias("rank"),
+        F.when(last, F.col("o_orderpriority")).otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("placed"))
+    types = {}
+    for k in range(3):
+        text.where(F.col("part") == k).drop("part").write.option("header", True).mode("append").csv(folder)
+        types = typed_export(spark, folder, store)[1]
+    return spark.createDataFrame(list(types.items()), "column_name string, inferred_type string")
+
+
 @register("imported_mapping")
 def imported_mapping(spark: SparkSession, d: str) -> DataFrame:
     """The store export imported again, with rows that have no key and an unknown column."""

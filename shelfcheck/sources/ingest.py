@@ -287,25 +287,26 @@ class ColumnStats:
     dated: int          # timestamps that state a date
 
 
+def stat_values(column: str) -> list:
+    """The aggregates behind ``ColumnStats``, in its order."""
+    raw = F.col(column).cast("string")
+    txt = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    txt = F.when(txt != "", txt)
+    num = txt.try_cast("double")
+    return [F.count(txt), F.count(raw), F.count(num), F.count_if(num == F.rint(num)), F.max(F.abs(num)),
+            F.count_if(txt.rlike(r"^-?0[0-9]+$")), F.count_if(raw.rlike(_INT_TEXT)),
+            F.count_if(txt.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}") & txt.try_cast("timestamp").isNotNull())]
+
+
 def column_stats(df: DataFrame) -> dict[str, ColumnStats]:
     """What I6, I8 and I10 need to know of every column, in one aggregate pass."""
     cols = [c for c in df.columns if c not in SOURCE_COLUMNS]
-    aggs = []
-    for i, c in enumerate(cols):
-        raw = F.col(f"`{c}`").cast("string")
-        txt = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-        txt = F.when(txt != "", txt)
-        num = txt.try_cast("double")
-        aggs.append(F.struct(
-            F.count(txt), F.count(raw), F.count(num), F.count_if(num == F.rint(num)), F.max(F.abs(num)),
-            F.count_if(txt.rlike(r"^-?0[0-9]+$")), F.count_if(raw.rlike(_INT_TEXT)),
-            F.count_if(txt.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}") & txt.try_cast("timestamp").isNotNull()),
-        ).alias(f"c{i}"))
+    aggs = [F.struct(*stat_values(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)]
     row = df.agg(*aggs).first() if aggs else ()
     return {c: ColumnStats(*r) for c, r in zip(cols, row)}
 
 
-def infer_types(df: DataFrame, stats: dict[str, ColumnStats] | None = None) -> dict[str, str]:
+def infer_types(df: DataFrame | None, stats: dict[str, ColumnStats] | None = None) -> dict[str, str]:
     """I8: canonical column name -> bigint / double / timestamp / string.
 
     id-like names stay text. Otherwise: all non-blank values numeric -> bigint when all
