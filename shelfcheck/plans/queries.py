@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcheck.contracts import PLATFORM_JD, PLATFORM_MT
 from shelfcheck.operators import reconcile as rc
 from shelfcheck.operators import rollup as ru
 from shelfcheck.session import scratch_path
@@ -428,7 +430,6 @@ def recon_refreshed(spark: SparkSession, d: str) -> DataFrame:
 @register("outlet_lookup")
 def outlet_lookup(spark: SparkSession, d: str) -> DataFrame:
     """F4 of a given outlet (the live jd outlet with the smallest code) from stored guard inputs."""
-    from shelfcheck.contracts import PLATFORM_JD
     from shelfcheck.plans.sides import GuardStore
 
     outlets, stock, products, names = guard_inputs(spark, d)
@@ -451,6 +452,83 @@ def stored_pull(spark: SparkSession, d: str) -> DataFrame:
     return store.read("Brand#11").select("store_code", "store_warehouse", "product_code", "barcode", "stock_qty", "allocatable")
 
 
+# ---------------------------------------------------------------- exports -> published tables -> reports
+
+def _exports(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The bound tables as the exports of every dataset but the book, under canonical names."""
+    det, st = keyed_detail(spark, d), tb.stores(spark, d)
+    codes = tb.product_codes(spark, d)
+    rows = tb.platform_rows(det, codes).join(tb.platform_names(codes).distinct(), "platform_code", "left")
+    jd, mt = (rows.where(F.col("platform") == p) for p in (PLATFORM_JD, PLATFORM_MT))
+    jd_out, mt_out = tb.jd_outlets(spark, d), tb.mt_outlets(spark, d)
+    return {
+        "jd_store_inventory": jd.select(F.col("store").alias("store_code"), F.col("platform_code").alias("merchant_product_code"),
+                                        "barcode", "product_name", F.col("qty").alias("available_stock")),
+        "meituan_store_inventory": mt.select(F.col("store").alias("store_id"), F.col("platform_code").alias("internal_sku_code"),
+                                             "product_name", F.col("qty").alias("stock_qty")),
+        "feishu_store_mapping": st.drop("store_key", "balance", "store_address"),
+        "feishu_jd_outlet": jd_out, "feishu_meituan_outlet": mt_out, "jd_store": jd_out, "meituan_store": mt_out,
+        "feishu_region_contact": st.select(F.col("customer_name").alias("primary_dealer"), F.col("province").alias("region")).distinct(),
+    }
+
+
+def _published(spark: SparkSession, d: str) -> str:
+    """Exports with their source headers landed as CSV, loaded (I1-I13), the book as an API pull."""
+    from shelfcheck.contracts import BOOK_API_SCHEMA, DATASET_TABLES, HEADER_MAPS, SOURCE_STEMS
+    from shelfcheck.sources import ingest
+
+    root, folder = scratch(spark, "tables"), scratch(spark, "exports")
+    for table, rows in _exports(spark, d).items():
+        heads = {en: zh for zh, en in HEADER_MAPS[table].items() if en not in ("_blank", "extra_status") and
+                 (table, en) != ("feishu_store_mapping", "store_address")}
+        cells = rows.select(*[(F.col(en).cast("string") if en in rows.columns else F.lit(None).cast("string")).alias(zh)
+                              for en, zh in heads.items()])
+        cells.write.option("header", True).csv(f"{folder}/{SOURCE_STEMS[table][0]}.csv")
+    ingest.load_folder(spark, root, folder, "1", [k for k in DATASET_TABLES if k != "bojun"])
+    det, st = keyed_detail(spark, d), tb.stores(spark, d)
+    names = tb.products(spark, d).select(tb.product_code(), "product_name")
+    book = tb.book_rows(det, st, barcodes=True).join(names, "product_code", "left").select(
+        F.col("warehouse").alias("store_warehouse"), "store_code", "product_code", "barcode", "product_name", F.col("qty").alias("stock_qty"))
+    declared = [x.split(" ") for x in BOOK_API_SCHEMA.split(", ")]
+    book = book.select(*[(F.col(n) if n in book.columns else F.lit(None)).cast(t).alias(n) for n, t in declared])
+    ingest.publish(spark, root, {"bojun_offline_inventory": book, "store_alias": tb.store_aliases(spark, d)}, "2")
+    return root
+
+
+def _report_sheet(spark: SparkSession, d: str, kind: str, sheet: str) -> DataFrame:
+    from shelfcheck.plans.published import build_reports
+
+    made = build_reports(spark, _published(spark, d), scratch(spark, "reports"), tb.VIRTUAL_THRESHOLD, (kind,))
+    return spark.read.parquet(made[kind][sheet])
+
+
+@register("report_customers")
+def report_customers(spark: SparkSession, d: str) -> DataFrame:
+    """K1 read back: the customer sheet over exports that were landed, loaded and published."""
+    return _report_sheet(spark, d, "recon", "customer_summary")
+
+
+@register("report_outlets")
+def report_outlets(spark: SparkSession, d: str) -> DataFrame:
+    """K2 read back: the outlet summary over the same published tables."""
+    return _report_sheet(spark, d, "guard", "outlet_summary")
+
+
+@register("payload_sections")
+def payload_sections(spark: SparkSession, d: str) -> DataFrame:
+    """K3 and K4 read back through their index files: rows per section."""
+    from shelfcheck.plans import reports as rp
+    from shelfcheck.sources.files import Files
+    from shelfcheck.sources.ingest import stamp_snapshot
+
+    out, snap = scratch(spark, "payload"), stamp_snapshot(spark)
+    rp.write_payload(recon_inputs(spark, d), snap, out)
+    rp.write_map_payload(_map_points(spark, d), snap, out)
+    sections = {f"{kind}/{n}": p for kind in ("payload", "map") for n, p in Files(spark).get(f"{out}/{kind}/index.json").items()}
+    counts = [spark.read.json(p).groupBy().count().select(F.lit(n).alias("section"), F.col("count").alias("rows")) for n, p in sections.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # ---------------------------------------------------------------- report orders as ranks
 
 def ranked(df: DataFrame, order: list) -> DataFrame:

@@ -1,4 +1,4 @@
-"""K1 / K2 / K3: write the recon and guard reports as datasets.
+"""K1-K4: write the recon and guard reports as datasets.
 
 Each report computes the reconciliation detail once, persists it (memory, spilling to
 disk; a lost block is recomputed from lineage) and writes one folder per sheet, in
@@ -21,6 +21,7 @@ from shelfcheck.operators import guard as gd
 from shelfcheck.operators import match as mt
 from shelfcheck.operators import reconcile as rc
 from shelfcheck.operators import rollup as ru
+from shelfcheck.sources.files import Files
 
 
 @dataclass
@@ -181,10 +182,16 @@ def write_payload(inp: ReconInputs, snapshot: DataFrame, out_dir: str) -> dict[s
     """K3: the dashboard document as JSON sections (meta, detail, unStores, unProducts,
     outletGuard); detail rows carry the flag index (F5) instead of the flag text."""
     detail = inp.keyed_detail.persist(StorageLevel.MEMORY_AND_DISK)
+    held = [detail]
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
     try:
         named = rc.attach_dims(detail, inp.stores, inp.products)
-        sheets = recon_sheets(inp, detail)
-        guard = guard_sheets(inp, detail)
+        sheets = recon_sheets(inp, detail, keep)
+        guard = guard_sheets(inp, detail, keep)
         sections = {
             "meta": payload_meta(snapshot, inp.stores),
             "detail": named.select(*rc.DETAIL_COLUMNS[:-1], rc.flag_index("flag").alias("flag_idx"))
@@ -194,14 +201,22 @@ def write_payload(inp: ReconInputs, snapshot: DataFrame, out_dir: str) -> dict[s
             "unProducts": sheets["unmatched_products"],
             "outletGuard": gd.outlet_ranking(guard["outlet_summary"]),
         }
-        paths = {}
-        for name, df in sections.items():
-            path = os.path.join(out_dir, "payload", name)
-            df.write.mode("overwrite").json(path)
-            paths[name] = path
-        return paths
+        return _write_sections(sections, os.path.join(out_dir, "payload"))
     finally:
-        detail.unpersist()
+        for df in held:
+            df.unpersist()
+
+
+def _write_sections(sections: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Each section as JSON lines, and ``index.json``, written last, which makes one document of
+    them: section -> folder."""
+    files, paths = Files(next(iter(sections.values())).sparkSession), {}
+    files.delete(os.path.join(folder, "index.json"))
+    for name, df in sections.items():
+        paths[name] = os.path.join(folder, name)
+        df.write.mode("overwrite").json(paths[name])
+    files.put(os.path.join(folder, "index.json"), paths)
+    return paths
 
 
 def write_map_payload(points: DataFrame, snapshot: DataFrame, out_dir: str) -> dict[str, str]:
@@ -219,11 +234,6 @@ def write_map_payload(points: DataFrame, snapshot: DataFrame, out_dir: str) -> d
             "generated_at", F.array(*[F.lit(t) for t in POINT_TYPES]).alias("types"), "total", "located")
         body = pts.select(geo.point_type_index().alias("type_idx"), "name", "customer_name", "province",
                           "city", "address", "lng", "lat", "jd_sku_cnt", "mt_sku_cnt", "adcode")
-        paths = {}
-        for name, df in (("meta", meta), ("points", body)):
-            path = os.path.join(out_dir, "map", name)
-            df.write.mode("overwrite").json(path)
-            paths[name] = path
-        return paths
+        return _write_sections({"meta": meta, "points": body}, os.path.join(out_dir, "map"))
     finally:
         pts.unpersist()

@@ -219,10 +219,12 @@ def book_products(keyed_detail: DataFrame) -> DataFrame:
         "product_code", F.col("book_barcode").alias("barcode"))
 
 
-def book_rows(keyed_detail: DataFrame, stores_df: DataFrame) -> DataFrame:
-    """(warehouse, product_code, qty) of the book side, under the book's warehouse names."""
+def book_rows(keyed_detail: DataFrame, stores_df: DataFrame, barcodes: bool = False) -> DataFrame:
+    """(warehouse, product_code, qty) of the book side, under the book's warehouse names; with
+    ``barcodes`` also store_code and barcode, as an API pull has them."""
+    more = ["store_code", F.col("book_barcode").alias("barcode")] if barcodes else []
     return (side_rows(keyed_detail).where(F.col("side") == BOOK).join(stores_df, "store_key")
-            .select(_warehouse_name().alias("warehouse"), "product_code", "qty"))
+            .select(_warehouse_name().alias("warehouse"), "product_code", "qty", *more))
 
 
 def platform_rows(keyed_detail: DataFrame, codes: DataFrame) -> DataFrame:
