@@ -582,8 +582,96 @@ def map_point_rank(spark: SparkSession, d: str) -> DataFrame:
     return ranked(map_points(spark, d), geo.point_order()).select("point_type", "name", "rank")
 
 
+@register("outlet_share_rank")
+def outlet_share_rank(spark: SparkSession, d: str) -> DataFrame:
+    """S4, dashboard form: place of every live outlet by the unrounded share."""
+    share = [(F.col("ok_cnt") / F.col("product_cnt")).asc(), *[F.col(c).asc_nulls_last() for c in ("customer_name", "platform", "outlet_name")]]
+    return ranked(outlet_ranking(spark, d), share).select("platform", "outlet_code", "rank")
+
+
+@register("listing_rank")
+def listing_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every mapping row in its listing; some rows lack the required field."""
+    st = tb.stores(spark, d).select(F.col("store_key").alias("id"), F.when(F.col("store_key") % 4 > 0, F.col("province")).alias("name"))
+    return ranked(st, [F.col("name").asc_nulls_last(), F.col("id").asc_nulls_last()]).select("id", "rank")
+
+
+@register("geo_level_rank")
+def geo_level_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every level in the histogram."""
+    return ranked(geo_levels(spark, d), [F.col("n").desc(), F.col("level").asc_nulls_last()]).select("level", "rank")
+
+
 # ---------------------------------------------------------------- row expressions and keyed changes
 
+@register("geocode_classes")
+def geocode_classes(spark: SparkSession, d: str) -> DataFrame:
+    """X8 + X9: landed geocoder answers, one per order, as cache rows: matches, no match, bad
+    locations, API errors (some of them fatal) and texts that are no JSON."""
+    from shelfcheck.contracts import FATAL_GEO_CODES
+    from shelfcheck.operators.geo import classify_responses
+
+    n = F.col("o_orderkey")
+    kind = n % 6
+    place = F.when(kind == 1, F.lit("nowhere")).otherwise(F.concat_ws(",", (n % 180).cast("string"), (n % 90).cast("string")))
+    match = F.struct(place.alias("location"), n.cast("string").alias("adcode"), F.lit("").alias("formatted_address"),
+                     F.col("o_orderpriority").alias("level"))
+    answer = F.struct(
+        F.when(kind.isin(3, 4), F.lit("0")).otherwise(F.lit("1")).alias("status"), F.lit("").alias("info"),
+        F.when(kind == 4, F.lit(FATAL_GEO_CODES[0])).otherwise(F.lit("10000")).alias("infocode"),
+        F.when(kind == 2, F.array_remove(F.array(match), match)).otherwise(F.array(match)).alias("geocodes"))
+    body = F.when(kind == 5, F.lit("<html>busy</html>")).otherwise(F.to_json(answer))
+    landed = tb.table(spark, d, "orders").select(n.cast("string").alias("address"), body.alias("body"),
+                                                 F.col("o_orderdate").cast("timestamp").alias("received_at"))
+    return classify_responses(landed).drop("updated_at", "formatted_address")
+
+
+@register("current_versions")
+def current_versions(spark: SparkSession, d: str) -> DataFrame:
+    """M6 + I11 + I13: rows of the current versions after a run that loaded two tables, one that
+    replaced one of them, and one that failed on its second table."""
+    from pyspark.errors import PySparkException
+
+    from shelfcheck.sources.ingest import current_path, publish, stamp_snapshot
+
+    root, o, c = scratch(spark, "versions"), tb.table(spark, d, "orders"), tb.table(spark, d, "customer")
+    publish(spark, root, {"orders": o.where(F.col("o_orderkey") % 2 == 0), "customer": c, "data_meta": stamp_snapshot(spark)}, "1")
+    publish(spark, root, {"orders": o}, "2")
+    broken = c.withColumn("c_name", F.when(F.col("c_custkey") >= 0, F.raise_error(F.lit("broken export"))))
+    try:
+        publish(spark, root, {"orders": o.where(F.col("o_orderkey") % 3 == 0), "customer": broken}, "3")
+    except PySparkException:
+        pass
+    tables = [spark.read.parquet(current_path(spark, root, t)).groupBy().count().select(F.lit(t).alias("table_name"), F.col("count").alias("rows"))
+              for t in ("orders", "customer", "data_meta")]
+    return reduce(DataFrame.unionByName, tables)
+
+
+@register("loaded_tables")
+def loaded_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every table loaded from exports with their source headers."""
+    root = _published(spark, d)
+    log = spark.read.parquet(f"{root}/_published").where(~F.col("table").isin("data_meta", "store_alias"))
+    return log.select(F.col("table").alias("table_name"), "rows")
+
+
+@register("logged_loads")
+def logged_loads(spark: SparkSession, d: str) -> DataFrame:
+    """K6 + S8: the newest 20 rows of a history to which an entry for every customer was logged."""
+    from shelfcheck.plans.tables import load_history, log_rows
+
+    c = tb.table(spark, d, "customer")
+    runs = c.select(F.col("c_custkey").alias("id"), (F.lit("2024-01-01 00:00:00").cast("timestamp")
+                    + F.make_dt_interval(hours=F.col("c_custkey").cast("int") % 1000)).alias("created_at"),
+                    F.col("c_mktsegment").alias("label"), F.concat("c_name", F.lit(".csv")).alias("filename"),
+                    (F.col("c_custkey") * 10).alias("size_bytes"), F.lit("success").alias("state"),
+                    F.repeat(F.col("c_name"), 60).alias("message"),
+                    F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.lit("")).alias("operator"))
+    path = scratch(spark, "history")
+    log_rows(runs).write.parquet(path)
+    return load_history(spark.read.parquet(path))
+
+
 @register("scalar_texts")
 def scalar_texts(spark: SparkSession, d: str) -> DataFrame:
     """X1, X2, X3, X5, X6, X8, X10 over orders and customers rendered as export text."""

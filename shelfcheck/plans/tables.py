@@ -45,8 +45,15 @@ def load_log_row(spark: SparkSession, label: str, filename: str | None, size: in
     row = spark.createDataFrame([(label, filename, size, state, message or "", operator or "")],
                                 "label string, filename string, size_bytes bigint, state string, "
                                 "message string, operator string")
-    return row.select(
-        F.current_timestamp().alias("created_at"), "label", "filename", "size_bytes", "state",
+    return log_rows(row.withColumn("created_at", F.current_timestamp()), limit)
+
+
+def log_rows(runs: DataFrame, limit: int = LOAD_LOG_MESSAGE_LIMIT) -> DataFrame:
+    """K6 over many runs: (created_at, label, filename, size_bytes, state, message, operator), and
+    an ``id`` if they have one."""
+    own = ["id"] if "id" in runs.columns else []
+    return runs.select(
+        *own, "created_at", "label", "filename", "size_bytes", "state",
         F.substring("message", 1, limit).alias("message"), F.col("message").alias("full_message"),
         F.when(F.col("operator") != "", F.col("operator")).alias("operator"),
     )
