@@ -208,6 +208,44 @@ def test_neighbours_recall_scores_and_odd_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_neighbours_at_production_block_size():
+    """Recall and the share of candidates verified, over all levels tried, in one full block."""
+    import numpy as np
+
+    from shelfcheck.llm import ann
+
+    rng = np.random.default_rng(0)
+    n = ann.BLOCK_BYTES // (8 * 64)
+    spread = rng.standard_normal((n, 64))
+    groups = rng.standard_normal((60, 64))[rng.integers(0, 60, n)] + 0.3 * rng.standard_normal((n, 64))
+    for v, most in ((spread / np.linalg.norm(spread, axis=1)[:, None], 0.25), (groups, 0.15)):
+        arrays = ann.Arrays(np.arange(n), np.arange(n), v, np.linalg.norm(v, axis=1).max())
+        asked, hit = np.arange(0, n, 400), 0
+        for q, (at, score) in zip(asked, arrays.search(v[asked], asked, 20)):
+            s = v @ v[q]
+            s[q] = -np.inf
+            hit += len(set(np.argsort(-s)[:20]) & set(at.tolist()))
+            assert np.allclose(score, s[at])
+        assert hit / (20 * len(asked)) >= 0.95
+        assert arrays.verified / (n * len(asked)) < most
+
+
+def test_neighbours_of_unequal_norms(spark):
+    """Blocks by norm: long vectors win by inner product wherever they point."""
+    import numpy as np
+
+    from shelfcheck.llm import ann
+
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((900, 16)) * np.exp(rng.uniform(-3, 3, 900))[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = sum(len(got[q] & set(sorted((j for j in range(900) if j != q), key=lambda j: -(v[j] @ v[q]))[:20])) for q in got)
+    assert len(got) == 45 and hit / (20 * 45) >= 0.95
+
+
 # ---------------------------------------------------------------- archives
 
 PAGES = [(5, "http://a/", "x" * 200), (2, "http://b/ c", "x" * 200), (9, None, "x" * 200), (None, "u", "x" * 200),
@@ -229,6 +267,19 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_keeps_text_ids(spark):
+    from shelfcheck.llm import warc
+
+    ids = ["", "<z>", "a\r\nb", None, "50% + é/ ?", "urn:page:", "plain"]
+    same = "y" * 150
+    pages = spark.createDataFrame([(i, "u", f"page {k}") for k, i in enumerate(ids)] + [("<a", "u", same), ("<b", "u", same)],
+                                  "page_id string, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_digest"]) for r in warc.round_trip(pages).collect()}
+    assert set(got) == {*ids, "<a", "<b"}
+    assert all(got[i] == ("response", None, sha(f"page {k}".encode())) for k, i in enumerate(ids))
+    assert got["<a"][:2] == ("response", None) and got["<b"][:2] == ("revisit", "<a")
+
+
 def test_warc_records_are_single_members_and_damage_is_found(spark, tmp_dir):
     from shelfcheck.llm import warc
 
