@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import uuid
 from bisect import bisect_left
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,8 +117,8 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
     n_blocks = max(1, -(-int(size) // block_bytes))
     block = F.pmod(F.xxhash64("pattern"), F.lit(n_blocks))
 
-    def one(b: int, frame: DataFrame, cols: list[str]) -> DataFrame:
-        # At most about block_bytes by the check above.
+    def one(b: int, frame: DataFrame, cols: list[str]):
+        """The matches of one block, and the broadcast they read: at most about block_bytes."""
         part = wins if n_blocks == 1 else wins.where(block == b)
         pats = spark.sparkContext.broadcast(
             sorted((r["pattern"], list(r["items"])) for r in part.collect()))
@@ -128,22 +129,27 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
             built = worker_state(key, lambda: _automaton(pats.value))
             return lambda texts: [scan(t, *built) for t in texts]
 
-        return map_text(frame, text, cols, SPANS, make)
+        return map_text(frame, text, cols, SPANS, make), pats
 
     if n_blocks == 1:
-        return one(0, docs, keep)
-    # One scan per block over the same written rows; matches are merged per row.
+        return one(0, docs, keep)[0]
+    # One job per block over the same written rows: the driver and the executors hold one block
+    # at a time. Rows that a block hits are written by number, and joined back once.
     tagged = materialize(docs.select(*keep, text, F.monotonically_increasing_id().alias("__row")), "docs")
-    parts = one(0, tagged, [*keep, "__row"])
-    for b in range(1, n_blocks):
-        parts = parts.unionByName(one(b, tagged, [*keep, "__row"]))
+    parts = []
+    for b in range(n_blocks):
+        found, pats = one(b, tagged, ["__row"])
+        # The first block's rows carry the number of words of every text.
+        parts.append(materialize(found if b == 0 else found.where("n_hit > 0"), "block"))
+        pats.destroy()
     pos = F.array_distinct(F.flatten(F.transform(
         "spans", lambda s: F.sequence(s["word_start"], s["word_end"] - 1))))
-    return (parts.groupBy("__row", *keep).agg(
+    per_row = reduce(DataFrame.unionByName, parts).groupBy("__row").agg(
         F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .select(*keep, "n_words", F.size(pos).cast("long").alias("n_hit"), "items", "spans"))
+    return (tagged.select(*keep, "__row").join(per_row, "__row")
+            .select(*keep, "n_words", F.size(pos).cast("long").alias("n_hit"), "items", "spans"))
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

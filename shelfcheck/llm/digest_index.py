@@ -2,7 +2,7 @@
 
 The index holds one row per distinct normalised text (A-Z lower-cased; null counts as
 empty): its SHA-256 and the document that stays. It is a table bucketed and sorted by the
-digest (bucketed.py). A delivery is reduced to one row per digest, the largest doc_id, before
+digest (sources/bucketed.py). A delivery is reduced to one row per digest, the largest doc_id, before
 anything is compared; the reduced rows meet the index in a sort-merge anti-join for which the
 index is not shuffled, and the digests it lacks are appended, one file per bucket. ``compact``
 merges the files of many deliveries and can raise the bucket count.
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcheck.llm.bucketed import Bucketed
+from shelfcheck.sources.bucketed import Bucketed
 from shelfcheck.llm.util import materialize
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -2,9 +2,12 @@
 
 Notices and texts are normalised to words (A-Z lower-cased, see ``words_bytes``) joined by
 spaces. A notice found with at most k edits holds at least one of its k + 1 pieces
-unchanged (pigeonhole), so one automaton over all pieces locates the candidate regions of a
-text in one scan, and the regex library's bounded-error matching decides each region and
-reports the span with its edits. A match begins and ends at word borders.
+unchanged (pigeonhole), so one automaton over all pieces locates the places of a text where
+it may stand, in one scan. A window of the notice's length and edits around each place holds
+any such match, and the regex library's bounded-error matching decides it and reports the span
+with its edits. The best match of all windows is taken first, and the windows it cuts are
+searched again beside it, so work grows with the number of windows, however long the text. A
+match begins and ends at word borders.
 
 Base phrases are found exactly, by the same automaton, at every place where their words
 stand consecutively.
@@ -16,7 +19,10 @@ covers all its words; only the id and text columns are read.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, insort
 from functools import lru_cache
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +60,8 @@ NOTICES = [
 # One edit for every so many characters of a notice, at most MAX_EDITS.
 CHARS_PER_EDIT, MAX_EDITS = 12, 5
 
+_SPACE = re.compile(" ")
+
 FIELDS = ("n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
           "labels array<string>, score double, "
           "spans array<struct<label:string,first_word:int,last_word:int,edits:int,similarity:double>>")
@@ -89,28 +97,46 @@ class Scanner:
         self.patterns = [
             regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(t, special_only=True)}){{e<={edits_allowed(t)}}}(?![^ ])")
             for t, _ in self.notices]
-        # Notices repeat across documents, and so do their surroundings.
-        self.verify = lru_cache(20_000)(self._verify)
-
-    def _verify(self, notice: int, region: str) -> tuple:
-        # A search gives the best match wherever it stands, so the parts before and after it
-        # are searched in turn; the one before ends ahead of the space between the two.
-        least = len(self.notices[notice][0]) - edits_allowed(self.notices[notice][0])
-        found, parts = [], [(0, len(region))]
-        while parts:
-            lo, hi = parts.pop()
-            m = self.patterns[notice].search(region, lo, hi) if hi - lo >= least else None
-            if m and m.end() > m.start():
-                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                parts += [(lo, max(lo, m.start() - 1)), (m.end(), hi)]
-        return tuple(sorted(found))
+        # Notices repeat across documents, and so do their surroundings. Windows are short.
+        self.verify = lru_cache(50_000)(self._verify)
+
+    def _verify(self, notice: int, window: str, lo: int, hi: int) -> tuple | None:
+        """(edits, start, end) of the best match in a part of a window."""
+        if hi - lo < len(self.notices[notice][0]) - edits_allowed(self.notices[notice][0]):
+            return None
+        m = self.patterns[notice].search(window, lo, hi)
+        return (sum(m.fuzzy_counts), m.start(), m.end()) if m and m.end() > m.start() else None
+
+    def _matches(self, notice: int, norm: str, windows) -> list[tuple[int, int, int]]:
+        """(edits, start, end) of the matches that do not overlap, best first."""
+        heap: list[tuple] = []
+
+        def search(a: int, b: int, lo: int, hi: int) -> None:
+            m = self.verify(notice, norm[a:b], lo - a, hi - a)
+            if m:
+                heappush(heap, (m[0], m[1] + a, m[2] + a, lo, hi, a, b))
+
+        for a, b in windows:
+            search(a, b, a, b)
+        taken: list[tuple[int, int, int]] = []  # (start, end, edits), by start
+        while heap:
+            edits, start, end, lo, hi, a, b = heappop(heap)
+            i = bisect_left(taken, (start,))
+            near = next((taken[j] for j in (i - 1, i) if 0 <= j < len(taken) and taken[j][0] < end and start < taken[j][1]), None)
+            if near is None:
+                near = (start, end, edits)
+                insort(taken, near)
+            # What is left of the window beside a match; the part before ends ahead of the space.
+            search(a, b, lo, max(lo, near[0] - 1))
+            search(a, b, max(lo, near[1]), hi)
+        return [(edits, s, e) for s, e, edits in taken]
 
     def scan(self, text: str | None) -> tuple:
         words = words_bytes(text)
         if not words:
             return 0, 0, None, None, [], [], 0.0, []
         norm = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-        places, regions = [], {}
+        places, windows = [], {}
         for end, (size, uses) in self.automaton.iter(norm):
             for i, at in uses:
                 start = end - size + 1
@@ -119,24 +145,17 @@ class Scanner:
                 else:
                     notice = self.notices[i][0]
                     k = edits_allowed(notice)
-                    regions.setdefault(i, []).append(
+                    windows.setdefault(i, set()).add(
                         (max(0, start - at - k - 1), min(len(norm), start - at + len(notice) + k + 1)))
-        word_at = lambda pos: norm.count(" ", 0, pos) - 1
+        if not places and not windows:
+            return len(words), 0, None, None, [], [], 0.0, []
+        starts_at = [m.start() + 1 for m in _SPACE.finditer(norm)]  # of every word, and the end
+        word_at = lambda pos: bisect_left(starts_at, pos + 1) - 1
         spans = []
-        for i, found in regions.items():
+        for i, found in windows.items():
             notice, label = self.notices[i]
-            found.sort()
-            joined = [list(found[0])]
-            for a, b in found[1:]:
-                if a <= joined[-1][1]:
-                    joined[-1][1] = max(b, joined[-1][1])
-                else:
-                    joined.append([a, b])
-            for a, b in joined:
-                for s, e, edits in self.verify(i, norm[a:b]):
-                    if e > s:
-                        spans.append((label, word_at(a + s + (norm[a + s] == " ")), word_at(a + e), edits,
-                                      1 - edits / len(notice)))
+            for edits, s, e in self._matches(i, norm, sorted(found)):
+                spans.append((label, word_at(s + (norm[s] == " ")), word_at(e), edits, 1 - edits / len(notice)))
         spans = _best(spans)
         starts = [word_at(p) for p, _ in places]
         base_labels = sorted({label for _, label in places})
@@ -151,11 +170,13 @@ def _best(spans: list[tuple]) -> list[tuple]:
 
     A shorter notice inside a longer one does not displace it, however few its edits.
     """
-    kept: list[tuple] = []
+    longest = max((s[2] - s[1] for s in spans), default=0)
+    kept: dict[int, list[tuple]] = {}  # by first word
     for s in sorted(spans, key=lambda s: (s[3], s[1])):
-        if not any(k[3] < s[3] and k[1] <= s[1] and s[2] <= k[2] for k in kept):
-            kept.append(s)
-    return sorted(kept)
+        near = (k for first in range(s[2] - longest, s[1] + 1) for k in kept.get(first, ()))
+        if not any(k[3] < s[3] and s[2] <= k[2] for k in near):
+            kept.setdefault(s[1], []).append(s)
+    return sorted(s for own in kept.values() for s in own)
 
 
 def scanner() -> Scanner:

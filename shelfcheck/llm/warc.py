@@ -10,7 +10,8 @@ Reader: sequential, at most one record's payload in memory. Compressed blocks pa
 one incremental zlib object per member; the record is framed by Content-Length, and block
 and payload digests are verified. Each gzip member must hold exactly one record.
 
-Defined cases: a null html is an empty payload, a null url an empty target; null page_ids
+Defined cases: page_ids of any type keep their value, texts percent-encoded in the record's id
+and null under an id of its own; a null html is an empty payload, a null url an empty target; null page_ids
 sort last (a revisit never refers to a null unless all its copies have none, and then all
 are responses); rows that repeat the smallest page_id of a payload are all responses; an
 empty table gives no archive and no rows. Damage (bad frame, digest, truncated member) raises
@@ -24,6 +25,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,8 +230,12 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     return materialize(rows.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
+NO_ID = "urn:no-page"
+
+
 def _name(page_id) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}"
+    """A record id of printable ASCII, whatever characters the page's id has."""
+    return NO_ID if page_id is None else f"urn:page:{quote(str(page_id), safe='')}"
 
 
 def read(spark: SparkSession, manifest: DataFrame, strict: bool = True, payloads: bool = True) -> DataFrame:
@@ -272,6 +278,9 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     folder = scratch_path(spark, "llm", f"warc-{uuid.uuid4().hex}")
     kind = pages.schema[page_id].dataType
     back = read(spark, write(pages, folder, page_id, url, html), payloads=False)
-    number = lambda c: F.expr(f"nullif(substring({c}, 10), '')").cast(kind)  # noqa: E731  after "urn:page:"
+
+    def number(c: str):
+        return F.when(F.col(c) != NO_ID, F.url_decode(F.substring(c, len("urn:page:") + 1, 1 << 30))).cast(kind)
+
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest",
                        "record_type", number("refers_to").alias("refers_to"))

@@ -272,3 +272,51 @@ def test_toxicity_held_out_quality_on_the_test_table(spark):
     bad = [r["score"] for r in rows if r["toxic"]]
     auc = sum(sum(g < b for g in good) + 0.5 * sum(g == b for g in good) for b in bad) / len(good) / len(bad)
     assert auc > 0.97
+
+
+def test_license_scan_is_linear_in_long_texts():
+    """Texts of a million characters: inexact copies of notices, and a base phrase over and over."""
+    import time
+
+    from shelfcheck.llm.licenses import Scanner
+
+    sc, at = Scanner(), {}
+    for n in (4_000, 32_000):
+        copies = "released under the mit licence x " * n
+        began = time.process_time()
+        found = sc.scan(copies)
+        at[n] = time.process_time() - began
+        assert len(found[-1]) == n and found[5] == ["mit"] and all(s[3] == 1 for s in found[-1])
+    assert len(copies) > 1_000_000 and at[32_000] < 10
+    began = time.process_time()
+    assert sc.scan("cc by " * 200_000)[:4] == (400_000, 200_000, 0, 399_998)
+    assert time.process_time() - began < 10
+    mixed = "licensed under the gnu general public license version 2 all rigts reserved " * 12_000
+    found = sc.scan(mixed)
+    assert sorted({s[0] for s in found[-1]}) == ["gpl", "gpl-2", "reserved"] and len(found[-1]) == 36_000
+
+
+def test_decontamination_holds_one_block_at_a_time(spark, monkeypatch):
+    """A benchmark of many blocks: results as with one, and every broadcast below the bound."""
+    from pyspark import SparkContext
+
+    from shelfcheck.llm import decontaminate as dc
+
+    docs = frame(spark)
+    bench = spark.createDataFrame([(f"i{k}", t) for k, (_, t) in enumerate(TEXTS) if t], "item_id string, text string")
+    whole = result(dc.digest(dc.find(docs, bench, ["doc_id"])))
+    alive, most, sizes, send = [0], [0], [], SparkContext.broadcast
+
+    def counted(self, value):
+        made = send(self, value)
+        sizes.append(sum(len(p) + len(",".join(i)) + 2 for p, i in value))
+        alive[0] += 1
+        most[0] = max(most[0], alive[0])
+        gone = made.destroy
+        made.destroy = lambda *a: (alive.__setitem__(0, alive[0] - 1), gone(*a))
+        return made
+
+    monkeypatch.setattr(SparkContext, "broadcast", counted)
+    assert result(dc.digest(dc.find(docs, bench, ["doc_id"], block_bytes=20_000))) == whole
+    assert len(sizes) > 2 and most[0] == 1 and alive[0] == 0
+    assert sorted(sizes)[-2] < 2 * 20_000 < max(sizes)  # a word of 120,000 characters is a window of its own
