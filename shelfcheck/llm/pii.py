@@ -3,13 +3,17 @@
 Candidates are the contract's base matches (email, ip, card, phone), which always stay, and
 looser matches of the same kinds. Regex, gazetteer and context labelers vote for (1), against
 (-1) or abstain (0) on every candidate. Expectation-maximisation over the counts of vote
-patterns estimates how reliable each labeler is and how likely each pattern is real; a
-logistic span classifier per kind, trained on these likelihoods, decides the candidates
-beside the base ones.
-
-The corpus enters the training as counts of (kind, votes) over all documents: at most
-4 * 3^5 rows, whatever the input. Only these counts reach the driver; the trained weights
-return to the plan as literals.
+patterns estimates how reliable each labeler is and how likely each pattern is real. These
+likelihoods are the soft labels of a logistic span classifier per kind, which sees no vote but
+the span itself: its length, the grouping of its digits and whether their check sum holds, the
+classes of its characters, the word before it and the character after it. The classifier decides the candidates beside the
+base ones.
+
+The corpus enters the estimation as counts of (kind, votes) over all documents: at most
+4 * 3^5 rows, whatever the input. The classifier is fitted on all candidates, reduced to sums
+per combination of features, by Newton steps of one feature at a time; each step is one
+aggregate, of which one sum per kind and value of the feature (at most 4 * 65) reaches the driver.
+Weights return to the plan as literals.
 
 Positions are code points, ends exclusive. A pattern's matches and the pieces between them
 (``split`` by the same pattern) give the positions as running sums of lengths. The patterns
@@ -57,7 +61,10 @@ AGAINST_WORDS = "version|isbn|order|invoice|id|no|nr|build|page|chapter|section|
 LABELERS = ["v_format", "v_check", "v_gazetteer", "v_context", "v_border"]
 NEAR = 32  # characters of context before a candidate
 
-EM_ROUNDS, FIT_ROUNDS, STEP, RIDGE, ACCEPT = 30, 300, 0.5, 1e-2, 0.5
+# Span features and their numbers of values; the last value of f_before means no word.
+FEATURES = {"f_length": 12, "f_digits": 32, "f_chars": 16, "f_sum": 2, "f_before": 65, "f_after": 4}
+
+EM_ROUNDS, FIT_CYCLES, RIDGE, ACCEPT = 30, 4, 1.0, 0.5
 
 
 def _digits(c: Column) -> Column:
@@ -102,7 +109,7 @@ def _entry(source: int):
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """Valid candidates of ``found`` (``__row``, ``__found``): kind, base, start, end, votes."""
+    """Valid candidates of ``found`` (``__row``, ``__found``): kind, base, start, end, votes, features."""
     c = found.where(F.size("__found") > 0).select("__row", F.explode("__found").alias("c")).select("__row", "c.*")
     upto = Window.partitionBy("__row", "src").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("value")
@@ -118,7 +125,24 @@ def spans(found: DataFrame) -> DataFrame:
     luhn = F.expr("luhn_check(digits)")
     base = F.col("strict") & ((F.col("kind") != "card") | luhn)
     c = c.where(valid).withColumn("base", base)
-    return c.select("__row", "kind", "base", F.col("start").cast("int"), F.col("end").cast("int"), *_votes(luhn))
+    return c.select("__row", "kind", "base", F.col("start").cast("int"), F.col("end").cast("int"), *_votes(luhn),
+                    *_features(luhn))
+
+
+def _features(luhn: Column) -> list[Column]:
+    """What the classifier sees of a span: small numbers, the same for the same text around it."""
+    value, after = F.col("value"), F.col("after")
+    has = lambda pattern, bit: F.when(value.rlike(pattern), bit).otherwise(0)
+    groups = F.array_join(F.transform(F.regexp_extract_all("value", F.lit("[0-9]+"), F.lit(0)), lambda g: F.length(g).cast("string")), "-")
+    word = F.regexp_extract(F.lower("before"), r"(\p{L}+)[^\p{L}]*$", 1)
+    bucket = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    out = {"f_length": F.least(F.floor(F.length("value") / 3), F.lit(FEATURES["f_length"] - 1)),
+           "f_digits": bucket(groups, FEATURES["f_digits"]),
+           "f_chars": has(r"\p{L}", 1) + has(r"\s", 2) + has(r"[()\[\]]", 4) + has("[.:-]", 8),
+           "f_sum": F.when(luhn, 1).otherwise(0),
+           "f_before": F.when(word != "", bucket(word, FEATURES["f_before"] - 1)).otherwise(FEATURES["f_before"] - 1),
+           "f_after": F.when(after.rlike(r"[\p{L}\p{N}]"), 0).when(after.rlike(r"\s"), 1).when(after == "", 2).otherwise(3)}
+    return [c.cast("int").alias(n) for n, c in out.items()]
 
 
 def _votes(luhn: Column) -> list[Column]:
@@ -166,46 +190,62 @@ def estimate(counts: list[tuple]) -> dict:
     return {"prior": prior, "reliability": table, "likely": likely}
 
 
-def inputs(votes) -> list[float]:
-    return [1.0, *[float(x == 1) for x in votes], *[float(x == -1) for x in votes]]
-
-
-def fit(counts: list[tuple], likely: dict) -> list[float]:
-    """Logistic regression of the likelihoods on the votes, by gradient steps."""
-    w = [0.0] * (2 * len(LABELERS) + 1)
-    total = sum(n for _, n in counts)
-    rows = [(inputs(v), n / total, likely[v]) for v, n in counts]
-    for _ in range(FIT_ROUNDS):
-        grad = [RIDGE * x for x in w]
-        for x, share, y in rows:
-            p = 1 / (1 + exp(-max(-35.0, min(35.0, sum(a * b for a, b in zip(w, x))))))
-            for j, a in enumerate(x):
-                grad[j] += share * (p - y) * a
-        w = [a - STEP * g for a, g in zip(w, grad)]
-    return w
-
-
-def train(candidates: DataFrame) -> dict[str, dict]:
-    """Per kind with candidates: reliabilities and classifier weights."""
+def _by_kind(values: dict[tuple, float], key: list[str]) -> Column:
+    """The literal that belongs to a row's ``key`` columns, 0 where there is none."""
+    entries = [x for k, v in sorted(values.items()) for x in (F.lit(":".join(map(str, k))), F.lit(float(v)))]
+    if not entries:
+        return F.lit(0.0)
+    return F.coalesce(F.try_element_at(F.create_map(*entries), F.concat_ws(":", *[F.col(c).cast("string") for c in key])), F.lit(0.0))
+
+
+def _score(weights: dict[tuple, float]) -> Column:
+    """Log-odds of a span: its kind's intercept and one weight per feature."""
+    z = _by_kind({(k,): w for (k, f, _), w in weights.items() if f == "one"}, ["kind"])
+    for name in FEATURES:
+        z = z + _by_kind({(k, v): w for (k, f, v), w in weights.items() if f == name}, ["kind", name])
+    return z
+
+
+def fit(cells: DataFrame) -> dict[tuple, float]:
+    """Logistic regression of soft labels on one-hot features: {(kind, feature, value): weight}.
+
+    ``cells``: kind, features, n candidates, s the sum of their likelihoods. One feature at a
+    time takes a Newton step: its values exclude each other, so each has a curvature of its own.
+    """
+    weights: dict[tuple, float] = {}
+    cells = cells.withColumn("one", F.lit(0))
+    for feature in ("one", *FEATURES) * FIT_CYCLES:
+        p = 1 / (1 + F.exp(-_score(weights)))
+        sums = (cells.select("kind", F.col(feature).alias("value"), (F.col("n") * p - F.col("s")).alias("g"),
+                             (F.col("n") * p * (1 - p)).alias("h"))
+                .groupBy("kind", "value").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect())
+        for r in sums:
+            key = (r["kind"], feature, r["value"])
+            ridge, w = (0.0 if feature == "one" else RIDGE), weights.get(key, 0.0)
+            step = (r["g"] + ridge * w) / (r["h"] + ridge + 1e-3)
+            weights[key] = w - max(-2.0, min(2.0, step))
+    return weights
+
+
+def train(candidates: DataFrame) -> dict:
+    """Per kind with candidates the reliabilities (``kinds``), and the classifier's weights."""
     counts = candidates.groupBy("kind", *LABELERS).count().collect()  # at most 4 * 3^5 rows
-    out = {}
+    kinds, likely = {}, {}
     for kind in KINDS:
         own = sorted((tuple(r[n] for n in LABELERS), r["count"]) for r in counts if r["kind"] == kind)
         if own:
-            model = estimate(own)
-            out[kind] = model | {"weights": fit(own, model["likely"])}
-    return out
+            kinds[kind] = estimate(own)
+            likely |= {(kind, *v): p for v, p in kinds[kind]["likely"].items()}
+    if not kinds:
+        return {"kinds": {}, "weights": {}}
+    soft = candidates.withColumn("likely", _by_kind(likely, ["kind", *LABELERS]))
+    cells = materialize(soft.groupBy("kind", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("likely").alias("s")), "cells")
+    return {"kinds": kinds, "weights": fit(cells)}
 
 
-def classify(candidates: DataFrame, models: dict[str, dict]) -> DataFrame:
+def classify(candidates: DataFrame, model: dict) -> DataFrame:
     """``candidates`` with the classifier's ``p``; base ones and those it accepts stay."""
-    p = F.lit(0.0)
-    for kind, model in models.items():
-        w = model["weights"]
-        z = F.lit(w[0])
-        for j, name in enumerate(LABELERS):
-            z = z + F.when(F.col(name) == 1, w[1 + j]).when(F.col(name) == -1, w[1 + len(LABELERS) + j]).otherwise(0.0)
-        p = F.when(F.col("kind") == kind, 1 / (1 + F.exp(-z))).otherwise(p)
+    p = 1 / (1 + F.exp(-_score(model["weights"])))
     return candidates.withColumn("p", p).where(F.col("base") | (F.col("p") >= ACCEPT))
 
 

@@ -169,8 +169,53 @@ def test_estimation_trusts_the_reliable_labelers():
     assert abs(model["prior"] - 0.4) < 0.05
     right = [t[1, 1] for t in model["reliability"]]
     assert right[0] > right[2] and right[1] > right[4] and right[0] > 0.9
-    w = pii.fit(sorted(counts.items()), model["likely"])
-    assert w[1] > w[3] and w[2] > w[5]
+
+
+def test_span_classifier_learns_from_spans(spark):
+    """Soft labels that hang on the word before and the length: the weights reproduce them, and
+    agree with a plain logistic regression."""
+    import numpy as np
+
+    from shelfcheck.llm import pii
+
+    rnd, rows = random.Random(4), []
+    for _ in range(3000):
+        f = (rnd.randrange(12), rnd.randrange(4), rnd.randrange(16), rnd.randrange(2), rnd.randrange(6), rnd.randrange(4))
+        real = rnd.random() < 1 / (1 + np.exp(-(2.5 * (f[4] == 2) - 2.0 * (f[0] < 3) - 0.5)))
+        rows.append(("phone", *f, 1, 0.95 if real else 0.05))
+    cells = spark.createDataFrame(rows, f"kind string, {', '.join(f'{n} int' for n in pii.FEATURES)}, n long, s double").groupBy(
+        "kind", *pii.FEATURES).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    w = pii.fit(cells)
+    assert w["phone", "f_before", 2] > 1 + w["phone", "f_before", 1] and w["phone", "f_length", 1] < w["phone", "f_length", 9] - 1
+    names = list(pii.FEATURES)
+    at = {k: i for i, k in enumerate(sorted(w))}
+    x = np.zeros((len(rows), len(at)))
+    for i, r in enumerate(rows):
+        x[i, at["phone", "one", 0]] = 1
+        for n, v in zip(names, r[1:7]):
+            x[i, at["phone", n, v]] = 1
+    y, ridge, b = np.array([r[8] for r in rows]), np.array([0.0 if k[1] == "one" else pii.RIDGE for k in sorted(w)]), np.zeros(len(at))
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-x @ b))
+        b -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6), x.T @ (p - y) + ridge * b)
+    mine = np.array([w[k] for k in sorted(w)])
+    p, q = (1 / (1 + np.exp(-x @ v)) for v in (mine, b))
+    assert np.abs(p - q).max() < 0.08 and np.abs(p - q).mean() < 0.02
+    assert pii.train(spark.createDataFrame([], pii.spans(pii.matches(spark.createDataFrame(
+        [("a", 1)], "t string, __row long"), "t")).schema)) == {"kinds": {}, "weights": {}}
+
+
+def test_loose_spans_are_decided_by_the_classifier(spark):
+    """Votes label, features decide: in a corpus where numbers after ``call`` are phones and those
+    after ``order`` are not, the loose ones are told apart."""
+    from shelfcheck.llm import pii
+
+    rnd = random.Random(6)
+    number = lambda: f"{rnd.randrange(200, 999)}-{rnd.randrange(200, 999)}-{rnd.randrange(1000, 9999)}"
+    rows = [(i, f"please call {number()} today") for i in range(150)] + [(1000 + i, f"see order {number()}x") for i in range(150)]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] != "" for i in range(150)) >= 145
+    assert sum(got[1000 + i] != "" for i in range(150)) <= 5
 
 
 # ---------------------------------------------------------------- search
