@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the columns
-of ``documents``.
+of ``documents``, in their order, further columns included whatever their names.
+
+In every stage a null text counts as empty and stays null, a null doc_id is a document like
+any other, rows that repeat are treated alike, texts are worked on whole, and an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,35 +17,42 @@ from shelfcheck.llm.util import materialize, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go."""
+    """Documents scored as toxic go. A text without words, null or empty, has the score of the
+    intercept alone; repeated rows share their fate; without labelled rows nothing is learnt and
+    every document stays."""
     from shelfcheck.llm import toxicity as tx
 
     return tx.accept(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: three-word shingles, two bits."""
+    """One document of each SimHash component stays: three-word shingles, two bits. The one with
+    the smallest doc_id stays, of rows that tie on it one; a component that has only null ids
+    keeps one row. Texts without words form one component, of fingerprint zero."""
     from shelfcheck.llm import simhash as sh
 
     return sh.keep_one(docs, shingle=3, max_bits=2)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark window stay."""
+    """Documents that hold no benchmark window stay: those without words always, all of them
+    where the benchmark is empty, repeated rows each."""
     from shelfcheck.llm import decontaminate as dc
 
     return dc.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the text gives way to tags; every document stays."""
+    """Personal data in the text gives way to tags; every row stays. Of overlapping spans the
+    first one's tag replaces their union; a null text stays null; n_chars follows the text."""
     from shelfcheck.llm import pii
 
     return pii.redact(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of every document that is left, with their digests."""
+    """Ids and decoded text of every row that is left, with their digests; a null text counts as
+    empty and has no ids."""
     import public_tokenizers
 
     from shelfcheck.llm.bpe import encode_decode
