@@ -320,3 +320,56 @@ def test_decontamination_holds_one_block_at_a_time(spark, monkeypatch):
     assert result(dc.digest(dc.find(docs, bench, ["doc_id"], block_bytes=20_000))) == whole
     assert len(sizes) > 2 and most[0] == 1 and alive[0] == 0
     assert sorted(sizes)[-2] < 2 * 20_000 < max(sizes)  # a word of 120,000 characters is a window of its own
+
+
+def test_toxicity_training_matches_a_plain_ftrl():
+    """Features and per-coordinate updates written out in plain Python, word by word."""
+    import random
+    import re
+    from math import exp, sqrt
+    from zlib import crc32
+
+    from shelfcheck.llm import toxicity as tx
+
+    def slots(text):
+        h = [crc32(w.encode()) for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())]
+        out, spread, whole = {0}, 0x9E3779B97F4A7C15, (1 << 64) - 1
+        for i in range(len(h)):
+            out.add(max(1, (h[i] * spread & whole) >> (64 - tx.BITS)))
+            for kind, gaps in enumerate([(1,), (2,), (3,), (1, 1)], 1):
+                if i + sum(gaps) < len(h):
+                    x, at = h[i] + (kind << 32), i
+                    for g in gaps:
+                        at += g
+                        x = (x * spread & whole) ^ h[at]
+                    x ^= x >> 29
+                    out.add(max(1, (x * spread & whole) >> (64 - tx.BITS)))
+        return out
+
+    rnd, words = random.Random(8), [f"w{k}" for k in range(60)] + ["vile", "awful"]
+    rows = []
+    for _ in range(300):
+        t = [rnd.choice(words[:60]) for _ in range(rnd.randint(0, 25))]
+        y = rnd.random() < 0.4
+        rows.append((" ".join(t + ([rnd.choice(words[60:])] * 2 if y else [])), int(y)))
+    z, n, state = {}, {}, tx.Ftrl()
+
+    def weight(s):
+        if abs(z.get(s, 0.0)) <= tx.L1:
+            return 0.0
+        return -(z[s] - (1 if z[s] > 0 else -1) * tx.L1) / ((tx.BETA + sqrt(n[s])) / tx.ALPHA + tx.L2)
+
+    for text, y in rows:
+        own = slots(text)
+        assert own == set(tx.features(text).tolist())
+        w = {s: weight(s) for s in own}
+        g = 1 / (1 + exp(-sum(w.values()))) - y
+        for s in own:
+            old = n.get(s, 0.0)
+            z[s] = z.get(s, 0.0) + g - (sqrt(old + g * g) - sqrt(old)) / tx.ALPHA * w[s]
+            n[s] = old + g * g
+        state.learn(tx.features(text), y)
+    at, w = state.model()
+    want = {s: weight(s) for s in z if weight(s)}
+    assert set(at.tolist()) == set(want) and len(want) > 3
+    assert all(abs(want[s] - x) < 1e-9 for s, x in zip(at.tolist(), w.tolist()))
