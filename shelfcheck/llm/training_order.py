@@ -7,13 +7,12 @@ to record ``s % per_shard`` of shard ``s // per_shard``: shards are ranges of sl
 as fixed-stride little-endian 16-bit records, so any slot is found by arithmetic and a
 reader can stop and resume anywhere.
 
-N must be known before the first slot, so the texts are read twice: once to count the
-sequences of each partition (one number per partition reaches the driver), once to emit
-them, numbered from their partition's offset as ``zipWithIndex`` does. Keeping the ids
-between the passes instead would cost another copy of them on disk. ``docs`` must be
-deterministic, as a table scan is; the split of a scan is pinned for both passes, so that a
-lost executor does not change it, and the second pass fails if a partition does not give
-what was counted. The ids cross the network once.
+N must be known before the first slot, so texts are tokenized into a written table first: per
+document its ids, the scan partition it came from and its place in it. One number per partition
+reaches the driver and gives each partition its offset, as ``zipWithIndex`` does; from then on
+nothing depends on how the scan was split. Sequences then cross the network once, in PASSES
+ranges of shards: a pass reads the written ids, sends what belongs to its shards and writes
+them, so that only a part of the sequences lies in shuffle files at a time.
 
 Shards are written below a shared folder under a name of the task attempt; the index, a
 Parquet table with one row per sequence, names the files of the attempts that succeeded.
@@ -26,11 +25,13 @@ text columns are read.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import sys
 import uuid
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,8 @@ STRIDE = 256          # ids per sequence
 PER_SHARD = 65_536    # sequences per shard
 KEY = 0x5EED_0F_0DE2
 ROUNDS = 6
-SCAN_SPLIT = "spark.sql.files.minPartitionNum"
+PASSES = 4            # ranges of shards written one after the other
+SLICE = 8192          # sequences per batch of output
 
 INDEX = "slot long, shard int, record int, file string, n_ids int, doc_id {id}, seq_no int"
 
@@ -99,22 +101,25 @@ class Feistel:
 
 # ---------------------------------------------------------------- ids
 
+def read_ranks(path: str) -> tuple[dict[bytes, int], int]:
+    """(ranks, end): the end token is the number after the last rank."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    end = max(ranks.values()) + 1
+    if end >= 1 << 16:
+        raise ValueError("ids do not fit 16 bits")
+    return ranks, end
+
+
 class ByteBpe:
     """Ids of a rank file as little-endian 16-bit numbers."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.end = max(ranks.values()) + 1
-        if self.end >= 1 << 16:
-            raise ValueError("ids do not fit 16 bits")
+        ranks, self.end = read_ranks(path)
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def count(self, text: str) -> int:
-        return len(self.encoding.encode_ordinary(text))
-
     def pack(self, text: str) -> bytes:
         ids = array("H", self.encoding.encode_ordinary(text))
         if sys.byteorder == "big":
@@ -126,20 +131,6 @@ def tokenizer(path: str, pattern: str) -> ByteBpe:
     return worker_state(("ranks", path), lambda: ByteBpe(path, pattern))
 
 
-def sequences(text: str | None, tok: ByteBpe, stride: int = STRIDE) -> list[tuple[int, bytes]]:
-    """(ids that count, record) of one text; the end token closes it and pads the last."""
-    if not text:
-        return []
-    end = tok.end.to_bytes(2, "little")
-    ids, size = tok.pack(text) + end, 2 * stride
-    out = []
-    for i in range(0, len(ids), size):
-        record = ids[i:i + size]
-        n = len(record) // 2
-        out.append((n, record + end * (stride - n)))
-    return out
-
-
 # ---------------------------------------------------------------- Spark jobs
 
 def materialise(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str, doc_id: str = "doc_id",
@@ -147,65 +138,104 @@ def materialise(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str,
     """Write the shards below ``folder``; the index, one row per sequence."""
     spark = docs.sparkSession
     prepare(spark)
-    folder = _uri(folder)
-    pinned = spark.conf.get(SCAN_SPLIT, None)
-    spark.conf.set(SCAN_SPLIT, pinned or str(spark.sparkContext.defaultParallelism))
-    try:
-        return _materialise(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")),
-                            tokenizer_path, pattern, folder, stride, per_shard, key)
-    finally:
-        if pinned is None:
-            spark.conf.unset(SCAN_SPLIT)
-
-
-def _materialise(rows: DataFrame, tokenizer_path: str, pattern: str, folder: str, stride: int, per_shard: int,
-                 key: int) -> DataFrame:
-    def count(batches):
+    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    encoded = _encode(rows, tokenizer_path, pattern, stride)
+    counts = {r["part"]: r["n"] for r in encoded.groupBy("part").agg(F.sum("n_seq").alias("n")).collect()}
+    first, total = {}, 0
+    for part in sorted(counts):  # one number per partition of the scan
+        first[part] = total
+        total += counts[part]
+    n_shards = max(1, -(-total // per_shard))
+    end = read_ranks(tokenizer_path)[1]
+    index = INDEX.format(id=rows.schema["doc_id"].dataType.simpleString())
+    parts = []
+    for lo, hi in _ranges(n_shards, PASSES):
+        placed = _placed(encoded, first, total, Feistel(total, key), (lo, hi), end, stride, per_shard)
+        parts.append(materialize(placed.mapInArrow(_writer(_uri(folder), per_shard), index), "shard-index"))
+        del placed
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the pass's shuffle files
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ranges(n: int, passes: int) -> list[tuple[int, int]]:
+    """0..n-1 in up to ``passes`` ranges of nearly equal length."""
+    cuts = [n * i // min(n, passes) for i in range(min(n, passes) + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _encode(rows: DataFrame, tokenizer_path: str, pattern: str, stride: int) -> DataFrame:
+    """Written once: (doc_id, part, at, n_seq, ids) of every text with ids; ``at`` is the number of
+    its first sequence within its partition of the scan."""
+    schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), StructField("part", LongType()),
+                         StructField("at", LongType()), StructField("n_seq", LongType()), StructField("ids", BinaryType())])
+
+    def encode(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tok, n = tokenizer(tokenizer_path, pattern), 0
+        tok, part, at = tokenizer(tokenizer_path, pattern), TaskContext.get().partitionId(), 0
+        end = tok.end.to_bytes(2, "little")
         for b in batches:
-            n += sum(-(-(tok.count(t) + 1) // stride) for t in b.column(1).to_pylist() if t)
-        yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "n": n}])
+            keep, starts, sizes, ids = [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                if t:
+                    keep.append(i)
+                    ids.append(tok.pack(t) + end)
+                    sizes.append(-(-len(ids[-1]) // (2 * stride)))
+                    starts.append(at)
+                    at += sizes[-1]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(keep, pa.int32())), pa.array([part] * len(keep), pa.int64()), pa.array(starts, pa.int64()),
+                 pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
 
-    counts = {r["part"]: r["n"] for r in rows.mapInArrow(count, "part long, n long").collect()}
-    first, total = {}, 0
-    for part in sorted(counts):
-        first[part] = total
-        total += counts[part]
-    n_shards = max(1, -(-total // per_shard))
-    id_type = rows.schema["doc_id"].dataType
+    return materialize(rows.mapInArrow(encode, schema), "token-ids", compression="zstd")
+
+
+def _placed(encoded: DataFrame, first: dict, total: int, network: Feistel, shards: tuple[int, int], end: int, stride: int,
+            per_shard: int) -> DataFrame:
+    """The sequences of a range of shards, each shard in one partition and in order."""
+    lo, hi = shards
     schema = StructType([StructField("slot", LongType()), StructField("shard", IntegerType()),
-                         StructField("n_ids", IntegerType()), StructField("doc_id", id_type),
+                         StructField("n_ids", IntegerType()), StructField("doc_id", encoded.schema["doc_id"].dataType),
                          StructField("seq_no", IntegerType()), StructField("ids", BinaryType())])
+    size, pad = 2 * stride, end.to_bytes(2, "little") * stride
 
     def emit(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        tok, network, at = tokenizer(tokenizer_path, pattern), Feistel(total, key), first.get(part, 0)
         for b in batches:
-            made = [sequences(t, tok, stride) for t in b.column(1).to_pylist()]
-            per_doc = np.array([len(m) for m in made], np.int64)
-            n = int(per_doc.sum())
-            if not n:
+            per_doc = b.column(3).to_numpy()
+            if not len(per_doc):
                 continue
-            slots = network.slots(np.arange(at, at + n))
-            at += n
-            yield pa.RecordBatch.from_arrays([
-                pa.array(slots), pa.array((slots // per_shard).astype(np.int32)),
-                pa.array([k for m in made for k, _ in m], pa.int32()),
-                b.column(0).take(pa.array(np.repeat(np.arange(len(made)), per_doc))),
-                pa.array([i for m in made for i in range(len(m))], pa.int32()),
-                pa.array([ids for m in made for _, ids in m], pa.binary())], names=schema.names)
-        if at != first.get(part, 0) + counts.get(part, 0):
-            raise ValueError(f"partition {part} changed between the passes; docs must be deterministic")
-
-    placed = (rows.mapInArrow(emit, schema).repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot"))
-
+            begin = np.array([first[p] for p in b.column(1).to_pylist()], np.int64) + b.column(2).to_numpy()
+            doc = np.repeat(np.arange(len(per_doc)), per_doc)
+            seq = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+            slots = network.slots(begin[doc] + seq)
+            mine = np.flatnonzero((slots >= lo * per_shard) & (slots < hi * per_shard))
+            texts, at = b.column(4), 0
+            while at < len(mine):  # output in slices of bounded bytes
+                part = mine[at:at + SLICE]
+                at += SLICE
+                records, n_ids, held, ids = [], [], -1, b""
+                for d, k in zip(doc[part].tolist(), seq[part].tolist()):
+                    if d != held:
+                        held, ids = d, texts[d].as_py()
+                    record = ids[k * size:(k + 1) * size]
+                    n_ids.append(len(record) // 2)
+                    records.append(record if len(record) == size else record + pad[len(record):])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(slots[part]), pa.array((slots[part] // per_shard).astype(np.int32)), pa.array(n_ids, pa.int32()),
+                    b.column(0).take(pa.array(doc[part])), pa.array(seq[part].astype(np.int32)), pa.array(records, pa.binary())],
+                    names=schema.names)
+
+    out = encoded.mapInArrow(emit, schema).withColumn("__to", F.col("shard") - lo)
+    return out.repartitionById(hi - lo, F.col("__to")).drop("__to").sortWithinPartitions("slot")
+
+
+def _writer(folder: str, per_shard: int):
+    """Map function: shards as files below ``folder``; one index row per record."""
     def write(batches):
         import pyarrow as pa
 
@@ -235,8 +265,7 @@ def _materialise(rows: DataFrame, tokenizer_path: str, pattern: str, folder: str
         if out is not None:
             out.close()
 
-    index = INDEX.format(id=id_type.simpleString())
-    return materialize(placed.mapInArrow(write, index), "shard-index")
+    return write
 
 
 def read_slots(index: DataFrame, start: int = 0, stride: int = STRIDE, per_shard: int = PER_SHARD) -> Iterator:
