@@ -20,6 +20,7 @@ from shelfcheck.contracts import (
 from shelfcheck.functions.scalars import minute_text
 from shelfcheck.operators.changes import sort_for_listing
 from shelfcheck.operators.common import non_empty_rows
+from shelfcheck.sources.files import Files
 
 
 def export_table(df: DataFrame, key: str) -> DataFrame:
@@ -64,6 +65,14 @@ def append_load_log(row: DataFrame, root: str) -> None:
     row.coalesce(1).write.mode("append").parquet(os.path.join(root, "upload_log"))
 
 
+def log_once(row: DataFrame, root: str, run: str) -> None:
+    """K6 for runs that may be replayed: the row of a run whose mark is there is not added again."""
+    files, mark = Files(row.sparkSession), os.path.join(root, "_logged", run)
+    if not files.exists(mark):
+        append_load_log(row, root)
+        files.put(mark, {})
+
+
 def load_log_message(lines: DataFrame) -> DataFrame:
     """K7 over run outputs: (run_id, ok, lines array<string>) -> (run_id, message).
 

@@ -17,11 +17,9 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from shelfcheck.plans.tables import append_load_log, load_log_row
+from shelfcheck.plans.tables import load_log_row, log_once
 from shelfcheck.session import checkpoint_root
 from shelfcheck.sources.ingest import (
     ContractError,
@@ -40,14 +38,6 @@ from shelfcheck.sources.ingest import (
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def _logged(spark: SparkSession, root: str, table: str, names: str) -> bool:
-    try:
-        history = spark.read.parquet(os.path.join(root, "upload_log"))
-    except AnalysisException:
-        return False
-    return not history.where((F.col("label") == table) & (F.col("filename") == names)).isEmpty()
-
-
 def load_arrivals(root: str, table: str, fmt: str = "csv", context_headers: bool = False,
                   operator: str | None = None):
     """foreachBatch function: load and publish the files of one micro-batch.
@@ -65,11 +55,10 @@ def load_arrivals(root: str, table: str, fmt: str = "csv", context_headers: bool
         paths = [p for p, _ in arrived]
         names = ",".join(os.path.basename(p) for p in paths)
         size = sum(n for _, n in arrived)
-        published = published_rows(spark, root, table, version)
+        run, published = f"{table}-{version}", published_rows(spark, root, table, version)
         if published is not None:
             # A replay. The first run may have ended between publishing and its history row.
-            if not _logged(spark, root, table, names):
-                append_load_log(load_log_row(spark, table, names, size, "success", f"{published} rows", operator), root)
+            log_once(load_log_row(spark, table, names, size, "success", f"{published} rows", operator), root, run)
             return
         try:
             described = table == "meituan_store_inventory"
@@ -82,7 +71,7 @@ def load_arrivals(root: str, table: str, fmt: str = "csv", context_headers: bool
             state, message = "success", f"{pub.rows[table]} rows"
         except ContractError as e:
             state, message = "failed", str(e)
-        append_load_log(load_log_row(spark, table, names, size, state, message, operator), root)
+        log_once(load_log_row(spark, table, names, size, state, message, operator), root, run)
 
     return apply
 

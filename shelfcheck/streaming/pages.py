@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcheck.plans.tables import append_load_log, load_log_row
+from shelfcheck.plans.tables import load_log_row, log_once
 from shelfcheck.sources.ingest import ContractError, publish_edit, published_rows
 from shelfcheck.sources.page_source import stream_landing
 from shelfcheck.sources.pages import book_table
@@ -34,7 +34,7 @@ def load_pulls(root: str):
                     state, message = "success", f"{made.rows[TABLE]} rows"
                 except ContractError as e:
                     state, message = "failed", str(e)
-                append_load_log(load_log_row(spark, TABLE, os.path.basename(pull), 0, state, message, None), root)
+                log_once(load_log_row(spark, TABLE, os.path.basename(pull), 0, state, message, None), root, f"{TABLE}-{version}")
         finally:
             pages.unpersist()
 

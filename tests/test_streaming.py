@@ -97,3 +97,20 @@ def test_arrival_stream_publishes_good_batches_only(spark, tmp_dir):
     assert [(r["store_id"], r["stock_qty"]) for r in spark.read.parquet(cur).collect()] == [("104", 7)]
     log = {r["filename"]: r["state"] for r in spark.read.parquet(os.path.join(root, "upload_log")).collect()}
     assert log == {"a.csv": "success", "b.csv": "failed", "c.csv": "success"}
+
+
+def test_replayed_batches_log_once(spark, tmp_dir):
+    """A batch that runs again, failed or published, adds no second row to the history."""
+    from shelfcheck.contracts import HEADER_MAPS
+    from shelfcheck.streaming.ingest import load_arrivals
+
+    table = "meituan_store_inventory"
+    cols, root = list(HEADER_MAPS[table]), os.path.join(tmp_dir, "root")
+    good, bad = os.path.join(tmp_dir, "good.csv"), os.path.join(tmp_dir, "bad.csv")
+    _write_csv(good, cols, [["v"] * len(cols)])
+    _write_csv(bad, cols[:-1], [["v"] * (len(cols) - 1)])
+    apply = load_arrivals(root, table)
+    for batch, path in ((0, good), (1, bad), (0, good), (1, bad)):
+        apply(spark.createDataFrame([(path, 10)], "path string, length long"), batch)
+    log = sorted((r["filename"], r["state"]) for r in spark.read.parquet(os.path.join(root, "upload_log")).collect())
+    assert log == [("bad.csv", "failed"), ("good.csv", "success")]
