@@ -65,7 +65,9 @@ def main() -> None:
 
     # Headline queries only: ranks, edits and ingest checks repeat or are small work.
     checks = {"edit_rejects", "edited_table", "edit_misses", "user_flags", "missing_addresses", "scalar_texts",
-              "typed_values", "imported_mapping", "pulled_rows", "missing_pages", "load_messages", "one_profile"}
+              "typed_values", "imported_mapping", "pulled_rows", "missing_pages", "load_messages", "one_profile",
+              "landed_rows", "published_pull", "stored_pull", "promoted_columns", "merged_types", "current_versions",
+              "logged_loads", "loaded_tables", "report_customers", "report_outlets", "payload_sections", "geocode_classes"}
     for name, fn in Q.REGISTRY.items():
         if name.endswith("_rank") or name in checks:
             continue

@@ -109,13 +109,15 @@ def flag_index(flag: Column | str = "flag") -> Column:
     )
 
 
-def attach_dims(detail: DataFrame, stores: DataFrame, products: DataFrame | None = None) -> DataFrame:
-    """Name the keys: store_key -> customer_name, store_name; product_key -> code and name.
+def attach_dims(detail: DataFrame, stores: DataFrame, products: DataFrame | None = None,
+                more: tuple[str, ...] = ()) -> DataFrame:
+    """Name the keys: store_key -> customer_name, store_name (and ``more`` of the stores' columns);
+    product_key -> code and name.
 
     ``stores`` must be unique per store_key and ``products`` unique per product_key,
     so neither join can multiply rows.
     """
-    out = detail.join(stores.select("store_key", "customer_name", "store_name"), "store_key", "left")
+    out = detail.join(stores.select("store_key", "customer_name", "store_name", *more), "store_key", "left")
     if products is not None:
         pn = products.select("product_key", F.col("product_name").alias("_catalog_name"))
         out = out.join(pn, "product_key", "left")

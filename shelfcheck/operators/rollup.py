@@ -123,8 +123,9 @@ def store_summary(store_rows: DataFrame, stores: DataFrame, ids: DataFrame | Non
 
 
 def detail_report(named_detail: DataFrame, stores: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """K1 detail sheet: detail + store ids + A5 row rates; S1 order."""
-    out = attach_store_ids(named_detail, stores, ids)
+    """K1 detail sheet: detail + store ids + A5 row rates; S1 order. Rows named through a store
+    dimension that holds the ids already (``attach_dims``) need no join for them."""
+    out = named_detail if "jd_id" in named_detail.columns else attach_store_ids(named_detail, stores, ids)
     out = out.withColumns({"jd_rate": row_rate("jd_qty", "bojun_qty"),
                            "mt_rate": row_rate("mt_qty", "bojun_qty")})
     return out.select(

@@ -29,7 +29,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def register(name: str):
     def deco(fn: Query) -> Query:
-        REGISTRY[name] = fn
+        REGISTRY[name] = lambda spark, d: fn(spark, tb.TableFolder(d))
         return fn
     return deco
 
@@ -182,6 +182,7 @@ def recon_inputs(spark: SparkSession, d: str, detail: DataFrame | None = None):
     """All report inputs over the bound tables; ``detail`` may be a persisted J1."""
     from shelfcheck.plans.reports import ReconInputs
 
+    d = tb.TableFolder(d)
     det = detail if detail is not None else keyed_detail(spark, d)
     st = tb.stores(spark, d)
     outlets, stock, _, _ = guard_inputs(spark, d, det)

@@ -56,9 +56,11 @@ def _same(df: DataFrame) -> DataFrame:
 def recon_sheets(inp: ReconInputs, detail: DataFrame, keep=_same) -> dict[str, DataFrame]:
     """The five recon sheets. ``keep`` marks a frame that several sheets read (the
     report persists it for its duration)."""
-    named = rc.attach_dims(detail, inp.stores, inp.products)
     store_rows = keep(ru.store_level(detail, inp.stores, inp.store_partials))
     ids = keep(ru.store_ids(inp.stores))  # J2 ids per store name: store and detail sheets
+    # The ids join the store dimension, so that a detail row meets one dimension for both.
+    with_ids = inp.stores.select("store_key", "customer_name", "store_name").join(ids, "store_name", "left")
+    named = rc.attach_dims(detail, with_ids, inp.products, ("jd_id", "meituan_id"))
     unmatched = mt.unmatched_rows(inp.platform_rows, mt.product_mapping(inp.platform_rows, inp.book_products))
     names = inp.platform_names
     if names is None and inp.products is not None:

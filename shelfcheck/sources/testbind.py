@@ -25,9 +25,22 @@ JD_DISABLED = "停用"
 MT_RESTING = "休息中"
 
 
+class TableFolder(str):
+    """The folder of the tables for the length of one query: a table's schema is read from its
+    footer once, however often the query reads the table. Files are listed for every read."""
+
+    def __init__(self, path: str):
+        self.schemas: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one test table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if not isinstance(sf_dir, TableFolder):
+        return spark.read.parquet(path)
+    if name not in sf_dir.schemas:
+        sf_dir.schemas[name] = spark.read.parquet(path).schema
+    return spark.read.schema(sf_dir.schemas[name]).parquet(path)
 
 
 def stock_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
