@@ -35,7 +35,7 @@ def test_reload_profiles_new_files_only(spark, tmp_dir, monkeypatch):
     write(f"{folder}/c.csv", [head, ["5", "6.5", "", "1", "2"]])  # changed
     os.remove(f"{folder}/a.csv")
     _, types = typed_export(spark, folder, store)
-    assert types == full() and types["n"] == "double" and types["shelf"] == "bigint"
+    assert types == full() and types["mixed"] == "double" and types["shelf"] == "bigint"
     assert [os.path.basename(f) for f in read[-1]] == ["c.csv"]
 
 
