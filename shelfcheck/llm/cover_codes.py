@@ -208,10 +208,10 @@ def _coded(blocks: DataFrame, books, dim: int) -> DataFrame:
                 error += ((points - books[p][code]) ** 2).sum(1)
             text = [x.tobytes().hex() for x in np.stack(codes, axis=1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["ids"], pa.int64()), pa.array(row["label"], pa.int32()), pa.array(text), pa.array(error)],
+                [pa.array(row["ids"], pa.int64()), pa.array(row["label"], pa.string()), pa.array(text), pa.array(error)],
                 names=["vec_id", "label", "code", "error"])
 
-    return frame.mapInArrow(run, "vec_id long, label int, code string, error long")
+    return frame.mapInArrow(run, "vec_id long, label string, code string, error long")
 
 
 def compress(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE,
@@ -222,26 +222,28 @@ def compress(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
 
     if dim % parts or not 0 < entries <= 256:
         raise ValueError("dim must be a multiple of parts, and entries fit a byte")
-    spark, width, v = rows.sparkSession, dim // parts, rows[vector]
+    spark, width, v, kind = rows.sparkSession, dim // parts, rows[vector], rows.schema[label].dataType
     kept = rows.where(vb.usable(v, dim, scale)).select(
-        rows[vec_id].cast("long").alias("vec_id"), vb.integers(v, scale).alias("vector"), rows[label].cast("int").alias("label"))
+        rows[vec_id].cast("long").alias("vec_id"), vb.integers(v, scale).alias("vector"), rows[label].cast("string").alias("label"))
     first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "vector").limit(entries).select("vector").collect()
     if not first:
-        return spark.createDataFrame([], "vec_id long, label int, code string, error long"), np.zeros((parts, 0, width), np.int64)
+        none = spark.createDataFrame([], "vec_id long, label string, code string, error long")
+        return none.withColumn("label", F.col("label").cast(kind)), np.zeros((parts, 0, width), np.int64)
     books = np.stack(np.split(np.array([r["vector"] for r in first], np.int64), parts, axis=1))
     blocks = materialize(vb.to_blocks(kept, dim, "label", TREES, trees_of(parts)), "cover-trees")
     shape = (*books.shape[:2], width + 1)
     for _ in range(rounds):
         by = np.array(vb.total(_round(blocks, books, dim), "sums", int(np.prod(shape))), np.int64).reshape(shape)
         books = np.where(by[..., -1:] > 0, by[..., :-1] // np.maximum(by[..., -1:], 1), books)
-    return materialize(_coded(blocks, books, dim), "codes"), books
+    coded = _coded(blocks, books, dim).withColumn("label", F.col("label").cast(kind))
+    return materialize(coded, "codes"), books
 
 
 def with_label_error(coded: DataFrame, books) -> DataFrame:
     """Adds the error summed over equal labels and the codebooks' digest. Sums are written
     before they are joined back, so that a label that holds many rows can be split."""
     text = ",".join(str(x) for x in books.ravel().tolist())
-    none, value = F.col("label").isNull(), F.coalesce("label", F.lit(0))
+    none, value = F.col("label").isNull(), F.coalesce(F.col("label").cast("string"), F.lit(""))
     keyed = coded.select("vec_id", "code", "error", none.alias("none"), value.alias("value"))
     sums = materialize(keyed.groupBy("none", "value").agg(F.sum("error").alias("label_error")), "label-errors")
     return keyed.join(sums, ["none", "value"], "left").select(

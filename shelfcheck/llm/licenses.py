@@ -179,17 +179,20 @@ def _best(spans: list[tuple]) -> list[tuple]:
     return sorted(s for own in kept.values() for s in own)
 
 
-def scanner() -> Scanner:
-    return worker_state("licenses", Scanner)
+def scanner(notices=None, base=None) -> Scanner:
+    own = (None if notices is None else tuple(notices), None if base is None else tuple(sorted(base.items())))
+    return worker_state(("licenses", *own), lambda: Scanner(notices, base))
 
 
-def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], text: str = "text", notices: list[tuple[str, str]] | None = None,
+         base: dict[str, str] | None = None) -> DataFrame:
     """``keep`` columns plus counts, labels, score and spans of each document row.
 
+    ``notices`` (normalised text, label) and ``base`` (phrase -> label) replace the built-in ones.
     ``last_word`` of a span is exclusive; ``score`` is the best similarity (1 - edits over
     notice length), 1 where a base phrase stands. A map over the rows: no shuffle.
     """
-    return map_text(docs, text, keep, FIELDS, lambda: lambda texts: [scanner().scan(t) for t in texts])
+    return map_text(docs, text, keep, FIELDS, lambda: lambda texts: [scanner(notices, base).scan(t) for t in texts])
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

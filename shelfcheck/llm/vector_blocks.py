@@ -32,7 +32,7 @@ def integers(vector: Column, scale: int) -> Column:
 
 
 def to_blocks(rows: DataFrame, dim: int, carry: str = "", fields: str = "", build=None, size: int = ROWS) -> DataFrame:
-    """Blocks of ``rows`` (vec_id long, vector array<int>, and the ``carry`` column, an int),
+    """Blocks of ``rows`` (vec_id long, vector array<int>, and the ``carry`` column, a text),
     in scan order, with what ``build(vectors)`` makes of a block's vectors (``fields``, DDL).
 
     A block's number holds its partition's, so a task that runs again numbers alike.
@@ -40,7 +40,7 @@ def to_blocks(rows: DataFrame, dim: int, carry: str = "", fields: str = "", buil
     prepare(rows.sparkSession)
     names = ["vec_id", "vector"] + ([carry] if carry else [])
     schema = T._parse_datatype_string(
-        BLOCK + (f", {carry} array<int>" if carry else "") + (f", {fields}" if fields else ""))
+        BLOCK + (f", {carry} array<string>" if carry else "") + (f", {fields}" if fields else ""))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np

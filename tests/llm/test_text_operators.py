@@ -373,3 +373,14 @@ def test_toxicity_training_matches_a_plain_ftrl():
     want = {s: weight(s) for s in z if weight(s)}
     assert set(at.tolist()) == set(want) and len(want) > 3
     assert all(abs(want[s] - x) < 1e-9 for s, x in zip(at.tolist(), w.tolist()))
+
+
+def test_license_scan_with_own_notices(spark):
+    from shelfcheck.llm import licenses as ls
+
+    docs = spark.createDataFrame([(1, "Under the Example Licence, release 3."), (2, "released under the mit license"), (3, None)],
+                                 "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["n_base"]) for r in ls.scan(
+        docs, ["doc_id"], notices=[("under the example license release 3", "example")], base={"release 3": "third"}).collect()}
+    assert got == {1: (["example", "third"], 1), 2: ([], 0), 3: ([], 0)}
+    assert {r["doc_id"]: r["labels"] for r in ls.scan(docs, ["doc_id"]).collect()}[2] == ["mit"]

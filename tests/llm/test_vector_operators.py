@@ -142,6 +142,15 @@ def test_codes_match_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_codes(rows, 16, 64, 2, dim)
 
 
+def test_labels_of_any_type(spark):
+    from shelfcheck.llm import cover_codes as cc
+
+    rows = [(i, v, ["a", "", None][i % 3]) for i, v in enumerate(vectors(30, 64))]
+    coded, books = cc.compress(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string"))
+    assert {r["vec_id"]: r["label"] for r in coded.collect()} == {i: x for i, _, x in rows}
+    assert sorted(map(tuple, cc.with_label_error(coded, books).collect()), key=repr) == brute_codes(rows, 16, 64, 2, 64)
+
+
 def test_codes_of_few_and_no_vectors(spark):
     from shelfcheck.llm import cover_codes as cc
 
