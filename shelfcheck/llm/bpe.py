@@ -25,6 +25,7 @@ import hashlib
 import json
 import re
 from array import array
+from os.path import commonprefix
 
 from pyspark.sql import DataFrame
 
@@ -198,6 +199,7 @@ class Codec:
         self.odd = regex.compile("[\x1c-\x1f]")  # str.split() splits here, the tokenizer does not
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
+        self.mark = commonprefix(list(self.special))  # a cheap test that every text with one passes
         self.shown = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
         self.spell = byte_alphabet()
         self.chunks = Recent(self._chunk, CHUNKS)
@@ -223,7 +225,7 @@ class Codec:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if "<|" not in text:
+        if not self.special or self.mark not in text:
             return self._plain(text)
         out, at = [], 0
         for m in self.special_at.finditer(text):

@@ -189,7 +189,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", notices: list[tup
     """``keep`` columns plus counts, labels, score and spans of each document row.
 
     ``notices`` (normalised text, label) and ``base`` (phrase -> label) replace the built-in ones.
-    ``last_word`` of a span is exclusive; ``score`` is the best similarity (1 - edits over
+    ``first_word`` and ``last_word`` of a span belong to it; ``score`` is the best similarity (1 - edits over
     notice length), 1 where a base phrase stands. A map over the rows: no shuffle.
     """
     return map_text(docs, text, keep, FIELDS, lambda: lambda texts: [scanner(notices, base).scan(t) for t in texts])

@@ -384,3 +384,27 @@ def test_license_scan_with_own_notices(spark):
         docs, ["doc_id"], notices=[("under the example license release 3", "example")], base={"release 3": "third"}).collect()}
     assert got == {1: (["example", "third"], 1), 2: ([], 0), 3: ([], 0)}
     assert {r["doc_id"]: r["labels"] for r in ls.scan(docs, ["doc_id"]).collect()}[2] == ["mit"]
+
+
+def test_bpe_special_strings_of_any_form(tmp_path):
+    """A tokenizer file whose special strings share no beginning."""
+    import json
+
+    import public_tokenizers as P
+    import tokenizers
+
+    from shelfcheck.llm.bpe import Codec
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for added, name in zip(spec["added_tokens"], ("[START]", "</END>")):
+        spec["model"]["vocab"][name] = spec["model"]["vocab"].pop(added["content"], added["id"])
+        added["content"] = name
+    spec["post_processor"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    codec, tok = Codec(str(path)), tokenizers.Tokenizer.from_file(str(path))
+    for t in ("a [START] b</END>", "[START]", "plain text", "", "[start] </end> <|startoftext|>", "x</END></END>y [START"):
+        ids = tok.encode(t, add_special_tokens=False).ids
+        packed = codec.encode(t)
+        assert [int.from_bytes(packed[i:i + 4], "little") for i in range(0, len(packed), 4)] == ids, t
