@@ -63,14 +63,17 @@ def workbooks(path) -> list[str]:
 # ---------------------------------------------------------------- parts of a workbook
 
 def _elements(stream, tag: str) -> Iterator:
-    """Every element ``tag`` of a part; each is forgotten before the next one."""
-    root = None
+    """Every element ``tag`` of a part; what its parent holds is forgotten before the next one."""
+    open_now: list = []
     for event, e in iterparse(stream, events=("start", "end")):
-        if root is None:
-            root = e
-        if event == "end" and e.tag == tag:
+        if event == "start":
+            open_now.append(e)
+            continue
+        open_now.pop()
+        if e.tag == tag:
             yield e
-            root.clear()
+            if open_now:
+                del open_now[-1][:]
 
 
 def _text(e) -> str:

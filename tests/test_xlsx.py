@@ -79,6 +79,24 @@ def test_cells_as_text(spark, tmp_dir):
     assert ingest.read_export(spark, path, "xlsx").count() == 0
 
 
+def test_a_sheet_is_read_row_by_row(tmp_dir):
+    """Peak memory does not follow the number of rows."""
+    import tracemalloc
+
+    from shelfcheck.sources.xlsx import Workbook
+
+    peak = {}
+    for n in (2_000, 40_000):
+        write_xlsx(f"{tmp_dir}/{n}.xlsx", {"S": [["a", "b"]] + [[i, i + 0.5] for i in range(n)]})
+        with open(f"{tmp_dir}/{n}.xlsx", "rb") as f:
+            book = Workbook(f)
+            tracemalloc.start()
+            assert sum(1 for _ in book.rows()) == n + 1
+            peak[n] = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+    assert peak[40_000] < 2 * peak[2_000] + 200_000
+
+
 def test_workbooks_of_a_folder_unite_by_header(spark, tmp_dir):
     write_xlsx(f"{tmp_dir}/w/a.xlsx", {"S": [["x", "y"], [1, 2]]})
     write_xlsx(f"{tmp_dir}/w/b.xlsx", {"S": [["y", "x"], [4, 3], [6, 5]]})
