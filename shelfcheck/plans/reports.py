@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -168,16 +169,25 @@ def write_report(kind: str, inp: ReconInputs, out_dir: str, fmt: str = "parquet"
     return write_reports((kind,), inp, out_dir, fmt)[kind]
 
 
+def _generated_at(snapshot: DataFrame) -> DataFrame:
+    """One row: the snapshot's load time to the minute, now where there is none."""
+    return snapshot.agg(F.max("loaded_at").alias("loaded_at")).select(
+        F.date_format(F.coalesce("loaded_at", F.current_timestamp()), "yyyy-MM-dd HH:mm").alias("generated_at"))
+
+
+def _side_by_side(*rows: DataFrame) -> DataFrame:
+    """The columns of frames of one row as one row, without joining them."""
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def payload_meta(generated_at: DataFrame, stores: DataFrame) -> DataFrame:
     """K3 meta section: generated_at (minute text), flag list, inactive store rows.
 
     ``generated_at``: the one-row snapshot table (I13) or any frame with ``loaded_at``.
     """
-    snap = generated_at.agg(F.max("loaded_at").alias("loaded_at")).select(
-        F.date_format(F.coalesce("loaded_at", F.current_timestamp()), "yyyy-MM-dd HH:mm")
-        .alias("generated_at"))
     flags = F.array(*[F.lit(f) for f in FLAGS]).alias("flags")
-    return snap.crossJoin(ru.inactive_count(stores)).select("generated_at", flags, "inactive")
+    return _side_by_side(_generated_at(generated_at), ru.inactive_count(stores)).select("generated_at", flags, "inactive")
 
 
 def write_payload(inp: ReconInputs, snapshot: DataFrame, out_dir: str) -> dict[str, str]:
@@ -229,10 +239,7 @@ def write_map_payload(points: DataFrame, snapshot: DataFrame, out_dir: str) -> d
 
     pts = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        gen = snapshot.agg(F.max("loaded_at").alias("loaded_at")).select(
-            F.date_format(F.coalesce("loaded_at", F.current_timestamp()), "yyyy-MM-dd HH:mm")
-            .alias("generated_at"))
-        meta = gen.crossJoin(geo.located_count(pts)).select(
+        meta = _side_by_side(_generated_at(snapshot), geo.located_count(pts)).select(
             "generated_at", F.array(*[F.lit(t) for t in POINT_TYPES]).alias("types"), "total", "located")
         body = pts.select(geo.point_type_index().alias("type_idx"), "name", "customer_name", "province",
                           "city", "address", "lng", "lat", "jd_sku_cnt", "mt_sku_cnt", "adcode")
