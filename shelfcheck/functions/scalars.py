@@ -14,6 +14,9 @@ from shelfcheck.contracts import UNKNOWN_USER
 # Unicode-aware whitespace at either end (includes tab, NBSP and U+3000).
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
 _WHOLE_DECIMAL = r"^-?[0-9]+\.0*$"
+# I9 on text as one pattern, so that a cell is read once: edge whitespace around a whole decimal
+# ($1 is what stays of it), any other text ($2) or nothing.
+_CELL_TEXT = r"(?Us)\A\s*(?:(-?[0-9]+)\.0*|(\S(?:.*\S)?)|)\s*\z"
 _INTEGER_TEXT = r"^-?[0-9]+$"
 
 
@@ -70,14 +73,13 @@ def coerce_cell(c: str, declared: str) -> Column:
 
 def format_value(c: str, target: str) -> Column:
     """Render a source cell into the inferred type; '' -> null; uncastable -> null."""
-    v = blank_to_null(F.col(c).cast("string"))
-    if target == "bigint":
-        return F.expr(_exact_int(f"nullif({_strip_sql(c)}, '')"))
+    if target == "bigint":  # the cast trims ASCII whitespace itself
+        return F.expr(f"coalesce(try_cast(CAST(`{c}` AS STRING) AS BIGINT), {_exact_int(f"nullif({_strip_sql(c)}, '')")})")
     if target == "double":
         return F.expr(f"try_cast(nullif({_strip_sql(c)}, '') AS DOUBLE)")
     if target == "timestamp":
         return F.expr(f"try_cast(nullif({_strip_sql(c)}, '') AS TIMESTAMP)")
-    return whole_number_text(v)
+    return F.nullif(F.regexp_replace(F.col(c).cast("string"), _CELL_TEXT, "$1$2"), F.lit(""))
 
 
 def _strip_sql(c: str) -> str:

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -455,9 +456,10 @@ def stored_pull(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- exports -> published tables -> reports
 
-def _exports(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The bound tables as the exports of every dataset but the book, under canonical names."""
-    det, st = keyed_detail(spark, d), tb.stores(spark, d)
+def _exports(spark: SparkSession, d: str, det: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The bound tables as the exports of every dataset but the book, under canonical names.
+    ``det``: the quantities of ``keyed_detail`` when the caller already holds them."""
+    det, st = keyed_detail(spark, d) if det is None else det, tb.stores(spark, d)
     codes = tb.product_codes(spark, d)
     rows = tb.platform_rows(det, codes).join(tb.platform_names(codes).distinct(), "platform_code", "left")
     jd, mt = (rows.where(F.col("platform") == p) for p in (PLATFORM_JD, PLATFORM_MT))
@@ -479,20 +481,25 @@ def _published(spark: SparkSession, d: str) -> str:
     from shelfcheck.sources import ingest
 
     root, folder = scratch(spark, "tables"), scratch(spark, "exports")
-    for table, rows in _exports(spark, d).items():
-        heads = {en: zh for zh, en in HEADER_MAPS[table].items() if en not in ("_blank", "extra_status") and
-                 (table, en) != ("feishu_store_mapping", "store_address")}
-        cells = rows.select(*[(F.col(en).cast("string") if en in rows.columns else F.lit(None).cast("string")).alias(zh)
-                              for en, zh in heads.items()])
-        cells.write.option("header", True).csv(f"{folder}/{SOURCE_STEMS[table][0]}.csv")
-    ingest.load_folder(spark, root, folder, "1", [k for k in DATASET_TABLES if k != "bojun"])
-    det, st = keyed_detail(spark, d), tb.stores(spark, d)
-    names = tb.products(spark, d).select(tb.product_code(), "product_name")
-    book = tb.book_rows(det, st, barcodes=True).join(names, "product_code", "left").select(
-        F.col("warehouse").alias("store_warehouse"), "store_code", "product_code", "barcode", "product_name", F.col("qty").alias("stock_qty"))
-    declared = [x.split(" ") for x in BOOK_API_SCHEMA.split(", ")]
-    book = book.select(*[(F.col(n) if n in book.columns else F.lit(None)).cast(t).alias(n) for n, t in declared])
-    ingest.publish(spark, root, {"bojun_offline_inventory": book, "store_alias": tb.store_aliases(spark, d)}, "2")
+    # Both platforms' exports and the book come from the same sums: reconciled once.
+    det = keyed_detail(spark, d).select("store_key", "product_key", "bojun_qty", "jd_qty", "mt_qty").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for table, rows in _exports(spark, d, det).items():
+            heads = {en: zh for zh, en in HEADER_MAPS[table].items() if en not in ("_blank", "extra_status") and
+                     (table, en) != ("feishu_store_mapping", "store_address")}
+            cells = rows.select(*[(F.col(en).cast("string") if en in rows.columns else F.lit(None).cast("string")).alias(zh)
+                                  for en, zh in heads.items()])
+            cells.write.option("header", True).csv(f"{folder}/{SOURCE_STEMS[table][0]}.csv")
+        ingest.load_folder(spark, root, folder, "1", [k for k in DATASET_TABLES if k != "bojun"])
+        st = tb.stores(spark, d)
+        names = tb.products(spark, d).select(tb.product_code(), "product_name")
+        book = tb.book_rows(det, st, barcodes=True).join(names, "product_code", "left").select(
+            F.col("warehouse").alias("store_warehouse"), "store_code", "product_code", "barcode", "product_name", F.col("qty").alias("stock_qty"))
+        declared = [x.split(" ") for x in BOOK_API_SCHEMA.split(", ")]
+        book = book.select(*[(F.col(n) if n in book.columns else F.lit(None)).cast(t).alias(n) for n, t in declared])
+        ingest.publish(spark, root, {"bojun_offline_inventory": book, "store_alias": tb.store_aliases(spark, d)}, "2")
+    finally:
+        det.unpersist()
     return root
 
 

@@ -33,11 +33,14 @@ from shelfcheck.contracts import (
     STATUS_HEADER_ANCHORS,
     STATUS_HEADER_PREFIX,
 )
-from shelfcheck.functions.scalars import coerce_cell, format_value
+from shelfcheck.functions.scalars import coerce_cell, format_value, strip_all
 from shelfcheck.sources.headers import HeaderGroup, header_groups
 
 _ID_RE = re.compile(ID_NAME_PATTERN, re.I)
 _INT_TEXT = r"^-?[0-9]+$"
+_NO_EDGE_SPACE = r"(?Us)\A\S(?:.*\S)?\z"
+# What every text has that casts to a double; a failed cast costs an exception per row.
+_NUMBER_TEXT = r"(?i)\A[\x00-\x20]*[+-]?(?:[0-9.][0-9a-fxp.+-]*|inf|infinity|nan)[\x00-\x20]*\z"
 SOURCE_COLUMNS = ("source_file", "source_pos")  # added by with_source_order
 
 
@@ -213,7 +216,7 @@ def skip_description_row(df: DataFrame) -> DataFrame:
     is_desc = F.lit(False)
     for m in DESCRIPTION_ROW_MARKERS:
         is_desc = is_desc | cell.contains(m)
-    joined = df.join(firsts, "source_file", "left")
+    joined = df.join(F.broadcast(firsts), "source_file", "left")  # one row per file
     return joined.where(~((F.col("source_pos") == F.col("_first")) & is_desc)).drop("_first")
 
 
@@ -290,20 +293,25 @@ class ColumnStats:
 def stat_values(column: str) -> list:
     """The aggregates behind ``ColumnStats``, in its order."""
     raw = F.col(column).cast("string")
-    txt = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    txt = F.when(raw.rlike(_NO_EDGE_SPACE), raw).otherwise(strip_all(raw))
     txt = F.when(txt != "", txt)
-    num = txt.try_cast("double")
+    num = F.when(txt.rlike(_NUMBER_TEXT), txt.try_cast("double"))
     return [F.count(txt), F.count(raw), F.count(num), F.count_if(num == F.rint(num)), F.max(F.abs(num)),
             F.count_if(txt.rlike(r"^-?0[0-9]+$")), F.count_if(raw.rlike(_INT_TEXT)),
             F.count_if(txt.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}") & txt.try_cast("timestamp").isNotNull())]
 
 
 def column_stats(df: DataFrame) -> dict[str, ColumnStats]:
-    """What I6, I8 and I10 need to know of every column, in one aggregate pass."""
+    """What I6, I8 and I10 need to know of every column, in one aggregate pass over the cells that
+    are not null: a few aggregates per cell run compiled, those of all columns side by side do not."""
     cols = [c for c in df.columns if c not in SOURCE_COLUMNS]
-    aggs = [F.struct(*stat_values(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)]
-    row = df.agg(*aggs).first() if aggs else ()
-    return {c: ColumnStats(*r) for c, r in zip(cols, row)}
+    if not cols:
+        return {}
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"`{c}`").cast("string").alias("cell")) for i, c in enumerate(cols)])
+    found = (df.select(F.inline(cells)).where(F.col("cell").isNotNull())
+             .groupBy("at").agg(F.struct(*stat_values("cell")).alias("stats")).collect())
+    stats = {r["at"]: r["stats"] for r in found}
+    return {c: ColumnStats(*stats.get(i, (0, 0, 0, 0, None, 0, 0, 0))) for i, c in enumerate(cols)}
 
 
 def infer_types(df: DataFrame | None, stats: dict[str, ColumnStats] | None = None) -> dict[str, str]:
