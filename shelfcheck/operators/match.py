@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcheck.functions.scalars import strip_all
-from shelfcheck.operators.common import is_active_store
+from shelfcheck.operators.common import distinct_values, is_active_store
 
 
 # ---------------------------------------------------------------- J3 / A11 addresses
@@ -131,7 +131,7 @@ def match_products(platform_rows: DataFrame, book_products: DataFrame,
     distinct (code, barcode) pairs first. Only rows whose code misses and that carry a
     barcode take part in the barcode lookup. Adds ``matched_code`` (null = no match).
     """
-    pairs = book_products.select("product_code", "barcode").distinct()
+    pairs = distinct_values(book_products, "product_code", "barcode")
     codes = pairs.select(F.col("product_code").alias("_by_code")).distinct()
     out = platform_rows.join(codes, platform_rows[code_col] == codes["_by_code"], "left")
     if use_barcode:

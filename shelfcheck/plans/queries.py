@@ -459,10 +459,12 @@ def stored_pull(spark: SparkSession, d: str) -> DataFrame:
 def _exports(spark: SparkSession, d: str, det: DataFrame | None = None) -> dict[str, DataFrame]:
     """The bound tables as the exports of every dataset but the book, under canonical names.
     ``det``: the quantities of ``keyed_detail`` when the caller already holds them."""
-    det, st = keyed_detail(spark, d) if det is None else det, tb.stores(spark, d)
-    codes = tb.product_codes(spark, d)
-    rows = tb.platform_rows(det, codes).join(tb.platform_names(codes).distinct(), "platform_code", "left")
-    jd, mt = (rows.where(F.col("platform") == p) for p in (PLATFORM_JD, PLATFORM_MT))
+    held, st = det is not None, tb.stores(spark, d)
+    det, codes = det if held else keyed_detail(spark, d), tb.product_codes(spark, d)
+    names = tb.platform_names(codes).distinct()
+    # A detail that is held is read per export, for its side only.
+    jd, mt = (tb.platform_rows(det, codes, side if held else None).where(F.col("platform") == p).join(names, "platform_code", "left")
+              for p, side in ((PLATFORM_JD, tb.JD), (PLATFORM_MT, tb.MT)))
     jd_out, mt_out = tb.jd_outlets(spark, d), tb.mt_outlets(spark, d)
     return {
         "jd_store_inventory": jd.select(F.col("store").alias("store_code"), F.col("platform_code").alias("merchant_product_code"),
@@ -493,7 +495,7 @@ def _published(spark: SparkSession, d: str) -> str:
         ingest.load_folder(spark, root, folder, "1", [k for k in DATASET_TABLES if k != "bojun"])
         st = tb.stores(spark, d)
         names = tb.products(spark, d).select(tb.product_code(), "product_name")
-        book = tb.book_rows(det, st, barcodes=True).join(names, "product_code", "left").select(
+        book = tb.book_rows(det, st, barcodes=True, held=True).join(names, "product_code", "left").select(
             F.col("warehouse").alias("store_warehouse"), "store_code", "product_code", "barcode", "product_name", F.col("qty").alias("stock_qty"))
         declared = [x.split(" ") for x in BOOK_API_SCHEMA.split(", ")]
         book = book.select(*[(F.col(n) if n in book.columns else F.lit(None)).cast(t).alias(n) for n, t in declared])

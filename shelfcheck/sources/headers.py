@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 # A record up to its line end, line breaks inside quotes included.
 _QUOTED_RECORD = r'^((?:[^"\r\n]++|"(?:[^"]++|"")*+")*+)'
+_MARK = "\ufeff"
 # A separator no text holds: the line comes out whole, in the reader's encoding.
 _WHOLE_LINE = {"sep": "\u0001", "quote": "", "header": False, "inferSchema": False}
 
@@ -40,9 +41,11 @@ def first_records(spark: SparkSession, path, multi_line: bool = False, encoding:
         raw = (spark.read.options(**_WHOLE_LINE, encoding=encoding).schema("value string").csv(path) if encoding
                else spark.read.text(path))
         lines = raw.where(F.col("_metadata.file_block_start") == 0).select("value", "_metadata.file_path")
-    text = F.regexp_replace("value", "^﻿", "")
-    return (lines.where(F.trim(text) != "").select("file_path", text.alias("value"), F.monotonically_increasing_id().alias("at"))
-            .groupBy(F.col("file_path").alias("file")).agg(F.min_by("value", "at").alias("record")))
+    marked = F.col("value").startswith(_MARK)  # a file's byte order mark is no part of its text
+    blank = (F.trim("value") == "") | (marked & (F.trim(F.substring("value", 2, 2**31 - 1)) == ""))
+    return (lines.where(~blank).select("file_path", "value", F.monotonically_increasing_id().alias("at"))
+            .groupBy(F.col("file_path").alias("file")).agg(F.min_by("value", "at").alias("record"))
+            .withColumn("record", F.regexp_replace("record", f"^{_MARK}", "")))
 
 
 def parse_record(record: str, sep: str = ",", quote: str = '"') -> list[str]:

@@ -19,6 +19,7 @@ from itertools import accumulate, chain, count
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfcheck.contracts import (
     ADDRESS_HEADERS,
@@ -211,7 +212,14 @@ def skip_description_row(df: DataFrame) -> DataFrame:
     large file is never gathered into one task.
     """
     first_col = [c for c in df.columns if c not in SOURCE_COLUMNS][0]
-    firsts = df.groupBy("source_file").agg(F.min("source_pos").alias("_first"))
+    at = df.schema["source_pos"].dataType
+    firsts = df
+    if isinstance(at, StructType):  # the last part alone first: a minimum of numbers needs no sorting of the rows
+        *parts, last = at.names
+        firsts = (df.groupBy("source_file", *[F.col("source_pos")[c].alias(f"_{c}") for c in parts])
+                  .agg(F.min(F.col("source_pos")[last]).alias(f"_{last}"))
+                  .select("source_file", F.struct(*[F.col(f"_{c}").alias(c) for c in at.names]).alias("source_pos")))
+    firsts = firsts.groupBy("source_file").agg(F.min("source_pos").alias("_first"))
     cell = F.coalesce(F.col(first_col).cast("string"), F.lit(""))
     is_desc = F.lit(False)
     for m in DESCRIPTION_ROW_MARKERS:

@@ -209,20 +209,24 @@ def product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOK, JD, MT = "book", "jd", "mt"
 
 
-def side_rows(keyed_detail: DataFrame) -> DataFrame:
+def side_rows(keyed_detail: DataFrame, only: str | None = None) -> DataFrame:
     """The detail as one row per (store, product, side) that holds a quantity.
 
     Book and platform consumers of one query both start here. What lies below the
     ``inline`` needs all three quantities for every consumer, so its plans are equal and
     Spark runs the scan and the reconciliation shuffle once and reuses them. Keys and codes
     come out of the generated rows for the same reason: a consumer's filter on them (a join
-    asks for keys that are not null) stays above.
+    asks for keys that are not null) stays above. ``only`` one side of a detail that is held
+    needs neither: its rows alone are made.
     """
     keys = [F.col("store_key"), F.col("product_key")]
     codes = [F.col("store_key").cast("string").alias("store_code"), product_code(),
              _barcode(BOOK_BARCODE_PREFIX).alias("book_barcode")]
-    sides = F.array(*[F.struct(*keys, F.lit(s).alias("side"), F.col(c).alias("qty"), *codes)
-                      for s, c in ((BOOK, "bojun_qty"), (JD, "jd_qty"), (MT, "mt_qty"))])
+    quantities = {BOOK: "bojun_qty", JD: "jd_qty", MT: "mt_qty"}
+    if only is not None:
+        return keyed_detail.where(F.col(quantities[only]).isNotNull()).select(
+            *keys, F.lit(only).alias("side"), F.col(quantities[only]).alias("qty"), *codes)
+    sides = F.array(*[F.struct(*keys, F.lit(s).alias("side"), F.col(c).alias("qty"), *codes) for s, c in quantities.items()])
     return keyed_detail.select(F.inline(sides)).where(F.col("qty").isNotNull())
 
 
@@ -232,22 +236,23 @@ def book_products(keyed_detail: DataFrame) -> DataFrame:
         "product_code", F.col("book_barcode").alias("barcode"))
 
 
-def book_rows(keyed_detail: DataFrame, stores_df: DataFrame, barcodes: bool = False) -> DataFrame:
+def book_rows(keyed_detail: DataFrame, stores_df: DataFrame, barcodes: bool = False, held: bool = False) -> DataFrame:
     """(warehouse, product_code, qty) of the book side, under the book's warehouse names; with
-    ``barcodes`` also store_code and barcode, as an API pull has them."""
+    ``barcodes`` also store_code and barcode, as an API pull has them; ``held``: the detail is persisted."""
     more = ["store_code", F.col("book_barcode").alias("barcode")] if barcodes else []
-    return (side_rows(keyed_detail).where(F.col("side") == BOOK).join(stores_df, "store_key")
+    rows = side_rows(keyed_detail, BOOK if held else None).where(F.col("side") == BOOK)
+    return (rows.join(stores_df, "store_key")
             .select(_warehouse_name().alias("warehouse"), "product_code", "qty", *more))
 
 
-def platform_rows(keyed_detail: DataFrame, codes: DataFrame) -> DataFrame:
+def platform_rows(keyed_detail: DataFrame, codes: DataFrame, only: str | None = None) -> DataFrame:
     """Platform stock rows in the J6 input shape, under the codes each platform uses.
 
     ``codes``: ``product_codes``; joined on the product key (one row per product, so
-    no row is multiplied). Both platforms come out of one pass (``inline``).
+    no row is multiplied). Both platforms come out of one pass (``inline``), or ``only`` one side.
     """
     jd = F.col("side") == JD
-    rows = side_rows(keyed_detail).where(F.col("side") != BOOK).join(codes.drop("product_name"), "product_key", "left")
+    rows = side_rows(keyed_detail, only).where(F.col("side") != BOOK).join(codes.drop("product_name"), "product_key", "left")
     return rows.select(
         _platform(), F.when(jd, F.col("jd_code")).otherwise(F.col("mt_code")).alias("platform_code"),
         _outlet_code().alias("store"), F.when(jd, F.col("jd_barcode")).otherwise(F.col("mt_barcode")).alias("barcode"),
