@@ -134,12 +134,16 @@ def replicate(nodes: DataFrame, threshold: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b), a < b, for all distinct fingerprints at ``max_bits`` or fewer bits."""
+    """(a, b), a < b, for all distinct fingerprints at ``max_bits`` or fewer bits.
+
+    Spark sizes the copies like the fingerprints they come from, some 60 times too low. The
+    hint keeps it from broadcasting them for that; adaptive execution still splits skew.
+    """
     rows = replicate(nodes, max_bits)
     visitors = rows.select("anchor", F.col("fp").alias("b"))
     homes = rows.where("home").select("anchor", F.col("fp").alias("a"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return homes.join(visitors, (homes["anchor"] == visitors["anchor"]) & near).select("a", "b")
+    return homes.join(visitors.hint("merge"), (homes["anchor"] == visitors["anchor"]) & near).select("a", "b")
 
 
 def groups(rows: DataFrame, doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:

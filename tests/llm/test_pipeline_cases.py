@@ -60,3 +60,18 @@ def test_stages_in_a_row_on_odd_documents(spark, tmp_dir):
         frame = spark.read.parquet(f"{tmp_dir}/{k}")
     left = {r["doc_id"] for r in frame.collect()}
     assert {1, 4, 6, 7} <= left and not left & {2, 3, 5}
+
+
+def test_near_duplicates_never_broadcast_the_copies(spark, monkeypatch):
+    from shelfcheck.llm import simhash as sh
+
+    plans, real = [], sh.components
+
+    def components(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return real(edges)
+
+    monkeypatch.setattr(sh, "components", components)
+    kept = cp.near_duplicates(spark, docs(spark, ODD), SF_SMALL).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [1, 4, 6, 7, 8, 9]
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
