@@ -76,6 +76,15 @@ def test_simhash_matches_brute_force(spark):
     assert sh.near_duplicates(docs.limit(0)).count() == 0 and sh.keep_one(docs.limit(0)).count() == 0
 
 
+def test_links_never_broadcast_the_copies(spark):
+    from shelfcheck.llm import simhash as sh
+
+    near = sh.links(spark.createDataFrame([(0b1011,), (0b1000,), (1 << 60 | 0xFFFF,), (-1,)], "fp long"))
+    assert result(near) == [(0b1000, 0b1011)]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_anchor_covering_reaches_every_pair():
     from shelfcheck.llm import simhash as sh
 
